@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets", "packing", "quality_rules")
+MODULES = ("suffix_dedup", "secrets", "substring_dedup", "packing", "quality_rules")
 
 
 def _gather(name: str) -> dict:
