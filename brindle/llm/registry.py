@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("minhash_dedup", "suffix_dedup", "secrets", "substring_dedup", "packing", "quality_rules")
+MODULES = ("minhash_dedup", "suffix_dedup", "pieces", "secrets", "substring_dedup", "packing", "quality_rules")
 
 
 def _gather(name: str) -> dict:
