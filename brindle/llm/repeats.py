@@ -303,7 +303,7 @@ def _settle(rule: Rule, schema: pa.Schema, with_text: bool, final: bool) -> Call
                     rows.append((None, None, None, None, None, data, found.as_py()))
                     continue
                 n, removed, runs, left = _finish(rule, data, found.as_py() if final and found.is_valid else [])
-                rows.append((n, removed, runs, hashlib.sha256(left).hexdigest(), left if with_text else None, None, None))
+                rows.append((n, removed, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None, None, None))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield record(schema, [*carried, *columns[: len(schema) - len(carried)]])
 
@@ -314,7 +314,8 @@ def remove_repeats(docs: DataFrame, rule: Rule, key: str, text: str, keep: tuple
     """Remove every token covered by a repeated window; one row per input row.
 
     Columns: ``key``, those of ``keep``, ``n_tokens``, ``n_removed``,
-    ``n_spans``, ``kept_sha256`` and, ``with_text``, ``kept`` (bytes).
+    ``n_spans``, ``kept_sha256`` and, ``with_text``, ``kept`` (what is left as
+    text; of a character that a removal cut in two, nothing).
     """
     spark = docs.sparkSession
     # A missing key comes after all others.
@@ -328,7 +329,7 @@ def remove_repeats(docs: DataFrame, rule: Rule, key: str, text: str, keep: tuple
     joined = full.join(alive, "doc", "left")
     carried = ["doc", "__key", *[f"__keep_{i}" for i in range(len(keep))]]
     fields = [joined.schema[c] for c in carried]
-    result = "n_tokens long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    result = "n_tokens long, n_removed long, n_spans long, kept_sha256 string, kept string"
     s3, a3 = schemas(fields, f"{result}, text binary, marks array<int>")
     split = cut(joined.select(*carried, "text", "marks").mapInArrow(_settle(rule, a3, with_text, False), s3).withColumn("rid", F.monotonically_increasing_id()), "texts")
     del found, alive, joined

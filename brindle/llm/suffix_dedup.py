@@ -25,8 +25,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
 
     One row per input row: ``key``, ``keep`` columns, ``n_bytes``,
     ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256`` and,
-    ``with_text``, ``kept`` (the remaining bytes).  The text is its UTF-8
-    bytes; strings never cross documents; the same document counts as elsewhere;
+    ``with_text``, ``kept`` (the remaining text without characters cut in two).  The text
+    is its UTF-8 bytes; strings never cross documents; the same document counts as elsewhere;
     overlaps count; strings are judged on the input.
 
     Null and empty texts have no bytes and keep nothing; texts under ``window``
