@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -65,12 +67,13 @@ def sweep(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files whose plans are gone.
 
     The cleaner follows the driver's garbage collector; between the phases of
-    an operator it is worth one collection to free executors' disks.
+    an operator it is worth a collection to free executors' disks.  The second
+    one takes what the first one's finalisers let go.
     """
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def as_bytes(column: str | Column) -> Column:

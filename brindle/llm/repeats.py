@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._shared import as_bytes, cut, forget, mix, record, schemas, sweep
+from brindle.llm._shared import as_bytes, cut, mix, record, schemas, sweep
 from brindle.llm._windows import Blocks, anchors, segments
 
 #: Row flags on the way to a sweep.
@@ -339,11 +339,15 @@ def remove_repeats(docs: DataFrame, rule: Rule, key: str, text: str, keep: tuple
     s5, a5 = schemas([], "rid long, start int, n int, status byte")
     blocks = work.select("rid", "doc", "text", "marks").mapInArrow(_emit_blocks(rule, a4), s4).repartition("gram").sortWithinPartitions("gram", "h", "h2", "doc")
     decided = cut(blocks.mapInArrow(_sweep_blocks(rule, a5), s5), "blocks")
+    del blocks
+    sweep(spark)
     todo = decided.filter(F.col("status") >= OPEN).groupBy("rid").agg(F.collect_list(F.struct("start", "n", "status")).alias("blocks"))
     s6, a6 = schemas([], "h long, h2 int, doc long, rid long, start int, flag byte")
     s7, a7 = schemas([], "rid long, start int")
     windows = work.select("rid", "doc", "text").join(todo, "rid").select("rid", "doc", "text", "blocks").mapInArrow(_emit_windows(rule, a6), s6).repartition("h").sortWithinPartitions("h", "h2", "doc")
-    singles = windows.mapInArrow(_sweep_rows(rule.earlier, 2, a7, [3, 4]), s7).withColumn("n", F.lit(1))
+    singles = cut(windows.mapInArrow(_sweep_rows(rule.earlier, 2, a7, [3, 4]), s7).withColumn("n", F.lit(1)), "windows")
+    del windows, todo
+    sweep(spark)
     whole = decided.filter(F.col("status") != OPEN).select("rid", "start", "n")
     spans = whole.unionByName(singles).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     s8, a8 = schemas(fields, result)
