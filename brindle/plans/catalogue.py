@@ -1,11 +1,426 @@
-"""All queries of the library with the DuckDB SQL that gives the same rows."""
+"""All queries of the library with the DuckDB SQL that gives the same rows.
+
+Doubles are rounded on both sides, as sums depend on the order of rows.
+"""
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.functions import columns as fn
+from brindle.operators import features, ir_eval, kmeans, metrics, pca, profile, profiles, search, selection, validate
+from brindle.operators.synth import students
+from brindle.plans.students import validate_students
+
+LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+#: Words that occur in the documents, one query with a word twice, one with an unknown word.
+SEARCHES = (("q1", "ention edtion license"), ("q2", "inging queque inging"), ("q3", "Licénse apache zzzunknown"))
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+
+
+def _holes(df: DataFrame) -> DataFrame:
+    """Line items with nulls in two columns, by rule."""
+    return df.withColumn("l_quantity", F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity"))).withColumn("l_tax", F.when(F.col("l_suppkey") % 5 != 0, F.col("l_tax")))
+
+
+HOLES = "(SELECT * REPLACE (CASE WHEN l_partkey % 7 <> 0 THEN l_quantity END AS l_quantity, CASE WHEN l_suppkey % 5 <> 0 THEN l_tax END AS l_tax) FROM lineitem)"
+
+
+def _union(parts) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+# --- profile ---------------------------------------------------------------
+
+QUALITY = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+KINDS = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
+
+
+def column_quality(spark, d):
+    return _round(profile.column_quality(_t(spark, d, "customer")), {"null_rate": 6})
+
+
+def describe_numeric(spark, d):
+    return _round(profile.describe(_holes(_t(spark, d, "lineitem")), LINE), {c: 4 for c in ("mean", "std", "min", "q25", "q50", "q75", "max")})
+
+
+def iqr_outliers(spark, d):
+    df = _t(spark, d, "orders").select("o_totalprice").withColumn("o_square", F.col("o_totalprice") * F.col("o_totalprice") / 1e6)
+    return _round(profile.iqr_outliers(df, ("o_totalprice", "o_square")), {c: 3 for c in ("q1", "q3", "iqr", "lower_bound", "upper_bound")} | {"outlier_rate": 6})
+
+
+def correlation_long(spark, d):
+    return _round(profile.correlations(_holes(_t(spark, d, "lineitem")), LINE), {"correlation": 6})
+
+
+def strong_correlations(spark, d):
+    df = _t(spark, d, "lineitem").withColumn("l_net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return _round(profile.strong_correlations(profile.correlations(df, (*LINE, "l_net")), 0.5), {"correlation": 6})
+
+
+def group_means_returnflag(spark, d):
+    return profile.group_means(_t(spark, d, "lineitem"), "l_returnflag", ("l_quantity", "l_discount"))
+
+
+def group_means_event(spark, d):
+    return profile.group_means(_t(spark, d, "events"), "event_type", ("value",))
+
+
+def group_means_sets(spark, d):
+    return profile.group_means_many(_t(spark, d, "lineitem"), ("l_returnflag", "l_linestatus"), ("l_quantity", "l_tax"))
+
+
+def value_counts(spark, d):
+    return profile.value_counts(_t(spark, d, "events"), "event_type")
+
+
+def histogram_10(spark, d):
+    return _round(profile.histogram(_t(spark, d, "orders"), "o_totalprice"), {"low": 4, "high": 4})
+
+
+def duplicate_keys(spark, d):
+    return profile.duplicate_rows(_t(spark, d, "lineitem"), ("l_orderkey", "l_linenumber"))
+
+
+def _slices(df: DataFrame) -> list[tuple[str, DataFrame]]:
+    return [("before", df.filter("o_orderdate < timestamp'1996-01-01'")), ("after", df.filter("o_orderdate >= timestamp'1996-01-01'"))]
+
+
+def dataset_comparison(spark, d):
+    parts = [profile.dataset_summary(x, n, {"statuses": "o_orderstatus", "priorities": "o_orderpriority"}, {"avg_price": "o_totalprice"}) for n, x in _slices(_t(spark, d, "orders"))]
+    return _round(parts[0].unionByName(parts[1]), {"avg_price": 4})
+
+
+# --- features, components --------------------------------------------------
+
+DECIDED = {"l_quantity": ("include", "size"), "l_extendedprice": ("exclude", "follows size"), "l_discount": ("include", "terms"), "l_tax": ("include", "terms")}
+
+
+def feature_matrix(spark, d):
+    return _round(features.feature_matrix(_holes(_t(spark, d, "lineitem")), DECIDED), {"variance": 2, "missing_rate": 6, "max_abs_correlation": 6})
+
+
+def scaler_params(spark, d):
+    return _round(features.fit_scaler(_holes(_t(spark, d, "lineitem")), LINE).params(spark), {"mean": 5, "std": 5})
+
+
+def zscores(spark, d):
+    df = _holes(_t(spark, d, "lineitem"))
+    cols = ("l_quantity", "l_tax")
+    scaled = features.fit_scaler(df, cols).apply(df)
+    return scaled.groupBy("l_returnflag", "l_linestatus").agg(*[F.round(F.sum(c), 4).alias(f"sum_{c}") for c in cols], *[F.round(F.max(c), 6).alias(f"max_{c}") for c in cols])
+
+
+def pca_covariance(spark, d):
+    return _round(pca.covariance(_t(spark, d, "lineitem"), ("l_quantity", "l_discount", "l_tax")), {"covariance": 6})
+
+
+def pca_explained(spark, d):
+    df = _t(spark, d, "lineitem")
+    scaled = features.fit_scaler(df, LINE).apply(df.select(*LINE))
+    return _round(pca.fit_pca(scaled, LINE).explained(spark), {"explained_variance": 6, "explained_ratio": 6, "cumulative_ratio": 6})
+
+
+def pca_scores(spark, d):
+    df = _t(spark, d, "lineitem")
+    scaled = features.fit_scaler(df, LINE).apply(df.select("l_orderkey", "l_linenumber", *LINE))
+    return _round(pca.fit_pca(scaled, LINE).scores(scaled, 2, ("l_orderkey", "l_linenumber")), {"PC1": 6, "PC2": 6})
+
+
+# --- validation, joins, buckets --------------------------------------------
+
+
+def validation_rules(spark, d):
+    df = _t(spark, d, "lineitem")
+    checks = [validate.within("l_quantity", 0, 45), validate.within("l_discount", 0, 100), validate.non_negative("l_tax"), validate.not_above("tax_below_discount", "l_tax", "l_discount", "media"), validate.Check("late_open", (F.col("l_linestatus") == "O") & (F.col("l_quantity") > 49))]
+    return validate.run_checks(df, checks, ("l_orderkey", "l_linenumber"), ("l_orderkey", "l_missing"), ("l_tax",)).drop("detail")
+
+
+def left_join_enrich(spark, d):
+    o, c, n = (_t(spark, d, t) for t in ("orders", "customer", "nation"))
+    n = n.filter("n_regionkey < 3").select("n_nationkey", "n_name")  # some customers find no nation
+    out = o.join(c, o["o_custkey"] == c["c_custkey"], "left").join(n, F.col("c_nationkey") == n["n_nationkey"], "left")
+    return out.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def bucketize_document(spark, d):
+    c = _t(spark, d, "customer")
+    return c.select(
+        F.concat_ws("::", F.col("c_custkey").cast("string"), "c_mktsegment").alias("document_id"),
+        fn.bucket(F.col("c_acctbal"), (0, 5000), ("low", "middle", "high")).alias("balance"),
+        fn.zero_bucket(F.col("c_nationkey"), 3, "none", "some", "many").alias("nation"),
+        fn.first_match([(F.col("c_acctbal") >= 9000, "top"), (F.col("c_acctbal") < 0, "debt"), (F.col("c_acctbal") >= 5000, "good")], "plain").alias("label"),
+        (1 / (1 + F.abs("c_acctbal"))).cast("double").alias("m"),
+    ).withColumn("m", F.round("m", 9))
+
+
+# --- search ----------------------------------------------------------------
+
+
+def _docs(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").repartition(2 * spark.sparkContext.defaultParallelism).select("doc_id", "text")
+
+
+def term_statistics(spark, d):
+    lengths = search.documents_lengths(_docs(spark, d), "doc_id", "text")
+    tf = search.term_frequencies(lengths)
+    n = lengths.count()
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return df.withColumn("idf", F.round(F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6))
+
+
+def document_lengths(spark, d):
+    return search.documents_lengths(_docs(spark, d), "doc_id", "text").select("document_id", "length")
+
+
+def _queries(spark) -> DataFrame:
+    return spark.createDataFrame(list(SEARCHES), "query_id string, query string")
+
+
+def bm25_topk(spark, d):
+    return _round(search.bm25_search(_docs(spark, d), _queries(spark), "doc_id", "text"), {"score": 6})
+
+
+def ir_metrics(spark, d):
+    ranked = search.bm25_search(_docs(spark, d), _queries(spark), "doc_id", "text")
+    good = _t(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("document_id"))
+    relevant = _queries(spark).select("query_id").crossJoin(F.broadcast(good))
+    return _round(ir_eval.evaluate(ranked, relevant), {c: 6 for c in ("precision", "recall", "mrr", "ndcg")})
+
+
+# --- clusters --------------------------------------------------------------
+
+
+def _points(spark, d) -> DataFrame:
+    e = _t(spark, d, "embeddings")
+    return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.col("label").alias("cluster"))
+
+
+def _first(points: DataFrame, k: int) -> np.ndarray:
+    return np.array([r["x"] for r in points.orderBy("vec_id").limit(k).select("x").collect()])
+
+
+def kmeans_assign(spark, d):
+    points = _points(spark, d).drop("cluster")
+    return _round(kmeans.assign(points, _first(points, 3)).drop("x"), {"distance_to_centroid": 6, "membership_score": 6})
+
+
+def kmeans_steps(spark, d):
+    points = _points(spark, d).drop("cluster")
+    model = kmeans.lloyd(points.select("x"), _first(points, 3), 5, 0.0)
+    return kmeans.assign(points, model.centres).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("distance_to_centroid") * F.col("distance_to_centroid")), 5).alias("inertia"))
+
+
+def kmeans_restarts(spark, d):
+    points = _points(spark, d).select("x")
+    model = kmeans.fit_kmeans(points, 3, n_init=2, max_iter=20)
+    return spark.createDataFrame([(i, int(n), model.inertia) for i, n in enumerate(model.sizes)], "cluster int, n long, inertia double")
+
+
+def cluster_quality(spark, d):
+    p = _points(spark, d)
+    row = (metrics.inertia(p), metrics.silhouette(p), metrics.calinski_harabasz(p), metrics.davies_bouldin(p))
+    return _round(spark.createDataFrame([row], "inertia double, silhouette double, calinski_harabasz double, davies_bouldin double"), {"inertia": 5, "silhouette": 8, "calinski_harabasz": 7, "davies_bouldin": 7})
+
+
+def cluster_sizes(spark, d):
+    return metrics.cluster_sizes(_points(spark, d)).agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("clusters"))
+
+
+def cluster_profile(spark, d):
+    return profiles.top_differences(_t(spark, d, "lineitem").withColumn("cluster", F.col("l_returnflag")), LINE[:1] + LINE[2:], 2)
+
+
+#: A grid of models with known outcome (fixed values).
+GRID = (
+    ("scaled_features", 2, 21908.039, 0.23721, 140.851, 2.35681, 216, 784), ("scaled_features", 3, 19475.719, 0.17027, 141.399, 2.11922, 73, 666), ("scaled_features", 4, 18352.983, 0.08632, 120.243, 2.41251, 72, 396), ("scaled_features", 5, 17523.777, 0.08176, 106.125, 2.31865, 72, 296), ("scaled_features", 6, 16952.490, 0.07845, 94.372, 2.31926, 71, 285), ("scaled_features", 7, 16443.647, 0.07975, 86.117, 2.21592, 52, 274), ("scaled_features", 8, 15929.792, 0.07623, 80.690, 2.29923, 36, 252),
+    ("pca_90", 2, 19794.297, 0.24873, 155.666, 2.23747, 216, 784), ("pca_90", 3, 17365.555, 0.17536, 158.350, 2.02087, 73, 644), ("pca_90", 4, 16242.850, 0.10013, 135.698, 2.26303, 72, 394), ("pca_90", 5, 15430.449, 0.09284, 120.120, 2.17695, 72, 292), ("pca_90", 6, 14867.846, 0.08839, 107.155, 2.19995, 72, 268), ("pca_90", 7, 14387.034, 0.08961, 97.719, 2.10411, 65, 261), ("pca_90", 8, 13947.607, 0.08760, 90.775, 2.13135, 46, 227),
+)
+
+
+def _grid(spark) -> DataFrame:
+    return spark.createDataFrame([(*r, 1000) for r in GRID], "representation string, k int, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double, min_cluster_size int, max_cluster_size int, n_samples long")
+
+
+def model_ranks(spark, d):
+    ranked = selection.rank_models(_grid(spark))
+    return _round(ranked.select("representation", "k", *[F.col(f"{m}_rank").cast("long").alias(f"{m}_rank") for m in selection.WEIGHTS], "combined_rank", "viable"), {"combined_rank": 6})
+
+
+def model_choice(spark, d):
+    return _round(selection.choose_model(_grid(spark)).select("representation", "k", "combined_rank"), {"combined_rank": 6})
+
+
+def uuid5_ids(spark, d):
+    return spark.range(1000).select(F.col("id").alias("i"), fn.uuid5(F.concat(F.lit("casei-v2-"), F.col("id").cast("string"))).alias("uuid"))
+
+
+def half_even(spark, d):
+    return _t(spark, d, "part").select("p_partkey", fn.round_even(F.col("p_retailprice") / 8, 2).alias("r"))
+
+
+def synth_students(spark, d):
+    return students(spark, 1000)
+
+
+def synth_validation(spark, d):
+    return validate_students(students(spark, 1000)).select("check", "passed", "failing_rows", "severity")
+
+
+# --- oracle ----------------------------------------------------------------
+
+_TOKENS = "list_filter(regexp_extract_all(strip_accents(lower({})), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({}))"
+_STOP = ", ".join(f"'{w}'" for w in search.STOPWORDS)
+_VALUES = ", ".join(f"('{i}', '{q}')" for i, q in SEARCHES)
+_BM25 = f"""
+qt AS (SELECT query_id, unnest({_TOKENS.format("query", _STOP)}) AS term FROM (VALUES {_VALUES}) v(query_id, query)),
+dl AS (SELECT doc_id, {_TOKENS.format("coalesce(text, '')", _STOP)} AS terms FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM dl) GROUP BY ALL),
+st AS (SELECT count(*) AS n, greatest(avg(len(terms)), 1) AS avgdl FROM dl),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY term, n),
+sc AS (SELECT query_id, tf.doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(terms) / avgdl))) AS score
+  FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY ALL),
+al AS (SELECT query_id, doc_id, coalesce(score, 0) AS score FROM (SELECT DISTINCT query_id FROM (VALUES {_VALUES}) v(query_id, query)) CROSS JOIN (SELECT doc_id FROM dl) LEFT JOIN sc USING (query_id, doc_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM al)"""
+
+
+def _describe_sql() -> str:
+    return _union(f"SELECT '{c}' AS variable, count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max FROM {HOLES}" for c in LINE)
+
+
+def _iqr_sql() -> str:
+    src = "(SELECT o_totalprice, o_totalprice * o_totalprice / 1e6 AS o_square FROM orders)"
+    one = "SELECT '{c}' AS variable, round(any_value(q1), 3) AS q1, round(any_value(q3), 3) AS q3, round(any_value(q3 - q1), 3) AS iqr, round(any_value(q1 - 1.5 * (q3 - q1)), 3) AS lower_bound, round(any_value(q3 + 1.5 * (q3 - q1)), 3) AS upper_bound, count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outlier_count, round(count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count(*), 6) AS outlier_rate FROM {src}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {src})"
+    return _union(one.format(c=c, src=src) for c in ("o_totalprice", "o_square"))
+
+
+def _corr_sql(source: str, columns) -> str:
+    return _union(f"SELECT '{a}' AS variable_a, '{b}' AS variable_b, round(corr({a}, {b}), 6) AS correlation FROM {source}" for a, b in combinations(columns, 2))
+
+
+def _feature_sql() -> str:
+    pairs = f"({_corr_sql(HOLES, LINE)})"
+    return _union(f"SELECT '{c}' AS variable, '{x}' AS decision, '{y}' AS reason, round(var_samp({c}), 2) AS variance, round((count(*) - count({c})) / count(*), 6) AS missing_rate, (SELECT max(abs(correlation)) FROM {pairs} WHERE variable_a = '{c}' OR variable_b = '{c}') AS max_abs_correlation FROM {HOLES}" for c, (x, y) in DECIDED.items())
+
+
+def _scaler_sql(c: str) -> str:
+    return f"(SELECT avg({c}) AS m, stddev_pop(coalesce({c}, (SELECT avg({c}) FROM {HOLES}))) AS s FROM {HOLES})"
+
+
+def _kmeans_sql(steps: int) -> str:
+    ctes = ["p AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)", "c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cluster, x FROM (SELECT * FROM p ORDER BY vec_id LIMIT 3))"]
+    for i in range(steps + 1):
+        ctes.append(f"a{i} AS (SELECT vec_id, any_value(p.x) AS x, min_by(cluster, (list_distance(p.x, c.x), cluster)) AS cluster, min(list_distance(p.x, c.x)) AS d FROM p, c{i} c GROUP BY vec_id)")
+        if i < steps:
+            ctes.append(f"c{i + 1} AS (SELECT cluster, list(m ORDER BY j) AS x FROM (SELECT cluster, j, avg(v) AS m FROM (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM a{i}) GROUP BY ALL) GROUP BY cluster)")
+    return "WITH " + ",\n".join(ctes)
+
+
+_QUALITY_SQL = """
+WITH p AS (SELECT vec_id, label AS c, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+m AS (SELECT c, list(v ORDER BY j) AS m, any_value(n) AS n FROM (SELECT c, j, avg(v) AS v, count(*) AS n FROM (SELECT c, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM p) GROUP BY c, j) GROUP BY c),
+g AS (SELECT list(v ORDER BY j) AS g FROM (SELECT j, avg(v) AS v FROM (SELECT unnest(x) AS v, generate_subscripts(x, 1) AS j FROM p) GROUP BY j)),
+w AS (SELECT c, sum(list_distance(x, m) ** 2) AS w, avg(list_distance(x, m)) AS s, any_value(m) AS m, any_value(n) AS n FROM p JOIN m USING (c) GROUP BY c),
+ch AS (SELECT (sum(n * list_distance(m, g) ** 2) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS ch, sum(w) AS inertia FROM w, g),
+db AS (SELECT avg(r) AS db FROM (SELECT a.c, max((a.s + b.s) / list_distance(a.m, b.m)) AS r FROM w a JOIN w b ON a.c <> b.c GROUP BY a.c)),
+d AS (SELECT a.vec_id AS i, a.c AS ci, b.c AS cj, sum(list_distance(a.x, b.x)) AS s, count(*) AS n FROM p a, p b GROUP BY ALL),
+ab AS (SELECT i, max(CASE WHEN ci = cj THEN CASE WHEN n > 1 THEN s / (n - 1) ELSE 0 END END) AS a, min(CASE WHEN ci <> cj THEN s / n END) AS b FROM d GROUP BY i)
+SELECT round(inertia, 5) AS inertia, round((SELECT avg((b - a) / greatest(a, b)) FROM ab), 8) AS silhouette, round(ch, 7) AS calinski_harabasz, round(db, 7) AS davies_bouldin FROM ch, db
+"""
+
+_GRID_SQL = "(VALUES " + ", ".join(str(r) for r in GRID) + ") g(representation, k, inertia, silhouette, calinski_harabasz, davies_bouldin, min_cluster_size, max_cluster_size)"
+_RANKS_SQL = f"""SELECT representation, k, min_cluster_size / 1000 >= 0.05 AS viable, rank() OVER (ORDER BY silhouette DESC) AS silhouette_rank, rank() OVER (ORDER BY davies_bouldin) AS davies_bouldin_rank,
+rank() OVER (ORDER BY calinski_harabasz DESC) AS calinski_harabasz_rank, rank() OVER (ORDER BY max_cluster_size::DOUBLE / min_cluster_size) AS balance_rank FROM {_GRID_SQL}"""
+_COMBINED = "round(0.5 * silhouette_rank + 0.25 * davies_bouldin_rank + 0.2 * calinski_harabasz_rank + 0.05 * balance_rank, 6)"
+
+
+def _uuid_sql() -> str:
+    h = f"sha1(unhex('{fn.DNS_NAMESPACE}') || encode('casei-v2-' || i))"
+    return f"SELECT i, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', ('0x' || substr(h, 17, 1))::INT + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT i, {h} AS h FROM range(1000) r(i))"
+
+
+def _histogram_sql() -> str:
+    return """WITH s AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), b AS (SELECT i::INT AS bin, lo + (hi - lo) * i / 10 AS low, CASE WHEN i = 9 THEN hi ELSE lo + (hi - lo) * (i + 1) / 10 END AS high FROM range(10) r(i), s)
+SELECT bin, round(low, 4) AS low, round(high, 4) AS high, count(o_totalprice) AS n FROM b LEFT JOIN orders ON o_totalprice >= low AND (o_totalprice < high OR bin = 9) GROUP BY ALL"""
+
+
+def _validation_sql() -> str:
+    bad = {
+        "unique_key": ("count(*) - count(DISTINCT (l_orderkey, l_linenumber))", "alta"),
+        "required_columns": ("count(*) FILTER (l_linenumber IS NULL) + 1", "alta"),
+        "range_0_45_l_quantity": ("count(*) FILTER (l_quantity < 0 OR l_quantity > 45)", "alta"),
+        "range_0_100_l_discount": ("count(*) FILTER (l_discount < 0 OR l_discount > 100)", "alta"),
+        "non_negative_l_tax": ("count(*) FILTER (l_tax < 0)", "alta"),
+        "tax_below_discount": ("count(*) FILTER (l_tax > l_discount)", "media"),
+        "late_open": ("count(*) FILTER (l_linestatus = 'O' AND l_quantity > 49)", "alta"),
+        "controlled_missing_values": ("count(*) FILTER (l_orderkey IS NULL)", "media"),
+    }
+    return _union(f"SELECT '{n}' AS \"check\", {x} = 0 AS passed, ({x})::BIGINT AS failing_rows, '{s}' AS severity FROM lineitem" for n, (x, s) in bad.items())
+
+
+def _even(x: str) -> str:
+    return f"round_even({x} * 100, 0) / 100"
+
+
+ORACLE: dict[str, str] = {
+    "column_quality": _union(f"SELECT '{c}' AS variable, '{KINDS[c]}' AS dtype, count(*) - count({c}) AS null_count, round((count(*) - count({c})) / count(*), 6) AS null_rate, count(DISTINCT {c}) AS unique_count FROM customer" for c in QUALITY),
+    "describe_numeric": _describe_sql(),
+    "iqr_outliers": _iqr_sql(),
+    "correlation_long": _corr_sql(HOLES, LINE),
+    "strong_correlations": f"SELECT * FROM ({_corr_sql('(SELECT *, l_extendedprice * (1 - l_discount) AS l_net FROM lineitem)', (*LINE, 'l_net'))}) WHERE abs(correlation) >= 0.5",
+    "group_means_returnflag": f"SELECT l_returnflag, count(*) AS n, {_even('avg(l_quantity)')} AS l_quantity, {_even('avg(l_discount)')} AS l_discount FROM lineitem GROUP BY 1",
+    "group_means_event": f"SELECT event_type, count(*) AS n, {_even('avg(value)')} AS value FROM events GROUP BY 1",
+    "group_means_sets": _union(f"SELECT '{k}' AS grouping, {k} AS key, count(*) AS n, {_even('avg(l_quantity)')} AS l_quantity, {_even('avg(l_tax)')} AS l_tax FROM lineitem GROUP BY {k}" for k in ("l_returnflag", "l_linestatus")),
+    "value_counts": "SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1",
+    "histogram_10": _histogram_sql(),
+    "duplicate_keys": "SELECT sum(n - 1)::BIGINT AS duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)",
+    "dataset_comparison": _union(f"SELECT '{n}' AS dataset, count(*) AS records, 6 AS columns, 0::BIGINT AS null_cells, count(DISTINCT o_orderstatus) AS statuses, count(DISTINCT o_orderpriority) AS priorities, round(avg(o_totalprice), 4) AS avg_price FROM orders WHERE o_orderdate {op} TIMESTAMP '1996-01-01'" for n, op in (("before", "<"), ("after", ">="))),
+    "feature_matrix": _feature_sql(),
+    "scaler_params": _union(f"SELECT '{c}' AS feature, round(m, 5) AS mean, round(s, 5) AS std FROM {_scaler_sql(c)}" for c in LINE),
+    "zscores": f"SELECT l_returnflag, l_linestatus, round(sum((coalesce(l_quantity, q.m) - q.m) / q.s), 4) AS sum_l_quantity, round(sum((coalesce(l_tax, t.m) - t.m) / t.s), 4) AS sum_l_tax, round(max((coalesce(l_quantity, q.m) - q.m) / q.s), 6) AS max_l_quantity, round(max((coalesce(l_tax, t.m) - t.m) / t.s), 6) AS max_l_tax FROM {HOLES}, {_scaler_sql('l_quantity')} q, {_scaler_sql('l_tax')} t GROUP BY 1, 2",
+    "pca_covariance": _union(f"SELECT '{a}' AS variable_a, '{b}' AS variable_b, round(covar_samp({a}, {b}), 6) AS covariance FROM lineitem" for a, b in (("l_quantity", "l_quantity"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_discount"), ("l_discount", "l_tax"), ("l_tax", "l_tax"))),
+    "validation_rules": _validation_sql(),
+    "left_join_enrich": "SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey GROUP BY 1",
+    "bucketize_document": "SELECT c_custkey || '::' || c_mktsegment AS document_id, CASE WHEN c_acctbal < 0 THEN 'low' WHEN c_acctbal < 5000 THEN 'middle' ELSE 'high' END AS balance, CASE WHEN c_nationkey = 0 THEN 'none' WHEN c_nationkey < 3 THEN 'some' ELSE 'many' END AS nation, CASE WHEN c_acctbal >= 9000 THEN 'top' WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal >= 5000 THEN 'good' ELSE 'plain' END AS label, round(1 / (1 + abs(c_acctbal)), 9) AS m FROM customer",
+    "term_statistics": f"WITH {_BM25} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, round(any_value(idf), 6) AS idf FROM tf JOIN idf USING (term) GROUP BY term",
+    "document_lengths": f"WITH {_BM25} SELECT doc_id AS document_id, len(terms)::INT AS length FROM dl",
+    "bm25_topk": f"WITH {_BM25} SELECT query_id, rank::INT AS rank, doc_id AS document_id, round(score, 6) AS score FROM rk WHERE rank <= 10",
+    "ir_metrics": f"""WITH {_BM25},
+t AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)),
+f AS (SELECT query_id, rank, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS hit FROM rk WHERE rank <= 10)
+SELECT query_id, any_value(n) AS total_relevant, round(sum(hit) / 10, 6) AS precision, round(sum(hit) / greatest(any_value(n), 1), 6) AS recall, round(coalesce(1 / min(CASE WHEN hit = 1 THEN rank END), 0), 6) AS mrr,
+round(sum(hit / log2(rank + 1)) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) r(i)), 6) AS ndcg FROM f, t GROUP BY query_id""",
+    "kmeans_assign": f"{_kmeans_sql(0)} SELECT vec_id, cluster::INT AS cluster, round(d, 6) AS distance_to_centroid, round(1 / (1 + d), 6) AS membership_score FROM a0",
+    "kmeans_steps": f"{_kmeans_sql(5)} SELECT cluster::INT AS cluster, count(*) AS n, round(sum(d * d), 5) AS inertia FROM a5 GROUP BY cluster",
+    "cluster_quality": _QUALITY_SQL,
+    "cluster_sizes": "SELECT min(n) AS smallest, max(n) AS largest, count(*) AS clusters FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)",
+    "cluster_profile": _union(["WITH g AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem), c AS (SELECT l_returnflag AS cluster, count(*) AS records, avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem GROUP BY 1), u AS (SELECT cluster, records, 'l_quantity' AS v, c.q - g.q AS x FROM c, g UNION ALL SELECT cluster, records, 'l_discount', c.d - g.d FROM c, g UNION ALL SELECT cluster, records, 'l_tax', c.t - g.t FROM c, g), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(x) DESC, v) AS rk FROM u) SELECT cluster, any_value(records) AS records, string_agg(printf('%s (%+.2f)', v, x), ', ' ORDER BY rk) AS distinctive FROM r WHERE rk <= 2 GROUP BY cluster"]),
+    "model_ranks": f"SELECT representation, k, silhouette_rank, davies_bouldin_rank, calinski_harabasz_rank, balance_rank, {_COMBINED} AS combined_rank, viable FROM ({_RANKS_SQL})",
+    "model_choice": f"SELECT representation, k, {_COMBINED} AS combined_rank FROM ({_RANKS_SQL}) WHERE viable ORDER BY combined_rank, silhouette_rank, k, representation LIMIT 1",
+    "uuid5_ids": _uuid_sql(),
+    "half_even": "SELECT p_partkey, round_even(p_retailprice / 8 * 100, 0) / 100 AS r FROM part",
+}
+
+_ALL = (
+    column_quality, describe_numeric, iqr_outliers, correlation_long, strong_correlations, group_means_returnflag, group_means_event, group_means_sets, value_counts, histogram_10, duplicate_keys, dataset_comparison, feature_matrix, scaler_params, zscores, pca_covariance, pca_explained, pca_scores, validation_rules, left_join_enrich, bucketize_document,
+    term_statistics, document_lengths, bm25_topk, ir_metrics, kmeans_assign, kmeans_steps, kmeans_restarts, cluster_quality, cluster_sizes, cluster_profile, model_ranks, model_choice, uuid5_ids, half_even, synth_students, synth_validation,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _ALL}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
