@@ -35,6 +35,7 @@ _N = 28
 _SPACED = re.compile(rb"(?<![^\s])[A-Za-z0-9@$!](?:[ ._*-][A-Za-z0-9@$!]){2,}(?![^\s])")
 _INNER = re.compile(r"^\w(?:[._*-]\w){2,}$")
 _EDGE = ".,;:!?\"'()[]{}<>#*$%&|-_=+/\\~`^"
+_DOLLAR = re.compile(r"^\$[^\W\d_]|[^\W\d_]\$$")
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -111,16 +112,15 @@ class Channel:
     def clear(self, word: str) -> str:
         """A lower-case word as it was meant; plain words come back unchanged."""
         bare = word.strip(_EDGE)
-        if bare.isalpha() and not _DRAWN.search(bare):
+        if bare.isalpha() and not _DRAWN.search(bare) and not _DOLLAR.search(word):
             return bare
         joined = re.sub(r"[._*-]", "", bare) if _INNER.match(bare) else bare
-        inner = word.lstrip(_EDGE.replace("$", "").replace("!", "").replace("(", "").replace("|", "").replace("+", "")).rstrip(".,;:?\"')]}>%&#_=/\\~`^-") if joined == bare else joined
+        inner = joined
+        if joined == bare and _DOLLAR.search(word):  # one dollar sign at an end may be a letter
+            inner = word.strip(_EDGE.replace("$", ""))
         letters = sum(c.isalpha() for c in inner)
         signs = sum(c in SIGNS for c in inner)
-        if letters + signs < 3 or letters < 1 or signs > 2 * letters or re.search(r"([$!*|+(])\1", inner):
-            inner = bare
-            letters, signs = sum(c.isalpha() for c in inner), sum(c in SIGNS for c in inner)
-        if letters >= 2 and (signs and signs <= letters or _DRAWN.search(inner)) and len(inner) < 64:
+        if letters >= 2 and (signs and 2 * signs <= 3 * letters or _DRAWN.search(inner)) and len(inner) < 64:
             return self.restore(inner)
         return joined if joined.isalpha() else bare
 

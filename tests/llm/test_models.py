@@ -1,0 +1,146 @@
+"""Classifiers, nearest neighbours and the pipeline: accuracy, recall, edge cases."""
+
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from brindle.llm import ann_search, quality_classifier, toxicity
+
+SF = "/root/testdata/sf0.01"
+have = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+EDGE = [(10_001, None), (10_002, ""), (None, "stupid idiot"), (10_003, "x" * 100_000), (10_004, "the cat"), (10_004, "the cat")]
+
+
+def with_edges(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    return docs.union(spark.createDataFrame(EDGE, "doc_id long, text string")).withColumn("score", F.lit("clash")).withColumn("held_out", F.lit(1))
+
+
+def accuracy(spark, out, label):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = out.filter("held_out").join(labels, "doc_id").select("predicted", label).collect()
+    return np.mean([r[0] == r[1] for r in rows])
+
+
+@have
+def test_quality_scores(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = with_edges(spark)
+    out = quality_classifier.quality_scores(docs, labels).cache()
+    assert out.count() == docs.count()
+    assert out.filter("score is null or score < 0 or score > 1").count() == 0
+    assert out.filter((F.col("score") >= 0.3).cast("int") != F.col("predicted")).count() == 0
+    assert accuracy(spark, out, "quality") > 0.95
+    none = quality_classifier.quality_scores(docs.limit(5), labels.limit(0))
+    assert none.count() == 5 and none.select("score").distinct().count() == 1
+    assert quality_classifier.quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_bradley_terry_orders_pairs():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, quality_classifier.N_FEATURES))
+    y = (x[:, 0] + 0.5 * x[:, 1] > -1).astype(int)
+    mean, scale, w, shift = quality_classifier.fit(x, y)
+    score = 1 / (1 + np.exp(-((x - mean) / scale @ w + shift)))
+    assert ((score >= 0.3) == y).mean() > 0.95
+    # The threshold is the quantile of the bad share.
+    assert abs((score < 0.3).mean() - (y == 0).mean()) < 0.02
+
+
+@have
+def test_toxicity_scores(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = with_edges(spark)
+    out = toxicity.toxicity_scores(docs, labels).cache()
+    assert out.count() == docs.count()
+    assert out.filter("score is null or score < 0 or score > 1").count() == 0
+    assert accuracy(spark, out, "toxic") > 0.93
+    none = toxicity.toxicity_scores(docs.limit(5), labels.limit(0))
+    assert none.filter("predicted = 1").count() == 0
+    assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def channel():
+    counts = np.ones(28**3)
+    text = b" the idiot is stupid and the moron is a loser but this is a nice day for all of us " * 50
+    c = np.concatenate([[0, 0], toxicity._CODES[np.frombuffer(text, np.uint8)]])
+    counts += np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3)
+    return toxicity.Channel(counts)
+
+
+@pytest.mark.parametrize("word,want", [("1d10t", "idiot"), ("st*pid", "stupid"), ("m0r0n!", "moron"), ("i-d-i-o-t", "idiot"), ("looooser", "loser"), ("$tupid", "stupid"), ("plain,", "plain"), ("the$$$", "the"), ("", ""), ("###", ""), ("é", "é"), ("42", "42")])
+def test_restoring(word, want):
+    assert channel().clear(word) == want
+
+
+def test_spaced_letters():
+    assert {"idiot", "you"} <= toxicity.words_of("you i d i o t there".encode(), channel(), {})
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, list int, v string")
+
+
+def brute(rows, every, k):
+    valid = {i: np.array(v, float) for i, v, *_ in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)}
+    out = {}
+    for q in (i for i in valid if i % every == 0):
+        out[q] = sorted(((-(valid[i] * valid[q]).sum(), i) for i in valid if i != q))[:k]
+    return out
+
+
+def test_nearest_neighbours(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 8))
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 20] + 0.4 * rng.normal(size=8)], 0, 1, "v") for i in range(3000)]
+    rows += [(3000 + i, [0.5] * 8, 0, 1, "v") for i in range(300)]  # a crowd of equal vectors
+    rows += [(9000, None, 0, 1, "v"), (9020, [0.0] * 8, 0, 1, "v"), (9040, [1.0] * 7 + [None], 0, 1, "v"), (9060, [1.0] * 7 + [float("nan")], 0, 1, "v"), (9080, [1.0] * 7 + [float("inf")], 0, 1, "v"), (None, [1.0] * 8, 0, 1, "v")]
+    got: dict = {}
+    for r in ann_search.ann_search(vectors(spark, rows)).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (-r["score"], r["vec_id"])
+    want = brute(rows, 20, 20)
+    assert set(got) == set(want)
+    hits = sum(len({i for _, i in want[q]} & {i for _, i in got[q].values()}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.9
+    for q, found in got.items():
+        assert sorted(found) == list(range(1, len(found) + 1)) and [found[r] for r in sorted(found)] == sorted(found.values())
+
+
+def test_few_vectors(spark):
+    rows = [(i, [float(i + 1), 1.0], 0, 1, "v") for i in range(5)] + [(20, [1.0, 1.0], 0, 1, "v"), (20, [1.0, 1.0], 0, 1, "v")]
+    got = ann_search.ann_search(vectors(spark, rows)).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in got} == {(q, i) for q in (0, 20) for i in (0, 1, 2, 3, 4, 20) if i != q}
+    assert ann_search.ann_search(vectors(spark, rows).limit(0)).count() == 0
+
+
+def test_graph_search_finds_the_nearest():
+    rng = np.random.default_rng(7)
+    graph = ann_search.Graph(rng.normal(size=(300, 6)))
+    q = rng.normal(size=(100, 6))
+    ids, _ = graph.search(q, 10)
+    true = np.argsort(((q[:, None] - graph.c[None]) ** 2).sum(-1), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids, true, strict=True)]) > 0.95
+
+
+@have
+def test_pipeline(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, rows = docs.columns, docs.count()
+    docs = docs.union(docs.filter("doc_id < 3"))  # rows repeated whole
+    kept = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        from brindle.llm._shared import cut
+
+        docs = cut(stage(spark, docs, SF), name)
+        assert docs.columns == columns
+        kept[name] = docs.count()
+    assert rows * 0.8 < kept["toxicity"] <= rows + 3 and kept["near_dedup"] < kept["toxicity"]
+    assert kept["near_dedup"] == docs.select("doc_id").distinct().count() == kept["secrets"]
+    assert docs.filter(F.col("text").rlike("AKIA[A-Z0-9]{14}")).count() == 0
+    assert docs.filter(F.length("text") != F.col("n_chars")).count() == 0
+    packed = pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == docs.count()
