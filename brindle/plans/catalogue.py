@@ -342,7 +342,7 @@ SELECT round(inertia, 5) AS inertia, round((SELECT avg((b - a) / greatest(a, b))
 _GRID_SQL = "(VALUES " + ", ".join(str(r) for r in GRID) + ") g(representation, k, inertia, silhouette, calinski_harabasz, davies_bouldin, min_cluster_size, max_cluster_size)"
 _RANKS_SQL = f"""SELECT representation, k, min_cluster_size / 1000 >= 0.05 AS viable, rank() OVER (ORDER BY silhouette DESC) AS silhouette_rank, rank() OVER (ORDER BY davies_bouldin) AS davies_bouldin_rank,
 rank() OVER (ORDER BY calinski_harabasz DESC) AS calinski_harabasz_rank, rank() OVER (ORDER BY max_cluster_size::DOUBLE / min_cluster_size) AS balance_rank FROM {_GRID_SQL}"""
-_COMBINED = "round(0.5 * silhouette_rank + 0.25 * davies_bouldin_rank + 0.2 * calinski_harabasz_rank + 0.05 * balance_rank, 6)"
+_COMBINED = "round((0.5 * silhouette_rank + 0.25 * davies_bouldin_rank + 0.2 * calinski_harabasz_rank + 0.05 * balance_rank)::DOUBLE, 6)"
 
 
 def _uuid_sql() -> str:
