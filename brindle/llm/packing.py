@@ -26,7 +26,7 @@ from brindle.llm._shared import as_bytes, cut, forget, record, schemas, table
 
 CAPACITY = 2048
 #: Words of which a worker remembers the ids; past it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 _PUNCTUATION = b".,!?;:"
 
 

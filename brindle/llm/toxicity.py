@@ -26,7 +26,7 @@ SAMPLE = 4_000
 #: Features of the model at most.
 FEATURES = 1_000
 CUT_AT = 0.7
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: What a sign may stand for (fixed values).
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 #: Channel costs: reading a sign as a letter, dropping a sign, dropping a drawn-out letter.
