@@ -30,6 +30,10 @@ BANDS, ROWS = 16, 4
 SMALL = 8
 #: Pivots of a larger bucket in the first round (on average); twice as many in each round after it.
 PIVOTS = 2
+#: Rounds after the first at most; they only make classes fewer before the exact pass over what is still apart.
+ROUNDS = 3
+#: Texts that ask, and texts asked, in one task of the exact pass (on average).
+ASKING, ASKED = 1_024, 4_096
 
 
 def shingles(values: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,6 +141,67 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float, schema: pa.Sche
         yield record(schema, [pa.array([x.as_py() for x in a], pa.int64()), pa.array([y.as_py() for y in b], pa.int64())])
 
 
+def block_links(asking: list[tuple], asked: list[tuple], big: int, bucket: int, threshold: float) -> list[tuple[int, int]]:
+    """Links between the classes of two lists of a bucket's texts: ``(tid, root, buckets, (elements, counts))``.
+
+    A similarity of ``threshold`` needs as much common mass of the normalised
+    weights.  So with elements in one order, rarest first, the first common one
+    is where both texts still have that mass ahead; only texts that meet at
+    such an element are compared.  A pair is left to the smallest bucket it
+    shares; of texts outside the class ``big`` the smaller one asks.  Once a
+    text is linked to a class, that class's other texts are passed over.
+    """
+    every = [*asking, *asked]
+    size = np.array([len(x[3][0]) for x in every])
+    edges = np.concatenate([[0], np.cumsum(size)])
+    owner = np.repeat(np.arange(len(every)), size)
+    _, place, often = np.unique(np.concatenate([x[3][0] for x in every]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    mass = np.concatenate([x[3][1] / x[3][1].sum() for x in every])
+    order = np.lexsort((rank[place], owner))
+    ids, mass = rank[place][order], mass[order]
+    done = np.concatenate([[0.0], np.cumsum(mass)])
+    ahead = done[edges[1:]][owner] - done[:-1] >= threshold - 1e-6
+    n = len(asking)
+    post = np.flatnonzero(ahead & (owner >= n))
+    post = post[np.argsort(ids[post], kind="stable")]
+    post_ids, post_owner = ids[post], owner[post]
+    tid, root = (np.array([x[i] for x in every], np.int64) for i in (0, 1))
+    plain = np.array([bool((x[3][1] == 1).all()) for x in every])
+    shared = np.full((len(every), max(len(x[2]) for x in every)), bucket, np.int64)
+    for i, x in enumerate(every):
+        shared[i, : len(x[2])] = x[2]
+    mark = np.zeros(len(often), bool)
+    links = []
+
+    def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+    for a in range(n):
+        own = ids[edges[a] : edges[a + 1]]
+        early = own[ahead[edges[a] : edges[a + 1]]]
+        low = np.searchsorted(post_ids, early)
+        hit = np.unique(post_owner[ranges(low, np.searchsorted(post_ids, early, "right") - low)])
+        hit = hit[(root[hit] != root[a]) & ((root[hit] == big) | (tid[hit] > tid[a]))]
+        less = shared[a][shared[a] < bucket]
+        hit = hit[~np.isin(shared[hit], less).any(axis=1)]
+        if plain[a]:
+            hit = hit[~plain[hit] | (np.minimum(size[hit], size[a]) >= (threshold - 1e-6) * np.maximum(size[hit], size[a]))]
+        mark[own] = True
+        while len(hit):
+            now, hit = hit[:512], hit[512:]
+            common = np.add.reduceat(mark[ids[ranges(edges[now], size[now])]].astype(np.int64), np.cumsum(size[now]) - size[now])
+            like = common / (size[a] + size[now] - common) >= threshold
+            for i in np.flatnonzero(~(plain[now] & plain[a])).tolist():
+                like[i] = probability_jaccard(every[a][3], every[now[i]][3]) >= threshold
+            found, first = np.unique(root[now[like]], return_index=True)
+            links += [(int(tid[a]), int(tid[b])) for b in now[like][first]]
+            hit = hit[~np.isin(root[hit], found)]
+        mark[own] = False
+    return links
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of near-duplicate documents; one row per input row.
 
@@ -148,9 +213,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shingles (for texts without repeated shingles: the Jaccard similarity) is
     ``threshold`` or more; classes are the links' components.  Texts of equal
     words are one text from the start.  In buckets of up to ``SMALL`` texts all
-    pairs are verified.  In larger ones rounds of pivots are: each text is
-    verified with the bucket's pivots of the round that are of other classes, and
-    rounds with new pivots follow while they find links between classes.
+    pairs are verified.  In larger ones rounds of pivots come first: each text is
+    verified with the bucket's pivots of the round that are of other classes.
+    Then, in each bucket with several classes, every pair of texts of different
+    classes is decided (see :func:`block_links`), so no pair that shares a
+    bucket is passed over unless it is of one class already.
 
     Null, empty and wordless texts are like no other text: each row is a class
     of its own.  Rows with a null key may belong to any class; repeated rows
@@ -187,21 +254,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     def starred(turn: int, members: DataFrame) -> DataFrame:
         """Each member with its buckets' pivots of this round that are of other classes.
 
-        Pivots are drawn by hashes, twice as many (on average) in each round:
-        the texts that are still apart become fewer as fast.
+        Pivots are drawn by hashes of texts, twice as many (on average) in each
+        round; buckets of like members have like pivots, so pairs are fewer.
         """
-        drawn = (F.pmod(F.xxhash64(F.lit(turn), "h", "tid"), F.lit(1 << 30)) / float(1 << 30)) < F.lit(float(PIVOTS << turn)) / F.col("n")
+        drawn = (F.pmod(F.xxhash64(F.lit(turn), "tid"), F.lit(1 << 30)) / float(1 << 30)) < F.lit(float(PIVOTS << turn)) / F.col("n")
         pivots = members.filter(drawn).select("h", F.col("tid").alias("b"), F.col("root").alias("other"))
         return members.join(pivots, (members["h"] == pivots["h"]) & (F.col("root") != F.col("other"))).select(F.col("tid").alias("a"), "b")
 
+    s3, a3 = schemas([], "a long, b long")
+
+    def apart(now: DataFrame) -> DataFrame:
+        """Links between different classes of one bucket, with every pair of such texts decided.
+
+        Texts outside a bucket's largest class ask all its texts.  Parts of the
+        asking meet parts of the asked, so no task gets a bucket of any size;
+        with few texts asking, each text is sent about once for a bucket.
+        """
+        counted = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m")).filter("top.c < m")
+        parts = counted.select("h", F.col("top.root").alias("big"), F.ceil((F.col("m") - F.col("top.c")) / ASKING).cast("int").alias("pa"), F.ceil(F.col("m") / ASKED).cast("int").alias("pb"))
+        mixed = cut(now.join(parts, "h").select("h", "tid", "root", "big", "pa", "pb"), "apart")
+        of = mixed.groupBy("tid").agg(F.collect_list(F.struct("h", "root", "big", "pa", "pb")).alias("l")).select(F.col("tid").alias("rid"), "l")
+        sent = grams.join(of.hint("merge"), "rid").select("rid", "grams", "counts", F.col("l.h").alias("hs"), F.explode("l").alias("l"))
+        own_a, own_b = (F.pmod(F.xxhash64(F.lit(x), "rid"), F.col(f"l.{x}")).cast("int") for x in ("pa", "pb"))
+        sent = sent.withColumn("ia", own_a).withColumn("ib", own_b)
+        place = F.expr("concat(transform(sequence(0, l.pa - 1), i -> struct(false AS asks, i AS i, ib AS j)), if(l.root <> l.big, transform(sequence(0, l.pb - 1), j -> struct(true AS asks, ia AS i, j AS j)), array()))")
+        sent = sent.select("rid", "grams", "counts", "hs", F.col("l.h").alias("h"), F.col("l.root").alias("root"), F.col("l.big").alias("big"), F.explode(place).alias("p")).select("h", "p.i", "p.j", "p.asks", "rid", "root", "big", "hs", "grams", "counts")
+
+        def decide(rows: pa.Table) -> pa.Table:
+            sides: tuple[list, list] = [], []
+            for _, _, _, asks, rid, root, _, hs, g, c in zip(*rows.columns, strict=True):
+                sides[asks.as_py()].append((rid.as_py(), root.as_py(), hs.as_py(), _set(g.as_py(), c.as_py())))
+            found = block_links(sides[1], sides[0], rows["big"][0].as_py(), rows["h"][0].as_py(), threshold) if all(sides) else []
+            return pa.Table.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=a3)
+
+        out = cut(sent.groupBy("h", "i", "j").applyInArrow(decide, s3), "verified")
+        forget(mixed)
+        return out
+
     ordered = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = cut(verified(ordered(pairs.union(starred(0, large.withColumn("root", F.col("tid")))))), "verified")
     sweep(spark)
     roots = components(links)
+    rooted = lambda x: x.join(roots, x["tid"] == roots["node"], "left").select("h", "tid", "n", F.coalesce("root", "tid").alias("root"))
     turn, some = 0, large.limit(1).count() > 0
-    while some:
+    while some and turn < ROUNDS:
         turn += 1
-        now = large.join(roots, large["tid"] == roots["node"], "left").select("h", "tid", "n", F.coalesce("root", "tid").alias("root"))
+        now = rooted(large)
         mixed = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
         left = cut(now.join(mixed, "h", "left_semi"), "left")
         large = left.select("h", "tid", "n")  # buckets of one class are done
@@ -214,6 +312,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         if some:
             links = cut(links.union(more), "verified")
             roots = components(links)
+    if turn:
+        sweep(spark)
+        more = apart(rooted(large))
+        if more.limit(1).count():
+            roots = components(links.union(more))
     named = texts.join(roots, texts["tid"] == roots["node"], "left").select("d1", "d2", "tid", "first", F.coalesce("root", "tid").alias("root"))
     classes = named.groupBy("root").agg(F.min("first").alias("class_id"), F.min(F.struct(F.col("first").isNull().alias("x"), "first", "tid")).alias("keeper"))
     whole = named.join(classes, "root").select("d1", "d2", "class_id", (F.col("keeper.tid") == F.col("tid")).alias("head"), "first", "tid")

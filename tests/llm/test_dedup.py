@@ -219,3 +219,33 @@ def test_components_by_tasks_and_rounds(spark):
     df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "node long, root long")
     got = {r["node"]: r["root"] for r in _merge(df).collect()}
     assert got == dict(zip(nodes.tolist(), root.tolist(), strict=True))
+
+
+def test_pairs_of_large_buckets(spark):
+    """Drafts of a template below 0.74, and two near copies of it at 0.96 whose shared buckets hold hundreds of drafts."""
+    rnd = random.Random(11)
+    texts, pairs = [], []
+    for g in range(2):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+        for i in range(1500):
+            w = list(base)
+            for at in rnd.sample(range(10, 90, 8), 3):
+                w[at] = f"d{g}-{i}-{at}"
+            texts.append((len(texts), " ".join(w)))
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [(len(texts), " ".join(["edit", *base[1:]])), (len(texts) + 1, " ".join([*base[:-1], "edit"]))]
+    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert got == {i: i for i, _ in texts} | {b: a for a, b in pairs}
+
+
+def test_block_links_are_all_links():
+    rng = np.random.default_rng(8)
+    every = []
+    for i in range(120):
+        base = np.arange(60) + 1000 * (i % 3)
+        g = np.unique(np.concatenate([rng.choice(base, rng.integers(50, 61), replace=False), rng.integers(10**6, 10**9, rng.integers(0, 6))]))
+        c = rng.integers(1, 3, len(g)).astype(float) if i % 5 == 0 else np.ones(len(g))
+        every.append((i, i, [7], (g.astype(np.uint64), c)))
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if minhash_dedup.probability_jaccard(every[a][3], every[b][3]) >= 0.8}
+    got = set(minhash_dedup.block_links(every, every, -1, 7, 0.8))
+    assert want and got == want
