@@ -21,6 +21,7 @@ surviving anchors are shuffled again.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import compress
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._shared import as_bytes, cut, mix, record, schemas, sweep
+from brindle.llm._shared import as_bytes, cut, forget, mix, record, schemas, sweep
 from brindle.llm._windows import Blocks, anchors, segments
 
 #: Row flags on the way to a sweep.
@@ -38,6 +39,8 @@ ALONE, PAIRED, SETTLED, SEEN = 0, 1, 2, 3
 #: What a sweep says of a block: repeated; to be compared by window; both.
 OK, OPEN, OK_OPEN = 1, 2, 3
 HOLD = 200_000
+#: Words of a text as :meth:`bytes.split` finds them.
+_WORD = re.compile(rb"[^ \t\n\r\v\f]+")
 
 
 @dataclass(frozen=True)
@@ -275,16 +278,21 @@ def _emit_windows(rule: Rule, schema: pa.Schema) -> Callable:
 # --- results ---------------------------------------------------------------
 
 
+def _gone(rule: Rule, n: int, spans: list) -> np.ndarray:
+    """Which of ``n`` tokens are covered by spans of repeated windows."""
+    edges = np.zeros(n + 1, np.int64)
+    start = np.array([x["start"] for x in spans])
+    np.add.at(edges, start, 1)
+    np.add.at(edges, start + np.array([x["n"] for x in spans]) - 1 + rule.window, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
 def _finish(rule: Rule, data: bytes, spans: list) -> tuple[int, int, int, bytes]:
     """Tokens, tokens removed, maximal removed runs, what is left."""
     units = data.split() if rule.words else data
     if not spans:
         return len(units), 0, 0, b" ".join(units) if rule.words else data
-    edges = np.zeros(len(units) + 1, np.int64)
-    start = np.array([x["start"] for x in spans])
-    np.add.at(edges, start, 1)
-    np.add.at(edges, start + np.array([x["n"] for x in spans]) - 1 + rule.window, -1)
-    gone = np.cumsum(edges[:-1]) > 0
+    gone = _gone(rule, len(units), spans)
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     left = b" ".join(compress(units, (~gone).tolist())) if rule.words else np.frombuffer(data, np.uint8)[~gone].tobytes()
     return len(units), int(gone.sum()), runs, left
@@ -310,6 +318,25 @@ def _settle(rule: Rule, schema: pa.Schema, with_text: bool, final: bool) -> Call
     return run
 
 
+def _spans(work: DataFrame, rule: Rule) -> DataFrame:
+    """Passes 2 and 3 over ``rid, doc, text, marks``: ``rid, spans`` of texts with repeated windows."""
+    s4, a4 = schemas([], "gram long, h long, h2 int, doc long, rid long, start int, n int, flag byte")
+    s5, a5 = schemas([], "rid long, start int, n int, status byte")
+    blocks = work.select("rid", "doc", "text", "marks").mapInArrow(_emit_blocks(rule, a4), s4).repartition("gram").sortWithinPartitions("gram", "h", "h2", "doc")
+    decided = cut(blocks.mapInArrow(_sweep_blocks(rule, a5), s5), "blocks")
+    del blocks
+    sweep(work.sparkSession)
+    todo = decided.filter(F.col("status") >= OPEN).groupBy("rid").agg(F.collect_list(F.struct("start", "n", "status")).alias("blocks"))
+    s6, a6 = schemas([], "h long, h2 int, doc long, rid long, start int, flag byte")
+    s7, a7 = schemas([], "rid long, start int")
+    windows = work.select("rid", "doc", "text").join(todo, "rid").select("rid", "doc", "text", "blocks").mapInArrow(_emit_windows(rule, a6), s6).repartition("h").sortWithinPartitions("h", "h2", "doc")
+    singles = cut(windows.mapInArrow(_sweep_rows(rule.earlier, 2, a7, [3, 4]), s7).withColumn("n", F.lit(1)), "windows")
+    del windows, todo
+    sweep(work.sparkSession)
+    whole = decided.filter(F.col("status") != OPEN).select("rid", "start", "n")
+    return whole.unionByName(singles).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+
+
 def remove_repeats(docs: DataFrame, rule: Rule, key: str, text: str, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """Remove every token covered by a repeated window; one row per input row.
 
@@ -335,23 +362,78 @@ def remove_repeats(docs: DataFrame, rule: Rule, key: str, text: str, keep: tuple
     del found, alive, joined
     sweep(spark)
     work = split.filter("marks is not null")
-    s4, a4 = schemas([], "gram long, h long, h2 int, doc long, rid long, start int, n int, flag byte")
-    s5, a5 = schemas([], "rid long, start int, n int, status byte")
-    blocks = work.select("rid", "doc", "text", "marks").mapInArrow(_emit_blocks(rule, a4), s4).repartition("gram").sortWithinPartitions("gram", "h", "h2", "doc")
-    decided = cut(blocks.mapInArrow(_sweep_blocks(rule, a5), s5), "blocks")
-    del blocks
-    sweep(spark)
-    todo = decided.filter(F.col("status") >= OPEN).groupBy("rid").agg(F.collect_list(F.struct("start", "n", "status")).alias("blocks"))
-    s6, a6 = schemas([], "h long, h2 int, doc long, rid long, start int, flag byte")
-    s7, a7 = schemas([], "rid long, start int")
-    windows = work.select("rid", "doc", "text").join(todo, "rid").select("rid", "doc", "text", "blocks").mapInArrow(_emit_windows(rule, a6), s6).repartition("h").sortWithinPartitions("h", "h2", "doc")
-    singles = cut(windows.mapInArrow(_sweep_rows(rule.earlier, 2, a7, [3, 4]), s7).withColumn("n", F.lit(1)), "windows")
-    del windows, todo
-    sweep(spark)
-    whole = decided.filter(F.col("status") != OPEN).select("rid", "start", "n")
-    spans = whole.unionByName(singles).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = _spans(work, rule)
     s8, a8 = schemas(fields, result)
     changed = work.select("rid", *carried, "text").join(spans, "rid", "left").select(*carried, "text", "spans").mapInArrow(_settle(rule, a8, with_text, True), s8)
     out = split.filter("marks is null").select(*s8.fieldNames()).unionByName(changed)
     names = [F.col("__key").alias(key), *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_removed", "n_spans", "kept_sha256"]
     return out.select(*names, *(["kept"] if with_text else []))
+
+
+def _byte_runs(rule: Rule, data: bytes, spans: list) -> list[dict[str, int]]:
+    """Byte runs that spans cover; with a run of words goes the white space after it."""
+    if rule.words:
+        begin = np.array([m.start() for m in _WORD.finditer(data)] + [len(data)])
+        gone = _gone(rule, len(begin) - 1, spans)
+    else:
+        begin = np.arange(len(data) + 1)
+        gone = _gone(rule, len(data), spans)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).view(np.int8)))
+    return [{"start": int(begin[a]), "end": int(begin[b])} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def cut_repeats(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """``docs`` with every byte taken out of ``text`` that any of ``rules`` finds repeated in the input.
+
+    All rules are judged on the input, so what one takes out hides nothing from
+    another.  All else stays as it is, white space too; of a character cut in
+    two, nothing stays.  Null and empty texts give empty ones.
+    """
+    # A row's own number is its document: rows repeated whole count as elsewhere.
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    s1, a1 = schemas([], "h long, doc long, at int, flag byte")
+    s2, a2 = schemas([], "doc long, at int")
+    s3, a3 = schemas([], "row long, runs array<struct<start: int, end: int>>")
+    runs = []
+    for rule in rules:
+
+        def byte_runs(batches: Iterator[pa.RecordBatch], rule: Rule = rule) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = [_byte_runs(rule, data.as_py(), found.as_py()) for data, found in zip(batch.column(1), batch.column(2), strict=True)]
+                yield record(a3, [batch.column(0), got])
+
+        bare = rows.select(F.col("__row").alias("doc"), as_bytes(f"`{text}`").alias("text"))
+        found = bare.mapInArrow(_emit_anchors(rule, a1), s1).repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_sweep_rows(False, 1, a2, [1, 2]), s2)
+        alive = found.groupBy("doc").agg(F.collect_set("at").alias("marks"))
+        work = cut(bare.join(alive, "doc").select(F.col("doc").alias("rid"), "doc", "text", "marks"), "texts")
+        del found, alive
+        sweep(docs.sparkSession)
+        spans = _spans(work, rule)
+        runs.append(cut(work.select("rid", "text").join(spans, "rid").select("rid", "text", "spans").mapInArrow(byte_runs, s3), "runs"))
+        forget(work, spans)
+        del spans
+        sweep(docs.sparkSession)
+    every = runs[0]
+    for one in runs[1:]:
+        every = every.union(one)
+    every = every.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    carried = [F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(docs.columns)]
+    source = rows.join(every, F.col("__row") == F.col("row"), "left").select(*carried, as_bytes(f"`{text}`").alias("text"), "runs")
+    s4, a4 = schemas(source.schema.fields[: len(carried)], "left string")
+
+    def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *kept, texts, found = batch.columns
+            left = []
+            for scalar, marks in zip(texts, found, strict=True):
+                data = scalar.as_py()
+                if marks.is_valid:
+                    stay = np.ones(len(data), bool)
+                    for run in marks.as_py():
+                        stay[run["start"] : run["end"]] = False
+                    data = np.frombuffer(data, np.uint8)[stay].tobytes()
+                left.append(data.decode("utf-8", "ignore"))
+            yield record(a4, [*kept, left])
+
+    out = source.mapInArrow(take_out, s4)
+    return out.select(*[F.col("left" if c == text else f"__keep_{i}").alias(c) for i, c in enumerate(docs.columns)])

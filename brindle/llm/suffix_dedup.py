@@ -20,6 +20,16 @@ from brindle.llm.repeats import Rule, remove_repeats
 WINDOW = 400
 
 
+def byte_rule(window: int = WINDOW) -> Rule:
+    """A string of ``window`` bytes that also starts elsewhere."""
+    return Rule(words=False, window=window, gram=max(1, window - max(1, window // 4) + 1), earlier=False)
+
+
+def word_rule(window: int) -> Rule:
+    """A run of ``window`` white-space words that also starts elsewhere."""
+    return Rule(words=True, window=window, gram=max(1, window - max(1, window // 4) + 1), earlier=False)
+
+
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """Remove each byte covered by a ``window``-byte string that also starts elsewhere.
 
@@ -34,8 +44,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     key; null keys are kept; an empty table gives an empty one; other columns
     are ignored.
     """
-    rule = Rule(words=False, window=window, gram=max(1, window - max(1, window // 4) + 1), earlier=False)
-    return remove_repeats(docs, rule, key, text, keep, with_text).withColumnRenamed("n_tokens", "n_bytes")
+    return remove_repeats(docs, byte_rule(window), key, text, keep, with_text).withColumnRenamed("n_tokens", "n_bytes")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

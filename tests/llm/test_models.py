@@ -144,3 +144,19 @@ def test_pipeline(spark):
     assert docs.filter(F.length("text") != F.col("n_chars")).count() == 0
     packed = pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_pipeline_takes_out_passages_by_words(spark):
+    import corpus_pipeline as pipeline
+
+    passage = " ".join(f"p{i:03d}" for i in range(51))  # 254 bytes
+    long = "x" * 450
+    short = " ".join(f"q{i:03d}" for i in range(50))
+    rows = [(1, f"one  a\n{passage}\n\nb  c", 0), (2, f"two {passage} d", 0), (3, f"three {long}", 0), (4, f"four {long}", 0), (5, f"five {short}", 0), (6, f"six {short}", 0), (7, None, 0), (8, "", 0)]
+    rows += [(9, f"nine {passage} é\u2003e", 0), (9, f"ten {passage} é", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    out = pipeline.suffix_array(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == [(1, "one  a\nb  c"), (2, "two d"), (3, "three"), (4, "four"), (5, f"five {short}"), (6, f"six {short}"), (7, ""), (8, ""), (9, "nine é\u2003e"), (9, "ten é")]
+    assert out.filter(F.length("text") != F.col("n_chars")).count() == 0
