@@ -112,7 +112,6 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int,
             for r in range(rows):
                 key = mix(key ^ sig[:, r::rows])
             edges = np.searchsorted(d, np.arange(len(texts) + 1))
-            small = (h >> np.uint64(32)).astype("<u4")
             d1, d2, band, grams, counts = [], [], [], [], []
             for i, text in enumerate(texts):
                 digest = xxhash.xxh3_128_digest(b" ".join(text.split()))
@@ -120,15 +119,15 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int,
                 d2.append(int.from_bytes(digest[8:], "little", signed=True))
                 a, b = edges[i], edges[i + 1]
                 band.append(key[i].view(np.int64) if b > a else None)
-                grams.append(small[a:b].tobytes())
+                grams.append(h[a:b].astype("<u8").tobytes())
                 c = count[a:b]
-                counts.append(np.minimum(c, 65535).astype("<u2").tobytes() if (c > 1).any() else None)
+                counts.append(c.astype("<u4").tobytes() if (c > 1).any() else None)
             yield record(schema, [part.column(0), part.column(1), d1, d2, pa.array(band, pa.list_(pa.int64())), grams, counts])
 
 
 def _set(grams: bytes, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    g = np.frombuffer(grams, "<u4")
-    return g, np.ones(len(g)) if counts is None else np.frombuffer(counts, "<u2").astype(float)
+    g = np.frombuffer(grams, "<u8")
+    return g, np.ones(len(g)) if counts is None else np.frombuffer(counts, "<u4").astype(float)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:

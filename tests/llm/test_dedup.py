@@ -249,3 +249,10 @@ def test_block_links_are_all_links():
     want = {(a, b) for a in range(120) for b in range(a + 1, 120) if minhash_dedup.probability_jaccard(every[a][3], every[b][3]) >= 0.8}
     got = set(minhash_dedup.block_links(every, every, -1, 7, 0.8))
     assert want and got == want
+
+
+def test_large_counts_are_whole(spark):
+    """Counts of 4:1 and 1:1 are 0.7 alike, also where all are over 16 bits."""
+    texts = [(1, "x " * 280_000 + "y " * 70_000), (2, "x " * 70_000 + "y " * 70_000)]
+    got = minhash_dedup.near_duplicates(table(spark, texts), size=1).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {1: 1, 2: 2}
