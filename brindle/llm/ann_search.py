@@ -180,8 +180,8 @@ def ann_search(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
     product in double precision).  Candidates are all rows but those with the
     query's own key; ties go to the smaller key.
 
-    Vectors that are null, zero, of another length than the first-hashed valid
-    one, or hold null or non-finite components take no part, nor do null keys.
+    Vectors that are null, zero, of another length than most valid ones (of
+    lengths equally frequent, the smaller counts), or hold null or non-finite components take no part, nor do null keys.
     Repeated rows of one key are one candidate.  With fewer than ``k``
     candidates all are given; an empty table gives an empty one; other columns
     are ignored.
@@ -190,8 +190,8 @@ def ann_search(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
     good = F.col("v").isNotNull() & F.expr("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))") & F.expr("exists(v, x -> x <> 0)")
     base = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{column}`").alias("v")).filter(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
     final, _ = schemas([], "query_id long, rank int, vec_id long, score double")
-    shape = base.agg(F.min_by(F.size("v"), F.struct(F.xxhash64("id"), "id")).alias("dim")).first()
-    if shape["dim"] is None:
+    shape = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if shape is None:
         return spark.createDataFrame([], final)
     dim = shape["dim"]
     base = base.filter(F.size("v") == dim)

@@ -160,3 +160,14 @@ def test_pipeline_takes_out_passages_by_words(spark):
     got = sorted((r["doc_id"], r["text"]) for r in out.collect())
     assert got == [(1, "one  a\nb  c"), (2, "two d"), (3, "three"), (4, "four"), (5, f"five {short}"), (6, f"six {short}"), (7, ""), (8, ""), (9, "nine é\u2003e"), (9, "ten é")]
     assert out.filter(F.length("text") != F.col("n_chars")).count() == 0
+
+
+def test_odd_lengths_do_not_set_the_dimension(spark):
+    for odd in range(100, 120):  # whatever the hash of its id
+        if spark.range(1).selectExpr(f"(select min(xxhash64(id)) from range(5)) > xxhash64({odd}L) as x").first()["x"]:
+            break
+    else:
+        raise AssertionError("no id hashes first")
+    rows = [(i, [float(i + 1), 1.0], 0, 1, "v") for i in range(5)] + [(odd, [1.0, 2.0, 3.0], 0, 1, "v")]
+    got = ann_search.ann_search(vectors(spark, rows)).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in got} == {(0, i) for i in range(1, 5)}
