@@ -1,9 +1,10 @@
-"""Window arithmetic over token arrays: block hashes and window minimisers.
+"""Names of token windows by doubling, and the anchors of windows.
 
-A token is a 64-bit value.  Hashes are polynomials over prefix sums, so the
-hash of any block of tokens costs the same.  Each window of ``T`` tokens picks
-the first of its smallest ``k``-token grams, its *anchor*: equal windows pick
-equal anchors at equal places, wherever they stand.
+A token has a random 64-bit value in each of two lanes (of a byte, from a
+table; of a word, from a 128-bit hash of its bytes).  The name of a string is
+made of the names of its halves by :func:`join`, which mixes all bits between
+levels, so no structure of the texts carries through.  One lane selects
+candidates; both lanes, 128 bits, decide equality.
 """
 
 from __future__ import annotations
@@ -11,99 +12,110 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
+
+#: Tokens that are worked on at once; a longer text is cut into parts of so many.
+SEGMENT = 1 << 17
+#: Words whose hashes a worker remembers.
+REMEMBERED = 100_000
+_BYTE = np.random.default_rng(20_240_229).integers(1, 2**63, (2, 256), dtype=np.uint64)
+_ODD = np.random.default_rng(77).integers(1, 2**63, (2, 3), dtype=np.uint64) | np.uint64(1)
+_SPACES = b" \t\n\v\f\r"
+
+
+def join(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Names of strings from the names of a first and a last part."""
+    first, last, scale = _ODD[lane]
+    x = a * first
+    x += b * last
+    x ^= x >> np.uint64(31)
+    x *= scale
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def ladder(values: np.ndarray, sizes: tuple[int, ...], lane: int = 0) -> list[np.ndarray]:
+    """Names of all strings of each size (powers of two, ascending)."""
+    out, x, size = [], values, 1
+    for want in sizes:
+        while size < want:
+            x = join(x[:-size], x[size:], lane)
+            size *= 2
+        out.append(x)
+    return out
+
+
+def window_names(grams: np.ndarray, k: int, window: int, lane: int = 0) -> np.ndarray:
+    """Names of all strings of ``window`` tokens from those of ``k``, which cover them."""
+    n = max(0, len(grams) - (window - k))
+    x = grams[:n]
+    for at in [*range(k, window - k, k), window - k]:
+        if at:
+            x = join(x, grams[at : at + n], lane)
+    return x
+
+
+def word_parts(data: bytes, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """White-space words of a text, part by part."""
+    at = 0
+    while at < len(data):
+        end = min(at + limit, len(data))
+        while end < len(data) and data[end] not in _SPACES:
+            end += 1
+        yield data[at:end].split()
+        at = end
 
-from brindle.llm._shared import CHUNK_BYTES, mix
-
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_BYTE = np.random.default_rng(20_240_229).integers(1, 2**63, 256, dtype=np.uint64)
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Tokens of one text that are worked on at once.
-SEGMENT = 1 << 20
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, SEGMENT + 4096)
-        up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
-        up[1:], down[1:] = base, pow(base, -1, 1 << 64)
-        have = _POWERS[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return have
-
-
-class Blocks:
-    """Hashes of blocks of a token array."""
-
-    def __init__(self, values: np.ndarray, which: int = 0) -> None:
-        self.base = _BASES[which]
-        up, _ = _powers(self.base, len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=self.sums[1:])
-
-    def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, down = _powers(self.base, len(self.sums))
-        x = (self.sums[end] - self.sums[first]) * down[first]
-        return mix(x + (end - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def grams(self, k: int) -> np.ndarray:
-        """Hashes of all blocks of ``k`` tokens; the same as :meth:`of` gives."""
-        _, down = _powers(self.base, len(self.sums))
-        n = len(self.sums) - k
-        x = (self.sums[k:] - self.sums[:n]) * down[:n]
-        return mix(x + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+class WordHashes(dict):
+    """128-bit hashes of words as bytes, remembered."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh3_128_digest(word)
+        return value
 
-def byte_values(data: bytes) -> np.ndarray:
-    return _BYTE[np.frombuffer(data, np.uint8)]
+    def lanes(self, data: bytes) -> np.ndarray:
+        """Both lanes of a text's words: rows lane 0, lane 1."""
+        get = self.__getitem__
+        parts = [np.frombuffer(b"".join(map(get, words)), "<u8").reshape(-1, 2) for words in word_parts(data)]
+        return np.concatenate(parts).T if parts else np.zeros((2, 0), np.uint64)
 
 
-def word_values(data: bytes) -> np.ndarray:
-    """One value per white-space word, from its bytes."""
-    out = []
-    at = 0
-    while at < len(data):
-        end = min(at + 2 * SEGMENT, len(data))
-        while end < len(data) and data[end] not in b" \t\n\v\f\r":
-            end += 1
-        raw = np.frombuffer(data, np.uint8, end - at, at)
-        space = _IS_SPACE[raw]
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
-        out.append(Blocks(_BYTE[raw]).of(edges[::2], edges[1::2]))
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def lanes_of(data: bytes, hashes: WordHashes | None) -> np.ndarray:
+    """Both lanes of a text's tokens: its words if there are word hashes, else its bytes."""
+    return _BYTE[:, np.frombuffer(data, np.uint8)] if hashes is None else hashes.lanes(data)
 
 
-def segments(texts: list[bytes], words: bool, T: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Token arrays with the texts they come from: values, row, base, offsets.
+def segments(texts: list[bytes], hashes: WordHashes | None, window: int, lanes: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """Token arrays with the texts they come from: values by lane, row, base, offsets.
 
-    Segment ``i`` is ``values[offsets[i]:offsets[i+1]]``, tokens of text
-    ``row[i]`` from ``base[i]`` on.  Short texts share an array; a long one is
-    cut into segments that overlap by ``T - 1`` tokens, so each window is in
-    exactly one.
+    Part ``i`` is ``values[offsets[i]:offsets[i+1]]``, tokens of text ``row[i]``
+    from ``base[i]`` on.  Short texts share an array; a long one is cut into
+    parts that overlap by ``window - 1`` tokens, so each window is in exactly
+    one.  Texts under ``window`` tokens are left out.
     """
     values, rows, bases, sizes, total = [], [], [], [], 0
 
     def flush():
-        return np.concatenate(values), np.array(rows), np.array(bases), np.concatenate([[0], np.cumsum(sizes)])
+        return [np.concatenate([v[j] for v in values]) for j in range(lanes)], np.array(rows), np.array(bases), np.concatenate([[0], np.cumsum(sizes)])
 
     for row, data in enumerate(texts):
-        if len(data) < (2 * T - 1 if words else T):
+        if len(data) < (2 * window - 1 if hashes is not None else window):
             continue
-        own = word_values(data) if words else None
-        n = len(own) if words else len(data)
-        for base in range(0, n - T + 1, SEGMENT):
-            end = min(base + SEGMENT + T - 1, n)
-            part = own[base:end] if words else byte_values(data[base:end])
-            if total and total + len(part) > CHUNK_BYTES:
+        own = None if hashes is None else hashes.lanes(data)
+        n = len(data) if own is None else own.shape[1]
+        for base in range(0, n - window + 1, SEGMENT):
+            end = min(base + SEGMENT + window - 1, n)
+            part = _BYTE[:lanes, np.frombuffer(data, np.uint8, end - base, base)] if own is None else own[:lanes, base:end]
+            if total and total + (end - base) > SEGMENT:
                 yield flush()
                 values, rows, bases, sizes, total = [], [], [], [], 0
             values.append(part)
             rows.append(row)
             bases.append(base)
-            sizes.append(len(part))
-            total += len(part)
+            sizes.append(end - base)
+            total += end - base
     if values:
         yield flush()
 
@@ -120,26 +132,27 @@ def _sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(blocks: Blocks, offsets: np.ndarray, T: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all windows within segments: segment, place, gram hash, first and last window.
+def anchors(grams: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all windows within parts: part, place, first and last window.
 
-    Windows ``first..last`` (places in the array) are those that chose the
-    anchor.  Windows over a segment's end do not count.
+    A window's anchor is the first of its smallest ``k``-token names, so equal
+    windows have equal anchors at equal places.  Windows ``first..last`` (places
+    in the array) are those that chose the anchor; windows over a part's end do
+    not count.
     """
-    grams = blocks.grams(k)
-    bits = np.uint64(len(grams)).item().bit_length()
+    bits = len(grams).bit_length()
     keys = ((grams >> np.uint64(bits)) << np.uint64(bits)) | np.arange(len(grams), dtype=np.uint64)
-    least = _sliding_min(keys, T - k + 1)
+    least = _sliding_min(keys, window - k + 1)
     chosen = (least & np.uint64((1 << bits) - 1)).astype(np.int64)
     windows = np.arange(len(chosen))
-    segment = np.searchsorted(offsets, windows, "right") - 1
-    valid = windows + T <= offsets[segment + 1]
+    part = np.searchsorted(offsets, windows, "right") - 1
+    valid = windows + window <= offsets[part + 1]
     new = np.ones(len(chosen), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (segment[1:] != segment[:-1])
+    new[1:] = (chosen[1:] != chosen[:-1]) | (part[1:] != part[:-1])
     first = np.flatnonzero(new & valid)
-    # A run of windows ends before the next run or at the segment's last valid window.
-    runs = np.flatnonzero(new)
-    nxt = np.searchsorted(runs, first, "right")
-    end = np.where(nxt < len(runs), runs[np.minimum(nxt, len(runs) - 1)], len(chosen)) - 1
-    last = np.minimum(end, offsets[segment[first] + 1] - T)
-    return segment[first], chosen[first], grams[chosen[first]], first, last
+    # A run of windows ends before the next run or at the part's last valid window.
+    begun = np.flatnonzero(new)
+    nxt = np.searchsorted(begun, first, "right")
+    end = np.where(nxt < len(begun), begun[np.minimum(nxt, len(begun) - 1)], len(chosen)) - 1
+    last = np.minimum(end, offsets[part[first] + 1] - window)
+    return part[first], chosen[first], first, last

@@ -1,8 +1,8 @@
 """Connected components of a link table, without gathering it anywhere.
 
-First each task contracts the links it holds to stars around their smallest
-nodes; tasks hold a bounded number of links, so a small table is done at once.
-What several tasks leave is joined by rounds of smallest roots.
+Each task contracts the links it holds to stars around their smallest nodes.
+While a node has different roots in different stars, rounds of smallest roots
+join what the tasks could not.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._shared import cut, forget, record, schemas
+from brindle.llm._shared import cut, forget, record, schemas, slim
 
 #: Links that one task contracts, on average.
 LINKS = 1_000_000
@@ -54,13 +54,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     spark_schema, arrow = schemas([], "node long, root long")
     held = cut(links.select(a, b), "links")
     tasks = max(1, -(-held.count() // LINKS))
-    stars = cut(held.coalesce(tasks).mapInArrow(lambda it: _contract(it, arrow), spark_schema), "stars")
+    stars = cut(held.coalesce(tasks).mapInArrow(slim(lambda it: _contract(it, arrow)), spark_schema), "stars")
     forget(held)
-    return stars if tasks == 1 else _merge(stars)
+    return merge(stars)
 
 
-def _merge(stars: DataFrame) -> DataFrame:
-    """Rounds: the smallest root among the neighbours, then one step along the roots."""
+def merge(stars: DataFrame) -> DataFrame:
+    """Stars with one root for every node: rounds of the smallest root among the neighbours, then one step along the roots."""
+    torn = stars.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    if not torn.limit(1).count():
+        return stars
     both = cut(stars.select(F.col("node").alias("x"), F.col("root").alias("y")).union(stars.select("root", "node")).distinct(), "links")
     roots = cut(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("root")), "roots")
     while True:
@@ -72,5 +75,5 @@ def _merge(stars: DataFrame) -> DataFrame:
         forget(roots)
         roots = new.select("node", "root")
         if not changed:
-            forget(both)
+            forget(both, stars)
             return roots

@@ -6,7 +6,10 @@ the shingle that arrives there first.  An element is dropped as soon as its
 next arrival is later than the latest component (early termination).  Two texts
 agree in a component with the probability Jaccard similarity of their weighted
 shingles.  Components are grouped in bands; texts that share a band are
-candidates, and candidates are verified on all their shingles.
+candidates, and candidates are verified on all their shingles: first with one
+text of each bucket, in a few rounds, so that whole groups of copies become one
+class at a cost in proportion to the texts; then, in buckets that still hold
+several classes, all texts of different classes with each other.
 """
 
 from __future__ import annotations
@@ -19,38 +22,36 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm._shared import as_bytes, chunks, cut, forget, mix, record, schemas, sweep, table
-from brindle.llm._windows import Blocks, word_values
+from brindle.llm._shared import as_bytes, chunks, cut, forget, mix, record, release, schemas, slim, sweep, table
+from brindle.llm._windows import WordHashes, ladder, window_names
 from brindle.llm.components import components
+from brindle.llm.repeats import largest_power
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
-#: Buckets up to this size have all pairs verified; larger ones go by pivots.
-SMALL = 8
-#: Pivots of a larger bucket in the first round (on average); twice as many in each round after it.
-PIVOTS = 2
-#: Rounds after the first at most; they only make classes fewer before the exact pass over what is still apart.
+#: Rounds that make classes few before all that is still apart in a bucket is compared.
 ROUNDS = 3
+#: Texts that are compared with one leader in one task (on average).
+FOLLOWERS = 512
 #: Texts that ask, and texts asked, in one task of the exact pass (on average).
-ASKING, ASKED = 1_024, 4_096
+ASKING, ASKED = 512, 2_048
 
 
-def shingles(values: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of word-value arrays: hash, text, count; sorted by text, hash.
+def shingle_names(values: np.ndarray, size: int) -> np.ndarray:
+    """Names of a text's shingles from its words' values; a text of fewer than ``size`` words is one shingle."""
+    size = min(size, len(values))
+    if not size:
+        return values
+    k = largest_power(size)
+    return window_names(ladder(values, (k,))[0], k, size)
 
-    A text of fewer than ``size`` words is one shingle; one without words has none.
-    """
-    hashes, owners = [], []
-    for i, v in enumerate(values):
-        if len(v):
-            k = min(size, len(v))
-            h = Blocks(v).grams(k)
-            hashes.append(h)
-            owners.append(np.full(len(h), i))
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, d = np.concatenate(hashes), np.concatenate(owners)
+
+def shingles(values: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle names of word-value arrays: name, text, count; sorted by text, name."""
+    names = [shingle_names(v, size) for v in values]
+    h = np.concatenate([np.zeros(0, np.uint64), *names])
+    d = np.repeat(np.arange(len(names)), [len(x) for x in names])
     order = np.lexsort((h, d))
     h, d = h[order], d[order]
     new = np.ones(len(h), bool)
@@ -98,46 +99,52 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / (above[both] / y[both] + below[both] / x[both])).sum())
 
 
+def weighted_sets(texts: list[bytes], hashes: WordHashes, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Shingles and counts of each text."""
+    h, d, count = shingles([hashes.lanes(t)[0] for t in texts], size)
+    edges = np.searchsorted(d, np.arange(len(texts) + 1)).tolist()
+    return [(h[a:b], count[a:b].astype(float)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     m = bands * rows
     seeds = mix(np.arange(1, bands + 1, dtype=np.uint64))
+    hashes = WordHashes()
     for batch in batches:
         for first, last in chunks(batch, "text"):
             part = batch.slice(first, last - first)
             texts = part.column(2).to_pylist()
-            values = [word_values(t) for t in texts]
-            h, d, count = shingles(values, size)
+            lanes = [hashes.lanes(t) for t in texts]
+            h, d, count = shingles([x[0] for x in lanes], size)
             sig = signatures(h, d, count.astype(float), len(texts), m)
             key = np.broadcast_to(seeds, (len(texts), bands)).copy()
             for r in range(rows):
                 key = mix(key ^ sig[:, r::rows])
-            edges = np.searchsorted(d, np.arange(len(texts) + 1))
-            d1, d2, band, grams, counts = [], [], [], [], []
-            for i, text in enumerate(texts):
-                digest = xxhash.xxh3_128_digest(b" ".join(text.split()))
-                d1.append(int.from_bytes(digest[:8], "little", signed=True))
-                d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                a, b = edges[i], edges[i + 1]
-                band.append(key[i].view(np.int64) if b > a else None)
-                grams.append(h[a:b].astype("<u8").tobytes())
-                c = count[a:b]
-                counts.append(c.astype("<u4").tobytes() if (c > 1).any() else None)
-            yield record(schema, [part.column(0), part.column(1), d1, d2, pa.array(band, pa.list_(pa.int64())), grams, counts])
-
-
-def _set(grams: bytes, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    g = np.frombuffer(grams, "<u8")
-    return g, np.ones(len(g)) if counts is None else np.frombuffer(counts, "<u4").astype(float)
-
-
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+            # Texts of the same words have one digest.
+            digests = [xxhash.xxh3_128_digest(np.ascontiguousarray(x.T)) for x in lanes]
+            d1 = [int.from_bytes(x[:8], "little", signed=True) for x in digests]
+            d2 = [int.from_bytes(x[8:], "little", signed=True) for x in digests]
+            band = [key[i].view(np.int64) if x.shape[1] else None for i, x in enumerate(lanes)]
+            yield record(schema, [*part.columns, d1, d2, pa.array(band, pa.list_(pa.int64()))])
+
+
+def _follow(batches: Iterator[pa.RecordBatch], size: int, threshold: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Texts (role 1) sorted behind their leader (role 0): whether each is like it."""
+    hashes = WordHashes()
+    lead, own = None, None
     for batch in batches:
-        a, b = [], []
-        for x, y, gx, cx, gy, cy in zip(*batch.columns, strict=True):
-            if probability_jaccard(_set(gx.as_py(), cx.as_py()), _set(gy.as_py(), cy.as_py())) >= threshold:
-                a.append(x)
-                b.append(y)
-        yield record(schema, [pa.array([x.as_py() for x in a], pa.int64()), pa.array([y.as_py() for y in b], pa.int64())])
+        for first, last in chunks(batch, "text"):
+            part = batch.slice(first, last - first)
+            leads, roles, tids = (part.column(i).to_pylist() for i in (0, 1, 2))
+            tested: list[tuple[int, int, bool]] = []
+            for to, role, tid, x in zip(leads, roles, tids, weighted_sets(part.column(3).to_pylist(), hashes, size), strict=True):
+                if not role:
+                    lead, own = to, x
+                    continue
+                if to != lead:
+                    raise ValueError("a leader's text is missing")
+                tested.append((tid, to, probability_jaccard(x, own) >= threshold))
+            yield record(schema, list(zip(*tested, strict=True)) if tested else [[], [], []])
 
 
 def block_links(asking: list[tuple], asked: list[tuple], big: int, bucket: int, threshold: float) -> list[tuple[int, int]]:
@@ -201,7 +208,7 @@ def block_links(asking: list[tuple], asked: list[tuple], big: int, bucket: int,
     return links
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """Classes of near-duplicate documents; one row per input row.
 
     Columns: ``key``; ``class_id``, the smallest key of the class; ``kept``,
@@ -211,56 +218,58 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Texts are linked if the probability Jaccard similarity of their word
     shingles (for texts without repeated shingles: the Jaccard similarity) is
     ``threshold`` or more; classes are the links' components.  Texts of equal
-    words are one text from the start.  In buckets of up to ``SMALL`` texts all
-    pairs are verified.  In larger ones rounds of pivots come first: each text is
-    verified with the bucket's pivots of the round that are of other classes.
-    Then, in each bucket with several classes, every pair of texts of different
-    classes is decided (see :func:`block_links`), so no pair that shares a
-    bucket is passed over unless it is of one class already.
+    words are one text from the start.  In each of ``rounds`` every text is
+    compared with one leader of a bucket in which it meets another class; then,
+    in each bucket that still holds several classes, every pair of texts of
+    different classes is decided (see :func:`block_links`), so no pair that
+    shares a bucket is passed over unless it is of one class already.
 
     Null, empty and wordless texts are like no other text: each row is a class
     of its own.  Rows with a null key may belong to any class; repeated rows
     are one text.  An empty table gives an empty one; other columns are ignored.
     """
+    spark = docs.sparkSession
     plain = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     source = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(plain).alias("text_hash"), as_bytes(f"`{text}`").alias("text"))
-    spark = docs.sparkSession
-    s1, a1 = schemas(source.schema.fields[:2], "d1 long, d2 long, bands array<long>, grams binary, counts binary")
-    sketch = cut(source.mapInArrow(lambda it: _sketch(it, size, bands, rows, a1), s1).withColumn("rid", F.monotonically_increasing_id()), "sketch")
+    s1, a1 = schemas(source.schema.fields, "d1 long, d2 long, bands array<long>")
+    sketch = cut(source.mapInArrow(slim(lambda it: _sketch(it, size, bands, rows, a1)), s1).withColumn("rid", F.monotonically_increasing_id()), "sketch")
     texts = cut(sketch.filter("bands is not null").groupBy("d1", "d2").agg(F.min("rid").alias("tid"), F.min("doc").alias("first")), "texts")
-    banded = cut(sketch.join(texts.select("tid"), sketch["rid"] == F.col("tid"), "left_semi").select(F.col("rid").alias("tid"), F.explode("bands").alias("h")), "bands")
-    sizes = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    banded = cut(sketch.select("rid", "bands").join(texts.select("tid"), F.col("rid") == F.col("tid"), "left_semi").select(F.col("rid").alias("tid"), F.explode("bands").alias("h")), "bands")
+    sizes = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     shared = cut(banded.join(sizes, "h"), "shared")
+    # One plan at any size: a merge join, so that what is shuffled stays in proportion.
+    cand = cut(sketch.select(F.col("rid").alias("tid"), "text").join(shared.select("tid").distinct().hint("merge"), "tid", "left_semi"), "candidates")
     forget(banded)
-    s2, a2 = schemas([], "a long, b long")
-
-    def gathered(source: DataFrame, members: DataFrame) -> DataFrame:
-        """Shingles of the texts that may still be compared; all others stay where they are."""
-        # One plan at any size: a merge join, so that what is shuffled stays in proportion.
-        return cut(source.join(members.select(F.col("tid").alias("rid")).distinct().hint("merge"), "rid", "left_semi").select("rid", "grams", "counts"), "grams")
-
-    grams = gathered(sketch, shared)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = grams.select(F.col("rid").alias("a"), F.col("grams").alias("ga"), F.col("counts").alias("ca"))
-        right = grams.select(F.col("rid").alias("b"), F.col("grams").alias("gb"), F.col("counts").alias("cb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "ca", "gb", "cb").mapInArrow(lambda it: _verify(it, threshold, a2), s2)
-
-    small = shared.filter(F.col("n") <= SMALL).groupBy("h").agg(F.sort_array(F.collect_list("tid")).alias("t"))
-    pairs = small.select(F.explode(F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
-    large = shared.filter(F.col("n") > SMALL).select("h", "tid", "n")
-
-    def starred(turn: int, members: DataFrame) -> DataFrame:
-        """Each member with its buckets' pivots of this round that are of other classes.
-
-        Pivots are drawn by hashes of texts, twice as many (on average) in each
-        round; buckets of like members have like pivots, so pairs are fewer.
-        """
-        drawn = (F.pmod(F.xxhash64(F.lit(turn), "tid"), F.lit(1 << 30)) / float(1 << 30)) < F.lit(float(PIVOTS << turn)) / F.col("n")
-        pivots = members.filter(drawn).select("h", F.col("tid").alias("b"), F.col("root").alias("other"))
-        return members.join(pivots, (members["h"] == pivots["h"]) & (F.col("root") != F.col("other"))).select(F.col("tid").alias("a"), "b")
-
+    del sizes
+    sweep(spark)
+    s2, a2 = schemas([], "a long, b long, like boolean")
     s3, a3 = schemas([], "a long, b long")
+    empty = spark.createDataFrame([], s3)
+
+    def rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """``h, tid, root`` of the buckets that hold several classes."""
+        if roots is None:
+            return members.select("h", "tid", F.col("tid").alias("root"))
+        now = members.join(roots, members["tid"] == roots["node"], "left").select("h", "tid", F.coalesce("root", "tid").alias("root"))
+        mixed = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
+        return now.join(mixed, "h", "left_semi")
+
+    def followed(members: DataFrame, turn: int) -> DataFrame:
+        """Each text compared with the leader of one bucket where it meets another class."""
+        order = F.xxhash64(F.lit(turn), "root")
+        leaders = members.groupBy("h").agg(F.min(F.struct(order.alias("p"), F.col("tid").alias("lead"), F.col("root").alias("class"))).alias("l"))
+        asks = members.join(leaders, "h").filter(F.col("root") != F.col("l.class")).groupBy("tid").agg(F.min(F.struct("l.p", "l.lead")).alias("l")).select("tid", F.col("l.lead").alias("lead"))
+        asks = cut(asks, "asks")
+        parts = asks.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / FOLLOWERS).cast("int").alias("parts"))
+        member = asks.join(parts, "lead").select("tid", "lead", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
+        leader = parts.select(F.col("lead").alias("tid"), "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+        sent = member.unionByName(leader).hint("merge").join(cand, "tid").select("lead", "role", "tid", "text", "part")
+        sent = sent.repartition("lead", "part").sortWithinPartitions("lead", "part", "role")
+        out = cut(sent.select("lead", "role", "tid", "text").mapInArrow(slim(lambda it: _follow(it, size, threshold, a2)), s2), "followed")
+        forget(asks)
+        del asks, parts, member, leader, sent
+        sweep(spark)
+        return out
 
     def apart(now: DataFrame) -> DataFrame:
         """Links between different classes of one bucket, with every pair of such texts decided.
@@ -269,53 +278,57 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         asking meet parts of the asked, so no task gets a bucket of any size;
         with few texts asking, each text is sent about once for a bucket.
         """
-        counted = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m")).filter("top.c < m")
+        counted = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m"))
         parts = counted.select("h", F.col("top.root").alias("big"), F.ceil((F.col("m") - F.col("top.c")) / ASKING).cast("int").alias("pa"), F.ceil(F.col("m") / ASKED).cast("int").alias("pb"))
         mixed = cut(now.join(parts, "h").select("h", "tid", "root", "big", "pa", "pb"), "apart")
-        of = mixed.groupBy("tid").agg(F.collect_list(F.struct("h", "root", "big", "pa", "pb")).alias("l")).select(F.col("tid").alias("rid"), "l")
-        sent = grams.join(of.hint("merge"), "rid").select("rid", "grams", "counts", F.col("l.h").alias("hs"), F.explode("l").alias("l"))
-        own_a, own_b = (F.pmod(F.xxhash64(F.lit(x), "rid"), F.col(f"l.{x}")).cast("int") for x in ("pa", "pb"))
+        of = mixed.groupBy("tid").agg(F.collect_list(F.struct("h", "root", "big", "pa", "pb")).alias("l"))
+        sent = cand.join(of.hint("merge"), "tid").select("tid", "text", F.col("l.h").alias("hs"), F.explode("l").alias("l"))
+        own_a, own_b = (F.pmod(F.xxhash64(F.lit(x), "tid"), F.col(f"l.{x}")).cast("int") for x in ("pa", "pb"))
         sent = sent.withColumn("ia", own_a).withColumn("ib", own_b)
         place = F.expr("concat(transform(sequence(0, l.pa - 1), i -> struct(false AS asks, i AS i, ib AS j)), if(l.root <> l.big, transform(sequence(0, l.pb - 1), j -> struct(true AS asks, ia AS i, j AS j)), array()))")
-        sent = sent.select("rid", "grams", "counts", "hs", F.col("l.h").alias("h"), F.col("l.root").alias("root"), F.col("l.big").alias("big"), F.explode(place).alias("p")).select("h", "p.i", "p.j", "p.asks", "rid", "root", "big", "hs", "grams", "counts")
+        sent = sent.select("tid", "text", "hs", F.col("l.h").alias("h"), F.col("l.root").alias("root"), F.col("l.big").alias("big"), F.explode(place).alias("p")).select("h", "p.i", "p.j", "p.asks", "tid", "root", "big", "hs", "text")
 
         def decide(rows: pa.Table) -> pa.Table:
+            sets = weighted_sets(rows["text"].to_pylist(), WordHashes(), size)
             sides: tuple[list, list] = [], []
-            for _, _, _, asks, rid, root, _, hs, g, c in zip(*rows.columns, strict=True):
-                sides[asks.as_py()].append((rid.as_py(), root.as_py(), hs.as_py(), _set(g.as_py(), c.as_py())))
+            for asks, tid, root, hs, own in zip(*(rows[c].to_pylist() for c in ("asks", "tid", "root", "hs")), sets, strict=True):
+                sides[asks].append((tid, root, hs, own))
             found = block_links(sides[1], sides[0], rows["big"][0].as_py(), rows["h"][0].as_py(), threshold) if all(sides) else []
+            release()
             return pa.Table.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=a3)
 
         out = cut(sent.groupBy("h", "i", "j").applyInArrow(decide, s3), "verified")
         forget(mixed)
+        del sent, mixed, of
+        sweep(spark)
         return out
 
-    ordered = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(verified(ordered(pairs.union(starred(0, large.withColumn("root", F.col("tid")))))), "verified")
-    sweep(spark)
+    roots, links, tested = None, empty, []
+    for turn in range(rounds):
+        now = cut(rooted(shared, roots), "mixed")
+        if turn:
+            forget(roots)
+        if not now.limit(1).count():
+            forget(now)
+            break
+        tested.append(followed(now, turn))
+        forget(now)
+        links = links.union(tested[-1].filter("like").select("a", "b"))
+        roots = components(links)
+    else:
+        now = rooted(shared, roots)
+        # A bucket of two texts that were compared already is decided.
+        pairs = now.groupBy("h").agg(F.min("tid").alias("x"), F.max("tid").alias("y"), F.count(F.lit(1)).alias("m")).filter("m = 2")
+        known = empty
+        for one in tested:
+            known = known.union(one.select(F.least("a", "b"), F.greatest("a", "b")))
+        known = pairs.join(known, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")), "left_semi").select("h")
+        now = cut(now.join(known, "h", "left_anti"), "mixed")
+        if now.limit(1).count():
+            links = links.union(apart(now))
+        forget(now, roots)
+    forget(cand, shared)
     roots = components(links)
-    rooted = lambda x: x.join(roots, x["tid"] == roots["node"], "left").select("h", "tid", "n", F.coalesce("root", "tid").alias("root"))
-    turn, some = 0, large.limit(1).count() > 0
-    while some and turn < ROUNDS:
-        turn += 1
-        now = rooted(large)
-        mixed = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
-        left = cut(now.join(mixed, "h", "left_semi"), "left")
-        large = left.select("h", "tid", "n")  # buckets of one class are done
-        if turn == 1:
-            all_grams, grams = grams, gathered(grams, left)
-            forget(all_grams)
-        sweep(spark)
-        more = cut(verified(ordered(starred(turn, left))), "verified")
-        some = more.limit(1).count() > 0
-        if some:
-            links = cut(links.union(more), "verified")
-            roots = components(links)
-    if turn:
-        sweep(spark)
-        more = apart(rooted(large))
-        if more.limit(1).count():
-            roots = components(links.union(more))
     named = texts.join(roots, texts["tid"] == roots["node"], "left").select("d1", "d2", "tid", "first", F.coalesce("root", "tid").alias("root"))
     classes = named.groupBy("root").agg(F.min("first").alias("class_id"), F.min(F.struct(F.col("first").isNull().alias("x"), "first", "tid")).alias("keeper"))
     whole = named.join(classes, "root").select("d1", "d2", "class_id", (F.col("keeper.tid") == F.col("tid")).alias("head"), "first", "tid")
@@ -326,7 +339,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rest = sketch.filter(has).select("doc", "text_hash", "d1", "d2", "rid").join(whole.select("d1", "d2", "class_id"), ["d1", "d2"])
     rest = rest.join(heads, rest["rid"] == heads["head_rid"], "left").select(F.col("doc").alias(key), "class_id", F.col("head_rid").isNotNull().alias("kept"), "text_hash")
     out = cut(rest.unionByName(lone), "classes")
-    forget(sketch, texts, shared, grams)
+    forget(sketch, texts, roots, *tested)
     return out
 
 

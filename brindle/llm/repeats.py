@@ -1,439 +1,277 @@
-"""Repeated token windows over a corpus: the engine of the two substring deduplicators.
-
-Three passes, each an exchange on a hash of text and a sweep over sorted rows:
-
-1. *Anchors.*  Every window of ``T`` tokens has an anchor gram of ``k`` tokens.
-   A window can only be repeated if its anchor's gram is; grams found alone
-   drop out with all their windows.  (Which document comes first matters only
-   from the next pass on: the first one's windows are needed to compare with.)
-2. *Blocks.*  For each surviving anchor the windows that chose it form one
-   block.  Blocks are compared whole: those equal to another block are decided
-   in one row however many windows they hold.
-3. *Windows.*  Where one gram has unlike blocks (only near the ends of repeated
-   passages), one copy of each block has its windows compared one by one.
-
-Before each exchange a batch of rows keeps one row per hash and settles the
-others itself, so a hash sends one row per batch, never one per document, and
-no group of copies meets in one task.  Texts are shuffled once; only those with
-surviving anchors are shuffled again.
+"""Repeated token windows over a corpus: what the two substring deduplicators share.
+
+A *rule* says which windows count as repeated and finds the places where
+repeated windows can be (its ``candidates``, by its own method); here those
+windows are compared by names of 128 bits and taken out.
+
+All exchanges are of packed entries (:mod:`brindle.llm._packed`).  Before each
+one a task settles what it can by itself and sends one entry per name, so a
+name sends one entry per task, never one per document, and no group of copies
+meets anywhere.  Texts are shuffled once, those with candidates once more.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from itertools import compress
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._shared import as_bytes, cut, forget, mix, record, schemas, sweep
-from brindle.llm._windows import Blocks, anchors, segments
+from brindle.llm._packed import ANSWER, ASK, OPEN, SPARK_ROWS, Buffer, Layout, address, bucket_count, meet, pack, runs, several, unpack
+from brindle.llm._shared import as_bytes, chunks, cut, forget, mix, record, schemas, slim, sweep
+from brindle.llm._windows import SEGMENT, WordHashes, ladder, segments, window_names
 
-#: Row flags on the way to a sweep.
-ALONE, PAIRED, SETTLED, SEEN = 0, 1, 2, 3
-#: What a sweep says of a block: repeated; to be compared by window; both.
-OK, OPEN, OK_OPEN = 1, 2, 3
-HOLD = 200_000
-#: Words of a text as :meth:`bytes.split` finds them.
-_WORD = re.compile(rb"[^ \t\n\r\v\f]+")
+#: A row's id and a run of window starts in it: first start, windows, whether they are known to be repeated.
+SPANS = Layout((8, 4, 4, 1), (0,))
+#: The same for a document's key and its text's hash.
+MARKS = Layout((8, 4, 4, 4, 1), (0,))
+_WINDOWS = Layout((8, 8, 8, 4, 1), (2,))
+_EARLIER = Layout((8, 8, 8, 8, 4), (2, 3))
 
 
-@dataclass(frozen=True)
-class Rule:
-    """``window`` tokens (bytes, or words); anchors of ``gram`` tokens.
-
-    ``earlier``: a window counts as repeated only if it starts in a document
-    with a smaller key; else if it starts anywhere else at all.
-    """
+class Rule(Protocol):
+    """``window`` tokens (bytes, or words) that count as repeated."""
 
     words: bool
     window: int
-    gram: int
-    earlier: bool
 
+    def candidates(self, bare: DataFrame, buckets: int) -> DataFrame:
+        """``doc, copy, marks``: runs of windows of ``doc, copy, text`` that hold all repeated ones."""
 
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    """Whether each row of sorted columns begins a new group."""
-    new = np.ones(len(columns[0]), bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return new
+    def exact(self, work: DataFrame, buckets: int) -> DataFrame:
+        """``rid, spans``: the repeated windows among ``rid, doc, text, marks``."""
 
 
-def _thin(earlier: bool, hashes: list[np.ndarray], doc: np.ndarray, order_by: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Settle rows within a batch; returns their order and flags in that order."""
-    order = np.lexsort([*order_by[::-1], doc, *hashes[::-1]])
-    new = _runs(*[h[order] for h in hashes])
-    group = np.cumsum(new) - 1
-    flag = np.zeros(len(order), np.int8)
-    if earlier:
-        docs = doc[order]
-        flag[docs > docs[np.flatnonzero(new)][group]] = SETTLED
-    else:
-        flag[~new] = SETTLED
-        flag[new & (np.bincount(group)[group] > 1)] = PAIRED
-    return order, flag
+def largest_power(n: float) -> int:
+    return 1 << max(0, int(n).bit_length() - 1)
 
 
-def _spread(h: np.ndarray, flag: np.ndarray, *salt: np.ndarray) -> np.ndarray:
-    """Settled rows travel under hashes of their own."""
-    x = h.copy()
-    for s in salt:
-        x = mix(x.view(np.uint64) ^ s.astype(np.uint64)).view(np.int64)
-    return np.where(flag == SETTLED, x, h)
+def owner(doc: np.ndarray, copy: np.ndarray) -> np.ndarray:
+    return mix(doc.astype(np.uint64)) ^ copy.astype(np.uint64)
 
 
-# --- pass 1: anchors -------------------------------------------------------
+def starts_of(spans: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All window starts of packed runs, with their marks."""
+    first, n, flag = np.frombuffer(spans, "<i4").reshape(-1, 3).T.astype(np.int64)
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(flag, n) > 0
 
 
-def _emit_anchors(rule: Rule, schema: pa.Schema) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = batch.column(1).to_pylist()
-            got: list[list[np.ndarray]] = []
-            for values, row, base, offsets in segments(texts, rule.words, rule.window):
-                segment, place, gram, _, _ = anchors(Blocks(values), offsets, rule.window, rule.gram)
-                got.append([gram.view(np.int64), docs[row[segment]], (place - offsets[segment] + base[segment]).astype(np.int32)])
-            if got:
-                h, doc, at = (np.concatenate(x) for x in zip(*got, strict=True))
-                order, flag = _thin(False, [h], doc, [at])
-                h, doc, at = h[order], doc[order], at[order]
-                yield record(schema, [_spread(h, flag, doc, at), doc, at, flag])
-
-    return run
-
-
-def _sweep_rows(earlier: bool, n_hashes: int, schema: pa.Schema, out: list[int]) -> Callable:
-    """Rows sorted by hashes and document, flag last: those repeated, columns ``out`` only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            flag, doc = cols[-1], cols[n_hashes]
-            new = _runs(*cols[:n_hashes])
-            firsts = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            if earlier:
-                good = (doc > doc[firsts][group]) | (flag == SETTLED)
-            else:
-                paired = np.bincount(group) > 1
-                np.logical_or.at(paired, group, flag != ALONE)
-                good = paired[group]
-            # The last group may go on: one row stands for it, given out or not.
-            last = firsts[-1]
-            held = [c[last : last + 1].copy() for c in cols]
-            if good[last] or flag[last] == SEEN:
-                held[-1][0] = SEEN
-            good &= flag != SEEN
-            if earlier and flag[last] != SETTLED:
-                held[-1][0] = SEEN  # the first row of a group is never repeated itself
-            yield record(schema, [cols[i][good] for i in out])
-
-    return run
-
-
-# --- pass 2: blocks --------------------------------------------------------
-
-
-def _emit_blocks(rule: Rule, schema: pa.Schema) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def gather(rows: DataFrame, layout: Layout, names: tuple[str, ...], column: str) -> DataFrame:
+    """One row per owner (columns ``names``) with its runs in ``column``; consecutive windows become one run."""
+    schema, arrow = schemas([], "".join(f"{n} long, " for n in names) + f"{column} binary")
+    width = len(names)
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = unpack(table, layout)
+        *ids, start, n, flag = cols
+        order = np.lexsort([start, flag, *ids[::-1]])
+        *ids, start, n, flag = (c[order] for c in cols)
+        new = runs(*ids, flag)
+        new[1:] |= start[1:] != start[:-1] + n[:-1]
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(n, first)
+        whole = np.stack([start[first], total, flag[first]], axis=1).astype("<i4")
+        begun = np.flatnonzero(runs(*[x[first] for x in ids]))
+        edges = [*begun.tolist(), len(first)]
+        data = [whole[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+        return pa.Table.from_batches([record(arrow, [*[x[first][begun] for x in ids], pa.array(data, pa.binary())])])
+
+    assert width + 3 == len(layout.widths)
+    return rows.groupBy("bucket").applyInArrow(run, schema)
+
+
+# --- single windows --------------------------------------------------------
+
+
+def exact_windows(work: DataFrame, words: bool, window: int, earlier: bool, buckets: int) -> DataFrame:
+    """Packed answers: which of the windows in ``marks`` are repeated (``earlier``: start in a smaller document too)."""
+    k = largest_power(window)
+
+    def later(names: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
+        order = np.lexsort([doc, *names[::-1]])
+        new = runs(*[n[order] for n in names])
+        out = np.zeros(len(doc), bool)
+        out[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
+        return out
+
+    def give(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        a, b, doc, rid, at, paired = columns
+        if earlier:
+            gone = later([a, b], doc)
+            yield pack(ASK, address(a[~gone], buckets), [x[~gone] for x in (a, b, doc, rid, at)], _EARLIER)
+            gone = np.flatnonzero(gone)
+        else:
+            gone, ask, many = several([a, b], paired)
+            yield pack(ASK, address(a[ask], buckets), [a[ask], b[ask], rid[ask], at[ask], many], _WINDOWS)
+        yield from answer(rid[gone], at[gone])
+
+    def answer(rid: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        one = np.ones(len(rid), np.int64)
+        yield pack(ANSWER, address(rid, buckets), [rid, at, one, 0 * one], SPANS)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes() if words else None
+        buffer = Buffer(give)
         for batch in batches:
-            rid, docs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            texts = batch.column(2).to_pylist()
-            alive = [np.sort(np.asarray(x, np.int64)) for x in batch.column(3).to_pylist()]
-            got: list[list[np.ndarray]] = []
-            for values, row, base, offsets in segments(texts, rule.words, rule.window):
-                blocks, other = Blocks(values), Blocks(values, 1)
-                segment, place, gram, first, last = anchors(blocks, offsets, rule.window, rule.gram)
-                at = place - offsets[segment] + base[segment]
-                keep = np.zeros(len(at), bool)
-                edges = np.flatnonzero(_runs(segment)).tolist() + [len(segment)]
-                for a, b in zip(edges, edges[1:], strict=False):
-                    keep[a:b] = np.isin(at[a:b], alive[row[segment[a]]], assume_unique=True)
-                segment, gram, first, last = segment[keep], gram[keep], first[keep], last[keep]
-                end = last + rule.window
-                start = (first - offsets[segment] + base[segment]).astype(np.int32)
-                got.append([gram.view(np.int64), blocks.of(first, end).view(np.int64), (other.of(first, end) >> np.uint64(33)).astype(np.int32), docs[row[segment]], rid[row[segment]], start, (last - first + 1).astype(np.int32)])
-            if got:
-                cols = [np.concatenate(x) for x in zip(*got, strict=True)]
-                order, flag = _thin(rule.earlier, cols[:3], cols[3], [cols[4], cols[5]])
-                cols = [c[order] for c in cols]
-                cols[0] = _spread(cols[0], flag, cols[4], cols[5])
-                yield record(schema, [*cols, flag])
-
-    return run
-
-
-def _sweep_blocks(rule: Rule, schema: pa.Schema) -> Callable:
-    """Blocks sorted by gram, block hashes and document: row id, start, windows, what to do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        unlike: int | None = None  # a gram already known to have unlike blocks
-
-        def decide(cols: list[np.ndarray], final: bool):
-            nonlocal unlike
-            gram, doc, flag = cols[0], cols[3], cols[-1]
-            new_gram, new = _runs(gram), _runs(*cols[:3])
-            in_gram, group = np.cumsum(new_gram) - 1, np.cumsum(new) - 1
-            firsts, begun = np.flatnonzero(new), np.flatnonzero(new_gram)
-            many = np.bincount(in_gram[firsts], minlength=len(begun)) > 1
-            if unlike is not None:
-                many[gram[begun] == unlike] = True
-            settled = flag == SETTLED
-            if rule.earlier:
-                ok = (doc > doc[firsts][group]) | settled
-                source = ~ok
-            else:
-                pair = np.bincount(group) > 1
-                np.logical_or.at(pair, group, flag != ALONE)
-                ok, source = pair[group], new & ~settled
-            status = np.where(ok, OK, 0) + np.where(source & many[in_gram], OPEN, 0)
-            emit = np.ones(len(gram), bool)
-            rest = None
-            if not final:
-                last = begun[-1]
-                if len(gram) - last > HOLD:  # a gram with very many rows: keep its last block only
-                    keep_from = firsts[-1]
-                    if many[-1]:
-                        unlike = int(gram[-1])
-                    if keep_from == last and not rule.earlier:  # one block so far: all but the first are repeated
-                        emit[last] = False
-                        rest = [c[last : last + 1].copy() for c in cols]
-                        rest[-1][0] = PAIRED
-                    elif keep_from == last:
-                        stay = np.flatnonzero(doc[last:] == doc[last]) + last
-                        emit[stay] = False
-                        rest = [c[stay] for c in cols]
-                    else:
-                        emit[keep_from:] = False
-                        rest = [c[keep_from:] for c in cols]
-                else:
-                    emit[last:] = False
-                    rest = [c[last:] for c in cols]
-            emit &= status > 0
-            return [cols[4][emit], cols[5][emit], cols[6][emit], status[emit].astype(np.int8)], rest
+            for first, last in chunks(batch, "text"):
+                part = batch.slice(first, last - first)
+                rid, docs = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                marks = [starts_of(x.as_py()) for x in part.column(3)]
+                for values, row, base, offsets in segments(part.column(2).to_pylist(), hashes, window, 2):
+                    names = [window_names(ladder(v, (k,), lane)[0], k, window, lane) for lane, v in enumerate(values)]
+                    where, who, flags, starts = [], [], [], []
+                    for i, (r, b) in enumerate(zip(row.tolist(), base.tolist(), strict=True)):
+                        begin, flag = marks[r]
+                        mine = (begin >= b) & (begin < b + SEGMENT) & (begin <= b + offsets[i + 1] - offsets[i] - window)
+                        where.append(begin[mine] - b + offsets[i])
+                        starts.append(begin[mine])
+                        flags.append(flag[mine])
+                        who.append(np.full(len(starts[-1]), r))
+                    at, r = np.concatenate(where), np.concatenate(who)
+                    yield from buffer.add([names[0][at], names[1][at], docs[r], rid[r], np.concatenate(starts), np.concatenate(flags)])
+        yield from buffer.flush()
+
+    def decide(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if earlier:
+            a, b, doc, rid, at = unpack(rows, _EARLIER)
+            gone = np.flatnonzero(later([a, b], doc))
+        else:
+            a, b, rid, at, many = unpack(rows, _WINDOWS)
+            gone, _, _ = several([a, b], many > 0)
+        yield from answer(rid[gone], at[gone])
+
+    return meet(work.select("rid", "doc", "text", "marks").mapInArrow(slim(ask), SPARK_ROWS), decide).filter(F.col("kind") == ANSWER)
+
+
+# --- blocks of windows -----------------------------------------------------
+
+_BLOCKS = Layout((8, 8, 8, 8, 4, 4, 1), (3,))
+_GRAMS = Layout((8, 8, 4, 4, 1, 1), (1,))
+_GRAM_ASK = 3
+
+
+def exact_blocks(work: DataFrame, ask_blocks: Callable[[pa.RecordBatch, WordHashes | None], Iterator[list[np.ndarray]]], words: bool, buckets: int) -> DataFrame:
+    """Packed answers and open runs: all windows of an anchor at once.
+
+    ``ask_blocks`` gives ``gram, name, name, rid, start, n``: the anchor's own
+    name, the block's two names, and its windows.  Equal blocks are answered
+    whole.  Where one gram has unlike blocks (only near the ends of repeated
+    passages) one copy of each is left open, to be compared window by window.
+    """
+
+    def answer(kind: int, rid: np.ndarray, start: np.ndarray, n: np.ndarray, flag: np.ndarray) -> pa.RecordBatch:
+        return pack(kind, address(rid, buckets), [rid, start, n, flag], SPANS)
 
+    def give(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        gram, a, b, rid, start, n = columns
+        gone, ask, many = several([a, b, gram])
+        yield pack(ASK, address(a[ask], buckets), [x[ask] for x in (gram, a, b, rid, start, n)] + [many], _BLOCKS)
+        yield answer(ANSWER, rid[gone], start[gone], n[gone], 0 * n[gone])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes() if words else None
+        buffer = Buffer(give)
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
-            if len(cols[0]):
-                out, held = decide(cols, False)
-                yield record(schema, out)
-        if held is not None and len(held[0]):
-            yield record(schema, decide(held, True)[0])
+            for first, last in chunks(batch, "text"):
+                for columns in ask_blocks(batch.slice(first, last - first), hashes):
+                    yield from buffer.add(columns)
+        yield from buffer.flush()
 
-    return run
+    def by_block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        gram, a, b, rid, start, n, paired = unpack(rows, _BLOCKS)
+        gone, one, many = several([a, b, gram], paired > 0)
+        yield answer(ANSWER, rid[gone], start[gone], n[gone], 0 * n[gone])
+        # One copy of each block asks whether its gram has other blocks.
+        gram, rid, start, n = gram[one], rid[one], start[one], n[one]
+        unlike, ask, known = several([gram])
+        yield answer(OPEN, rid[unlike], start[unlike], n[unlike], many[unlike])
+        yield pack(_GRAM_ASK, address(gram[ask], buckets), [gram[ask], rid[ask], start[ask], n[ask], many[ask], known], _GRAMS)
 
+    def by_gram(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py() != _GRAM_ASK:
+            return table
+        gram, rid, start, n, many, known = unpack(table, _GRAMS)
+        unlike, _, _ = several([gram], known > 0)
+        return pa.Table.from_batches([answer(OPEN, rid[unlike], start[unlike], n[unlike], many[unlike])])
 
-# --- pass 3: windows -------------------------------------------------------
+    rows = meet(work.select("rid", "doc", "text", "marks").mapInArrow(slim(ask), SPARK_ROWS), by_block)
+    return rows.groupBy("kind", "bucket").applyInArrow(by_gram, SPARK_ROWS)
 
 
-def _emit_windows(rule: Rule, schema: pa.Schema) -> Callable:
-    T = rule.window
+# --- whole jobs ------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rid, docs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            texts = batch.column(2).to_pylist()
-            blocks_of = batch.column(3).to_pylist()
-            got: list[list[np.ndarray]] = []
-            for values, row, base, offsets in segments(texts, rule.words, T):
-                hashes, other = Blocks(values), Blocks(values, 1)
-                for i, (r, b) in enumerate(zip(row.tolist(), base.tolist(), strict=True)):
-                    size = int(offsets[i + 1] - offsets[i])
-                    mine = [x for x in blocks_of[r] if b <= x["start"] < b + size - T + 1]
-                    if not mine:
-                        continue
-                    n = np.array([x["n"] for x in mine])
-                    start = np.repeat(np.array([x["start"] for x in mine]), n)
-                    start = start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
-                    first = start - b + offsets[i]
-                    both = np.repeat(np.array([x["status"] == OK_OPEN for x in mine]), n)
-                    got.append([hashes.of(first, first + T).view(np.int64), (other.of(first, first + T) >> np.uint64(33)).astype(np.int32), np.full(len(start), docs[r]), np.full(len(start), rid[r]), start.astype(np.int32), both])
-            if got:
-                cols = [np.concatenate(x) for x in zip(*got, strict=True)]
-                order, flag = _thin(rule.earlier, cols[:2], cols[2], [cols[3], cols[4]])
-                cols = [c[order] for c in cols]
-                # A window of a block that has a like block elsewhere is repeated already.
-                flag = np.where(cols[5] & (flag == ALONE), PAIRED, flag)
-                cols[0] = _spread(cols[0], flag, cols[3], cols[4])
-                yield record(schema, [*cols[:5], flag])
-
-    return run
-
-
-# --- results ---------------------------------------------------------------
-
-
-def _gone(rule: Rule, n: int, spans: list) -> np.ndarray:
-    """Which of ``n`` tokens are covered by spans of repeated windows."""
+
+def covered(n: int, spans: bytes | None, window: int) -> np.ndarray | None:
+    """Which of ``n`` tokens repeated windows cover; None for none."""
+    if not spans:
+        return None
+    start, count, _ = np.frombuffer(spans, "<i4").reshape(-1, 3).T.astype(np.int64)
     edges = np.zeros(n + 1, np.int64)
-    start = np.array([x["start"] for x in spans])
     np.add.at(edges, start, 1)
-    np.add.at(edges, start + np.array([x["n"] for x in spans]) - 1 + rule.window, -1)
+    np.add.at(edges, start + count - 1 + window, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
-def _finish(rule: Rule, data: bytes, spans: list) -> tuple[int, int, int, bytes]:
-    """Tokens, tokens removed, maximal removed runs, what is left."""
-    units = data.split() if rule.words else data
-    if not spans:
-        return len(units), 0, 0, b" ".join(units) if rule.words else data
-    gone = _gone(rule, len(units), spans)
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    left = b" ".join(compress(units, (~gone).tolist())) if rule.words else np.frombuffer(data, np.uint8)[~gone].tobytes()
-    return len(units), int(gone.sum()), runs, left
+Finish = Callable[[bytes, list[bytes | None]], tuple]
 
 
-def _settle(rule: Rule, schema: pa.Schema, with_text: bool, final: bool) -> Callable:
-    """Results of rows without candidates (or, last, of the others); texts stay where work is left."""
+def find_repeats(docs: DataFrame, rules: list[Rule], key: str, text: str, keep: tuple[str, ...], finish: Finish, result: str) -> DataFrame:
+    """``finish(text, repeated windows by rule)`` of every row, as columns ``result`` (DDL).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            *carried, texts, marks = batch.columns
-            rows = []
-            for scalar, found in zip(texts, marks, strict=True):
-                data = scalar.as_py()
-                if not final and found.is_valid:
-                    rows.append((None, None, None, None, None, data, found.as_py()))
-                    continue
-                n, removed, runs, left = _finish(rule, data, found.as_py() if final and found.is_valid else [])
-                rows.append((n, removed, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None, None, None))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield record(schema, [*carried, *columns[: len(schema) - len(carried)]])
-
-    return run
-
-
-def _spans(work: DataFrame, rule: Rule) -> DataFrame:
-    """Passes 2 and 3 over ``rid, doc, text, marks``: ``rid, spans`` of texts with repeated windows."""
-    s4, a4 = schemas([], "gram long, h long, h2 int, doc long, rid long, start int, n int, flag byte")
-    s5, a5 = schemas([], "rid long, start int, n int, status byte")
-    blocks = work.select("rid", "doc", "text", "marks").mapInArrow(_emit_blocks(rule, a4), s4).repartition("gram").sortWithinPartitions("gram", "h", "h2", "doc")
-    decided = cut(blocks.mapInArrow(_sweep_blocks(rule, a5), s5), "blocks")
-    del blocks
-    sweep(work.sparkSession)
-    todo = decided.filter(F.col("status") >= OPEN).groupBy("rid").agg(F.collect_list(F.struct("start", "n", "status")).alias("blocks"))
-    s6, a6 = schemas([], "h long, h2 int, doc long, rid long, start int, flag byte")
-    s7, a7 = schemas([], "rid long, start int")
-    windows = work.select("rid", "doc", "text").join(todo, "rid").select("rid", "doc", "text", "blocks").mapInArrow(_emit_windows(rule, a6), s6).repartition("h").sortWithinPartitions("h", "h2", "doc")
-    singles = cut(windows.mapInArrow(_sweep_rows(rule.earlier, 2, a7, [3, 4]), s7).withColumn("n", F.lit(1)), "windows")
-    del windows, todo
-    sweep(work.sparkSession)
-    whole = decided.filter(F.col("status") != OPEN).select("rid", "start", "n")
-    return whole.unionByName(singles).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, rule: Rule, key: str, text: str, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """Remove every token covered by a repeated window; one row per input row.
-
-    Columns: ``key``, those of ``keep``, ``n_tokens``, ``n_removed``,
-    ``n_spans``, ``kept_sha256`` and, ``with_text``, ``kept`` (what is left as
-    text; of a character that a removal cut in two, nothing).
+    One row per input row: ``key``, the columns of ``keep`` and those of
+    ``result``.  All rules are judged on the input.  Rows with one key and
+    unlike texts are told apart by the text's hash.
     """
     spark = docs.sparkSession
     # A missing key comes after all others.
-    order = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit((1 << 63) - 1))
-    bare = docs.select(order.alias("doc"), as_bytes(f"`{text}`").alias("text"))
-    s1, a1 = schemas([], "h long, doc long, at int, flag byte")
-    s2, a2 = schemas([], "doc long, at int")
-    found = bare.mapInArrow(_emit_anchors(rule, a1), s1).repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_sweep_rows(False, 1, a2, [1, 2]), s2)
-    alive = found.groupBy("doc").agg(F.collect_set("at").alias("marks"))
-    full = docs.select(order.alias("doc"), F.col(f"`{key}`").alias("__key"), *[F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep)], as_bytes(f"`{text}`").alias("text"))
-    joined = full.join(alive, "doc", "left")
-    carried = ["doc", "__key", *[f"__keep_{i}" for i in range(len(keep))]]
-    fields = [joined.schema[c] for c in carried]
-    result = "n_tokens long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    s3, a3 = schemas(fields, f"{result}, text binary, marks array<int>")
-    split = cut(joined.select(*carried, "text", "marks").mapInArrow(_settle(rule, a3, with_text, False), s3).withColumn("rid", F.monotonically_increasing_id()), "texts")
-    del found, alive, joined
+    doc = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit((1 << 63) - 1)).alias("doc")
+    copy = F.xxhash64(as_bytes(f"`{text}`")).bitwiseAND(F.lit((1 << 31) - 1)).alias("copy")
+    bare = docs.select(doc, copy, as_bytes(f"`{text}`").alias("text"))
+    buckets = bucket_count(bare)
+    marks = [cut(rule.candidates(bare, buckets), "marks") for rule in rules]
     sweep(spark)
-    work = split.filter("marks is not null")
-    spans = _spans(work, rule)
-    s8, a8 = schemas(fields, result)
-    changed = work.select("rid", *carried, "text").join(spans, "rid", "left").select(*carried, "text", "spans").mapInArrow(_settle(rule, a8, with_text, True), s8)
-    out = split.filter("marks is null").select(*s8.fieldNames()).unionByName(changed)
-    names = [F.col("__key").alias(key), *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_removed", "n_spans", "kept_sha256"]
-    return out.select(*names, *(["kept"] if with_text else []))
-
-
-def _byte_runs(rule: Rule, data: bytes, spans: list) -> list[dict[str, int]]:
-    """Byte runs that spans cover; with a run of words goes the white space after it."""
-    if rule.words:
-        begin = np.array([m.start() for m in _WORD.finditer(data)] + [len(data)])
-        gone = _gone(rule, len(begin) - 1, spans)
-    else:
-        begin = np.arange(len(data) + 1)
-        gone = _gone(rule, len(data), spans)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).view(np.int8)))
-    return [{"start": int(begin[a]), "end": int(begin[b])} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-
-
-def cut_repeats(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """``docs`` with every byte taken out of ``text`` that any of ``rules`` finds repeated in the input.
-
-    All rules are judged on the input, so what one takes out hides nothing from
-    another.  All else stays as it is, white space too; of a character cut in
-    two, nothing stays.  Null and empty texts give empty ones.
-    """
-    # A row's own number is its document: rows repeated whole count as elsewhere.
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    s1, a1 = schemas([], "h long, doc long, at int, flag byte")
-    s2, a2 = schemas([], "doc long, at int")
-    s3, a3 = schemas([], "row long, runs array<struct<start: int, end: int>>")
-    runs = []
-    for rule in rules:
-
-        def byte_runs(batches: Iterator[pa.RecordBatch], rule: Rule = rule) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                got = [_byte_runs(rule, data.as_py(), found.as_py()) for data, found in zip(batch.column(1), batch.column(2), strict=True)]
-                yield record(a3, [batch.column(0), got])
-
-        bare = rows.select(F.col("__row").alias("doc"), as_bytes(f"`{text}`").alias("text"))
-        found = bare.mapInArrow(_emit_anchors(rule, a1), s1).repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_sweep_rows(False, 1, a2, [1, 2]), s2)
-        alive = found.groupBy("doc").agg(F.collect_set("at").alias("marks"))
-        work = cut(bare.join(alive, "doc").select(F.col("doc").alias("rid"), "doc", "text", "marks"), "texts")
-        del found, alive
-        sweep(docs.sparkSession)
-        spans = _spans(work, rule)
-        runs.append(cut(work.select("rid", "text").join(spans, "rid").select("rid", "text", "spans").mapInArrow(byte_runs, s3), "runs"))
-        forget(work, spans)
-        del spans
-        sweep(docs.sparkSession)
-    every = runs[0]
-    for one in runs[1:]:
-        every = every.union(one)
-    every = every.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    carried = [F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(docs.columns)]
-    source = rows.join(every, F.col("__row") == F.col("row"), "left").select(*carried, as_bytes(f"`{text}`").alias("text"), "runs")
-    s4, a4 = schemas(source.schema.fields[: len(carried)], "left string")
-
-    def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    carried = [F.col(f"`{key}`").alias("__key"), *[F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep)]]
+    joined = docs.select(doc, copy, *carried, as_bytes(f"`{text}`").alias("text"))
+    for i, found in enumerate(marks):
+        joined = joined.join(found.withColumnRenamed("marks", f"marks_{i}"), ["doc", "copy"], "left")
+    names = ["doc", "__key", *[f"__keep_{i}" for i in range(len(keep))]]
+    fields = [joined.schema[c] for c in names]
+    columns = [f"marks_{i}" for i in range(len(rules))]
+    s1, a1 = schemas(fields, f"{result}, text binary, {', '.join(f'{c} binary' for c in columns)}")
+    s2, a2 = schemas(fields, result)
+    size = len(a2) - len(names)
+
+    def settle(batches: Iterator[pa.RecordBatch], final: bool) -> Iterator[pa.RecordBatch]:
+        """Results of rows without candidates (or, last, of the others); texts stay where work is left."""
         for batch in batches:
-            *kept, texts, found = batch.columns
-            left = []
-            for scalar, marks in zip(texts, found, strict=True):
-                data = scalar.as_py()
-                if marks.is_valid:
-                    stay = np.ones(len(data), bool)
-                    for run in marks.as_py():
-                        stay[run["start"] : run["end"]] = False
-                    data = np.frombuffer(data, np.uint8)[stay].tobytes()
-                left.append(data.decode("utf-8", "ignore"))
-            yield record(a4, [*kept, left])
-
-    out = source.mapInArrow(take_out, s4)
-    return out.select(*[F.col("left" if c == text else f"__keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
+            for first, last in chunks(batch, "text"):
+                *kept, texts = batch.slice(first, last - first).columns[: len(names) + 1]
+                found = batch.slice(first, last - first).columns[len(names) + 1 :]
+                rows = []
+                for data, *spans in zip(texts, *found, strict=True):
+                    data, spans = data.as_py(), [x.as_py() for x in spans]
+                    if final or not any(spans):
+                        rows.append((*finish(data, spans), None, *[None] * len(spans)))
+                    else:
+                        rows.append((*[None] * size, data, *spans))
+                out = list(zip(*rows, strict=True))
+                yield record(a2, [*kept, *out[:size]]) if final else record(a1, [*kept, *out])
+
+    split = cut(joined.select(*names, "text", *columns).mapInArrow(slim(lambda it: settle(it, False)), s1).withColumn("rid", F.monotonically_increasing_id()), "texts")
+    forget(*marks)
+    del joined
+    sweep(spark)
+    work = split.filter("text is not null")
+    changed = work.select("rid", *names, "text")
+    spans = []
+    for i, rule in enumerate(rules):
+        some = work.filter(F.col(f"marks_{i}").isNotNull()).select("rid", "doc", "text", F.col(f"marks_{i}").alias("marks"))
+        spans.append(cut(rule.exact(some, buckets), "spans"))
+        sweep(spark)
+        changed = changed.join(spans[-1].withColumnRenamed("spans", f"spans_{i}"), "rid", "left")
+    changed = changed.select(*names, "text", *[f"spans_{i}" for i in range(len(rules))]).mapInArrow(slim(lambda it: settle(it, True)), s2)
+    out = split.filter("text is null").select(*s2.fieldNames()).unionByName(changed)
+    return out.select(F.col("__key").alias(key), *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)], *s2.fieldNames()[len(names) :])

@@ -1,22 +1,145 @@
 """Substring dedup by level-wise doubling over word windows.
 
-Level one takes windows of half the length; those found alone end there.  Only
-windows around the others are extended to the full length, which is the last
-level.  Not every half window is looked at: each full window names one of them
-(its anchor), the same in every copy.  See :mod:`brindle.llm.repeats`.
+Level by level, windows of ``first``, twice, four times, ... as many words are
+counted over the corpus.  A window found alone ends there; two neighbours that
+are both repeated are extended to one window of twice the length (the last
+level: to ``window`` words, by two that overlap), until no candidates survive.
+The windows that reach the full length are compared by 128-bit names with the
+documents they start in.
+
+Levels under ``first`` words are left out: nearly every word and pair of words
+of prose occurs twice, so they would cost an exchange each and end nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import compress
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm._shared import table
-from brindle.llm.repeats import Rule, remove_repeats
+from brindle.llm._packed import ANSWER, ASK, SPARK_ROWS, Buffer, Layout, address, as_table, meet, pack, runs, several, unpack
+from brindle.llm._shared import chunks, cut, schemas, slim, sweep, table
+from brindle.llm._windows import WordHashes, join, ladder, segments, word_parts
+from brindle.llm.repeats import MARKS, SPANS, covered, exact_windows, find_repeats, gather, largest_power, owner
 
 WINDOW = 13
+#: Words of the first level.
+FIRST = 4
+#: Names that only select candidates have 48 bits.
+_SHORT = np.uint64((1 << 48) - 1)
+_ASKED = Layout((6, 8, 4, 4, 1), (1,))
+_FOUND = Layout((6, 8, 4, 4), (1,))
+
+
+def level_sizes(window: int, first: int) -> list[int]:
+    """Lengths of the levels that are counted: powers of two from ``first`` on, below ``window``."""
+    first = min(largest_power(first), largest_power(max(1, window - 1)))
+    sizes = [first]
+    while 2 * sizes[-1] < window:
+        sizes.append(2 * sizes[-1])
+    return sizes
+
+
+@dataclass(frozen=True)
+class LevelRule:
+    """Word windows that also start in a document with a smaller key."""
+
+    window: int = WINDOW
+    first: int = FIRST
+    words: bool = True
+
+    def candidates(self, bare: DataFrame, buckets: int) -> DataFrame:
+        window, sizes = self.window, level_sizes(self.window, self.first)
+
+        def give(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            name, doc, copy, at = columns
+            found, ask, many = several([name])
+            yield pack(ASK, address(name[ask], buckets), [x[ask] for x in columns] + [many], _ASKED)
+            yield pack(ANSWER, address(owner(doc[found], copy[found]), buckets), [x[found] for x in columns], _FOUND)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The first level's windows."""
+            hashes, buffer = WordHashes(), Buffer(give)
+            for batch in batches:
+                for a, b in chunks(batch, "text"):
+                    doc, copy = (batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in (0, 1))
+                    for values, row, base, offsets in segments(batch.column(2).slice(a, b - a).to_pylist(), hashes, window, 1):
+                        name = ladder(values[0], (sizes[0],))[0] & _SHORT
+                        place = np.arange(len(name))
+                        part = np.searchsorted(offsets, place, "right") - 1
+                        ok = place + sizes[0] <= offsets[part + 1]
+                        place, part = place[ok], part[ok]
+                        yield from buffer.add([name[ok], doc[row[part]], copy[row[part]], place - offsets[part] + base[part]])
+            yield from buffer.flush()
+
+        def decide(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            name, doc, copy, at, many = unpack(rows, _ASKED)
+            found, _, _ = several([name], many > 0)
+            doc, copy = doc[found], copy[found]
+            yield pack(ANSWER, address(owner(doc, copy), buckets), [name[found], doc, copy, at[found]], _FOUND)
+
+        def extended(rows: pa.Table, step: int) -> list[np.ndarray]:
+            """Windows made of two survivors ``step`` apart in one text."""
+            columns = unpack(rows, _FOUND)
+            name, doc, copy, at = columns
+            order = np.lexsort((name, at, copy, doc))
+            name, doc, copy, at = (c[order] for c in columns)
+            new = runs(doc, copy, at, name)  # parts of one text overlap
+            name, doc, copy, at = name[new].view(np.uint64), doc[new], copy[new], at[new]
+            place = ((np.cumsum(runs(doc, copy)) - 1) << 32) | at
+            low, high = np.searchsorted(place, place + step), np.searchsorted(place, place + step, "right")
+            left = np.repeat(np.arange(len(place)), high - low)
+            right = np.repeat(low - np.cumsum(high - low) + high - low, high - low) + np.arange(len(left))
+            return [join(name[left], name[right]) & _SHORT, doc[left], copy[left], at[left]]
+
+        def longer_by(step: int):
+            return lambda rows: as_table(give(extended(rows, step)))
+
+        def whole(step: int):
+            def run(rows: pa.Table) -> pa.Table:
+                _, doc, copy, at = extended(rows, step)
+                return as_table([pack(ANSWER, address(owner(doc, copy), buckets), [doc, copy, at, np.ones_like(at), np.zeros_like(at)], MARKS)])
+
+            return run
+
+        rows = bare.mapInArrow(slim(count), SPARK_ROWS)
+        for size, longer in zip(sizes, [*sizes[1:], window], strict=True):
+            survivors = cut(meet(rows, decide).filter(F.col("kind") == ANSWER), "level")
+            del rows
+            sweep(bare.sparkSession)
+            if not survivors.limit(1).count():
+                return bare.sparkSession.createDataFrame([], schemas([], "doc long, copy long, marks binary")[0])
+            extend = whole if size == sizes[-1] else longer_by
+            rows = survivors.groupBy("bucket").applyInArrow(extend(longer - size), SPARK_ROWS)
+        return gather(rows, MARKS, ("doc", "copy"), "marks")
+
+    def exact(self, work: DataFrame, buckets: int) -> DataFrame:
+        return gather(exact_windows(work, True, self.window, True, buckets), SPANS, ("rid",), "spans")
+
+
+def _finish(data: bytes, spans: list[bytes | None], window: int, with_text: bool) -> tuple:
+    words = sum(len(part) for part in word_parts(data)) if len(data) > 1 << 20 else len(data.split())
+    gone = covered(words, spans[0], window)
+    if gone is None:
+        gone = np.zeros(words, bool)
+    digest, kept, at = hashlib.sha256(), [], 0
+    for part in word_parts(data):
+        left = list(compress(part, (~gone[at : at + len(part)]).tolist()))
+        at += len(part)
+        if left:
+            piece = (b" " if kept else b"") + b" ".join(left)
+            digest.update(piece)
+            kept.append(piece if with_text else b"")
+    return words, int(gone.sum()), digest.hexdigest(), b"".join(kept).decode("utf-8", "ignore") if with_text else None
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, with_text: bool = False, first: int = FIRST) -> DataFrame:
     """Remove each word covered by a ``window``-word sequence that also starts in a document with a smaller key.
 
     One row per input row: ``key``, ``keep`` columns, ``n_words``,
@@ -28,8 +151,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     whole; rows with one key never remove from each other; a null key is larger
     than any other; an empty table gives an empty one; other columns are ignored.
     """
-    rule = Rule(words=True, window=window, gram=(window + 1) // 2, earlier=True)
-    return remove_repeats(docs, rule, key, text, keep, with_text).withColumnRenamed("n_tokens", "n_words").drop("n_spans")
+    out = find_repeats(docs, [LevelRule(window, first)], key, text, keep, lambda data, spans: _finish(data, spans, window, with_text), "n_words long, n_removed long, kept_sha256 string, kept string")
+    return out if with_text else out.drop("kept") if "kept" not in keep else out
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections import defaultdict
 
 import numpy as np
 
-from brindle.llm import minhash_dedup, repeats, suffix_dedup, substring_dedup
+from brindle.llm import minhash_dedup, suffix_dedup, substring_dedup
 from brindle.llm.components import contract
-from brindle.llm.components import _merge
+from brindle.llm.components import merge as _merge
 
 SCHEMA = "doc_id long, text string, doc long, rid long, marks string"  # names that clash with inner ones
 
@@ -91,13 +91,80 @@ def test_suffix_windows(spark):
     check_bytes(spark, corpus(1), 24)
 
 
-def test_suffix_windows_over_segments(spark, monkeypatch):
-    from brindle.llm import _windows
-
+def test_suffix_windows_wide(spark):
     check_bytes(spark, corpus(2, 60), 40)
-    monkeypatch.setattr(_windows, "SEGMENT", 64)
-    values = [(v, r, b, o) for v, r, b, o in _windows.segments([b"abcdefgh" * 40], False, 10)]
-    assert sum(len(o) - 1 for *_, o in values) > 3
+
+
+def long_texts(words):
+    """Texts over several parts of the kernels, with passages that stand on the borders between parts."""
+    rnd = random.Random(12)
+    passage = " ".join(f"p{rnd.randrange(10**6)}" for _ in range(300))
+    fill = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    first = fill(140_000 if words else 18_300)
+    edge = len(first.encode()) if not words else 0
+    long = f"{first} {passage} {fill(3000)} {passage[:1500]} {fill(9000)} {passage}"
+    return [(1, long), (2, f"{fill(40)} {passage} {fill(5)}"), (3, passage[7:900]), (4, long[edge - 900 : edge + 900]), (4, passage), (5, fill(200))]
+
+
+def test_long_texts_bytes(spark):
+    """400-byte strings in texts over the border of 131,072 bytes."""
+    texts = long_texts(False)
+    assert len(texts[0][1]) > 1 << 17
+    check_bytes(spark, texts, 400)
+
+
+def test_long_texts_words(spark):
+    texts = long_texts(True)
+    assert len(texts[0][1]) > 1 << 20
+    check_words(spark, texts, 13)
+
+
+def test_suffix_windows_of_the_contract(spark):
+    rnd = random.Random(3)
+    base = ["".join(rnd.choice("abcdé ") for _ in range(900)) for _ in range(4)]
+    texts = [(i, rnd.choice(base)[rnd.randrange(300) :] + "".join(rnd.choice("xyz ") for _ in range(rnd.randrange(300))) + rnd.choice(base)[: rnd.randrange(900)]) for i in range(40)]
+    check_bytes(spark, [*texts, (3, texts[3][1]), (None, None), (50, "a" * 2000)], 400)
+
+
+def test_word_levels_from_one_word(spark):
+    """The first level's length changes what is asked, not what is found."""
+    texts = corpus(9, 60)
+    df = substring_dedup.substring_dedup(table(spark, texts), first=1)
+    assert substring_dedup.level_sizes(13, 1) == [1, 2, 4, 8] and substring_dedup.level_sizes(13, 4) == [4, 8]
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in df.collect()) == brute_words(texts, 13)
+
+
+def test_words_with_structure_stay_apart(spark):
+    """A Thue-Morse word and its complement are hashed alike by any polynomial modulo a power of two."""
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    y = x.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{i}" for i in range(12))
+    got = substring_dedup.substring_dedup(table(spark, [(1, f"{head} {x}"), (2, f"{head} {y}")])).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+    assert suffix_dedup.suffix_dedup(table(spark, [(1, x), (2, y)]), window=900).filter("n_removed > 0").count() == 0
+
+
+def test_passages_of_over_fifty_words(spark):
+    rnd = random.Random(4)
+    fill = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    a, b = " ".join(f"x{i}" for i in range(51)), " ".join(f"y{i}" for i in range(50))
+    texts = [(1, f"{fill(5)} {a}\n{fill(9)} {b}"), (2, f"{a} {fill(7)} {b}"), (3, fill(80))]
+    got = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(table(spark, texts), with_text=True, cut_passages=True).collect()}
+    assert {i: r["n_passage_words"] for i, r in got.items()} == {1: 51, 2: 51, 3: 0}
+    assert got[2]["kept"] == texts[1][1][len(a) + 1 :] and got[3]["kept"] == texts[2][1]
+
+
+def test_radix_groups_are_equal_suffixes():
+    rng = np.random.default_rng(3)
+    digits = [rng.integers(0, 4, 500) for _ in range(4)]
+    paired = rng.random(500) < 0.02
+    left = suffix_dedup.radix_groups(digits, paired)
+    keys = list(zip(*digits, strict=True))
+    size = defaultdict(int)
+    for k, p in zip(keys, paired, strict=True):
+        size[k] += 1 + p
+    assert sorted(left.tolist()) == [i for i, k in enumerate(keys) if size[k] > 1]
+    assert [keys[i] for i in left] == sorted(keys[i] for i in left)
 
 
 def test_word_windows(spark):
@@ -108,24 +175,6 @@ def test_word_windows_short(spark):
     check_words(spark, corpus(4), 5)
 
 
-def test_sweeps_with_small_holds(spark, monkeypatch):
-    """A gram with more rows than may be held goes through in parts."""
-    rule = repeats.Rule(False, 4, 2, False)
-    import pyarrow as pa
-
-    n = 50
-    cols = {"gram": [1] * n, "h": [1] * 20 + list(range(2, 32)), "h2": [0] * n, "doc": list(range(n)), "rid": list(range(n)), "start": [0] * n, "n": [1] * n, "flag": [0] * n}
-    types = {"h2": pa.int32(), "start": pa.int32(), "n": pa.int32(), "flag": pa.int8()}
-    batch = pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in cols.items()], names=list(cols))
-    _, schema = repeats.schemas([], "rid long, start int, n int, status byte")
-    run = lambda parts: sorted((r["rid"], r["status"]) for b in repeats._sweep_blocks(rule, schema)(iter(parts)) for r in b.to_pylist())
-    whole = run([batch])
-    monkeypatch.setattr(repeats, "HOLD", 3)
-    got = dict(run([batch.slice(i, 7) for i in range(0, n, 7)]))
-    assert {r for r, s in whole if s & 1} == {r for r, s in got.items() if s & 1}
-    assert {r for r, s in whole if s & 2} <= {r for r, s in got.items() if s & 2} | {0}
-
-
 def test_empty_table(spark):
     empty = table(spark, [(1, "a")]).limit(0)
     assert suffix_dedup.suffix_dedup(empty).count() == 0
@@ -221,6 +270,36 @@ def test_components_by_tasks_and_rounds(spark):
     assert got == dict(zip(nodes.tolist(), root.tolist(), strict=True))
 
 
+def test_one_link_in_a_family_below_the_threshold(spark):
+    """150 texts that share one heavy shingle, 0.794 alike pairwise, and one pair at 0.834: it is linked at any seed."""
+    for seed in range(2):
+        texts = [(i, "z " * 1000 + " ".join(f"p{seed}-{i}-{j}" for j in range(130))) for i in range(150)]
+        own = [f"q{seed}-{j}" for j in range(28)]
+        texts += [(i, "z " * 1000 + " ".join([*own, *(f"r{seed}-{i}-{j}" for j in range(102))])) for i in (150, 151)]
+        want = brute_classes(texts, 1)
+        got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(table(spark, texts), size=1).collect()}
+        assert got == want and len(set(want.values())) == 151
+
+
+def brute_classes(texts, size):
+    sets = []
+    for _, t in texts:
+        w = t.split()
+        c = defaultdict(int)
+        for j in range(len(w) - size + 1):
+            c[tuple(w[j : j + size])] += 1
+        sets.append(c)
+    root = list(range(len(texts)))
+    names = {k: i for i, k in enumerate(sorted({k for c in sets for k in c}))}
+    packed = [tuple(np.array(x) for x in zip(*sorted((names[k], float(v)) for k, v in c.items()), strict=True)) for c in sets]
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and minhash_dedup.probability_jaccard(packed[a], packed[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return {i: texts[r][0] for (i, _), r in zip(texts, root, strict=True)}
+
+
 def test_pairs_of_large_buckets(spark):
     """Drafts of a template below 0.74, and two near copies of it at 0.96 whose shared buckets hold hundreds of drafts."""
     rnd = random.Random(11)
