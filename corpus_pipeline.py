@@ -12,14 +12,10 @@ from pyspark.sql import functions as F
 from brindle.llm._shared import cut, table
 from brindle.llm.minhash_dedup import near_duplicates
 from brindle.llm.packing import default_vocabulary, pack
-from brindle.llm.repeats import cut_repeats
 from brindle.llm.secrets import scan_secrets
-from brindle.llm.suffix_dedup import byte_rule, word_rule
+from brindle.llm.suffix_dedup import suffix_dedup
 from brindle.llm.toxicity import toxicity_scores
 
-#: Words of the shortest repeated passage that is taken out whatever its bytes: over 50.
-PASSAGE = 51
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that score as toxic."""
@@ -39,8 +35,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated passages of 400 bytes or of over 50 words out of the texts; characters cut in two go with them."""
-    return _rewritten(cut_repeats(docs, [byte_rule(), word_rule(PASSAGE)]), docs)
+    """Take repeated passages of 400 bytes or of over 50 words out of the texts.
+
+    Every copy of a passage goes, the first too: what is left holds none.
+    Characters cut in two go with it.
+    """
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = suffix_dedup(docs, keep=rest, with_text=True, cut_passages=True)
+    return _rewritten(out.withColumn("text", F.col("kept")), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
