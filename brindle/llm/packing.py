@@ -1,96 +1,39 @@
-"""Best-fit packing of tokenised documents into sequences of one length.
-
-Lengths are whole numbers up to the capacity, so the range-sorted order of
-pieces and of gaps is a list of runs, at most one run of pieces per length.
-Pieces are sorted and ranked by Spark; the rounds work on runs.  A round takes
-the longest pieces left, sweeps the gaps upwards for the successor (the
-smallest gap that holds them), gives the gaps of a run to the pieces of a run
-by rank, and updates the gaps.  What a round decides is an interval of ranks,
-so the rounds cost the same at any number of documents, and each row finds its
-place by its rank.  The outcome is that of best-fit decreasing.
+"""Bulk-synchronous best-fit packing of tokenised documents into sequences of one length.
+
+Pieces are taken class by class, longest first (each class goes down to half the
+length of the one before).  In a round, the pieces of the class and the gaps of
+open sequences that could hold one are range-sorted by size together.  Every
+task sweeps its range downwards and gives each piece its successor, the smallest
+gap that holds it; what a piece leaves of a gap is a gap again.  Pieces that find
+none in their range conflict for the gaps left over in higher ranges: both are
+ranked, a task's count of each is all that leaves it, and rank by rank the last
+piece gets the nearest gap above.  Gaps are updated and rounds repeat while they
+place enough; pieces that no gap holds then open sequences, again by best fit.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from brindle.llm._shared import as_bytes, cut, forget, record, schemas, table
+from brindle.llm._shared import as_bytes, chunks, cut, record, schemas, slim, table
+from brindle.llm.word_bpe import WordIds
 
 CAPACITY = 2048
-#: Words of which a worker remembers the ids; past it the memory starts anew.
-REMEMBERED = 600_000
-_PUNCTUATION = b".,!?;:"
-
-
-class WordIds(dict):
-    """Ids of white-space words as little-endian 16-bit bytes, by the library, remembered.
-
-    White space never joins words in this kind of tokenizer (it splits at white
-    space first), so a text's ids are those of its words in turn.
-    """
-
-    def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        if max(vocabulary.values()) > 0xFFFF:
-            raise ValueError("ids over 65535 do not fit")
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode words not seen yet; plain words in one call, split at word-end ids."""
-        missing = [w for w in words if w not in self]
-        if len(self) + len(missing) > REMEMBERED:
-            self.clear()
-            missing = list(words)
-        plain: dict[str, None] = {}
-        later: list[tuple[bytes, str, bytes]] = []
-        for word in missing:
-            core = word.rstrip(_PUNCTUATION)
-            text = core.decode()
-            if text.isalpha() and max(text) < "ɐ" and "İ" not in text and "ŉ" not in text:
-                low = text.lower()
-                later.append((word, low, word[len(core) :]))
-                if low.encode() not in self:
-                    plain[low] = None
-            else:
-                self[word] = self._one(word.decode())
-        if plain:
-            names = list(plain)
-            ids = np.array(self.tokenizer.encode(" ".join(names), add_special_tokens=False).ids, np.uint16)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(names):
-                data = ids.tobytes()
-                for name, a, b in zip(names, [0, *(2 * cuts[:-1]).tolist()], (2 * cuts).tolist(), strict=True):
-                    self[name.encode()] = data[a:b]
-            else:
-                for name in names:
-                    self[name.encode()] = self._one(name)
-        for word, low, tail in later:
-            value = self[low.encode()]
-            if tail:
-                if tail not in self:
-                    self[tail] = self._one(tail.decode())
-                value += self[tail]
-            self[word] = value
-
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        get = self.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u2") for words in split]
-
+#: Shorter pieces are one class.
+SHORTEST = 64
+#: Pieces and gaps that one task sweeps (on average).
+SWEPT = 4_096
+#: Rounds of a class repeat while one places at least this share of the pieces it had.
+REPEAT = 0.25
+#: What a round says: a piece placed; a gap updated; a gap left over; a piece left over.
+PLACED, GAP, FREE, LEFT = range(4)
 
 _MODELS: dict[str, WordIds] = {}
 
@@ -105,79 +48,211 @@ def word_ids(path: str) -> WordIds:
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     model = word_ids(path)
     for batch in batches:
-        keys, texts = batch.columns
-        source, piece, start, length, crc = [], [], [], [], []
-        for row in range(0, batch.num_rows, 256):
-            for i, ids in enumerate(model.ids(texts[row : row + 256].to_pylist()), row):
+        for a, b in chunks(batch, "__bytes"):
+            part = batch.slice(a, b - a)
+            source, piece, start, length, crc = [], [], [], [], []
+            for i, ids in enumerate(model.texts(part.column(1).to_pylist())):
                 full = np.zeros(len(ids) + 1, "<u4")
                 full[:-1] = ids
                 for n, at in enumerate(range(0, len(full), capacity)):
-                    part = full[at : at + capacity]
+                    data = full[at : at + capacity]
                     source.append(i)
                     piece.append(n)
                     start.append(at)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-        yield record(schema, [keys.take(pa.array(source, pa.int32())), piece, start, length, crc])
-
-
-def best_fit(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Rounds of best fit over runs: rows of (length, first rank, pieces, first sequence, offset).
-
-    ``counts[n]`` is the number of pieces of length ``n``.  The ``pieces``
-    ranks from ``first rank`` go to as many sequences from ``first sequence``.
+                    length.append(len(data))
+                    crc.append(zlib.crc32(data.tobytes()))
+            yield record(schema, [part.column(0).take(pa.array(source, pa.int32())), piece, start, length, crc])
+
+
+class Gaps:
+    """Open sequences by the room they have left; the successor of a length in one step."""
+
+    def __init__(self, capacity: int) -> None:
+        self.by_room: list[list] = [[] for _ in range(capacity + 1)]
+        self.some = 0  # bit n: some sequence has room n
+
+    def add(self, room: int, what: tuple) -> None:
+        self.by_room[room].append(what)
+        self.some |= 1 << room
+
+    def take(self, length: int) -> tuple[int, tuple] | None:
+        """The smallest room of at least ``length`` and a sequence that has it."""
+        above = self.some >> length
+        if not above:
+            return None
+        room = length + (above & -above).bit_length() - 1
+        held = self.by_room[room]
+        what = held.pop()
+        if not held:
+            self.some ^= 1 << room
+        return room, what
+
+    def all(self) -> Iterator[tuple[int, tuple]]:
+        """Rooms in ascending order."""
+        for room, held in enumerate(self.by_room):
+            for what in held:
+                yield room, what
+
+
+_STATE = "kind byte, id long, size long, used long, seq long, part int, rank long"
+
+
+def _sweep(batches: Iterator[pa.RecordBatch], capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Pieces and gaps of one range: placed pieces, updated gaps, what is left over and its rank."""
+    rows = [x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    if not rows:
+        return
+    part = TaskContext.get().partitionId()
+    gaps, out, left = Gaps(capacity), [], 0
+    for is_gap, i, size, used in rows:
+        if is_gap:
+            gaps.add(size, (i, used, True))
+    for size, i in sorted(((size, i) for is_gap, i, size, _ in rows if not is_gap), reverse=True):
+        found = gaps.take(size)
+        if found is None:
+            out.append((LEFT, i, size, 0, 0, part, left))
+            left += 1
+            continue
+        room, (seq, used, _) = found
+        out.append((PLACED, i, size, used, seq, part, 0))
+        if room > size:
+            gaps.add(room - size, (seq, used + size, False))
+    free = 0
+    for room, (seq, used, untouched) in gaps.all():
+        # Only gaps that nothing was put into are sure to hold what lower ranges have left.
+        out.append((FREE if untouched else GAP, seq, room, used, 0, part, free if untouched else 0))
+        free += untouched
+    yield record(schema, list(zip(*out, strict=True)))
+
+
+def rank_matches(free: dict[int, int], left: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """Intervals of ranks that match: (task of pieces, first rank, task of gaps, first rank, count).
+
+    ``free`` and ``left`` count each task's gaps and pieces left over; tasks are
+    numbered from the largest sizes down.  A task's pieces take the nearest gaps above.
     """
-    runs: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []
-    out: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def add(size: int, first: int, n: int) -> None:
-        if size and n:
-            if size not in runs:
-                runs[size] = []
-                insort(sizes, size)
-            runs[size].append((first, n))
-
-    for length in range(capacity, 0, -1):
-        left, rank = int(counts[length]), 0
+    stack: list[list[int]] = []
+    out = []
+    for part in sorted({*free, *left}):
+        rank, need = 0, left.get(part, 0)
+        while need and stack:
+            above, first, n = stack[-1]
+            k = min(need, n)
+            out.append((part, rank, above, first, k))
+            rank, need = rank + k, need - k
+            stack[-1][1:] = first + k, n - k
+            if k == n:
+                stack.pop()
+        if free.get(part):
+            stack.append([part, 0, free[part]])
+    return out
+
+
+def _numbered(intervals: list[tuple[int, int, int]], schema: pa.Schema):
+    """Adds to each row the number of the match that its task and rank are part of (-1: none)."""
+    part, first, n = np.array(sorted(intervals), np.int64).reshape(-1, 3).T
+    place = np.array([p << 40 | f for p, f in zip(part.tolist(), first.tolist(), strict=True)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch], base: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (5, 6))
+            i = np.searchsorted(place, p << 40 | rank, "right") - 1
+            ok = (i >= 0) & (part[i] == p) & (rank < first[i] + n[i])
+            yield record(schema, [*batch.columns, np.where(ok, base[i] + rank - first[i], -1)])
+
+    return run
+
+
+def _open(batches: Iterator[pa.RecordBatch], turn: int, capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Pieces that open sequences, by best fit among the sequences of this task."""
+    pieces = sorted(((size, i) for batch in batches for i, size in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)), reverse=True)
+    if not pieces:
+        return
+    base = turn << 50 | TaskContext.get().partitionId() << 30
+    gaps, out, opened = Gaps(capacity), [], 0
+    for size, i in pieces:
+        found = gaps.take(size)
+        if found is None:
+            found = capacity, (base + opened, 0)
+            opened += 1
+        room, (seq, used) = found
+        out.append((PLACED, i, size, used, seq, 0, 0))
+        if room > size:
+            gaps.add(room - size, (seq, used + size))
+    out += [(GAP, seq, room, used, 0, 0, 0) for room, (seq, used) in gaps.all()]
+    yield record(schema, list(zip(*out, strict=True)))
+
+
+def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
+    """``id, seq, used`` for ``id, length``: the sequence of each piece and what that holds before it."""
+    spark = pieces.sparkSession
+    state, arrow = schemas([], _STATE)
+    by_class = {r["c"]: r["n"] for r in pieces.groupBy(_class_of(F.col("length"), capacity).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a dozen classes
+    placed: list[DataFrame] = []
+    gaps: DataFrame | None = None
+    turn, n_gaps = 0, 0
+    for c in sorted(by_class, reverse=True):
+        todo = pieces.filter(_class_of(F.col("length"), capacity) == c).select("id", F.col("length").alias("size"))
+        low, left = (c // 2 + 1 if c > SHORTEST else 1), by_class[c]
         while left:
-            at = bisect_left(sizes, length)
-            if at < len(sizes):
-                size = sizes[at]
-                first, n = runs[size].pop()
-                if not runs[size]:
-                    del runs[size], sizes[at]
-            else:
-                size, first = capacity, opened
-                n = -(-left // (capacity // length))
-                opened += n
-            each = min(size // length, left)
-            used = min(n, left // each)
-            for j in range(each):
-                out.append((length, rank, used, first, capacity - size + j * length))
-                rank += used
-            left -= each * used
-            add(size - each * length, first, used)
-            add(size, first + used, n - used)
-    return np.array(out, np.int64).reshape(-1, 5)
-
-
-def _place(batches: Iterator[pa.RecordBatch], starts: dict[tuple[int, int], tuple[int, int]], plan: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((plan[:, 1], plan[:, 0]))
-    plan = plan[order]
-    code = (plan[:, 0] << 48) + plan[:, 1]
-    for batch in batches:
-        length = batch.column(3).to_numpy(zero_copy_only=False)
-        at = batch.column(5).to_numpy(zero_copy_only=False)
-        rank = np.empty(len(at), np.int64)
-        pair = np.stack([at >> 33, length])
-        for p, n in np.unique(pair, axis=1).T.tolist():
-            here = (pair[0] == p) & (pair[1] == n)
-            first, before = starts[p, n]
-            rank[here] = at[here] - first + before
-        i = np.searchsorted(code, (length << 48) + rank, "right") - 1
-        yield record(schema, [*batch.columns[:5], plan[i, 3] + rank - plan[i, 1], plan[i, 4]])
+            turn += 1
+            if gaps is not None and n_gaps:
+                items = todo.select(F.lit(False).alias("gap"), "id", "size", F.lit(0).cast("long").alias("used")).unionByName(gaps.filter(F.col("size") >= low).select(F.lit(True).alias("gap"), "id", "size", "used"))
+                tasks = max(1, -(-(left + n_gaps) // SWEPT))
+                ranged = items.repartitionByRange(tasks, F.desc("size"), F.desc("gap"), F.xxhash64("id"))
+                swept = cut(ranged.mapInArrow(lambda it: _sweep(it, capacity, arrow), state), "swept")
+                counts = {(r["kind"], r["part"]): r["n"] for r in swept.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows a task
+                of = lambda kind: {p: n for (k, p), n in counts.items() if k == kind}  # noqa: B023, E731
+                matches = rank_matches(of(FREE), of(LEFT))
+                if matches:
+                    swept = _resolve(swept, matches, state, arrow)
+                found = sum(of(PLACED).values()) + sum(x[-1] for x in matches)
+                placed.append(swept.filter(F.col("kind") == PLACED).select("id", "seq", "used"))
+                rest = gaps.filter(F.col("size") < low)
+                gaps = rest.unionByName(swept.filter((F.col("kind") == GAP) | (F.col("kind") == FREE)).select("id", "size", "used"))
+                todo = swept.filter(F.col("kind") == LEFT).select("id", "size")
+                again, left = found >= REPEAT * left, left - found
+                if again and left:
+                    continue
+            if left:
+                opened = cut(todo.select(F.lit(LEFT).cast("byte").alias("kind"), "id", "size").mapInArrow(lambda it, turn=turn: _open(it, turn, capacity, arrow), state), "opened")
+                placed.append(opened.filter(F.col("kind") == PLACED).select("id", "seq", "used"))
+                new = opened.filter(F.col("kind") == GAP).select("id", "size", "used")
+                gaps = new if gaps is None else gaps.unionByName(new)
+                left = 0
+        n_gaps = gaps.filter(F.col("size") >= 1).count() if gaps is not None else 0
+    out = spark.createDataFrame([], "id long, seq long, used long")
+    for one in placed:
+        out = out.unionByName(one)
+    return out
+
+
+def _class_of(length: Column, capacity: int) -> Column:
+    """The top of a length's class: the capacity, halved while it still holds the length, down to ``SHORTEST``."""
+    tops = [capacity]
+    while tops[-1] // 2 >= SHORTEST:
+        tops.append(tops[-1] // 2)
+    return F.least(*[F.when(length <= top, F.lit(top)).otherwise(F.lit(capacity)) for top in tops], F.lit(capacity))
+
+
+def _resolve(swept: DataFrame, matches: list[tuple[int, int, int, int, int]], state, arrow: pa.Schema) -> DataFrame:
+    """Pieces and gaps that matched by rank, put together."""
+    s1, a1 = schemas([], f"{_STATE}, match long")
+    base = np.concatenate([[0], np.cumsum([x[-1] for x in matches])])
+
+    def numbered(kind: int, part: int, first: int) -> DataFrame:
+        own = sorted((x[part], x[first], x[4], int(b)) for x, b in zip(matches, base, strict=False))
+        run = _numbered([x[:3] for x in own], a1)
+        begin = np.array([x[3] for x in own])
+        return swept.filter(F.col("kind") == kind).mapInArrow(lambda it: run(it, begin), s1)
+
+    left, free = numbered(LEFT, 0, 1), numbered(FREE, 2, 3)
+    both = left.filter("match >= 0").select("match", F.col("id").alias("piece"), F.col("size").alias("length")).join(free.filter("match >= 0").select("match", F.col("id").alias("seq"), "size", "used"), "match")
+    zero = [F.lit(0).cast("int").alias("part"), F.lit(0).cast("long").alias("rank")]
+    put = both.select(F.lit(PLACED).cast("byte").alias("kind"), F.col("piece").alias("id"), F.col("length").alias("size"), "used", "seq", *zero)
+    kept = both.filter("size > length").select(F.lit(GAP).cast("byte").alias("kind"), F.col("seq").alias("id"), (F.col("size") - F.col("length")).alias("size"), (F.col("used") + F.col("length")).alias("used"), F.lit(0).cast("long").alias("seq"), *zero)
+    rest = left.filter("match < 0").drop("match").unionByName(free.filter("match < 0").drop("match"))
+    return cut(swept.filter(F.col("kind") <= GAP).unionByName(rest).unionByName(put).unionByName(kept), "resolved")
 
 
 def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -189,23 +264,14 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     kept; repeated rows are packed each for itself; an empty table gives an
     empty one; other columns are ignored.
 
-    The driver gets one count per length and partition of the sorted pieces
-    (at most ``capacity`` plus the number of partitions).
+    The driver gets counts only: of the classes, and four for each task of a round.
     """
     source = docs.select(F.col(f"`{key}`").alias("__key"), as_bytes(f"`{text}`").alias("__bytes"))
     schema, arrow = schemas(source.schema.fields[:1], "piece int, start long, length long, ids_crc32 long")
-    pieces = cut(source.mapInArrow(lambda it: _pieces(it, vocabulary, capacity, arrow), schema), "pieces")
-    ranked = cut(pieces.repartitionByRange(F.desc("length"), F.xxhash64("__key", "piece", "ids_crc32")).sortWithinPartitions(F.desc("length")).withColumn("__at", F.monotonically_increasing_id()), "ranked")
-    forget(pieces)
-    runs = ranked.groupBy(F.shiftright("__at", 33).alias("part"), "length").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first")).collect()
-    counts = np.zeros(capacity + 1, np.int64)
-    starts: dict[tuple[int, int], tuple[int, int]] = {}
-    for run in sorted(runs, key=lambda r: (r["part"], r["first"])):
-        starts[run["part"], run["length"]] = (run["first"], int(counts[run["length"]]))
-        counts[run["length"]] += run["n"]
-    plan = best_fit(counts, capacity)
-    out, arrow_out = schemas([ranked.schema["__key"]], "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return ranked.mapInArrow(lambda it: _place(it, starts, plan, arrow_out), out).withColumnRenamed("__key", key)
+    pieces = cut(source.mapInArrow(slim(lambda it: _pieces(it, vocabulary, capacity, arrow)), schema).withColumn("id", F.monotonically_increasing_id()), "pieces")
+    places = best_fit(pieces.select("id", "length"), capacity)
+    out = pieces.join(places, "id").select(F.col("__key").alias(key), "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), F.col("used").alias("offset"))
+    return out
 
 
 def default_vocabulary() -> str:

@@ -1,6 +1,7 @@
 """Secrets, packing, piece encoding and quality rules against brute force, with the edge cases of tables."""
 
 import hashlib
+import bisect
 import random
 import re
 import zlib
@@ -54,29 +55,56 @@ def test_redaction_leaves_nothing(spark):
     assert r["clean"] == "é [assign] and [access]" and "assign:2:24" in r["spans"]
 
 
-def test_best_fit_is_complete():
-    rng = np.random.default_rng(3)
-    for _ in range(200):
-        cap = int(rng.integers(1, 40))
-        counts = np.zeros(cap + 1, np.int64)
-        for n in rng.integers(1, cap + 1, rng.integers(0, 60)):
-            counts[n] += 1
-        plan = packing.best_fit(counts, cap)
-        room: dict[int, list[tuple[int, int]]] = {}
-        for length, rank, n, first, offset in plan.tolist():
-            for i in range(n):
-                room.setdefault(first + i, []).append((offset, length))
-        placed = np.zeros(cap + 1, np.int64)
-        for parts in room.values():
+def best_fit_decreasing(lengths, cap):
+    """One sequence after the other, by definition."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        room = rooms.pop(at) if at < len(rooms) else cap
+        bisect.insort(rooms, room - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("swept", [4096, 60])
+def test_packing_rounds_against_best_fit(spark, monkeypatch, swept):
+    """Every piece once, gapless from 0; about as few sequences as best fit, in one task or in many."""
+    monkeypatch.setattr(packing, "SWEPT", swept)
+    rng = np.random.default_rng(6)
+    for lengths in (np.minimum(2048, rng.lognormal(6, 0.9, 2500).astype(int) + 1), rng.integers(1, 70, 1500), np.array([2048] * 5 + [1025] * 7 + [1023] * 9 + [1])):
+        df = spark.createDataFrame(list(enumerate(lengths.tolist())), "id long, length long")
+        got = packing.best_fit(df, 2048).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r["seq"], []).append((r["used"], int(lengths[r["id"]])))
+        assert sorted(r["id"] for r in got) == list(range(len(lengths)))
+        for rows_ in by.values():
             at = 0
-            for offset, length in sorted(parts):
-                assert offset == at
-                at += length
-                placed[length] += 1
-            assert at <= cap
-        assert (placed == counts).all()
-        total = int((counts * np.arange(cap + 1)).sum())
-        assert len(room) <= 11 * -(-total // cap) / 9 + 1
+            for used, n in sorted(rows_):
+                assert used == at
+                at += n
+            assert at <= 2048
+        assert len(by) <= 1.02 * best_fit_decreasing(lengths.tolist(), 2048) + len(lengths) // swept
+
+
+def test_ranks_match_the_nearest_gap_above():
+    assert packing.rank_matches({0: 2, 1: 1}, {1: 1, 2: 3}) == [(1, 0, 0, 0, 1), (2, 0, 1, 0, 1), (2, 1, 0, 1, 1)]
+    assert packing.rank_matches({}, {0: 4}) == [] == packing.rank_matches({3: 1}, {})
+
+
+def test_word_ids_are_the_librarys():
+    from brindle.llm.word_bpe import WordIds
+
+    model = WordIds(packing.default_vocabulary())
+    rnd = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFÀÉÎÖØßñçüœŁİŉ0123456789.,!?;:#*$%&|<>'-_()é"
+    texts = ["", " ", "\n\t", "don't we'll I'D x's", "<|endoftext|> a<|b <|startoftext|>x", "İstanbul ŉ ǅ ª º × ÷ á \u2003 x", "ab\0cd \0 " + "z" * 70 + " " + "q" * 5000, "漢字 かな 😀😀 é́ ẞ ɐ ﬁ", "a" * 16 + " " + "a" * 17 + " " + "b" * 15]
+    texts += [" ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 24))) for _ in range(rnd.randint(1, 300))) for _ in range(150)]
+    want = [model.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in model.texts([t.encode() for t in texts])] == want
+    model.words.count = 1 << 40  # no room: the memory starts anew
+    assert [x.tolist() for x in model.texts([t.encode() for t in texts])] == want
+    long = " ".join(texts[9:60]) * 12
+    assert len(long.encode()) > 1 << 20 and model.texts([long.encode(), b"a b"])[0].tolist() == model.tokenizer.encode(long, add_special_tokens=False).ids
 
 
 def test_packing_round_trip(spark):
