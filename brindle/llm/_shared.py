@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -42,6 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of each query that ends in here; nothing reads them again."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
@@ -50,7 +60,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_deleted(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,19 +76,6 @@ def forget(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose plans are gone.
-
-    The cleaner follows the driver's garbage collector; between the phases of
-    an operator it is worth a collection to free executors' disks.  The second
-    one takes what the first one's finalisers let go.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def as_bytes(column: str | Column) -> Column:
     """UTF-8 bytes of a text column; a null text is an empty one."""
     column = F.col(column) if isinstance(column, str) else column

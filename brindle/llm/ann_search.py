@@ -2,13 +2,13 @@
 
 Inner product is made a distance by one extra coordinate.  Centroids come from
 balanced bisection of a bounded sample, so lists are of like size; a vector goes
-to its nearest list and, if it lies near boundaries, to those beyond them too
-(without that, neighbours in many dimensions are spread over most lists; the
-measured recall is in the README).  Centroids are searched by
-best-first walks over an in-memory neighbour graph; a query reads the lists
-whose distance is within a ratio of the nearest.  Lists that turn out large
-(many equal vectors) are split, and so are the queries of a list, so no task
-gets a list or a crowd of queries of unbounded size.
+to its nearest list and, if it lies on a boundary, to those beyond it too.
+Centroids are searched by best-first walks over an in-memory neighbour graph; a
+query reads every list whose distance is within a ratio of the nearest one's.
+The ratio is fitted: the smallest that finds ``TARGET`` of the neighbours of
+queries drawn from the sample.  Lists that turn out large (many equal vectors)
+are split, and so are the queries of a list, so no task gets a list or a crowd
+of queries of unbounded size.
 """
 
 from __future__ import annotations
@@ -20,17 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm._shared import cut, record, schemas, table
+from brindle.llm._shared import cut, record, schemas, slim, table
 
 TOP = 20
 #: Vectors that the centroids are fitted on at most (smallest hashes of ids); all are indexed.
 SAMPLE = 20_000
-#: Vectors per list aimed at, and centroids at most (they are held in memory).
+#: Vectors per list aimed at, and centroids at most (they are held in memory; larger lists are split).
 LIST, CENTROIDS = 128, 4_096
-#: Lists for one vector at most; how much farther than the nearest they may be.
-REPLICAS, BOUNDARY = 4, 1.15
-#: Lists for one query: at most this share of all (or as many as follow), within this ratio of the nearest.
-SHARE, PROBES, RATIO = 0.3, 96, 1.16
+#: Lists for one vector at most; it lies on a boundary if a list is so little farther than the nearest.
+REPLICAS, BOUNDARY = 4, 1.002
+#: Share of the neighbours that the fitted ratio finds within the sample, and queries of the fit.
+TARGET, FITTED = 0.93, 512
 #: A part of a list, and of its queries, at most on average.
 PART, QUERIES_PART = 4_096, 2_048
 
@@ -116,36 +116,73 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim).astype(np.float64)
 
 
-def _lift(x: np.ndarray, top: float) -> np.ndarray:
-    """Append the coordinate that gives every vector the norm ``top``."""
+def _lift(x: np.ndarray, scale: float, top: float) -> np.ndarray:
+    """Scaled vectors with a coordinate that gives each the norm of the longest."""
+    x = x / scale
     return np.concatenate([x, np.sqrt(np.maximum(top - (x**2).sum(1), 0.0))[:, None]], axis=1)
 
 
-def _assign(batches: Iterator[pa.RecordBatch], graph: Graph, dim: int, top: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _ask(x: np.ndarray, scale: float) -> np.ndarray:
+    """Queries as points of the space of lists."""
+    return np.concatenate([x / scale, np.zeros((len(x), 1))], axis=1)
+
+
+def _near_lists(ids: np.ndarray, d: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and places of the lists within a ratio of the nearest (distances are squared)."""
+    return np.nonzero(d <= ratio * ratio * d[:, :1] + 1e-12)
+
+
+def fit_ratio(graph: Graph, sample: np.ndarray, scale: float, top: float, k: int) -> float:
+    """The smallest ratio that finds ``TARGET`` of the sample's own neighbours of some of its vectors."""
+    n, lists = len(sample), len(graph.c)
+    if n < 3 or lists < 2:
+        return 1.0
+    q = sample[: min(FITTED, n)] / scale
+    score = q @ (sample / scale).T
+    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    take = min(k, n - 1)
+    best = np.argpartition(-score, take - 1, axis=1)[:, :take]
+    every = np.broadcast_to(np.arange(lists), (1, lists))
+    far = np.sqrt(np.concatenate([graph.distances(_ask(sample[i : i + 1], scale), every) for i in range(len(q))]))
+    far /= np.maximum(far.min(axis=1, keepdims=True), 1e-12)
+    need = np.full(best.shape, np.inf)
+    members = np.unique(best)
+    for at in range(0, len(members), 512):
+        some = members[at : at + 512]
+        ids, d = graph.search(_lift(sample[some], scale, top), REPLICAS)
+        rows, place = _near_lists(ids, d, BOUNDARY)
+        own = [ids[r, place[rows == r]] for r in range(len(some))]
+        for i, j in zip(*np.nonzero(np.isin(best, some)), strict=True):
+            need[i, j] = far[i, own[np.searchsorted(some, best[i, j])]].min()
+    return float(np.quantile(need, TARGET, method="higher"))
+
+
+def _assign(batches: Iterator[pa.RecordBatch], graph: Graph, dim: int, scale: float, top: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            ids, d = graph.search(_lift(_matrix(part.column(1), dim), top), REPLICAS)
-            rows, place = np.nonzero(np.sqrt(d) <= BOUNDARY * np.sqrt(d[:, :1]) + 1e-12)
+            ids, d = graph.search(_lift(_matrix(part.column(1), dim), scale, top), REPLICAS)
+            rows, place = _near_lists(ids, d, BOUNDARY)
             take = pa.array(rows, pa.int32())
             yield record(schema, [pa.array(ids[rows, place], pa.int32()), part.column(0).take(take), part.column(1).take(take)])
 
 
-def _probe(batches: Iterator[pa.RecordBatch], graph: Graph, dim: int, sizes: np.ndarray, need: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _probe(batches: Iterator[pa.RecordBatch], graph: Graph, dim: int, scale: float, ratio: float, sizes: np.ndarray, need: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            q = np.concatenate([_matrix(part.column(1), dim), np.zeros((part.num_rows, 1))], axis=1)
-            ids, d = graph.search(q, max(PROBES, int(SHARE * len(sizes))))
-            enough = np.cumsum(sizes[ids], axis=1) - sizes[ids] < need  # lists before it hold too few
-            use = (np.sqrt(d) <= RATIO * np.sqrt(d[:, :1]) + 1e-12) | enough
-            rows, place = np.nonzero(use)
-            short = np.flatnonzero(sizes[ids].sum(1) < need)  # so few vectors that all lists are read
-            more = [(r, c) for r in short.tolist() for c in np.setdiff1d(np.arange(len(sizes)), ids[r]).tolist()]
-            lists = np.concatenate([ids[rows, place], np.array([c for _, c in more], np.int64)])
-            rows = np.concatenate([rows, np.array([r for r, _ in more], np.int64)])
-            take = pa.array(rows, pa.int32())
-            yield record(schema, [pa.array(lists, pa.int32()), part.column(0).take(take), part.column(1).take(take)])
+            q = _ask(_matrix(part.column(1), dim), scale)
+            left, width = np.arange(len(q)), 64
+            while len(left):
+                ids, d = graph.search(q[left], width)
+                # Lists before a list of those used may hold too few vectors.
+                enough = np.cumsum(sizes[ids], axis=1) - sizes[ids] < need
+                use = (d <= ratio * ratio * d[:, :1] + 1e-12) | enough
+                whole = ~use[:, -1] if width < len(sizes) else np.ones(len(left), bool)
+                rows, place = np.nonzero(use & whole[:, None])
+                take = pa.array(left[rows], pa.int32())
+                yield record(schema, [pa.array(ids[rows, place], pa.int32()), part.column(0).take(take), part.column(1).take(take)])
+                left, width = left[~whole], min(2 * width, len(sizes))
 
 
 def nearest(queries: tuple[np.ndarray, np.ndarray], vectors: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,18 +232,20 @@ def ann_search(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
         return spark.createDataFrame([], final)
     dim = shape["dim"]
     base = base.filter(F.size("v") == dim)
-    stats = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("aggregate(v, 0D, (s, x) -> s + double(x) * double(x))")).alias("top")).first()
-    n, top = stats["n"], float(stats["top"])
+    stats = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("array_max(transform(v, x -> abs(double(x))))")).alias("scale")).first()
+    n, scale = stats["n"], float(stats["scale"])
+    top = float(base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x.cast("double") / scale) * (x.cast("double") / scale)))).first()[0])
     drawn = np.array([r["v"] for r in base.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], float)
     lists = int(min(max(1, -(-n // LIST)), CENTROIDS, max(1, len(drawn) // 4)))
-    graph = Graph(bisect(_lift(drawn, top), lists))
+    graph = Graph(bisect(_lift(drawn, scale, top), lists))
+    ratio = fit_ratio(graph, drawn, scale, top, k)
     kind = base.schema["v"].dataType.simpleString()
     s1, a1 = schemas([], f"list int, id long, v {kind}")
-    posted = cut(base.select("id", "v").mapInArrow(lambda it: _assign(it, graph, dim, top, a1), s1), "posted")
+    posted = cut(base.select("id", "v").mapInArrow(slim(lambda it: _assign(it, graph, dim, scale, top, a1)), s1), "posted")
     sizes = np.zeros(len(graph.c), np.int64)
     for r in posted.groupBy("list").count().collect():  # one row per centroid
         sizes[r["list"]] = r["count"]
-    asked = cut(base.filter(F.col("id") % every == 0).mapInArrow(lambda it: _probe(it, graph, dim, sizes, 8 * k * REPLICAS, a1), s1), "asked")
+    asked = cut(base.filter(F.col("id") % every == 0).mapInArrow(slim(lambda it: _probe(it, graph, dim, scale, ratio, sizes, 8 * k * REPLICAS, a1)), s1), "asked")
     crowd = np.zeros(len(graph.c), np.int64)
     for r in asked.groupBy("list").count().collect():
         crowd[r["list"]] = r["count"]

@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm._shared import as_bytes, chunks, cut, forget, mix, record, release, schemas, slim, sweep, table
-from brindle.llm._windows import WordHashes, ladder, window_names
+from brindle.llm._shared import as_bytes, chunks, cut, forget, mix, record, release, schemas, slim, table
+from brindle.llm._windows import ladder, window_names, word_lanes
 from brindle.llm.components import components
 from brindle.llm.repeats import largest_power
 
@@ -99,9 +99,9 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / (above[both] / y[both] + below[both] / x[both])).sum())
 
 
-def weighted_sets(texts: list[bytes], hashes: WordHashes, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def weighted_sets(texts: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Shingles and counts of each text."""
-    h, d, count = shingles([hashes.lanes(t)[0] for t in texts], size)
+    h, d, count = shingles([x[0] for x in word_lanes(texts)], size)
     edges = np.searchsorted(d, np.arange(len(texts) + 1)).tolist()
     return [(h[a:b], count[a:b].astype(float)) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -109,12 +109,11 @@ def weighted_sets(texts: list[bytes], hashes: WordHashes, size: int) -> list[tup
 def _sketch(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     m = bands * rows
     seeds = mix(np.arange(1, bands + 1, dtype=np.uint64))
-    hashes = WordHashes()
     for batch in batches:
         for first, last in chunks(batch, "text"):
             part = batch.slice(first, last - first)
             texts = part.column(2).to_pylist()
-            lanes = [hashes.lanes(t) for t in texts]
+            lanes = word_lanes(texts)
             h, d, count = shingles([x[0] for x in lanes], size)
             sig = signatures(h, d, count.astype(float), len(texts), m)
             key = np.broadcast_to(seeds, (len(texts), bands)).copy()
@@ -130,14 +129,13 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int,
 
 def _follow(batches: Iterator[pa.RecordBatch], size: int, threshold: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Texts (role 1) sorted behind their leader (role 0): whether each is like it."""
-    hashes = WordHashes()
     lead, own = None, None
     for batch in batches:
         for first, last in chunks(batch, "text"):
             part = batch.slice(first, last - first)
             leads, roles, tids = (part.column(i).to_pylist() for i in (0, 1, 2))
             tested: list[tuple[int, int, bool]] = []
-            for to, role, tid, x in zip(leads, roles, tids, weighted_sets(part.column(3).to_pylist(), hashes, size), strict=True):
+            for to, role, tid, x in zip(leads, roles, tids, weighted_sets(part.column(3).to_pylist(), size), strict=True):
                 if not role:
                     lead, own = to, x
                     continue
@@ -240,8 +238,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # One plan at any size: a merge join, so that what is shuffled stays in proportion.
     cand = cut(sketch.select(F.col("rid").alias("tid"), "text").join(shared.select("tid").distinct().hint("merge"), "tid", "left_semi"), "candidates")
     forget(banded)
-    del sizes
-    sweep(spark)
     s2, a2 = schemas([], "a long, b long, like boolean")
     s3, a3 = schemas([], "a long, b long")
     empty = spark.createDataFrame([], s3)
@@ -267,8 +263,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         sent = sent.repartition("lead", "part").sortWithinPartitions("lead", "part", "role")
         out = cut(sent.select("lead", "role", "tid", "text").mapInArrow(slim(lambda it: _follow(it, size, threshold, a2)), s2), "followed")
         forget(asks)
-        del asks, parts, member, leader, sent
-        sweep(spark)
         return out
 
     def apart(now: DataFrame) -> DataFrame:
@@ -289,7 +283,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         sent = sent.select("tid", "text", "hs", F.col("l.h").alias("h"), F.col("l.root").alias("root"), F.col("l.big").alias("big"), F.explode(place).alias("p")).select("h", "p.i", "p.j", "p.asks", "tid", "root", "big", "hs", "text")
 
         def decide(rows: pa.Table) -> pa.Table:
-            sets = weighted_sets(rows["text"].to_pylist(), WordHashes(), size)
+            sets = weighted_sets(rows["text"].to_pylist(), size)
             sides: tuple[list, list] = [], []
             for asks, tid, root, hs, own in zip(*(rows[c].to_pylist() for c in ("asks", "tid", "root", "hs")), sets, strict=True):
                 sides[asks].append((tid, root, hs, own))
@@ -299,8 +293,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
         out = cut(sent.groupBy("h", "i", "j").applyInArrow(decide, s3), "verified")
         forget(mixed)
-        del sent, mixed, of
-        sweep(spark)
         return out
 
     roots, links, tested = None, empty, []

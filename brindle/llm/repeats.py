@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm._packed import ANSWER, ASK, OPEN, SPARK_ROWS, Buffer, Layout, address, bucket_count, meet, pack, runs, several, unpack
-from brindle.llm._shared import as_bytes, chunks, cut, forget, mix, record, schemas, slim, sweep
-from brindle.llm._windows import SEGMENT, WordHashes, ladder, segments, window_names
+from brindle.llm._shared import as_bytes, chunks, cut, forget, mix, record, schemas, slim
+from brindle.llm._windows import SEGMENT, ladder, segments, window_names
 
 #: A row's id and a run of window starts in it: first start, windows, whether they are known to be repeated.
 SPANS = Layout((8, 4, 4, 1), (0,))
@@ -113,14 +113,13 @@ def exact_windows(work: DataFrame, words: bool, window: int, earlier: bool, buck
         yield pack(ANSWER, address(rid, buckets), [rid, at, one, 0 * one], SPANS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes() if words else None
         buffer = Buffer(give)
         for batch in batches:
             for first, last in chunks(batch, "text"):
                 part = batch.slice(first, last - first)
                 rid, docs = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 marks = [starts_of(x.as_py()) for x in part.column(3)]
-                for values, row, base, offsets in segments(part.column(2).to_pylist(), hashes, window, 2):
+                for values, row, base, offsets in segments(part.column(2).to_pylist(), words, window, 2):
                     names = [window_names(ladder(v, (k,), lane)[0], k, window, lane) for lane, v in enumerate(values)]
                     where, who, flags, starts = [], [], [], []
                     for i, (r, b) in enumerate(zip(row.tolist(), base.tolist(), strict=True)):
@@ -153,7 +152,7 @@ _GRAMS = Layout((8, 8, 4, 4, 1, 1), (1,))
 _GRAM_ASK = 3
 
 
-def exact_blocks(work: DataFrame, ask_blocks: Callable[[pa.RecordBatch, WordHashes | None], Iterator[list[np.ndarray]]], words: bool, buckets: int) -> DataFrame:
+def exact_blocks(work: DataFrame, ask_blocks: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]], buckets: int) -> DataFrame:
     """Packed answers and open runs: all windows of an anchor at once.
 
     ``ask_blocks`` gives ``gram, name, name, rid, start, n``: the anchor's own
@@ -172,11 +171,10 @@ def exact_blocks(work: DataFrame, ask_blocks: Callable[[pa.RecordBatch, WordHash
         yield answer(ANSWER, rid[gone], start[gone], n[gone], 0 * n[gone])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes() if words else None
         buffer = Buffer(give)
         for batch in batches:
             for first, last in chunks(batch, "text"):
-                for columns in ask_blocks(batch.slice(first, last - first), hashes):
+                for columns in ask_blocks(batch.slice(first, last - first)):
                     yield from buffer.add(columns)
         yield from buffer.flush()
 
@@ -232,7 +230,6 @@ def find_repeats(docs: DataFrame, rules: list[Rule], key: str, text: str, keep:
     bare = docs.select(doc, copy, as_bytes(f"`{text}`").alias("text"))
     buckets = bucket_count(bare)
     marks = [cut(rule.candidates(bare, buckets), "marks") for rule in rules]
-    sweep(spark)
     carried = [F.col(f"`{key}`").alias("__key"), *[F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep)]]
     joined = docs.select(doc, copy, *carried, as_bytes(f"`{text}`").alias("text"))
     for i, found in enumerate(marks):
@@ -262,15 +259,12 @@ def find_repeats(docs: DataFrame, rules: list[Rule], key: str, text: str, keep:
 
     split = cut(joined.select(*names, "text", *columns).mapInArrow(slim(lambda it: settle(it, False)), s1).withColumn("rid", F.monotonically_increasing_id()), "texts")
     forget(*marks)
-    del joined
-    sweep(spark)
     work = split.filter("text is not null")
     changed = work.select("rid", *names, "text")
     spans = []
     for i, rule in enumerate(rules):
         some = work.filter(F.col(f"marks_{i}").isNotNull()).select("rid", "doc", "text", F.col(f"marks_{i}").alias("marks"))
         spans.append(cut(rule.exact(some, buckets), "spans"))
-        sweep(spark)
         changed = changed.join(spans[-1].withColumnRenamed("spans", f"spans_{i}"), "rid", "left")
     changed = changed.select(*names, "text", *[f"spans_{i}" for i in range(len(rules))]).mapInArrow(slim(lambda it: settle(it, True)), s2)
     out = split.filter("text is null").select(*s2.fieldNames()).unionByName(changed)

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm._packed import ANSWER, ASK, SPARK_ROWS, Buffer, Layout, address, as_table, meet, pack, runs, several, unpack
-from brindle.llm._shared import chunks, cut, schemas, slim, sweep, table
-from brindle.llm._windows import WordHashes, join, ladder, segments, word_parts
+from brindle.llm._shared import chunks, cut, schemas, slim, table
+from brindle.llm._windows import join, ladder, segments, word_parts
 from brindle.llm.repeats import MARKS, SPANS, covered, exact_windows, find_repeats, gather, largest_power, owner
 
 WINDOW = 13
@@ -65,11 +65,11 @@ class LevelRule:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """The first level's windows."""
-            hashes, buffer = WordHashes(), Buffer(give)
+            buffer = Buffer(give)
             for batch in batches:
                 for a, b in chunks(batch, "text"):
                     doc, copy = (batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in (0, 1))
-                    for values, row, base, offsets in segments(batch.column(2).slice(a, b - a).to_pylist(), hashes, window, 1):
+                    for values, row, base, offsets in segments(batch.column(2).slice(a, b - a).to_pylist(), True, window, 1):
                         name = ladder(values[0], (sizes[0],))[0] & _SHORT
                         place = np.arange(len(name))
                         part = np.searchsorted(offsets, place, "right") - 1
@@ -111,8 +111,6 @@ class LevelRule:
         rows = bare.mapInArrow(slim(count), SPARK_ROWS)
         for size, longer in zip(sizes, [*sizes[1:], window], strict=True):
             survivors = cut(meet(rows, decide).filter(F.col("kind") == ANSWER), "level")
-            del rows
-            sweep(bare.sparkSession)
             if not survivors.limit(1).count():
                 return bare.sparkSession.createDataFrame([], schemas([], "doc long, copy long, marks binary")[0])
             extend = whole if size == sizes[-1] else longer_by
@@ -123,20 +121,20 @@ class LevelRule:
         return gather(exact_windows(work, True, self.window, True, buckets), SPANS, ("rid",), "spans")
 
 
-def _finish(data: bytes, spans: list[bytes | None], window: int, with_text: bool) -> tuple:
-    words = sum(len(part) for part in word_parts(data)) if len(data) > 1 << 20 else len(data.split())
-    gone = covered(words, spans[0], window)
-    if gone is None:
-        gone = np.zeros(words, bool)
+def _finish(data: bytes, spans: bytes | None, window: int, with_text: bool) -> tuple:
+    """Words, words that go, the hash of those that stay and, ``with_text``, those themselves."""
+    parts = [part.split() for part in word_parts(data)]
+    n = sum(map(len, parts))
+    gone = covered(n, spans, window)
     digest, kept, at = hashlib.sha256(), [], 0
-    for part in word_parts(data):
-        left = list(compress(part, (~gone[at : at + len(part)]).tolist()))
+    for part in parts:
+        left = part if gone is None else list(compress(part, (~gone[at : at + len(part)]).tolist()))
         at += len(part)
         if left:
             piece = (b" " if kept else b"") + b" ".join(left)
             digest.update(piece)
             kept.append(piece if with_text else b"")
-    return words, int(gone.sum()), digest.hexdigest(), b"".join(kept).decode("utf-8", "ignore") if with_text else None
+    return n, 0 if gone is None else int(gone.sum()), digest.hexdigest(), b"".join(kept).decode("utf-8", "ignore") if with_text else None
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, with_text: bool = False, first: int = FIRST) -> DataFrame:
@@ -151,7 +149,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     whole; rows with one key never remove from each other; a null key is larger
     than any other; an empty table gives an empty one; other columns are ignored.
     """
-    out = find_repeats(docs, [LevelRule(window, first)], key, text, keep, lambda data, spans: _finish(data, spans, window, with_text), "n_words long, n_removed long, kept_sha256 string, kept string")
+    out = find_repeats(docs, [LevelRule(window, first)], key, text, keep, lambda data, spans: _finish(data, spans[0], window, with_text), "n_words long, n_removed long, kept_sha256 string, kept string")
     return out if with_text else out.drop("kept") if "kept" not in keep else out
 
 

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm._packed import ANSWER, ASK, OPEN, SPARK_ROWS, Buffer, Layout, address, meet, pack, runs, several, unpack
-from brindle.llm._shared import chunks, cut, slim, sweep, table
-from brindle.llm._windows import WordHashes, anchors, join, ladder, segments, window_names, word_parts
+from brindle.llm._shared import chunks, cut, slim, table
+from brindle.llm._windows import anchors, join, ladder, segments, window_names, word_edges
 from brindle.llm.repeats import MARKS, SPANS, covered, exact_blocks, exact_windows, find_repeats, gather, largest_power, owner, starts_of
 
 WINDOW = 400
@@ -86,11 +86,11 @@ class RadixRule:
             yield answer(doc[equal], copy[equal], at[equal])
 
         def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, buffer = WordHashes() if self.words else None, Buffer(give)
+            buffer = Buffer(give)
             for batch in batches:
                 for a, b in chunks(batch, "text"):
                     doc, copy = (batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in (0, 1))
-                    for values, row, base, offsets in segments(batch.column(2).slice(a, b - a).to_pylist(), hashes, window, 1):
+                    for values, row, base, offsets in segments(batch.column(2).slice(a, b - a).to_pylist(), self.words, window, 1):
                         short, grams = ladder(values[0], (size, k))
                         part, place, _, _ = anchors(grams, offsets, window, k)
                         digits = [short[place + j * size] & _SHORT for j in range(m)]
@@ -109,10 +109,10 @@ class RadixRule:
     def exact(self, work: DataFrame, buckets: int) -> DataFrame:
         window, k = self.window, self.gram
 
-        def blocks(batch: pa.RecordBatch, hashes: WordHashes | None) -> Iterator[list[np.ndarray]]:
+        def blocks(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
             rid = batch.column(0).to_numpy(zero_copy_only=False)
             alive = [starts_of(x.as_py())[0] for x in batch.column(3)]
-            for values, row, base, offsets in segments(batch.column(2).to_pylist(), hashes, window, 2):
+            for values, row, base, offsets in segments(batch.column(2).to_pylist(), self.words, window, 2):
                 grams = [ladder(v, (k,), lane)[0] for lane, v in enumerate(values)]
                 part, place, first, last = anchors(grams[0], offsets, window, k)
                 at = place - offsets[part] + base[part]
@@ -127,8 +127,7 @@ class RadixRule:
                     names.append(join(join(whole[first], whole[last], lane), n.astype(np.uint64), lane))
                 yield [grams[0][place], *names, rid[row[part]], first - offsets[part] + base[part], n]
 
-        rows = cut(exact_blocks(work, blocks, self.words, buckets), "blocks")
-        sweep(work.sparkSession)
+        rows = cut(exact_blocks(work, blocks, buckets), "blocks")
         todo = gather(rows.filter(F.col("kind") == OPEN), SPANS, ("rid",), "marks")
         open_ = work.select("rid", "doc", "text").join(todo, "rid")
         singles = exact_windows(open_, self.words, window, False, buckets)
@@ -172,8 +171,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
         gone = byte_runs(data, covered(len(data), spans[0], window), False)
         passed = 0
         if spans[1]:
-            words = sum(len(part) for part in word_parts(data))
-            long = covered(words, spans[1], passage)
+            long = covered(len(word_edges(np.frombuffer(data, np.uint8))[0]), spans[1], passage)
             passed = int(long.sum())
             if cut_passages:
                 gone = gone | byte_runs(data, long, True)

@@ -1,10 +1,12 @@
 """Toxicity by noisy-channel deobfuscation and a linear model over restored words.
 
-A character trigram model is counted over the whole corpus.  Words that may be
-disguised (look-alike signs among letters, letters spaced out, letters drawn
-out) become lattices of what each character may stand for; Viterbi decoding
-under the trigram model restores them.  A logistic model over restored words
-and word beginnings gives the score.
+A character trigram model is counted over the whole corpus.  What may be
+disguised becomes a lattice: a look-alike sign stands for a letter, for itself
+or for nothing, a drawn-out letter is kept or dropped, and the space between
+single letters is kept or dropped, so that the decoder says where words end.
+Viterbi decoding under the trigram model restores the text; plain words have one
+path only and stay as they are.  A logistic model over restored words and word
+beginnings gives the score.
 """
 
 from __future__ import annotations
@@ -19,23 +21,28 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm._shared import as_bytes, cut, forget, held_out, record, schemas, table
+from brindle.llm._shared import as_bytes, cut, forget, held_out, record, schemas, slim, table
 
 #: Labelled rows of each label that the fit uses at most (those with the smallest hashes of their ids).
 SAMPLE = 4_000
-#: Features of the model at most.
-FEATURES = 1_000
 CUT_AT = 0.7
 REMEMBERED = 150_000
 #: What a sign may stand for (fixed values).
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
-#: Channel costs: reading a sign as a letter, dropping a sign, dropping a drawn-out letter.
-READ, DROP, SHORTEN = 1.0, 3.0, 0.3
+#: Channel costs: reading a sign as a letter, keeping a sign as it is, dropping one, dropping a drawn-out letter.
+READ, KEEP, DROP, SHORTEN = 1.0, 2.5, 3.0, 0.3
+#: At a word's ends: dropping a mark of punctuation, a sign of a run of three or more.
+MARK, RUN = 0.2, 0.05
+#: Between single letters: dropping the space, keeping it.
+CLOSE, SPACE = 0.3, 0.0
 _N = 28
-_SPACED = re.compile(rb"(?<![^\s])[A-Za-z0-9@$!](?:[ ._*-][A-Za-z0-9@$!]){2,}(?![^\s])")
-_INNER = re.compile(r"^\w(?:[._*-]\w){2,}$")
-_EDGE = ".,;:!?\"'()[]{}<>#*$%&|-_=+/\\~`^"
-_DOLLAR = re.compile(r"^\$[^\W\d_]|[^\W\d_]\$$")
+_MARKS = frozenset("!|(*+¡")
+_CHAR = rb"(?:[!-~]|[\xc2-\xf4][\x80-\xbf]+)"
+#: Single characters with white space between them, three at least.
+_SPACED = re.compile(rb"(?<!\S)" + _CHAR + rb"(?:[ \t]+" + _CHAR + rb"){2,}(?!\S)")
+#: Single characters with one separator between them.
+_INNER = re.compile(r"^[^\W_](?:[._*-][^\W_])+[._*-][^\W_]$")
+_CORE = re.compile(r"^([^\w]*)([^\W\d_]{2,})([^\w]*)$")
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -74,27 +81,44 @@ class Channel:
         back = back / back.sum(axis=2, keepdims=True)
         self.cost = (-np.log((grid + 5 * back) / (grid.sum(axis=2, keepdims=True) + 5))).tolist()
 
-    def arcs(self, word: str) -> list[list[tuple[str, float]]]:
-        """What each character may stand for, with the channel's cost; "" drops it."""
+        self.parts: dict[tuple[str, str, str], str] = {}
+
+    def arcs(self, text: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+        """What each character may stand for, with the channel's cost; "" drops it, " " ends a word.
+
+        ``spaced``: white space and separators between single characters may be dropped.
+        """
         out = []
-        for i, c in enumerate(word):
+        first = next((i for i, c in enumerate(text) if c.isalnum()), len(text))
+        last = next((i for i in range(len(text) - 1, -1, -1) if text[i].isalnum()), -1)
+        for i, c in enumerate(text):
+            before, after = text[i - 1 : i], text[i + 1 : i + 2]
             if c.isalpha():
-                same = i and word[i - 1] == c and (i > 1 and word[i - 2] == c or i + 1 < len(word) and word[i + 1] == c)
-                out.append([(c, 0.0), ("", SHORTEN)] if same else [(c, 0.0)])
+                drawn = before == c and (text[i - 2 : i - 1] == c or after == c)
+                out.append([(c, 0.0), ("", SHORTEN)] if drawn else [(c, 0.0)])
+            elif spaced and (c in " \t._-" or c == "*" and 0 < i < len(text) - 1 and i % 2):
+                out.append([("", CLOSE), (" ", SPACE)])
             elif c in SIGNS:
-                out.append([(x, READ) for x in SIGNS[c]] + [("", DROP)])
+                run = before == c and (after == c or text[i - 2 : i - 1] == c) or after == c and text[i + 2 : i + 3] == c
+                edge = not first <= i <= last
+                drop = RUN if edge and run else MARK if edge and c in _MARKS else DROP
+                out.append([(x, READ) for x in SIGNS[c]] + [(c, KEEP) if c.isdigit() else ("", drop)])
+            elif c.isdigit():
+                out.append([(c, KEEP)])
             else:
                 out.append([("", 0.0)])
         return out
 
-    def restore(self, word: str) -> str:
-        """Viterbi over pairs of restored characters."""
-        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        for options in self.arcs(word):
+    def decode(self, arcs: list[list[tuple[str, float]]], a: int = 0, b: int = 0, then: str = " ") -> str:
+        """The cheapest path between context ``a, b`` and the text ``then``: Viterbi over pairs of restored characters."""
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(a, b): (0.0, ())}
+        for options in [*arcs, *[[(c, 0.0)] for c in then]]:
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, text) in best.items():
                 for c, price in options:
-                    if c:
+                    if c.isdigit():  # outside the model: a word before it ends
+                        state, value = (0, 0), cost + price + (self.cost[a][b][0] if b else 0.0)
+                    elif c:
                         k = _code(c)
                         state, value = (b, k), cost + price + self.cost[a][b][k]
                     else:
@@ -102,44 +126,55 @@ class Channel:
                     if state not in new or value < new[state][0]:
                         new[state] = (value, (text, c) if c else text)
             best = new
-        _, text = min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in best.items())
+        _, _, text = min((cost, i, text) for i, (cost, text) in enumerate(best.values()))
         letters: list[str] = []
         while text:
             text, c = text
             letters.append(c)
-        return "".join(reversed(letters))
+        return "".join(reversed(letters))[: len(letters) - len(then)]
+
+    def part(self, signs: str, before: str, then: str) -> str:
+        """Signs between known letters: two letters are all that the model sees of a side."""
+        if not signs:
+            return ""
+        key = signs, before, then
+        if key not in self.parts:
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            a, b = (_code(c) for c in (before or "  "))
+            whole = self.arcs(("xx" if before else "") + signs + ("xx" if then.strip() else ""))
+            start = 2 if before else 0
+            self.parts[key] = self.decode(whole[start : start + len(signs)], a, b, then)
+        return self.parts[key]
 
     def clear(self, word: str) -> str:
-        """A lower-case word as it was meant; plain words come back unchanged."""
-        bare = word.strip(_EDGE)
-        if bare.isalpha() and not _DRAWN.search(bare) and not _DOLLAR.search(word):
-            return bare
-        joined = re.sub(r"[._*-]", "", bare) if _INNER.match(bare) else bare
-        inner = joined
-        if joined == bare and _DOLLAR.search(word):  # one dollar sign at an end may be a letter
-            inner = word.strip(_EDGE.replace("$", ""))
-        letters = sum(c.isalpha() for c in inner)
-        signs = sum(c in SIGNS for c in inner)
-        if letters >= 2 and (signs and 2 * signs <= 3 * letters or _DRAWN.search(inner)) and len(inner) < 64:
-            return self.restore(inner)
-        return joined if joined.isalpha() else bare
+        """A lower-case word as it was meant, words with spaces between; a plain word comes back unchanged."""
+        if word.isalpha() and not _DRAWN.search(word):
+            return word
+        core = _CORE.match(word)
+        if core and not _DRAWN.search(core[2]):
+            head, letters, tail = core.groups()
+            return self.part(head, "", letters[:2]) + letters + self.part(tail, letters[-2:], " ")
+        return " ".join(self.decode(self.arcs(word, bool(_INNER.match(word)))).split())
+
+    def join(self, spaced: str) -> str:
+        """Single characters with white space between them, as words."""
+        return " ".join(self.decode(self.arcs(" ".join(spaced.split()), True)).split())
 
 
 def words_of(data: bytes, channel: Channel, memory: dict[bytes, str]) -> set[str]:
     """Distinct restored words of a whole text."""
-    data = data.lower()
+    data = data.decode().lower().encode()
     out: set[str] = set()
     for word in set(data.split()):
         clear = memory.get(word)
         if clear is None:
             if len(memory) >= REMEMBERED:
                 memory.clear()
-            clear = memory[word] = channel.clear(word.decode().lower())
-        out.add(clear)
+            clear = memory[word] = channel.clear(word.decode())
+        out.update(clear.split())
     for found in _SPACED.findall(data):
-        joined = re.sub(r"[ ._*-]", "", found.decode())
-        out.add(joined if joined.isalpha() else channel.restore(joined))
-    out.discard("")
+        out.update(channel.join(found.decode()).split())
     return out
 
 
@@ -161,47 +196,46 @@ def _extract(batches: Iterator[pa.RecordBatch], channel: Channel, schema: pa.Sch
 
 def fit(rows: list[tuple[int, list[int]]], n: int, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model over ``n`` binary features; labels weigh the same in sum."""
-    y = np.array([r[0] for r in rows], np.float32)
+    y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return np.zeros(n), -5.0 if not len(y) or y[0] == 0 else 5.0
-    x = np.zeros((len(rows), n), np.float32)
-    for i, (_, used) in enumerate(rows):
-        x[i, used] = 1
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()).astype(np.float32)
-    w, b = np.zeros(n, np.float32), 0.0
-    mw, mb, step = np.zeros(n, np.float32), 0.0, 2.0
+    used = np.concatenate([np.zeros(0, np.int64), *[np.asarray(r[1], np.int64) for r in rows]])
+    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    w, b = np.zeros(n), 0.0
+    mw, mb, step = np.zeros(n), 0.0, 2.0
     for _ in range(400):  # accelerated gradient
-        p = 1 / (1 + np.exp(-np.clip(x @ (w + 0.9 * mw) + b + 0.9 * mb, -30, 30)))
-        g = weight * (p - y)
-        mw = 0.9 * mw - step * (x.T @ g + ridge * w)
+        ahead = w + 0.9 * mw
+        z = np.bincount(row, ahead[used], len(rows)) + b + 0.9 * mb
+        g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        mw = 0.9 * mw - step * (np.bincount(used, g[row], n) + ridge * w)
         mb = 0.9 * mb - step * float(g.sum())
         w, b = w + mw, b + mb
-    return w.astype(float), float(b)
+    return w, float(b)
 
 
 def _score(batches: Iterator[pa.RecordBatch], channel: Channel, places: dict[int, float], bias: float, cut_at: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     memory: dict[bytes, tuple[int, ...]] = {}
 
-    def known(word: str) -> tuple[int, ...]:
-        return tuple(f for f in features_of(word) if f in places)
+    def known(clear: str) -> tuple[int, ...]:
+        return tuple(f for word in clear.split() for f in features_of(word) if f in places)
 
     for batch in batches:
         *carried, texts = batch.columns
         scores = []
         for scalar in texts:
-            data = scalar.as_py().lower()
+            data = scalar.as_py().decode().lower().encode()
             hits: set[int] = set()
             for word in set(data.split()):
                 found = memory.get(word)
                 if found is None:
                     if len(memory) >= REMEMBERED:
                         memory.clear()
-                    found = memory[word] = known(channel.clear(word.decode().lower()))
+                    found = memory[word] = known(channel.clear(word.decode()))
                 if found:
                     hits.update(found)
             for spaced in _SPACED.findall(data):
-                joined = re.sub(r"[ ._*-]", "", spaced.decode())
-                hits.update(known(joined if joined.isalpha() else channel.restore(joined)))
+                hits.update(known(channel.join(spaced.decode())))
             z = bias + sum(places[f] for f in sorted(hits))
             scores.append(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
         predicted = [int(s >= cut_at) for s in scores]
@@ -215,7 +249,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     is ``part``), ``score`` (0 to 1), ``predicted`` (score >= ``cut_at``).
 
     The character model is counted over all texts.  The fit uses at most
-    ``sample`` labelled rows of each label that are not held out.  Null and
+    ``sample`` labelled rows of each label that are not held out, and all their
+    features that lean to label 1.  Null and
     empty texts score by the bias alone; null keys are scored and never train;
     repeated rows give repeated results; rows without a label are left out of
     the fit; with one label only, that label's constant score is given; an
@@ -224,7 +259,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     text_bytes = as_bytes(f"`{text}`").alias("text")
     s1, a1 = schemas([], "gram int, n long")
     counts = np.zeros(_N**3)
-    for r in docs.select(text_bytes).mapInArrow(lambda it: _count(it, a1), s1).groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(text_bytes).mapInArrow(slim(lambda it: _count(it, a1)), s1).groupBy("gram").agg(F.sum("n").alias("n")).collect():
         counts[r["gram"]] = r["n"]
     channel = Channel(counts)
 
@@ -234,13 +269,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     chosen = F.broadcast(of(1).union(of(0)))
     s2, a2 = schemas([], "y int, digest long, used array<int>")
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), text_bytes).join(chosen, "id").select("y", "text")
-    drawn = cut(rows.mapInArrow(lambda it: _extract(it, channel, a2), s2), "drawn")
+    drawn = cut(rows.mapInArrow(slim(lambda it: _extract(it, channel, a2)), s2), "drawn")
     once = drawn.dropDuplicates(["digest", "y"])
     size = {r["y"]: r["n"] for r in once.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = max(size.get(1, 0), 1), max(size.get(0, 0), 1)
     per = once.select("y", F.explode("used").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    gain = F.col("a") * F.log((F.col("a") + 0.1) / pos / ((F.col("b") + 1.0) / neg))
-    top = [r["f"] for r in per.filter((F.col("a") >= 2) & (F.col("a") * neg > 2 * F.col("b") * pos)).orderBy(gain.desc(), "f").limit(FEATURES).select("f").collect()]
+    # As many as the labelled sample has; its bound is theirs.
+    top = [r["f"] for r in per.filter((F.col("a") >= 2) & (F.col("a") * neg > 2 * F.col("b") * pos)).orderBy("f").select("f").collect()]
     place = {f: i for i, f in enumerate(top)}
     s3, a3 = schemas([], "y int, used array<int>")
 
@@ -255,7 +290,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     carried = [F.col(f"`{key}`").alias("__key"), held_out(F.col(f"`{key}`"), parts, part).alias("held_out"), *[F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep)]]
     source = docs.select(*carried, text_bytes)
     out, arrow = schemas(source.schema.fields[:-1], "score double, predicted int")
-    scored = source.mapInArrow(lambda it: _score(it, channel, places, bias, cut_at, arrow), out)
+    scored = source.mapInArrow(slim(lambda it: _score(it, channel, places, bias, cut_at, arrow)), out)
     return scored.select(F.col("__key").alias(key), "held_out", "score", "predicted", *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)])
 
 

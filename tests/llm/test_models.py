@@ -1,5 +1,6 @@
 """Classifiers, nearest neighbours and the pipeline: accuracy, recall, edge cases."""
 
+import itertools
 import os
 
 import numpy as np
@@ -162,6 +163,43 @@ def test_pipeline_takes_out_passages_by_words(spark):
     assert out.filter(F.length("text") != F.col("n_chars")).count() == 0
 
 
+def brute_decode(model, arcs, then=" "):
+    """Every path, by definition."""
+    best = None
+    for path in itertools.product(*arcs, *[[(c, 0.0)] for c in then]):
+        a = b = 0
+        cost, text = 0.0, ""
+        for c, price in path:
+            cost += price
+            if c.isdigit():
+                cost += model.cost[a][b][0] if b else 0.0
+                a, b, text = 0, 0, text + c
+            elif c:
+                k = toxicity._code(c)
+                cost += model.cost[a][b][k]
+                a, b, text = b, k, text + c
+        if best is None or cost < best[0] - 1e-9:
+            best = cost, {text}
+        elif cost < best[0] + 1e-9:
+            best[1].add(text)
+    return {t[: len(t) - len(then)] for t in best[1]}
+
+
+def test_decoding_is_the_cheapest_path():
+    model = channel()
+    for word in ("5h17", "1d10t", "i!d*i0t", "k1lll", "$tupid!", "id10t$$$", "(you", "a1b2", "h8", "sssstupid", "y0u!!!", "!!you"):
+        want = {" ".join(x.split()) for x in brute_decode(model, model.arcs(word))}
+        assert model.clear(word) in want, word
+    for run in ("y o u 1 d 1 0 t", "i d i o t", "s t u p"):
+        assert model.join(run) in {" ".join(x.split()) for x in brute_decode(model, model.arcs(run, True))}
+
+
+def test_long_disguised_words_are_decoded():
+    model = channel()
+    assert model.clear("1d10" + "t" * 70) == "idiot"
+    assert model.clear("s" * 500 + "tup1d") == "stupid"
+
+
 def test_odd_lengths_do_not_set_the_dimension(spark):
     for odd in range(100, 120):  # whatever the hash of its id
         if spark.range(1).selectExpr(f"(select min(xxhash64(id)) from range(5)) > xxhash64({odd}L) as x").first()["x"]:
