@@ -1,6 +1,6 @@
 """K-Means over vector columns: seeded k-means++ starts, Lloyd steps, restarts, a grid over k.
 
-Points are rows ``(key..., array<double>)``.  Centres are a small matrix on the
+Points are rows ``(key..., array<double>)``; starts are drawn from all of them.  Centres are a small matrix on the
 driver.  One step is a map over Arrow batches that leaves ``k`` partial sums per
 batch, and one aggregate of them: its exchange does not grow with the points.
 """
@@ -8,11 +8,13 @@ batch, and one aggregate of them: its exchange does not grow with the points.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -51,47 +53,91 @@ def assign(points: DataFrame, centres: np.ndarray, name: str = "x") -> DataFrame
     return points.mapInArrow(run, schema)
 
 
-def _sums(points: DataFrame, centres: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """Per cluster: size and sum of vectors; inertia; the points farthest from their centres, farthest first."""
-    k, p = centres.shape
+def _sums(points: DataFrame, many: list[np.ndarray], name: str) -> list[tuple[np.ndarray, np.ndarray, float, np.ndarray]]:
+    """For each of several sets of centres, in one pass: sizes and sums of vectors by cluster; inertia; the points farthest from their centres, farthest first."""
+    k, p = many[0].shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, total, inertia = np.zeros(k), np.zeros((k, p)), np.zeros(k)
-        far = np.zeros((0, p + 1))
+        size, total, inertia = np.zeros((len(many), k)), np.zeros((len(many), k, p)), np.zeros((len(many), k))
+        far = [np.zeros((0, p + 1)) for _ in many]
         for batch in batches:
             x = _matrix(batch.column(0), p)
-            d = squared_distances(x, centres)
-            nearest = d.argmin(axis=1)
-            least = d[np.arange(len(d)), nearest]
-            size += np.bincount(nearest, minlength=k)
-            inertia += np.bincount(nearest, least, minlength=k)
-            for c in range(k):
-                total[c] += x[nearest == c].sum(axis=0)
-            far = np.concatenate([far, np.concatenate([least[:, None], x], axis=1)])
-            far = far[np.argsort(-far[:, 0], kind="stable")[:k]]
-        yield pa.RecordBatch.from_pydict({"c": np.arange(k, dtype=np.int32), "n": size, "inertia": inertia, "total": list(total), "far": [f.tolist() for f in far] + [None] * (k - len(far))})
-
-    parts = points.select(name).mapInArrow(run, "c int, n double, inertia double, total array<double>, far array<double>")
-    rows = parts.groupBy("c").agg(F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), F.array(*[F.sum(F.col("total")[j]) for j in range(p)]).alias("total"), F.slice(F.sort_array(F.collect_list("far"), False), 1, k).alias("far")).orderBy("c").collect()
-    far = sorted((f for r in rows for f in r["far"]), reverse=True)[:k]
-    return np.array([r["n"] for r in rows]), np.array([r["total"] for r in rows]), float(sum(r["inertia"] for r in rows)), np.array(far)
-
-
-def start(points: DataFrame, k: int, seed: int, name: str = "x", sample: int = 20_000) -> np.ndarray:
-    """k-means++ centres from a bounded sample (all points if there are fewer): squared-distance draws.
-
-    When every point is a centre already, the rest are drawn uniformly.
+            for r, centres in enumerate(many):
+                d = squared_distances(x, centres)
+                nearest = d.argmin(axis=1)
+                least = d[np.arange(len(d)), nearest]
+                size[r] += np.bincount(nearest, minlength=k)
+                inertia[r] += np.bincount(nearest, least, minlength=k)
+                for c in range(k):
+                    total[r, c] += x[nearest == c].sum(axis=0)
+                far[r] = np.concatenate([far[r], np.concatenate([least[:, None], x], axis=1)])
+                far[r] = far[r][np.argsort(-far[r][:, 0], kind="stable")[:k]]
+        for r in range(len(many)):
+            yield pa.RecordBatch.from_pydict({"r": np.full(k, r, np.int32), "c": np.arange(k, dtype=np.int32), "n": size[r], "inertia": inertia[r], "total": list(total[r]), "far": [f.tolist() for f in far[r]] + [None] * (k - len(far[r]))})
+
+    parts = points.select(name).mapInArrow(run, "r int, c int, n double, inertia double, total array<double>, far array<double>")
+    rows = parts.groupBy("r", "c").agg(F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), F.array(*[F.sum(F.col("total")[j]) for j in range(p)]).alias("total"), F.slice(F.sort_array(F.collect_list("far"), False), 1, k).alias("far")).orderBy("r", "c").collect()
+    out = []
+    for r in range(len(many)):
+        own = [x for x in rows if x["r"] == r]
+        far = sorted((f for x in own for f in x["far"]), reverse=True)[:k]
+        out.append((np.array([x["n"] for x in own]), np.array([x["total"] for x in own]), float(sum(x["inertia"] for x in own)), np.array(far)))
+    return out
+
+
+def weighted(points: DataFrame, name: str = "x") -> DataFrame:
+    """Different points with their number of rows."""
+    return points.groupBy(name).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def starts(weights: DataFrame, k: int, seeds: Sequence[int], name: str = "x") -> list[np.ndarray]:
+    """k-means++ centres over all points for each seed: each next one is drawn by its squared distance to those before.
+
+    A draw is a race: a point of weight ``w`` arrives after an exponential time
+    of rate ``w``, made from a hash of the point; the first one wins.  So one pass
+    that keeps a row per seed and task draws from all points, on any partitioning
+    alike; ``k`` passes serve all seeds.  When every point is a centre already,
+    the rest are drawn by rows alone.
     """
-    drawn = np.array([r[0] for r in points.select(name).orderBy(F.xxhash64(name, F.lit(seed)), name).limit(sample).collect()], float)
-    rng = np.random.default_rng(seed)
-    centres = [drawn[rng.integers(len(drawn))]]
-    least = ((drawn - centres[0]) ** 2).sum(axis=1)
-    while len(centres) < k:
-        total = least.sum()
-        pick = rng.choice(len(drawn), p=least / total) if total > 0 else rng.integers(len(drawn))
-        centres.append(drawn[pick])
-        least = np.minimum(least, ((drawn - drawn[pick]) ** 2).sum(axis=1))
-    return np.array(centres)
+    chosen: list[list[np.ndarray]] = [[] for _ in seeds]
+
+    def uniform(seed: int, turn: int) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64(name, F.lit(seed), F.lit(turn)), 11).cast("double") + 1.0) * F.lit(2.0**-53)
+
+    for turn in range(k):
+        drawn = weights.select(name, "n", F.array(*[-F.log(uniform(seed, turn)) for seed in seeds]).alias("t"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, int], tuple] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                n = batch.column(1).to_numpy(zero_copy_only=False)
+                times = _matrix(batch.column(2), len(seeds))
+                for r, centres in enumerate(chosen):
+                    for rule, weight in enumerate(_far(batch.column(0), n, centres)):
+                        with np.errstate(divide="ignore"):
+                            time = np.where(weight > 0, times[:, r] / weight, np.inf)
+                        at = int(time.argmin())
+                        row = (float(time[at]), batch.column(0)[at].as_py())
+                        best[r, rule] = min(best.get((r, rule), row), row)
+            rows = [(r, rule, *x) for (r, rule), x in best.items() if np.isfinite(x[0])]
+            yield pa.RecordBatch.from_pydict({"r": pa.array([x[0] for x in rows], pa.int32()), "rule": pa.array([x[1] for x in rows], pa.int32()), "t": pa.array([x[2] for x in rows], pa.float64()), "x": pa.array([x[3] for x in rows], pa.list_(pa.float64()))})
+
+        found = drawn.mapInArrow(run, "r int, rule int, t double, x array<double>").groupBy("r").agg(F.min(F.struct("rule", "t", "x")).alias("b")).collect()
+        if len(found) < len(seeds):
+            raise ValueError("no points")
+        for row in found:
+            chosen[row["r"]].append(np.array(row["b"]["x"], float))
+    return [np.array(c) for c in chosen]
+
+
+def _far(column: pa.Array, n: np.ndarray, centres: list[np.ndarray]) -> list[np.ndarray]:
+    """Weights of points: by squared distance to the nearest centre, and by rows alone."""
+    if not centres:
+        return [n]
+    x = _matrix(column, len(centres[0]))
+    return [n * squared_distances(x, np.array(centres)).min(axis=1), n]
 
 
 @dataclass(frozen=True)
@@ -103,33 +149,52 @@ class Clustering:
 
 
 def lloyd(points: DataFrame, centres: np.ndarray, max_iter: int = MAX_ITER, tol: float = TOL, name: str = "x") -> Clustering:
-    """Lloyd steps until no centre moves by more than ``tol``.
+    """Lloyd steps until no centre moves by more than ``tol``."""
+    return lloyd_many(points, [centres], max_iter, tol, name)[0]
 
-    The i-th empty cluster of a step takes the i-th farthest point.
+
+def lloyd_many(points: DataFrame, many: Sequence[np.ndarray], max_iter: int = MAX_ITER, tol: float = TOL, name: str = "x") -> list[Clustering]:
+    """Lloyd steps from several starts, side by side: a pass over the points is a step of all that still move.
+
+    The i-th empty cluster of a step takes the i-th farthest point.  Executors
+    keep the points meanwhile.
     """
-    turn = 0
-    for turn in range(1, max_iter + 1):
-        size, total, _, far = _sums(points, centres, name)
-        new, spare = centres.copy(), 0
-        for c in range(len(centres)):
-            if size[c]:
-                new[c] = total[c] / size[c]
-            elif spare < len(far):
-                new[c] = far[spare][1:]
-                spare += 1
-        moved = float(np.sqrt(((new - centres) ** 2).sum(axis=1)).max())
-        centres = new
-        if moved <= tol:
-            break
-    size, _, inertia, _ = _sums(points, centres, name)
-    return Clustering(centres, inertia, turn, size.astype(int))
+    now, turns = [np.array(c, float) for c in many], [0] * len(many)
+    moving = list(range(len(many)))
+    with kept(points.select(name)) as points:
+        while moving and max_iter:
+            for r, (size, total, _, far) in zip(moving, _sums(points, [now[r] for r in moving], name), strict=True):
+                new, spare = now[r].copy(), 0
+                for c in range(len(new)):
+                    if size[c]:
+                        new[c] = total[c] / size[c]
+                    elif spare < len(far):
+                        new[c] = far[spare][1:]
+                        spare += 1
+                moved = float(np.sqrt(((new - now[r]) ** 2).sum(axis=1)).max())
+                now[r], turns[r] = new, turns[r] + 1
+                if moved <= tol or turns[r] >= max_iter:
+                    turns[r] = -turns[r]
+            moving = [r for r in moving if turns[r] > 0]
+        last = _sums(points, now, name)
+    return [Clustering(c, inertia, abs(turn), size.astype(int)) for c, turn, (size, _, inertia, _) in zip(now, turns, last, strict=True)]
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """A table that executors keep (in memory, else on disk) for as long as it is used here; lost parts are made anew."""
+    mine = df.storageLevel == StorageLevel.NONE
+    if mine:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        if mine:
+            df.unpersist()
 
 
 def fit_kmeans(points: DataFrame, k: int, n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER, tol: float = TOL, name: str = "x") -> Clustering:
-    """The restart with the least inertia; of equals the first."""
-    best: Clustering | None = None
-    for i in range(n_init):
-        one = lloyd(points, start(points, k, seed + i + 1000 * k, name), max_iter, tol, name)
-        if best is None or one.inertia < best.inertia:
-            best = one
-    return best
+    """The restart with the least inertia; of equals the first.  All restarts share their passes."""
+    with kept(points.select(name)) as points, kept(weighted(points, name)) as weights:
+        found = lloyd_many(points, starts(weights, k, [seed + i + 1000 * k for i in range(n_init)], name), max_iter, tol, name)
+    return min(found, key=lambda one: one.inertia)

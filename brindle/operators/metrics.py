@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.kmeans import _matrix
+
 #: Points of one block in the exact silhouette.
 BLOCK = 1024
 
@@ -23,19 +25,26 @@ def cluster_sizes(points: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 def moments(points: DataFrame, x: str = "x", cluster: str = "cluster") -> dict[int, tuple[int, np.ndarray]]:
     """Size and mean of each cluster: k rows on the driver."""
-    p = len(points.select(x).first()[0])
+    first = points.select(x).first()
+    if first is None:
+        return {}
+    p = len(first[0])
     rows = points.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(x)[j]).alias(f"m{j}") for j in range(p)]).collect()
     return {r[cluster]: (r["n"], np.array([r[f"m{j}"] for j in range(p)])) for r in sorted(rows, key=lambda r: r[cluster])}
 
 
 def _spread(points: DataFrame, means: dict[int, tuple[int, np.ndarray]], x: str, cluster: str) -> dict[int, tuple[float, float]]:
     """Per cluster: sum of squared distances and mean distance to its mean."""
+    if not means:
+        return {}
+    ids = np.array(sorted(means))
+    centres = np.array([means[c][1] for c in ids.tolist()])
 
     def run(batches):
         for batch in batches:
-            v = np.array(batch.column(0).to_pylist(), float)
             c = batch.column(1).to_numpy(zero_copy_only=False)
-            d = ((v - np.array([means[i][1] for i in c.tolist()])) ** 2).sum(axis=1) if len(v) else np.zeros(0)
+            v = _matrix(batch.column(0), centres.shape[1])
+            d = ((v - centres[np.searchsorted(ids, c)]) ** 2).sum(axis=1)
             yield pa.RecordBatch.from_pydict({"c": pa.array(c.astype(np.int32)), "square": d, "d": np.sqrt(d)})
 
     rows = points.select(x, cluster).mapInArrow(run, "c int, square double, d double").groupBy("c").agg(F.sum("square").alias("square"), F.avg("d").alias("d")).collect()
@@ -76,8 +85,8 @@ def silhouette_samples(points: DataFrame, x: str = "x", cluster: str = "cluster"
     """Exact Euclidean silhouette of each point: ``cluster``, ``silhouette``.
 
     A point alone in its cluster has a = 0.  All distances are needed, so the
-    work is quadratic; points are packed in blocks, each pair of blocks is one
-    task's matrix, and only sums of distances per cluster leave it.
+    work is quadratic (in different points); they are packed in blocks, each pair of
+    blocks is one task's matrix, and only sums of distances per cluster leave it.
     """
     sizes = {r[cluster]: r["n"] for r in cluster_sizes(points, cluster).collect()}
     ids = sorted(sizes)
@@ -85,27 +94,31 @@ def silhouette_samples(points: DataFrame, x: str = "x", cluster: str = "cluster"
     total = sum(sizes.values())
     if len(ids) < 2 or len(ids) >= total:
         return points.select(F.col(cluster).alias("cluster"), F.lit(None).cast("double").alias("silhouette"))
-    blocks = max(1, -(-total // BLOCK))
-    spark = points.sparkSession
-    made = points.select(F.col(x).alias("x"), F.col(cluster).cast("int").alias("c")).withColumn("h", F.xxhash64("x", "c")).withColumn("b", F.pmod("h", F.lit(blocks)).cast("int"))
-    packed = made.groupBy("b").agg(F.collect_list(F.struct("x", "c")).alias("v"))
+    # Equal points of a cluster are one point with a weight, so a crowd of them is one row.
+    made = points.select(F.col(x).alias("x"), F.col(cluster).cast("int").alias("c")).groupBy("x", "c").agg(F.count(F.lit(1)).alias("n"))
+    blocks = max(1, -(-made.count() // BLOCK))
+    packed = made.withColumn("b", F.pmod(F.xxhash64("x", "c"), F.lit(blocks)).cast("int")).groupBy("b").agg(F.collect_list(F.struct("x", "c", "n")).alias("v"))
     other = packed.select(F.col("b").alias("b2"), F.col("v").alias("v2"))
+    spark = points.sparkSession
     grid = packed.withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(max(spark.sparkContext.defaultParallelism, blocks), "b", "b2").join(other, "b2")
 
+    def unpacked(cell: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = cell.field("n").to_numpy()
+        return cell.field("x").flatten().to_numpy().reshape(len(n), -1), cell.field("c").to_numpy(), n
+
     def run(batches):
         for batch in batches:
-            for b, v, w in zip(batch.column("b").to_pylist(), batch.column("v").to_pylist(), batch.column("v2").to_pylist(), strict=True):
-                a, z = np.array([r["x"] for r in v], float), np.array([r["x"] for r in w], float)
-                own = [place[r["c"]] for r in w]
-                one = np.zeros((len(z), len(ids)))
-                one[np.arange(len(z)), own] = 1
+            for b, v, w in zip(batch.column("b").to_pylist(), batch.column("v"), batch.column("v2"), strict=True):
+                (a, c, n), (z, own, m) = unpacked(v.values), unpacked(w.values)
+                weight = np.zeros((len(z), len(ids)))
+                weight[np.arange(len(z)), [place[i] for i in own.tolist()]] = m
                 d = np.zeros((len(a), len(z)))
                 for j in range(a.shape[1]):
                     d += (a[:, j : j + 1] - z[None, :, j]) ** 2
-                sums = np.sqrt(d) @ one
-                yield pa.RecordBatch.from_pydict({"b": pa.array([b] * len(v), pa.int32()), "i": pa.array(range(len(v)), pa.int32()), "c": pa.array([r["c"] for r in v], pa.int32()), "s": list(sums)})
+                sums = np.sqrt(d) @ weight
+                yield pa.RecordBatch.from_pydict({"b": pa.array([b] * len(a), pa.int32()), "i": pa.array(range(len(a)), pa.int32()), "c": pa.array(c, pa.int32()), "n": pa.array(n, pa.int64()), "s": list(sums)})
 
-    sums = grid.select("b", "v", "v2").mapInArrow(run, "b int, i int, c int, s array<double>").groupBy("b", "i", "c").agg(*[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(len(ids))])
+    sums = grid.select("b", "v", "v2").mapInArrow(run, "b int, i int, c int, n long, s array<double>").groupBy("b", "i", "c", "n").agg(*[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(len(ids))])
     a = F.lit(None).cast("double")
     rest = []
     for j, c in enumerate(ids):
@@ -113,7 +126,8 @@ def silhouette_samples(points: DataFrame, x: str = "x", cluster: str = "cluster"
         a = F.when(here, F.col(f"s{j}") / (sizes[c] - 1) if sizes[c] > 1 else F.lit(0.0)).otherwise(a)
         rest.append(F.when(~here, F.col(f"s{j}") / sizes[c]))
     b = F.least(*rest)
-    return sums.select(F.col("c").alias("cluster"), a.alias("a"), b.alias("b")).select("cluster", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
+    value = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    return sums.select(F.col("c").alias("cluster"), "n", a.alias("a"), b.alias("b")).select("cluster", value.alias("silhouette"), F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("cluster", "silhouette")
 
 
 def silhouette(points: DataFrame, x: str = "x", cluster: str = "cluster") -> float:
@@ -129,14 +143,14 @@ def centroid_silhouette(points: DataFrame, x: str = "x", cluster: str = "cluster
     if len(ids) < 2:
         return math.nan
     centres = np.array([means[c][1] for c in ids])
-    place = {c: i for i, c in enumerate(ids)}
+    ids = np.array(ids)
 
     def run(batches):
         for batch in batches:
-            v = np.array(batch.column(0).to_pylist(), float)
+            v = _matrix(batch.column(0), centres.shape[1])
             if not len(v):
                 continue
-            own = np.array([place[c] for c in batch.column(1).to_pylist()])
+            own = np.searchsorted(ids, batch.column(1).to_numpy(zero_copy_only=False))
             d = np.stack([np.sqrt(((v - c) ** 2).sum(axis=1)) for c in centres], axis=1)
             a = d[np.arange(len(d)), own].copy()
             d[np.arange(len(d)), own] = np.inf

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.columns import number, pearson, round_even, unpivot
 
 #: Columns whose distinct counts share one pass; each column multiplies the rows of an exact distinct count.
 DISTINCT_AT_ONCE = 4
+#: Ranks of approximate quantiles are right to one part in so many.
+RANK_ACCURACY = 10_000
 
 
 def column_quality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -31,29 +36,70 @@ def column_quality(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return out
 
 
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation, at any number of distinct values.
+
+    One pass gives each quantile's surroundings (approximate quantiles with a
+    known error of rank); a last one counts what lies below them and ranks only
+    the values inside, equal values counted once: about four parts in
+    ``RANK_ACCURACY`` of a column.
+    """
+    ends = df.agg(*[x for i, c in enumerate(columns) for x in (F.count(number(c)).alias(f"n{i}"), F.min(number(c)).alias(f"a{i}"), F.max(number(c)).alias(f"z{i}"))]).first()
+    places: list[tuple[int, float]] = []
+    around: list[tuple[float, float]] = []
+    for i in range(len(columns)):
+        n = ends[f"n{i}"]
+        for q in shares if n else ():
+            at = q * (n - 1)
+            places.append((i, at))
+            around.append(((math.floor(at) - 1) / n - 2 / RANK_ACCURACY, (math.ceil(at) + 2) / n + 2 / RANK_ACCURACY))
+    bounds = df.agg(*[F.percentile_approx(number(columns[i]), [max(0.0, low), min(1.0, high)], RANK_ACCURACY).alias(str(j)) for j, ((i, _), (low, high)) in enumerate(zip(places, around, strict=True))]).first() if places else ()
+    below, inside = [], []
+    for j, ((i, _), (a, z)) in enumerate(zip(places, around, strict=True)):
+        # The ends of a column are its least and largest value.
+        low, high = (ends[f"a{i}"] if a <= 0 else bounds[j][0]), (ends[f"z{i}"] if z >= 1 else bounds[j][1])
+        x = number(columns[i])
+        below.append(F.count_if(x < F.lit(low)).alias(str(j)))
+        inside.append(F.when((x >= F.lit(low)) & (x <= F.lit(high)), F.struct(F.lit(j).alias("j"), x.cast("double").alias("v"))))
+    if not places:
+        return {c: [None] * len(shares) for c in columns}
+    counts = df.agg(*below).first()
+    values = df.select(F.explode(F.array(*inside)).alias("r")).filter("r IS NOT NULL").select("r.*").groupBy("j", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("j").orderBy("v"))
+    ranked = values.withColumn("upto", upto)
+    wanted = [(F.col("j") == j) & (F.col("upto") > rank - counts[str(j)]) & (F.col("upto") - F.col("n") <= rank - counts[str(j)]) for j, (_, at) in enumerate(places) for rank in {math.floor(at), math.ceil(at)}]
+    found: dict[int, list[tuple[int, int, float]]] = {}
+    for r in ranked.filter(reduce(or_, wanted)).collect():  # two rows a quantile at most
+        found.setdefault(r["j"], []).append((r["upto"] - r["n"] + counts[str(r["j"])], r["upto"] + counts[str(r["j"])], r["v"]))
+    out: dict[str, list[float | None]] = {c: [] if ends[f"n{i}"] else [None] * len(shares) for i, c in enumerate(columns)}
+    for j, (i, at) in enumerate(places):
+        value = lambda rank, j=j: next(v for a, b, v in found[j] if a <= rank < b)
+        low, high = value(math.floor(at)), value(math.ceil(at))
+        out[columns[i]].append(low + (high - low) * (at - math.floor(at)))
+    return out
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std (n-1), min, exact quartiles with linear interpolation, max; one pass."""
+    """count, mean, std (n-1), min, exact quartiles with linear interpolation, max."""
     aggs = []
     for i, c in enumerate(columns):
         x = number(c)
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs += [F.count(x).alias(f"{i}_count"), F.avg(x).alias(f"{i}_mean"), F.stddev_samp(x).alias(f"{i}_std"), F.min(x).alias(f"{i}_min"), q.alias(f"{i}_q"), F.max(x).alias(f"{i}_max")]
-    row = df.agg(*aggs)
-    for i in range(len(columns)):
-        row = row.withColumns({f"{i}_q{p}": F.col(f"{i}_q")[j] for j, p in enumerate((25, 50, 75))})
+        aggs += [F.count(x).alias(f"{i}_count"), F.avg(x).alias(f"{i}_mean"), F.stddev_samp(x).alias(f"{i}_std"), F.min(x).alias(f"{i}_min"), F.max(x).alias(f"{i}_max")]
+    quartiles = quantiles(df, columns, (0.25, 0.5, 0.75))
+    row = df.agg(*aggs).withColumns({f"{i}_q{p}": F.lit(quartiles[c][j]).cast("double") for i, c in enumerate(columns) for j, p in enumerate((25, 50, 75))})
     return unpivot(row, columns, "variable", ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], reach: float = 1.5) -> DataFrame:
     """Values strictly outside ``[q1 - reach * iqr, q3 + reach * iqr]``; rates are of all rows.
 
-    Quartiles are one row, collected, so that the counting pass has constants
-    in its filter and no join.
+    Quartiles come first, so that the counting pass has constants in its filter
+    and no join.
     """
-    quartiles = df.agg(*[F.percentile(number(c), F.array(F.lit(0.25), F.lit(0.75))).alias(str(i)) for i, c in enumerate(columns)]).first()
+    quartiles = quantiles(df, columns, (0.25, 0.75))
     aggs, bounds = [], []
     for i, c in enumerate(columns):
-        q1, q3 = quartiles[i] if quartiles[i] is not None else (None, None)
+        q1, q3 = quartiles[c]
         low, high = (None, None) if q1 is None else (q1 - reach * (q3 - q1), q3 + reach * (q3 - q1))
         bounds.append((q1, q3, None if q1 is None else q3 - q1, low, high))
         x = number(c)

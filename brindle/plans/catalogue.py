@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from brindle.functions import columns as fn
 from brindle.operators import features, ir_eval, kmeans, metrics, pca, profile, profiles, search, selection, validate
 from brindle.operators.synth import students
-from brindle.plans.students import validate_students
+from brindle.plans.students import QUERIES as STUDENT_QUERIES
+from brindle.plans.students import relevance, search_documents, validate_students
 
 LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 #: Words that occur in the documents, one query with a word twice, one with an unknown word.
@@ -138,6 +139,95 @@ def pca_scores(spark, d):
     return _round(pca.fit_pca(scaled, LINE).scores(scaled, 2, ("l_orderkey", "l_linenumber")), {"PC1": 6, "PC2": 6})
 
 
+PAIR = ("l_quantity", "l_extendedprice")
+
+
+def _pair(spark, d) -> tuple[DataFrame, pca.Components]:
+    df = _t(spark, d, "lineitem")
+    scaled = features.fit_scaler(df, PAIR).apply(df.select("l_orderkey", "l_linenumber", *PAIR))
+    return scaled, pca.fit_pca(scaled, PAIR)
+
+
+def pca_pair_explained(spark, d):
+    """Two columns, whose components are known in closed form."""
+    return _round(_pair(spark, d)[1].explained(spark), {"explained_variance": 9, "explained_ratio": 9, "cumulative_ratio": 9})
+
+
+def pca_pair_scores(spark, d):
+    scaled, fitted = _pair(spark, d)
+    return _round(fitted.scores(scaled, 2, ("l_orderkey", "l_linenumber")), {"PC1": 6, "PC2": 6})
+
+
+def pca_pair_needed(spark, d):
+    fitted = _pair(spark, d)[1]
+    return spark.createDataFrame([(share, fitted.needed(share)) for share in (0.5, 0.9, 0.95, 0.99, 1.5)], "share double, components int")
+
+
+def dataset_nulls(spark, d):
+    df = _holes(_t(spark, d, "lineitem")).select("l_partkey", "l_returnflag", *LINE)
+    return _round(profile.dataset_summary(df, "holes", {"flags": "l_returnflag"}, {"avg_quantity": "l_quantity"}), {"avg_quantity": 6})
+
+
+# --- rules of students on rows made from orders -----------------------------
+
+
+def _student_rows(spark, d) -> DataFrame:
+    """Rows with the students' columns, some of which break each rule."""
+    o, c = F.col("o_orderkey").cast("int"), F.col("o_custkey").cast("int")
+    programs = ("Ingenieria en Desarrollo de Software", "Ingenieria Biomedica", "Ingenieria en Energia", "Ingenieria Agroindustrial")
+    return _t(spark, d, "orders").select(
+        (o % 4999).cast("string").alias("id_estudiante"),
+        F.concat((c % 6 + 2020).cast("string"), F.lit("-1")).alias("id_periodo"),
+        F.element_at(F.array(*[F.lit(p) for p in programs]), c % 4 + 1).alias("programa"),
+        (c % 5 + 2020).alias("cohorte"),
+        ((o * 7 % 1100) / 10.0).alias("promedio_general"),
+        F.when(o % 9 != 0, (o * 3 % 1000) / 10.0).alias("promedio_periodo"),
+        ((o * 13 % 1050) / 10.0).alias("porcentaje_asistencia"),
+        (o % 250 * 100 / 270.0 + c % 3).alias("porcentaje_avance"),
+        (o % 250).alias("creditos_acumulados"),
+        F.lit(270).alias("creditos_totales_plan"),
+        (c % 50).alias("creditos_inscritos_periodo"),
+        (o % 52).alias("creditos_aprobados_periodo"),
+        (o % 8).alias("materias_en_curso_periodo"),
+        (o % 5).alias("materias_reprobadas_acumuladas"),
+        (o % 5).alias("materias_reprobadas"),
+        (c % 4).alias("recursamientos"),
+        (c % 7 - 1).alias("rezago_materias"),
+        F.when(F.col("o_orderstatus") == "F", "Baja Temporal").when(F.col("o_orderstatus") == "O", "Regular").otherwise("Irregular").alias("estatus_academico"),
+    )
+
+
+def student_rules(spark, d):
+    return validate_students(_student_rows(spark, d)).select("check", "passed", "failing_rows", "severity")
+
+
+def rules_passed(spark, d):
+    return student_rules(spark, d).agg(F.count(F.lit(1)).alias("checks"), F.count_if("passed").alias("passed"))
+
+
+def _labelled(spark, d) -> DataFrame:
+    label = profiles.profile_label(F.col("porcentaje_asistencia"), F.col("promedio_general"), F.col("rezago_materias"), F.col("materias_reprobadas_acumuladas"))
+    return _student_rows(spark, d).withColumn("perfil_sugerido", label)
+
+
+def profile_labels(spark, d):
+    return _labelled(spark, d).groupBy("perfil_sugerido").agg(F.count(F.lit(1)).alias("n"))
+
+
+def relevant_rows(spark, d):
+    rows = _labelled(spark, d)
+    return rows.agg(*[F.count_if(relevance(q)).alias(q) for q, _ in STUDENT_QUERIES])
+
+
+def student_documents(spark, d):
+    """Left joins on a composite key and to a tiny dimension; searchable text by row."""
+    rows = _student_rows(spark, d).dropDuplicates(["id_estudiante", "id_periodo"]).withColumns({"promedio_general": F.lit(91.5), "porcentaje_asistencia": F.lit(59.0), "rezago_materias": F.lit(2), "materias_reprobadas": F.lit(0), "num_tutorias": F.lit(1), "num_incidencias": F.lit(0), "programa": F.lit("p"), "cohorte": F.lit(2020), "estatus_academico": F.lit("Regular")})
+    rows = rows.select("id_estudiante", "id_periodo", "promedio_general", "porcentaje_asistencia", "rezago_materias", "materias_reprobadas", "num_tutorias", "num_incidencias", "programa", "cohorte", "estatus_academico")
+    given = rows.filter(F.col("id_estudiante").cast("int") % 3 != 0).select("id_estudiante", "id_periodo", (F.col("id_estudiante").cast("int") % 4).alias("cluster"))
+    summary = spark.createDataFrame([(0, "Critico / rezago alto"), (1, "Regular / seguimiento preventivo"), (2, "x")], "cluster int, profile string")
+    return search_documents(rows, given, summary).select("document_id", "search_text")
+
+
 # --- validation, joins, buckets --------------------------------------------
 
 
@@ -228,6 +318,19 @@ def kmeans_restarts(spark, d):
     return spark.createDataFrame([(i, int(n), model.inertia) for i, n in enumerate(model.sizes)], "cluster int, n long, inertia double")
 
 
+def kmeans_groups(spark, d):
+    """Restarts over all points of three groups far apart, whose best clustering is known."""
+    o, c = F.col("o_orderkey").cast("int"), F.col("o_custkey").cast("int")
+    points = _t(spark, d, "orders").select(F.array((o % 3 * 100 + c % 5).cast("double"), (c % 5).cast("double")).alias("x"))
+    model = kmeans.fit_kmeans(points, 3, n_init=4)
+    rows = [(int(n), float(m[0]), float(m[1]), model.inertia) for n, m in zip(model.sizes, model.centres, strict=True)]
+    return _round(spark.createDataFrame(rows, "n long, x double, y double, inertia double"), {"x": 6, "y": 6, "inertia": 3})
+
+
+def ir_means(spark, d):
+    return _round(ir_eval.mean_metrics(ir_metrics(spark, d)), {c: 5 for c in ("precision", "recall", "mrr", "ndcg")})
+
+
 def cluster_quality(spark, d):
     p = _points(spark, d)
     row = (metrics.inertia(p), metrics.silhouette(p), metrics.calinski_harabasz(p), metrics.davies_bouldin(p))
@@ -369,6 +472,46 @@ def _validation_sql() -> str:
     return _union(f"SELECT '{n}' AS \"check\", {x} = 0 AS passed, ({x})::BIGINT AS failing_rows, '{s}' AS severity FROM lineitem" for n, (x, s) in bad.items())
 
 
+_Z = "(SELECT l_orderkey, l_linenumber, (l_quantity - q.m) / q.s AS a, (l_extendedprice - e.m) / e.s AS b FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem) q, (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem) e)"
+#: Of two standardised columns the components are half their sum and difference, the variances 1 + r and 1 - r.
+_PAIR_SQL = "(SELECT abs(corr(l_quantity, l_extendedprice)) AS r, count(*) / (count(*) - 1) AS f FROM lineitem)"
+
+STUDENT_SQL = """(SELECT (o_orderkey % 4999)::VARCHAR AS id_estudiante, (o_custkey % 6 + 2020) || '-1' AS id_periodo, (['Ingenieria en Desarrollo de Software', 'Ingenieria Biomedica', 'Ingenieria en Energia', 'Ingenieria Agroindustrial'])[o_custkey % 4 + 1] AS programa,
+(o_orderkey * 7 % 1100) / 10.0::DOUBLE AS pg, CASE WHEN o_orderkey % 9 <> 0 THEN (o_orderkey * 3 % 1000) / 10.0::DOUBLE END AS pp, (o_orderkey * 13 % 1050) / 10.0::DOUBLE AS att, o_orderkey % 250 * 100 / 270.0::DOUBLE + o_custkey % 3 AS adv, o_orderkey % 250 AS acc,
+o_custkey % 50 AS ins, o_orderkey % 52 AS apr, o_orderkey % 8 AS cur, o_orderkey % 5 AS rep, o_custkey % 4 AS rec, o_custkey % 7 - 1 AS lag, o_orderstatus AS st FROM orders)"""
+_LABEL = "CASE WHEN att < 60 AND pg >= 80 THEN 'Atipico / buen promedio con baja asistencia' WHEN pg >= 88 AND lag <= 0.5 AND rep <= 0.5 THEN 'Alto desempeno / avance estable' WHEN pg < 62 OR lag >= 4 THEN 'Critico / rezago alto' WHEN pg < 76 OR rep >= 2 THEN 'Riesgo academico moderado' ELSE 'Regular / seguimiento preventivo' END"
+
+
+def _student_rules_sql() -> str:
+    bad = {
+        "unique_student_period": ("count(*) - count(DISTINCT (id_estudiante, id_periodo))", "alta"),
+        "required_columns": ("count(*) * 0", "alta"),
+        **{f"range_0_100_{n}": (f"count(*) FILTER ({x} < 0 OR {x} > 100)", "alta") for n, x in (("promedio_general", "pg"), ("promedio_periodo", "pp"), ("porcentaje_asistencia", "att"), ("porcentaje_avance", "adv"))},
+        **{f"non_negative_{n}": (f"count(*) FILTER ({x} < 0)", "alta") for n, x in (("materias_en_curso_periodo", "cur"), ("materias_reprobadas_acumuladas", "rep"), ("materias_reprobadas", "rep"), ("recursamientos", "rec"), ("rezago_materias", "lag"))},
+        "period_credits_consistency": ("count(*) FILTER (apr > ins)", "alta"),
+        "progress_matches_credits": ("count(*) FILTER (abs(acc / 270.0::DOUBLE * 100 - adv) > 0.75)", "alta"),
+        "baja_temporal_without_active_load": ("count(*) FILTER (st = 'F' AND cur > 0)", "alta"),
+        "recursamientos_not_greater_than_failed_accumulated": ("count(*) FILTER (rec > rep)", "alta"),
+        "lag_not_below_failed_minus_retake": ("count(*) FILTER (lag < greatest(rep - rec, 0))", "media"),
+        "controlled_missing_values": ("count(*) * 0", "media"),
+    }
+    return _union(f"SELECT '{n}' AS \"check\", {x} = 0 AS passed, ({x})::BIGINT AS failing_rows, '{s}' AS severity FROM {STUDENT_SQL}" for n, (x, s) in bad.items())
+
+
+#: Who is relevant, by the rules over rows.
+_RELEVANT = {
+    "critical_lag": "label LIKE 'Critico%' OR lag >= 4 AND pg < 60", "atypical_attendance": "label LIKE 'Atipico%' OR pg >= 85 AND att < 60", "moderate_risk": "label = 'Riesgo academico moderado'", "regular_preventive": "label LIKE 'Regular%'",
+    "software_lag": "programa LIKE '%Software' AND lag >= 3", "biomedical_low_attendance": "programa LIKE '%Biomedica' AND att < 60", "energy_low_average": "programa LIKE '%Energia' AND pg < 60 AND rep >= 3", "agro_high_performance": "programa LIKE '%Agroindustrial' AND pg >= 80 AND att >= 80",
+}
+
+
+def _documents_sql() -> str:
+    who = "coalesce(CASE cluster WHEN 0 THEN 'Critico / rezago alto' WHEN 1 THEN 'Regular / seguimiento preventivo' WHEN 2 THEN 'x' END, 'sin perfil')"
+    return f"""SELECT e || '::' || p AS document_id, 'estudiante ' || e || ' periodo ' || p || ' programa p cohorte 2020 estatus Regular cluster ' || coalesce(cluster::VARCHAR, 'nan') || ' perfil ' || {who} || ' ' || {who}
+|| ' promedio alto asistencia baja rezago moderado sin reprobadas con tutorias seguimiento academico sin incidencias baja asistencia ausentismo asistencias atipico atipicos buen promedio baja asistencia' || CASE WHEN cluster = 1 THEN ' regular seguimiento preventivo estable' ELSE '' END AS search_text
+FROM (SELECT e, p, CASE WHEN e::INT % 3 <> 0 THEN e::INT % 4 END AS cluster FROM (SELECT DISTINCT id_estudiante AS e, id_periodo AS p FROM {STUDENT_SQL}))"""
+
+
 def _even(x: str) -> str:
     return f"round_even({x} * 100, 0) / 100"
 
@@ -390,6 +533,17 @@ ORACLE: dict[str, str] = {
     "scaler_params": _union(f"SELECT '{c}' AS feature, round(m, 5) AS mean, round(s, 5) AS std FROM {_scaler_sql(c)}" for c in LINE),
     "zscores": f"SELECT l_returnflag, l_linestatus, round(sum((coalesce(l_quantity, q.m) - q.m) / q.s), 4) AS sum_l_quantity, round(sum((coalesce(l_tax, t.m) - t.m) / t.s), 4) AS sum_l_tax, round(max((coalesce(l_quantity, q.m) - q.m) / q.s), 6) AS max_l_quantity, round(max((coalesce(l_tax, t.m) - t.m) / t.s), 6) AS max_l_tax FROM {HOLES}, {_scaler_sql('l_quantity')} q, {_scaler_sql('l_tax')} t GROUP BY 1, 2",
     "pca_covariance": _union(f"SELECT '{a}' AS variable_a, '{b}' AS variable_b, round(covar_samp({a}, {b}), 6) AS covariance FROM lineitem" for a, b in (("l_quantity", "l_quantity"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_discount"), ("l_discount", "l_tax"), ("l_tax", "l_tax"))),
+    "pca_pair_explained": f"SELECT 1 AS position, 'PC1' AS component, round((1 + r) * f, 9) AS explained_variance, round((1 + r) / 2, 9) AS explained_ratio, round((1 + r) / 2, 9) AS cumulative_ratio FROM {_PAIR_SQL} UNION ALL SELECT 2, 'PC2', round((1 - r) * f, 9), round((1 - r) / 2, 9), 1.0::DOUBLE FROM {_PAIR_SQL}",
+    "pca_pair_scores": f"SELECT l_orderkey, l_linenumber, round((a + b) / sqrt(2), 6) AS PC1, round((a - b) / sqrt(2), 6) AS PC2 FROM {_Z}",
+    "pca_pair_needed": f"SELECT share::DOUBLE AS share, CASE WHEN (1 + r) / 2 >= share THEN 1 ELSE 2 END AS components FROM {_PAIR_SQL}, (SELECT unnest([0.5, 0.9, 0.95, 0.99, 1.5]) AS share)",
+    "dataset_nulls": f"SELECT 'holes' AS dataset, count(*) AS records, 6 AS columns, (6 * count(*) - count(l_partkey) - count(l_returnflag) - count(l_quantity) - count(l_extendedprice) - count(l_discount) - count(l_tax))::BIGINT AS null_cells, count(DISTINCT l_returnflag) AS flags, round(avg(l_quantity), 6) AS avg_quantity FROM {HOLES}",
+    "student_rules": _student_rules_sql(),
+    "rules_passed": f"SELECT count(*) AS checks, count(*) FILTER (passed) AS passed FROM ({_student_rules_sql()})",
+    "profile_labels": f"SELECT {_LABEL} AS perfil_sugerido, count(*) AS n FROM {STUDENT_SQL} GROUP BY 1",
+    "relevant_rows": f"SELECT {', '.join(f'count(*) FILTER ({x}) AS {q}' for q, x in _RELEVANT.items())} FROM (SELECT *, {_LABEL} AS label FROM {STUDENT_SQL})",
+    "student_documents": _documents_sql(),
+    "kmeans_groups": """WITH p AS (SELECT o_orderkey % 3 AS g, (o_orderkey % 3 * 100 + o_custkey % 5)::DOUBLE AS x, (o_custkey % 5)::DOUBLE AS y FROM orders), m AS (SELECT g, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM p GROUP BY g)
+SELECT n, round(mx, 6) AS x, round(my, 6) AS y, (SELECT round(sum((x - mx) ** 2 + (y - my) ** 2), 3) FROM p JOIN m USING (g)) AS inertia FROM m""",
     "validation_rules": _validation_sql(),
     "left_join_enrich": "SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey GROUP BY 1",
     "bucketize_document": "SELECT c_custkey || '::' || c_mktsegment AS document_id, CASE WHEN c_acctbal < 0 THEN 'low' WHEN c_acctbal < 5000 THEN 'middle' ELSE 'high' END AS balance, CASE WHEN c_nationkey = 0 THEN 'none' WHEN c_nationkey < 3 THEN 'some' ELSE 'many' END AS nation, CASE WHEN c_acctbal >= 9000 THEN 'top' WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal >= 5000 THEN 'good' ELSE 'plain' END AS label, round(1 / (1 + abs(c_acctbal)), 9) AS m FROM customer",
@@ -412,7 +566,16 @@ round(sum(hit / log2(rank + 1)) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11)
     "half_even": "SELECT p_partkey, round_even(p_retailprice / 8 * 100, 0) / 100 AS r FROM part",
 }
 
+ORACLE["ir_means"] = f"SELECT round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(mrr), 5) AS mrr, round(avg(ndcg), 5) AS ndcg FROM ({ORACLE['ir_metrics']})"
+#: The generator keeps every rule: its 28 checks by severity (fixed values).
+_COUNTS = "materias_aprobadas materias_reprobadas materias_en_curso retardos faltas num_tutorias num_asesorias num_incidencias num_permisos recursamientos rezago_materias periodos_cursados periodos_sin_inscripcion materias_reprobadas_periodo materias_reprobadas_acumuladas materias_en_curso_periodo"
+_PERCENTS = "promedio_general promedio_periodo porcentaje_asistencia porcentaje_avance"
+_HIGH = ["unique_student_period", "required_columns", *[f"range_0_100_{c}" for c in _PERCENTS.split()], *[f"non_negative_{c}" for c in _COUNTS.split()], "period_credits_consistency", "progress_matches_credits", "baja_temporal_without_active_load", "recursamientos_not_greater_than_failed_accumulated"]
+_MEDIUM = ["lag_not_below_failed_minus_retake", "controlled_missing_values"]
+ORACLE["synth_validation"] = "SELECT unnest([" + ", ".join(f"'{n}'" for n in _HIGH) + "]) AS \"check\", true AS passed, 0::BIGINT AS failing_rows, 'alta' AS severity UNION ALL SELECT unnest([" + ", ".join(f"'{n}'" for n in _MEDIUM) + "]), true, 0, 'media'"
+
 _ALL = (
+    pca_pair_explained, pca_pair_scores, pca_pair_needed, dataset_nulls, student_rules, rules_passed, profile_labels, relevant_rows, student_documents, kmeans_groups, ir_means,
     column_quality, describe_numeric, iqr_outliers, correlation_long, strong_correlations, group_means_returnflag, group_means_event, group_means_sets, value_counts, histogram_10, duplicate_keys, dataset_comparison, feature_matrix, scaler_params, zscores, pca_covariance, pca_explained, pca_scores, validation_rules, left_join_enrich, bucketize_document,
     term_statistics, document_lengths, bm25_topk, ir_metrics, kmeans_assign, kmeans_steps, kmeans_restarts, cluster_quality, cluster_sizes, cluster_profile, model_ranks, model_choice, uuid5_ids, half_even, synth_students, synth_validation,
 )

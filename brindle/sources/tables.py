@@ -7,7 +7,8 @@ from collections.abc import Iterable, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import NumericType, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, NumericType, StructType
 
 from brindle.functions.columns import nan_to_null
 
@@ -49,13 +50,43 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: S
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def _put(path: str | Path, content: str) -> None:
+    """A small file, by Spark's file systems: a local path, or any store that Spark writes to."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("an active session is needed")
+    at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+
+
 def write_json(path: str | Path, content: object) -> None:
     """Small metadata, from the driver."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(content, indent=2, ensure_ascii=False, sort_keys=True) + "\n", encoding="utf-8")
+    _put(path, json.dumps(content, indent=2, ensure_ascii=False, sort_keys=True) + "\n")
 
 
 def write_text(path: str | Path, content: str) -> None:
     """A report or drawing, stripped, with one newline at its end."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(content.strip() + "\n", encoding="utf-8")
+    _put(path, content.strip() + "\n")
+
+
+def write_results(df: DataFrame, path: str) -> None:
+    """A result table twice: Parquet under ``path``, and CSV under ``path`` + ``.csv`` with nested columns as JSON."""
+    write_table(df, path)
+    flat = [F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, ArrayType | MapType | StructType) else F.col(f"`{f.name}`") for f in df.schema]
+    write_table(df.sparkSession.read.schema(df.schema).parquet(path).select(*flat), path + ".csv", "csv")
+
+
+def need(spark: SparkSession, *paths: str) -> None:
+    """FileNotFoundError, with the names, unless every table that a step builds on is there."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    missing = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(conf).exists(at):
+            missing.append(path)
+    if missing:
+        raise FileNotFoundError(f"run the earlier steps first; missing: {missing}")
