@@ -8,6 +8,8 @@ by where they end, and relaxed from left to right: an edge extends the
 encoding that ends where it begins if its piece and the last piece there keep
 apart, i.e. merging the two strings would never join across their border.  For
 each place exactly one edge does, so the relaxed path is the model's encoding.
+(In runs of 15 and more spaces that test can leave no path; such a unit is merged
+by the definition instead.)
 """
 
 from __future__ import annotations
@@ -25,13 +27,11 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from brindle.llm._shared import as_bytes, chunks, record, schemas, table
+from brindle.llm._shared import as_bytes, chunks, record, schemas, slim, table
 
 REMEMBERED = 800_000
 #: Bytes of new units that are indexed at once.
 INDEXED = 1 << 19
-#: Longer units are merged pair by pair instead.
-LONGEST = 1 << 12
 _MARK = "▁".encode()
 _UNITS = re.compile(rb"\n| *[^ \n]+| +")
 NEVER = np.int32(2**30)
@@ -128,13 +128,12 @@ def load_model(path: str) -> PieceModel:
         for at in ends:
             if text[:at] in rank and text[at:] in rank:
                 pairs[rank[text[:at]][1], rank[text[at:]][1]] = place[i]
-        if not text.startswith(b"  ") and text.strip(b" "):
-            best = rank.pop(text)
-            parts = model.merge(text)
-            rank[text] = best
-            if len(parts) == 2:
-                left[i], right[i] = rank[parts[0]][1], rank[parts[1]][1]
-                usable.append(i)
+        best = rank.pop(text)
+        parts = model.merge(text)
+        rank[text] = best
+        if len(parts) == 2:
+            left[i], right[i] = rank[parts[0]][1], rank[parts[1]][1]
+            usable.append(i)
     size = 1 << (3 * len(pairs)).bit_length()
     model.table, model.values = np.full(size, -1, np.int64), np.zeros(size, np.int32)
     for (a, b), v in pairs.items():
@@ -219,9 +218,7 @@ class Encoder(dict):
                 unit = unit[:-1]
             if unit in self:
                 continue
-            if len(unit) > LONGEST or unit.startswith(b"  ") or unit.strip(b" ") == b"":
-                self[unit] = self._plain(unit)
-            elif unit not in todo:
+            if unit not in todo:
                 todo[unit] = None
                 size += len(unit) + 1
                 if size > INDEXED:
@@ -275,8 +272,8 @@ class Encoder(dict):
         lone = np.flatnonzero(one & ~covered[:-1] & (raw != 0xFF))
         at, ids, size = np.concatenate([at, lone]), np.concatenate([ids, np.full(len(lone), self.unknown)]), np.concatenate([size, width[lone]])
         end = at + size
-        step = (end - owner[at]).astype(np.uint16)
-        order = np.argsort(step, kind="stable")
+        step = end - owner[at]
+        order = np.argsort(step.astype(np.uint16) if len(step) and step.max() < 1 << 16 else step, kind="stable")  # few bits sort faster
         at, ids, end, step = at[order], ids[order].astype(np.int32), end[order], step[order]
         last = np.full(len(text) + 1, -1, np.int32)
         came = np.zeros(len(text) + 1, np.int64)
@@ -378,7 +375,7 @@ def encode_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str =
     """
     source = docs.select(F.col(f"`{key}`").alias("__key"), as_bytes(f"`{text}`").alias("text"))
     schema, arrow = schemas(source.schema.fields[:1], "n_ids int, ids array<int>, round_trip boolean")
-    return source.mapInArrow(lambda it: _encode(it, model, arrow), schema).withColumnRenamed("__key", key)
+    return source.mapInArrow(slim(lambda it: _encode(it, model, arrow)), schema).withColumnRenamed("__key", key)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -392,7 +389,7 @@ def decode_pieces(encoded: DataFrame, model: str, key: str = "doc_id", ids: str
     """``key`` and ``text`` of id arrays; a null or empty array is an empty text."""
     source = encoded.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{ids}`").alias("ids"))
     schema, arrow = schemas(source.schema.fields[:1], "text string")
-    return source.mapInArrow(lambda it: _decode(it, model, arrow), schema).withColumnRenamed("__key", key)
+    return source.mapInArrow(slim(lambda it: _decode(it, model, arrow)), schema).withColumnRenamed("__key", key)
 
 
 def default_model() -> str:

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm._shared import as_bytes, cut, held_out, record, schemas, table
+from brindle.llm._shared import as_bytes, cut, held_out, record, schemas, slim, table
 
 #: Labelled rows that the fit uses at most; those with the smallest hashes of their ids.
-SAMPLE = 20_000
-#: Preference pairs drawn from them at most.
-PAIRS = 200_000
+SAMPLE = 8_000
+#: Columns of the matrix of all preference pairs that are worked on at once.
+BLOCK = 512
 CUT_AT = 0.3
 _SETS = [b"#*$%&", b"|<>", b"!?", b".,;:", b"0123456789", b"@/_=+\\{}[]()"]
 _TABLES = [bytes(b for b in range(256) if b not in s) for s in _SETS]
@@ -53,10 +53,33 @@ def _measure(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
         yield record(schema, [*batch.columns[:-1], rows])
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, cut_at: float = CUT_AT, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Mean, scale, weights and shift from features and 0/1 labels.
+def pair_sums(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the mean logistic loss over all pairs (a good row preferred to a bad one).
 
-    Without both labels the weights are 0 and every score is ``cut_at`` or more.
+    A pair's difference enters both as products of its two rows, so sums over
+    one side are enough; the matrix of pairs is made block by block.
+    """
+    a, b = good @ w, bad @ w
+    gradient, hessian = np.zeros(len(w)), np.zeros((len(w), len(w)))
+    over_bad = np.zeros(len(good))
+    for at in range(0, len(bad), BLOCK):
+        rows = bad[at : at + BLOCK]
+        miss = 1 / (1 + np.exp(np.clip(a[:, None] - b[None, at : at + BLOCK], -30, 30)))
+        gradient += miss.sum(axis=0) @ rows - good.T @ miss.sum(axis=1)
+        weight = miss * (1 - miss)
+        over_bad += weight.sum(axis=1)
+        cross = good.T @ weight @ rows
+        hessian += (rows.T * weight.sum(axis=0)) @ rows - cross - cross.T
+    hessian += (good.T * over_bad) @ good
+    n = len(good) * len(bad)
+    return gradient / n, hessian / n
+
+
+def fit(x: np.ndarray, y: np.ndarray, cut_at: float = CUT_AT, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Mean, scale, weights and shift from features and 0/1 labels; every pair of unlike labels counts.
+
+    Without both labels the weights are 0 and every score is the same, on the
+    side of ``cut_at`` of the only label.
     """
     mean = x.mean(axis=0) if len(x) else np.zeros(N_FEATURES)
     scale = x.std(axis=0) if len(x) else np.ones(N_FEATURES)
@@ -66,15 +89,10 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, cut_at: float = CUT_AT
     if not len(good) or not len(bad):
         return mean, scale, np.zeros(x.shape[1] if x.ndim == 2 else N_FEATURES), float(logit + (1.0 if len(good) or not len(bad) else -1.0))
     z = (x - mean) / scale
-    rng = np.random.default_rng(7)
-    n = min(pairs, len(good) * len(bad))
-    d = z[rng.choice(good, n)] - z[rng.choice(bad, n)]
     w = np.zeros(z.shape[1])
     for _ in range(30):  # Newton steps on the pairwise logistic loss
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        gradient = d.T @ (p - 1) / n + ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / n + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
+        gradient, hessian = pair_sums(z[good], z[bad], w)
+        step = np.linalg.solve(hessian + ridge * np.eye(len(w)), gradient + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -107,7 +125,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     """
     source = docs.select(F.col(f"`{key}`").alias("__key"), held_out(F.col(f"`{key}`"), parts, part).alias("held_out"), as_bytes(f"`{text}`").alias("text"))
     schema, arrow = schemas(source.schema.fields[:2], "x array<double>")
-    measured = cut(source.mapInArrow(lambda it: _measure(it, arrow), schema), "features")
+    measured = cut(source.mapInArrow(slim(lambda it: _measure(it, arrow)), schema), "features")
     known = labels.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{label}`").cast("int").alias("y")).filter("y in (0, 1)")
     rows = measured.filter(~F.col("held_out")).join(known, "__key").orderBy(F.xxhash64("__key"), "__key", "y").limit(sample).select("x", "y").collect()
     x = np.array([r["x"] for r in rows], float).reshape(-1, N_FEATURES)

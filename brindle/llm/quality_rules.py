@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm._shared import as_bytes, cut, record, schemas, table
+from brindle.llm._shared import as_bytes, cut, record, schemas, slim, table
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = b"#*$%&|<>"
@@ -75,15 +75,17 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
     documents of the host).
 
     Null texts are empty and fail; a null host is a host of its own; a null key
-    is kept; repeated rows count as documents of their own; other columns are
-    ignored.  Line statistics cover all rows; the list of common lines is
+    counts as a document of its own; rows of one key are one document in the line
+    statistics; other columns are ignored.  Line statistics cover all rows; the list of common lines is
     joined (Spark broadcasts it only below its size threshold).
     """
     source = docs.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("\u0000")).alias("__host"), as_bytes(f"`{text}`").alias("__bytes"))
     schema, arrow = schemas(source.schema.fields[:2], "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, __hash array<long>, __size array<long>")
-    measured = cut(source.mapInArrow(lambda it: _measure(it, arrow), schema).withColumn("__row", F.monotonically_increasing_id()), "quality")
-    lines = measured.select("__row", "__host", F.explode(F.arrays_zip("__hash", "__size")).alias("line")).select("__row", "__host", "line.__hash", "line.__size")
-    common = lines.groupBy("__host", "__hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs).drop("n")
+    measured = cut(source.mapInArrow(slim(lambda it: _measure(it, arrow)), schema).withColumn("__row", F.monotonically_increasing_id()), "quality")
+    # Rows of one key are one document; a row without a key is one by itself.
+    doc = F.coalesce(F.concat(F.lit("k"), F.col("__key").cast("string")), F.concat(F.lit("r"), F.col("__row").cast("string"))).alias("__doc")
+    lines = measured.select("__row", doc, "__host", F.explode(F.arrays_zip("__hash", "__size")).alias("line")).select("__row", "__doc", "__host", "line.__hash", "line.__size")
+    common = lines.groupBy("__host", "__hash", "__doc").agg(F.lit(1).alias("one")).groupBy("__host", "__hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs).drop("n")
     lost = lines.join(common, ["__host", "__hash"]).groupBy("__row").agg(F.sum("__size").alias("common_chars"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("word_chars") - F.col("common_chars")
@@ -112,7 +114,7 @@ lw AS (SELECT rid, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words
 lv AS (SELECT rid, line, lower(array_to_string(words, ' ')) AS norm, length(array_to_string(words, '')) AS size FROM lw WHERE len(words) > 0),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lv GROUP BY rid),
 per AS (SELECT v.rid, coalesce(d.source, chr(0)) AS host, norm, sum(size) AS size FROM lv v JOIN d USING (rid) GROUP BY ALL),
-common AS (SELECT host, norm FROM per GROUP BY ALL HAVING count(*) > 25),
+common AS (SELECT host, norm FROM per JOIN d USING (rid) GROUP BY ALL HAVING count(DISTINCT coalesce('k' || doc_id, 'r' || rid)) > 25),
 lost AS (SELECT rid, sum(size) AS common_chars FROM per JOIN common USING (host, norm) GROUP BY rid),
 s AS (SELECT rid, doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d JOIN w USING (rid)),

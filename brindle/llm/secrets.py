@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm._shared import as_bytes, record, schemas, table
+from brindle.llm._shared import as_bytes, record, schemas, slim, table
 
 WORD = "A-Za-z0-9"
 
@@ -386,7 +386,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     out = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + (", clean string" if redact else "")
     schema, arrow = schemas(fields, out)
     machine = compile_rules(tuple(rules))
-    return source.mapInArrow(lambda it: _scan(it, machine, arrow, redact), schema)
+    return source.mapInArrow(slim(lambda it: _scan(it, machine, arrow, redact)), schema)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,29 @@ def test_pieces_equal_the_library(spark):
             assert r["text"] == plain[r["doc_id"]]
 
 
+def test_pieces_of_long_units_and_spaces():
+    """Units of any length, runs of spaces and blank units, against the library."""
+    import sentencepiece
+
+    path = pieces.default_model()
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = pieces.Encoder(pieces.load_model(path))
+    rnd = random.Random(1)
+    texts = ["  two  spaces   three    four     five", "   \n    \n x  ", "a" * 6000, "ab" * 5000 + " x", "漢字" * 900, "=" * 5000, " " * 37, "\n" * 9, "\t\t x \t", " " * 16 + "x=1\n        return  y"]
+    texts += ["".join(rnd.choice(["a", "b", " ", "  ", "   ", "the", "ing", " =", "\n", "é", "xxx", "....", "----"]) for _ in range(rnd.randint(1, 60))) for _ in range(400)]
+    texts += [" " * n + "w" * k for n in range(40) for k in (0, 1, 2)]
+    assert [x.tolist() for x in model.encode([t.encode() for t in texts])] == [lib.encode(t) for t in texts]
+
+
+def test_lines_of_repeated_rows_count_once(spark):
+    line = "a line that all of them have"
+    text = f"{line}\n" + " ".join(f"w{i}" for i in range(80))
+    many = quality_rules.quality_rules(table(spark, [(1, text)] * 40))
+    assert many.agg({"common_chars": "max"}).first()[0] == 0
+    apart = quality_rules.quality_rules(table(spark, [(3 * i, text) for i in range(40)]))
+    assert apart.agg({"common_chars": "min"}).first()[0] > 0
+
+
 def test_quality_rules(spark):
     common = "the same line everywhere"
     texts = [(i, f"{common}\n" + " ".join(f"w{i}x{j}" for j in range(60))) for i in range(1, 40)]
