@@ -2,10 +2,18 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage
 before kept; all but the last return the columns of ``documents``.
+
+In every stage a null text is an empty one, a null doc_id is kept, texts of any
+length are worked on whole, rows repeated whole give repeated results (but for
+near-duplicates, where one of them stays), an empty table gives an empty one,
+and further columns of any name are carried (packing leaves them out).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +25,31 @@ from brindle.llm.suffix_dedup import suffix_dedup
 from brindle.llm.toxicity import toxicity_scores
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: The columns that stages read or write; all others are carried.
+OWN = ("doc_id", "text", "n_chars")
+
+
+def _carrying(stage: Stage) -> Stage:
+    """The stage with all other columns under names that cannot clash with its own."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inner = {c: c if c in OWN else f"__carried_{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), sf_dir)
+        return out.select(*[F.col(n).alias(c) for c, n in inner.items()])
+
+    return run
+
+
+@_carrying
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that score as toxic."""
     rest = tuple(c for c in docs.columns if c != "doc_id")
     return toxicity_scores(docs, table(spark, sf_dir, "labels"), keep=rest).filter("predicted = 0").select(*docs.columns)
 
 
+@_carrying
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near-duplicates (the smallest doc_id)."""
     key = F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
@@ -34,6 +61,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.drop("__key")
 
 
+@_carrying
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated passages of 400 bytes or of over 50 words out of the texts.
 
@@ -45,6 +73,7 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _rewritten(out.withColumn("text", F.col("kept")), docs)
 
 
+@_carrying
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put each secret's kind in brackets in its place."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
