@@ -23,6 +23,8 @@ from brindle.llm._shared import mix, record
 FLUSH = 1 << 18
 #: Bytes of text for one bucket, on average: this at least, or this part of an executor's memory.
 BUCKET_BYTES, BUCKET_PART = 1 << 22, 400
+#: Buckets at least, so that small tables are dealt out too.
+LEAST = 32
 #: What a row holds: questions to a name's bucket, answers to their owner's bucket, questions left open.
 ASK, ANSWER, OPEN = 0, 1, 2
 SPARK_ROWS = "kind byte, bucket int, n int, data binary"
@@ -43,10 +45,13 @@ def address(x: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def bucket_count(bare: DataFrame, column: str = "text") -> int:
-    """Buckets for a table's texts, so that one fits a worker's memory; one per shuffle partition at least."""
+    """Buckets for a table's texts, so that one fits a worker's memory.
+
+    Not one more, as a bucket's task sends up to one row to each other bucket.
+    """
     size = bare.agg(F.sum(F.octet_length(column))).first()[0] or 0
     memory = bare.sparkSession.sparkContext._jsc.sc().executorMemory() << 20
-    return max(int(bare.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // max(BUCKET_BYTES, memory // BUCKET_PART)))
+    return max(LEAST, -(-size // max(BUCKET_BYTES, memory // BUCKET_PART)))
 
 
 def pack(kind: int, bucket: np.ndarray, columns: list[np.ndarray], layout: Layout) -> pa.RecordBatch:

@@ -56,24 +56,28 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     The written files survive a lost executor, so later stages never recompute
-    what came before.
+    what came before.  They go when :func:`forget` is told so, else with the driver.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle/{label}-{uuid.uuid4().hex}"
     with shuffles_deleted(spark):
         df.write.parquet(path)
+    _folder(spark, path, lambda files, at: files.deleteOnExit(at))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str, act: Callable) -> None:
+    """Do something with a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    act(at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at)
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete the files of cut frames that nothing reads any more."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
         for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
             if "/brindle/" in folder:
-                path.getFileSystem(conf).delete(path, True)
+                _folder(df.sparkSession, folder, lambda files, at: files.delete(at, True))
 
 
 def as_bytes(column: str | Column) -> Column:

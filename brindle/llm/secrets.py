@@ -393,5 +393,28 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def _oracle() -> str:
+    """The same spans by regular expressions: a match begins after all matches and gaps before it."""
+    parts, spans = [], []
+    for i, rule in enumerate(RULES):
+        whole = f"({rule.lead})({rule.run}+)".replace("'", "''")
+        group = 3 if rule.kind == "assign" else 2
+        parts.append(f"r{i} AS (SELECT rid, regexp_extract_all(text, '{whole}') AS m, regexp_extract_all(text, '{whole}', {group}) AS g, string_split_regex(text, '{whole}') AS gaps FROM d),")
+        parts.append(f"u{i} AS (SELECT rid, unnest(m) AS m, unnest(g) AS g, unnest(gaps[1:len(m)]) AS gap, generate_subscripts(m, 1) AS j FROM r{i}),")
+        parts.append(f"s{i} AS (SELECT rid, m, g, sum(length(gap) + length(m)) OVER (PARTITION BY rid ORDER BY j) AS b FROM u{i}),")
+        spans.append(f"SELECT rid, {i} AS k, '{rule.kind}' AS kind, b - length(m) AS a, b FROM s{i} WHERE length(g) >= {rule.least}")
+    every = "\nUNION ALL ".join(spans)
+    listed = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k)"
+    base = len(BASE)
+    counts = ", ".join(f"count(*) FILTER (k = {i}) AS n_{rule.kind}" for i, rule in enumerate(BASE))
+    shown = ", ".join(f"coalesce(n_{rule.kind}, 0)::BIGINT AS n_{rule.kind}" for rule in BASE)
+    steps = "\n".join(parts)
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+{steps}
+e AS ({every}),
+a AS (SELECT rid, {counts}, {listed} FILTER (k < {base}) AS base, {listed} AS spans FROM e GROUP BY rid)
+SELECT doc_id, {shown}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rid)"""
+
+
 QUERIES = {"op6_secret_scan": op6_secret_scan}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op6_secret_scan": _oracle()}

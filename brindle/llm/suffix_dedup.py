@@ -189,5 +189,21 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+#: All windows by their hashes; bytes are pairs of hexadecimal digits.
+ORACLE_OP4 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT rid, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS n FROM (SELECT rid, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM s)) WHERE n > 1),
+m AS (SELECT rid, min(i) AS a, max(i) + 400 AS b FROM (SELECT rid, i, sum(CASE WHEN i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS g FROM (SELECT rid, i, lag(i, 1, i) OVER (PARTITION BY rid ORDER BY i) AS p FROM r)) GROUP BY rid, g),
+k AS (SELECT rid, string_agg(substr(h, 2 * pb + 1, 2 * (a - pb)), '' ORDER BY a) AS kept, max(b) AS last, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM (SELECT rid, a, b, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS pb FROM m) JOIN d USING (rid) GROUP BY rid),
+t AS (SELECT rid, words, unnest(range(1, len(words) - 49)) AS i FROM d WHERE len(words) >= 51),
+q AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS n FROM (SELECT rid, i, md5(array_to_string(words[i:i + 50], ' ')) AS k FROM t)) WHERE n > 1),
+c AS (SELECT rid, sum(least(51, coalesce(nx - i, 51))) AS n_passage_words FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nx FROM q) GROUP BY rid)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256, coalesce(n_passage_words, 0)::BIGINT AS n_passage_words
+FROM d LEFT JOIN k USING (rid) LEFT JOIN c USING (rid)
+"""
+
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_suffix_dedup": ORACLE_OP4}
