@@ -25,6 +25,8 @@ from brindle.llm._shared import as_bytes, cut, forget, held_out, record, schemas
 
 #: Labelled rows of each label that the fit uses at most (those with the smallest hashes of their ids).
 SAMPLE = 4_000
+#: Evidence for label 1 that a feature must give in the sample, in nats.
+EVIDENCE = 8.0
 CUT_AT = 0.7
 REMEMBERED = 150_000
 #: What a sign may stand for (fixed values).
@@ -250,7 +252,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
     The character model is counted over all texts.  The fit uses at most
     ``sample`` labelled rows of each label that are not held out, and all their
-    features that lean to label 1.  Null and
+    features that give evidence for label 1.  Null and
     empty texts score by the bias alone; null keys are scored and never train;
     repeated rows give repeated results; rows without a label are left out of
     the fit; with one label only, that label's constant score is given; an
@@ -274,8 +276,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     size = {r["y"]: r["n"] for r in once.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = max(size.get(1, 0), 1), max(size.get(0, 0), 1)
     per = once.select("y", F.explode("used").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    # As many as the labelled sample has; its bound is theirs.
-    top = [r["f"] for r in per.filter((F.col("a") >= 2) & (F.col("a") * neg > 2 * F.col("b") * pos)).orderBy("f").select("f").collect()]
+    gain = F.col("a") * F.log((F.col("a") + 0.1) / pos / ((F.col("b") + 1.0) / neg))
+    top = [r["f"] for r in per.filter((F.col("a") >= 2) & (F.col("a") * neg > 2 * F.col("b") * pos) & (gain >= EVIDENCE)).orderBy("f").select("f").collect()]
     place = {f: i for i, f in enumerate(top)}
     s3, a3 = schemas([], "y int, used array<int>")
 
