@@ -74,6 +74,7 @@ def fit_pca(df: DataFrame, columns: Sequence[str]) -> Components:
     values, vectors = np.linalg.eigh(matrix)
     order = np.argsort(-values, kind="stable")
     loadings = vectors.T[order]
-    largest = np.abs(loadings).argmax(axis=1)
+    size = np.abs(loadings)
+    largest = (size >= size.max(axis=1, keepdims=True) - 1e-9).argmax(axis=1)  # the first of equals
     loadings = loadings * np.sign(loadings[np.arange(len(loadings)), largest])[:, None]
     return Components(tuple(columns), loadings, np.maximum(values[order], 0.0), np.array([m or 0.0 for m in means]))

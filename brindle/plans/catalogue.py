@@ -473,7 +473,8 @@ def _validation_sql() -> str:
 
 
 _Z = "(SELECT l_orderkey, l_linenumber, (l_quantity - q.m) / q.s AS a, (l_extendedprice - e.m) / e.s AS b FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem) q, (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem) e)"
-#: Of two standardised columns the components are half their sum and difference, the variances 1 + r and 1 - r.
+#: Of two standardised columns the components are their sum and difference over the root of 2 (the difference first if they
+#: correlate negatively), the variances 1 + |r| and 1 - |r|.
 _PAIR_SQL = "(SELECT abs(corr(l_quantity, l_extendedprice)) AS r, count(*) / (count(*) - 1) AS f FROM lineitem)"
 
 STUDENT_SQL = """(SELECT (o_orderkey % 4999)::VARCHAR AS id_estudiante, (o_custkey % 6 + 2020) || '-1' AS id_periodo, (['Ingenieria en Desarrollo de Software', 'Ingenieria Biomedica', 'Ingenieria en Energia', 'Ingenieria Agroindustrial'])[o_custkey % 4 + 1] AS programa,
@@ -534,7 +535,7 @@ ORACLE: dict[str, str] = {
     "zscores": f"SELECT l_returnflag, l_linestatus, round(sum((coalesce(l_quantity, q.m) - q.m) / q.s), 4) AS sum_l_quantity, round(sum((coalesce(l_tax, t.m) - t.m) / t.s), 4) AS sum_l_tax, round(max((coalesce(l_quantity, q.m) - q.m) / q.s), 6) AS max_l_quantity, round(max((coalesce(l_tax, t.m) - t.m) / t.s), 6) AS max_l_tax FROM {HOLES}, {_scaler_sql('l_quantity')} q, {_scaler_sql('l_tax')} t GROUP BY 1, 2",
     "pca_covariance": _union(f"SELECT '{a}' AS variable_a, '{b}' AS variable_b, round(covar_samp({a}, {b}), 6) AS covariance FROM lineitem" for a, b in (("l_quantity", "l_quantity"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_discount"), ("l_discount", "l_tax"), ("l_tax", "l_tax"))),
     "pca_pair_explained": f"SELECT 1 AS position, 'PC1' AS component, round((1 + r) * f, 9) AS explained_variance, round((1 + r) / 2, 9) AS explained_ratio, round((1 + r) / 2, 9) AS cumulative_ratio FROM {_PAIR_SQL} UNION ALL SELECT 2, 'PC2', round((1 - r) * f, 9), round((1 - r) / 2, 9), 1.0::DOUBLE FROM {_PAIR_SQL}",
-    "pca_pair_scores": f"SELECT l_orderkey, l_linenumber, round((a + b) / sqrt(2), 6) AS PC1, round((a - b) / sqrt(2), 6) AS PC2 FROM {_Z}",
+    "pca_pair_scores": f"SELECT l_orderkey, l_linenumber, round((a + s * b) / sqrt(2), 6) AS PC1, round((a - s * b) / sqrt(2), 6) AS PC2 FROM {_Z}, (SELECT CASE WHEN corr(l_quantity, l_extendedprice) < 0 THEN -1 ELSE 1 END AS s FROM lineitem)",
     "pca_pair_needed": f"SELECT share::DOUBLE AS share, CASE WHEN (1 + r) / 2 >= share THEN 1 ELSE 2 END AS components FROM {_PAIR_SQL}, (SELECT unnest([0.5, 0.9, 0.95, 0.99, 1.5]) AS share)",
     "dataset_nulls": f"SELECT 'holes' AS dataset, count(*) AS records, 6 AS columns, (6 * count(*) - count(l_partkey) - count(l_returnflag) - count(l_quantity) - count(l_extendedprice) - count(l_discount) - count(l_tax))::BIGINT AS null_cells, count(DISTINCT l_returnflag) AS flags, round(avg(l_quantity), 6) AS avg_quantity FROM {HOLES}",
     "student_rules": _student_rules_sql(),
