@@ -32,7 +32,9 @@ REPLICAS, BOUNDARY = 4, 1.002
 #: Share of the neighbours that the fitted ratio finds within the sample, and queries of the fit.
 TARGET, FITTED = 0.93, 512
 #: A part of a list, and of its queries, at most on average.
-PART, QUERIES_PART = 4_096, 2_048
+PART, QUERIES_PART = 8_192, 16_384
+#: Lists that one task scans together, so that a query's best of all of them leave it once.
+SHELF = 32
 
 
 def bisect(x: np.ndarray, lists: int) -> np.ndarray:
@@ -253,19 +255,35 @@ def ann_search(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
     crowd = np.zeros(len(graph.c), np.int64)
     for r in asked.groupBy("list").count().collect():
         crowd[r["list"]] = r["count"]
-    parts, crowds = -(-sizes // PART), -(-crowd // QUERIES_PART)
-    of = lambda values: F.element_at(F.array(*[F.lit(int(max(1, x))) for x in values]), F.col("list") + 1) if len(set(values.tolist()) | {1}) > 1 else F.lit(1)
-    left = posted.select("list", "id", "v", F.pmod(F.xxhash64("id"), of(parts)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), (of(crowds) - 1).cast("int"))).alias("c"))
-    right = asked.select("list", "id", "v", F.explode(F.sequence(F.lit(0), (of(parts) - 1).cast("int"))).alias("p"), F.pmod(F.xxhash64("id"), of(crowds)).cast("int").alias("c"))
+    shelves = -(-len(sizes) // SHELF)
+    per_shelf = lambda x: np.add.reduceat(np.append(x, np.zeros(shelves * SHELF - len(x), np.int64)), np.arange(0, shelves * SHELF, SHELF))
+    parts, crowds = -(-per_shelf(sizes) // PART), -(-per_shelf(crowd) // QUERIES_PART)
+    shelf = F.floor(F.col("list") / SHELF).cast("int")
+    of = lambda values: F.element_at(F.array(*[F.lit(int(max(1, x))) for x in values]), shelf + 1) if len(set(values.tolist()) | {1}) > 1 else F.lit(1)
+    left = posted.select(shelf.alias("shelf"), "list", "id", "v", F.pmod(F.xxhash64("id"), of(parts)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), (of(crowds) - 1).cast("int"))).alias("c"))
+    right = asked.select(shelf.alias("shelf"), "list", "id", "v", F.explode(F.sequence(F.lit(0), (of(parts) - 1).cast("int"))).alias("p"), F.pmod(F.xxhash64("id"), of(crowds)).cast("int").alias("c"))
     s2, a2 = schemas([], "query_id long, vec_id long, score double")
 
-    def scan(lists_: pa.Table, queries: pa.Table) -> pa.Table:
-        if not lists_.num_rows or not queries.num_rows:
+    def scan(vectors_: pa.Table, queries: pa.Table) -> pa.Table:
+        """Each query's best of the lists it asked here."""
+        if not vectors_.num_rows or not queries.num_rows:
             return a2.empty_table()
-        get = lambda t: (t.column("id").to_numpy(), _matrix(t.column("v").combine_chunks(), dim))
-        return pa.Table.from_arrays([pa.array(x) for x in nearest(get(queries), get(lists_), k)], schema=a2)
-
-    keys = ["list", "p", "c"]
+        get = lambda t: (t.column("list").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("v").combine_chunks(), dim))
+        (vl, vi, v), (ql, qi, q) = get(vectors_), get(queries)
+        several = [nearest((qi[ql == n], q[ql == n]), (vi[vl == n], v[vl == n]), k) for n in np.intersect1d(vl, ql)]
+        if not several:
+            return a2.empty_table()
+        query, vec, score = (np.concatenate(x) for x in zip(*several, strict=True))
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        new = np.ones(len(query), bool)  # a vector may be in several lists
+        new[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1]) | (score[1:] != score[:-1])
+        query, vec, score = query[new], vec[new], score[new]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        top = rank < k
+        return pa.Table.from_arrays([pa.array(x[top]) for x in (query, vec, score)], schema=a2)
+
+    keys = ["shelf", "p", "c"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, s2)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
