@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_classifier", "ann_search", "minhash_dedup", "suffix_dedup", "pieces", "secrets", "substring_dedup", "toxicity", "packing", "quality_rules", "conversation_repair", "filter_audit")
+MODULES = ("quality_classifier", "ann_search", "minhash_dedup", "suffix_dedup", "pieces", "secrets", "substring_dedup", "toxicity", "packing", "quality_rules", "conversation_repair", "filter_audit", "license_scan")
 
 
 def _gather(name: str) -> dict:
