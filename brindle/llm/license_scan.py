@@ -111,6 +111,8 @@ POSTED, LOOKED_UP = 12, 4
 AGREE, SLACK = 2, 8
 #: The score of a file that only names a licence.
 NAMED = 0.5
+#: Licence words that are worked on at once.
+HELD = 1 << 15
 
 #: Letters in lower case; what is no word character becomes a space.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -250,6 +252,17 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, at, np.repeat(np.arange(batch.num_rows), lengths)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with at most HELD licence words together (a row with more is alone)."""
+    lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+    upto, start = np.cumsum(lengths), 0
+    while start < batch.num_rows:
+        before = int(upto[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + HELD, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch], schema: pa.Schema, n: int) -> Iterator[pa.RecordBatch]:
     """Documents of each licence word, one list a task; the last number counts all documents."""
     total = np.zeros(n + 1, np.int64)
@@ -261,23 +274,28 @@ def _frequencies(batches: Iterator[pa.RecordBatch], schema: pa.Schema, n: int) -
     yield record(schema, [some, total[some]])
 
 
+def _places(batch: pa.RecordBatch, known: Licences, index: Postings) -> list[list[dict]]:
+    word, at, doc = _flat(batch)
+    n = batch.num_rows
+    found: list[list[dict]] = [[] for _ in range(n)]
+    for phrase, label in known.phrases:
+        for i in standing(phrase, word, at, doc).tolist():
+            found[doc[i]].append({"label": label, "first": at[i], "last": at[i] + len(phrase) - 1, "share": None})
+    starts = np.searchsorted(doc, np.arange(n + 1))
+    docs, templates, offsets = alignments(index, word, at, doc)
+    bounds = np.append(np.flatnonzero(_changes(docs, templates)), len(docs)) if len(docs) else np.zeros(1, np.int64)
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        row, template = int(docs[a]), int(templates[a])
+        here = slice(starts[row], starts[row + 1])
+        if hit := verified(known, template, offsets[a:b], word[here], at[here]):
+            found[row].append(dict(zip(("label", "first", "last", "share"), (known.labels[template], *hit), strict=True)))
+    return found
+
+
 def _scan(batches: Iterator[pa.RecordBatch], schema: pa.Schema, known: Licences, index: Postings) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        word, at, doc = _flat(batch)
-        n = batch.num_rows
-        found: list[list[dict]] = [[] for _ in range(n)]
-        for phrase, label in known.phrases:
-            for i in standing(phrase, word, at, doc).tolist():
-                found[doc[i]].append({"label": label, "first": at[i], "last": at[i] + len(phrase) - 1, "share": None})
-        starts = np.searchsorted(doc, np.arange(n + 1))
-        docs, templates, offsets = alignments(index, word, at, doc)
-        bounds = np.append(np.flatnonzero(_changes(docs, templates)), len(docs)) if len(docs) else np.zeros(1, np.int64)
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            row, template = int(docs[a]), int(templates[a])
-            here = slice(starts[row], starts[row + 1])
-            if hit := verified(known, template, offsets[a:b], word[here], at[here]):
-                found[row].append(dict(zip(("label", "first", "last", "share"), (known.labels[template], *hit), strict=True)))
-        yield record(schema, [batch.column(0), batch.column(1), found])
+        for part in _parts(batch):
+            yield record(schema, [part.column(0), part.column(1), _places(part, known, index)])
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple = TEMPLATES, phrases: tuple = PHRASES) -> DataFrame:
