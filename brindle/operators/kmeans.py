@@ -1,8 +1,9 @@
-"""K-Means over vector columns: seeded k-means++ starts, Lloyd steps, restarts, a grid over k.
+"""K-Means over vector columns: seeded k-means|| starts, Lloyd steps, restarts, a grid over k.
 
 Points are rows ``(key..., array<double>)``; starts are drawn from all of them.  Centres are a small matrix on the
-driver.  One step is a map over Arrow batches that leaves ``k`` partial sums per
-batch, and one aggregate of them: its exchange does not grow with the points.
+driver.  One step is a map over Arrow batches that leaves a partial sum per task
+and cluster, and one aggregate of them: its exchange does not grow with the points.
+All restarts and all numbers of clusters take their steps in the same passes.
 """
 
 from __future__ import annotations
@@ -14,12 +15,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 SEED, N_INIT, MAX_ITER, TOL = 42, 20, 300, 1e-4
 K_RANGE = range(2, 9)
+#: Candidates drawn in a round for each cluster wanted, and rounds.
+OVERSAMPLED, ROUNDS = 4, 5
+#: Points that distances are computed of at once.
+PIECE = 2_048
 
 
 def vectors(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "x") -> DataFrame:
@@ -53,91 +58,139 @@ def assign(points: DataFrame, centres: np.ndarray, name: str = "x") -> DataFrame
     return points.mapInArrow(run, schema)
 
 
-def _sums(points: DataFrame, many: list[np.ndarray], name: str) -> list[tuple[np.ndarray, np.ndarray, float, np.ndarray]]:
-    """For each of several sets of centres, in one pass: sizes and sums of vectors by cluster; inertia; the points farthest from their centres, farthest first."""
-    k, p = many[0].shape
+def nearest(x: np.ndarray, centres: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For several sets of centres (``groups``: where each begins in ``centres``): the first nearest one in its set, and the squared distance.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, total, inertia = np.zeros((len(many), k)), np.zeros((len(many), k, p)), np.zeros((len(many), k))
-        far = [np.zeros((0, p + 1)) for _ in many]
-        for batch in batches:
-            x = _matrix(batch.column(0), p)
-            for r, centres in enumerate(many):
-                d = squared_distances(x, centres)
-                nearest = d.argmin(axis=1)
-                least = d[np.arange(len(d)), nearest]
-                size[r] += np.bincount(nearest, minlength=k)
-                inertia[r] += np.bincount(nearest, least, minlength=k)
-                for c in range(k):
-                    total[r, c] += x[nearest == c].sum(axis=0)
-                far[r] = np.concatenate([far[r], np.concatenate([least[:, None], x], axis=1)])
-                far[r] = far[r][np.argsort(-far[r][:, 0], kind="stable")[:k]]
-        for r in range(len(many)):
-            yield pa.RecordBatch.from_pydict({"r": np.full(k, r, np.int32), "c": np.arange(k, dtype=np.int32), "n": size[r], "inertia": inertia[r], "total": list(total[r]), "far": [f.tolist() for f in far[r]] + [None] * (k - len(far[r]))})
-
-    parts = points.select(name).mapInArrow(run, "r int, c int, n double, inertia double, total array<double>, far array<double>")
-    rows = parts.groupBy("r", "c").agg(F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), F.array(*[F.sum(F.col("total")[j]) for j in range(p)]).alias("total"), F.slice(F.sort_array(F.collect_list("far"), False), 1, k).alias("far")).orderBy("r", "c").collect()
-    out = []
-    for r in range(len(many)):
-        own = [x for x in rows if x["r"] == r]
-        far = sorted((f for x in own for f in x["far"]), reverse=True)[:k]
-        out.append((np.array([x["n"] for x in own]), np.array([x["total"] for x in own]), float(sum(x["inertia"] for x in own)), np.array(far)))
-    return out
-
-
-def weighted(points: DataFrame, name: str = "x") -> DataFrame:
-    """Different points with their number of rows."""
-    return points.groupBy(name).agg(F.count(F.lit(1)).cast("double").alias("n"))
-
-
-def starts(weights: DataFrame, k: int, seeds: Sequence[int], name: str = "x") -> list[np.ndarray]:
-    """k-means++ centres over all points for each seed: each next one is drawn by its squared distance to those before.
-
-    A draw is a race: a point of weight ``w`` arrives after an exponential time
-    of rate ``w``, made from a hash of the point; the first one wins.  So one pass
-    that keeps a row per seed and task draws from all points, on any partitioning
-    alike; ``k`` passes serve all seeds.  When every point is a centre already,
-    the rest are drawn by rows alone.
+    Distances come from one matrix product; where two centres are as near as its
+    rounding error, the exact differences decide.
     """
-    chosen: list[list[np.ndarray]] = [[] for _ in seeds]
-
-    def uniform(seed: int, turn: int) -> Column:
-        return (F.shiftrightunsigned(F.xxhash64(name, F.lit(seed), F.lit(turn)), 11).cast("double") + 1.0) * F.lit(2.0**-53)
+    x2, c2 = (x * x).sum(axis=1), (centres * centres).sum(axis=1)
+    rough = x2[:, None] - 2.0 * (x @ centres.T) + c2
+    error = 4.0 * (x.shape[1] + 4) * np.finfo(float).eps * (x2 + float(c2.max(initial=0.0)))
+    at = np.empty((len(x), len(groups)), np.int64)
+    rows = np.arange(len(x))
+    for r, (a, z) in enumerate(zip(groups, [*groups[1:], len(centres)], strict=True)):
+        d = rough[:, a:z]
+        at[:, r] = d.argmin(axis=1)
+        near = (d <= (d[rows, at[:, r]] + 2 * error)[:, None]).sum(axis=1) > 1
+        if near.any():
+            at[near, r] = squared_distances(x[near], centres[a:z]).argmin(axis=1)
+    least = np.stack([((x - centres[groups[r] + at[:, r]]) ** 2).sum(axis=1) for r in range(len(groups))], axis=1) if len(groups) else np.zeros((len(x), 0))
+    return at, least
+
+
+def _groups(many: Sequence[np.ndarray]) -> np.ndarray:
+    return np.cumsum([0, *[len(c) for c in many[:-1]]]).astype(np.int64)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], p: int) -> Iterator[np.ndarray]:
+    """Points by some thousand rows."""
+    for batch in batches:
+        x = _matrix(batch.column(0), p)
+        for start in range(0, len(x), PIECE):
+            yield x[start : start + PIECE]
+
+
+def _sums(points: DataFrame, many: Sequence[np.ndarray], name: str) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each of several sets of centres, of any sizes, in one pass: sizes and sums of vectors by cluster; inertia."""
+    stacked, groups = np.concatenate(many), _groups(many)
+    k, p = stacked.shape
 
-    for turn in range(k):
-        drawn = weights.select(name, "n", F.array(*[-F.log(uniform(seed, turn)) for seed in seeds]).alias("t"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, total, spread = np.zeros(k), np.zeros((k, p)), np.zeros(k)
+        for x in _pieces(batches, p):
+            at, least = nearest(x, stacked, groups)
+            cells = at + groups
+            size += np.bincount(cells.ravel(), minlength=k)
+            spread += np.bincount(cells.ravel(), least.ravel(), minlength=k)
+            mine = np.zeros((len(x), k))
+            np.put_along_axis(mine, cells, 1.0, axis=1)
+            total += mine.T @ x
+        some = np.flatnonzero(size)
+        yield pa.RecordBatch.from_pydict({"c": pa.array(some, pa.int32()), "n": size[some], "inertia": spread[some], "total": pa.array(list(total[some]), pa.list_(pa.float64()))})
+
+    parts = points.select(name).mapInArrow(run, "c int, n double, inertia double, total array<double>")
+    rows = parts.groupBy("c").agg(F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), F.array(*[F.sum(F.col("total")[j]) for j in range(p)]).alias("total")).collect()
+    size, total, spread = np.zeros(k), np.zeros((k, p)), np.zeros(k)
+    for r in rows:
+        size[r["c"]], total[r["c"]], spread[r["c"]] = r["n"], r["total"], r["inertia"]
+    return [(size[a:z], total[a:z], float(spread[a:z].sum())) for a, z in zip(groups, [*groups[1:], k], strict=True)]
+
+
+def farthest(points: DataFrame, many: Sequence[np.ndarray], most: int, name: str = "x") -> list[np.ndarray]:
+    """For each set of centres the ``most`` points farthest from their nearest one, farthest first (of equals the larger vector)."""
+    stacked, groups = np.concatenate(many), _groups(many)
+    p = stacked.shape[1]
+
+    def best(rows: np.ndarray) -> np.ndarray:
+        return rows[np.lexsort(rows.T[::-1])[::-1][:most]]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[tuple[int, int], tuple] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = [np.zeros((0, p + 1)) for _ in many]
+        for x in _pieces(batches, p):
+            least = nearest(x, stacked, groups)[1]
+            for r in range(len(many)):
+                bar = np.partition(least[:, r], -most)[-most] if len(x) > most else -1.0
+                some = least[:, r] >= bar
+                far[r] = best(np.concatenate([far[r], np.concatenate([least[some, r : r + 1], x[some]], axis=1)]))
+        rows = [(r, f) for r, own in enumerate(far) for f in own.tolist()]
+        yield pa.RecordBatch.from_pydict({"r": pa.array([r for r, _ in rows], pa.int32()), "far": pa.array([f for _, f in rows], pa.list_(pa.float64()))})
+
+    # ``most`` rows a task and set; the first of them are kept by the window's own limit.
+    place = F.row_number().over(Window.partitionBy("r").orderBy(F.desc("far")))
+    found = points.select(name).mapInArrow(run, "r int, far array<double>").withColumn("place", place).filter(F.col("place") <= most).collect()
+    return [np.array([x["far"][1:] for x in sorted(found, key=lambda x: x["place"]) if x["r"] == r]).reshape(-1, p) for r in range(len(many))]
+
+
+def candidates(points: DataFrame, k: int, seed: int, name: str = "x") -> tuple[np.ndarray, np.ndarray]:
+    """k-means||: about ``OVERSAMPLED * k`` points a round, drawn by squared distance to those before, and the rows nearest to each.
+
+    ``ROUNDS`` rounds of two passes serve any number of restarts and of clusters
+    up to ``k``.  Rows draw by a hash of their place, so every row counts, equal
+    ones too, and the same files give the same draws.
+    """
+    numbered = points.select(F.monotonically_increasing_id().alias("row"), F.col(name).alias("x"))
+    first = numbered.select(F.min(F.struct(F.xxhash64("row", F.lit(seed)).alias("h"), "row", "x")).alias("b")).first()["b"]
+    if first is None:
+        raise ValueError("no points")
+    chosen = np.array([first["x"]], float)
+    uniform = lambda turn: (F.shiftrightunsigned(F.xxhash64("row", F.lit(seed), F.lit(turn)), 11).cast("double") + 1.0) * F.lit(2.0**-53)
+    for turn in range(1, ROUNDS + 1):
+        size, _, spread = _sums(points, [chosen], name)[0]
+        if spread <= 0:
+            break
+        rate = OVERSAMPLED * k / spread
+
+        def run(batches: Iterator[pa.RecordBatch], chosen=chosen, rate=rate) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                n = batch.column(1).to_numpy(zero_copy_only=False)
-                times = _matrix(batch.column(2), len(seeds))
-                for r, centres in enumerate(chosen):
-                    for rule, weight in enumerate(_far(batch.column(0), n, centres)):
-                        with np.errstate(divide="ignore"):
-                            time = np.where(weight > 0, times[:, r] / weight, np.inf)
-                        at = int(time.argmin())
-                        row = (float(time[at]), batch.column(0)[at].as_py())
-                        best[r, rule] = min(best.get((r, rule), row), row)
-            rows = [(r, rule, *x) for (r, rule), x in best.items() if np.isfinite(x[0])]
-            yield pa.RecordBatch.from_pydict({"r": pa.array([x[0] for x in rows], pa.int32()), "rule": pa.array([x[1] for x in rows], pa.int32()), "t": pa.array([x[2] for x in rows], pa.float64()), "x": pa.array([x[3] for x in rows], pa.list_(pa.float64()))})
-
-        found = drawn.mapInArrow(run, "r int, rule int, t double, x array<double>").groupBy("r").agg(F.min(F.struct("rule", "t", "x")).alias("b")).collect()
-        if len(found) < len(seeds):
-            raise ValueError("no points")
-        for row in found:
-            chosen[row["r"]].append(np.array(row["b"]["x"], float))
-    return [np.array(c) for c in chosen]
-
-
-def _far(column: pa.Array, n: np.ndarray, centres: list[np.ndarray]) -> list[np.ndarray]:
-    """Weights of points: by squared distance to the nearest centre, and by rows alone."""
-    if not centres:
-        return [n]
-    x = _matrix(column, len(centres[0]))
-    return [n * squared_distances(x, np.array(centres)).min(axis=1), n]
+                x, u = _matrix(batch.column(0), chosen.shape[1]), batch.column(1).to_numpy(zero_copy_only=False)
+                drawn = u < rate * nearest(x, chosen, np.zeros(1, np.int64))[1][:, 0]
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(drawn))], names=["x"])
+
+        drawn = numbered.select("x", uniform(turn).alias("u")).mapInArrow(run, "x array<double>").distinct().collect()  # about OVERSAMPLED * k
+        if drawn:
+            chosen = np.unique(np.concatenate([chosen, np.array([r["x"] for r in drawn], float)]), axis=0)
+    return chosen, _sums(points, [chosen], name)[0][0]
+
+
+def starts(chosen: np.ndarray, weights: np.ndarray, k: int, seed: int, steps: int = 20) -> np.ndarray:
+    """``k`` centres from weighted candidates: k-means++ draws, then a few weighted steps over the candidates."""
+    rng = np.random.default_rng(seed)
+    centres = chosen[rng.choice(len(chosen), p=weights / weights.sum())][None]
+    while len(centres) < k:
+        far = weights * squared_distances(chosen, centres).min(axis=1)
+        chance = far if far.sum() > 0 else weights
+        centres = np.concatenate([centres, chosen[rng.choice(len(chosen), p=chance / chance.sum())][None]])
+    for _ in range(steps):
+        own = squared_distances(chosen, centres).argmin(axis=1)
+        mass = np.bincount(own, weights, minlength=k)
+        new = centres.copy()
+        for c in np.flatnonzero(mass):
+            new[c] = weights[own == c] @ chosen[own == c] / mass[c]
+        if np.allclose(new, centres, rtol=0, atol=1e-12):
+            break
+        centres = new
+    return centres
 
 
 @dataclass(frozen=True)
@@ -154,30 +207,31 @@ def lloyd(points: DataFrame, centres: np.ndarray, max_iter: int = MAX_ITER, tol:
 
 
 def lloyd_many(points: DataFrame, many: Sequence[np.ndarray], max_iter: int = MAX_ITER, tol: float = TOL, name: str = "x") -> list[Clustering]:
-    """Lloyd steps from several starts, side by side: a pass over the points is a step of all that still move.
+    """Lloyd steps from several starts of any sizes, side by side: a pass over the points is a step of all that still move.
 
-    The i-th empty cluster of a step takes the i-th farthest point.  Executors
-    keep the points meanwhile.
+    The i-th empty cluster of a step takes the i-th farthest point; only then is
+    there a second pass.  Executors keep the points meanwhile.
     """
     now, turns = [np.array(c, float) for c in many], [0] * len(many)
     moving = list(range(len(many)))
     with kept(points.select(name)) as points:
         while moving and max_iter:
-            for r, (size, total, _, far) in zip(moving, _sums(points, [now[r] for r in moving], name), strict=True):
-                new, spare = now[r].copy(), 0
-                for c in range(len(new)):
-                    if size[c]:
-                        new[c] = total[c] / size[c]
-                    elif spare < len(far):
-                        new[c] = far[spare][1:]
-                        spare += 1
+            found = dict(zip(moving, _sums(points, [now[r] for r in moving], name), strict=True))
+            holes = [r for r in moving if not found[r][0].all()]
+            spare = dict(zip(holes, farthest(points, [now[r] for r in holes], max(len(now[r]) for r in holes), name), strict=True)) if holes else {}
+            for r in moving:
+                size, total, _ = found[r]
+                new = np.divide(total, size[:, None], out=now[r].copy(), where=size[:, None] > 0)
+                empty = np.flatnonzero(size == 0)[: len(spare.get(r, ()))]
+                if len(empty):
+                    new[empty] = spare[r][: len(empty)]
                 moved = float(np.sqrt(((new - now[r]) ** 2).sum(axis=1)).max())
                 now[r], turns[r] = new, turns[r] + 1
                 if moved <= tol or turns[r] >= max_iter:
                     turns[r] = -turns[r]
             moving = [r for r in moving if turns[r] > 0]
         last = _sums(points, now, name)
-    return [Clustering(c, inertia, abs(turn), size.astype(int)) for c, turn, (size, _, inertia, _) in zip(now, turns, last, strict=True)]
+    return [Clustering(c, inertia, abs(turn), size.astype(int)) for c, turn, (size, _, inertia) in zip(now, turns, last, strict=True)]
 
 
 @contextmanager
@@ -193,8 +247,22 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
             df.unpersist()
 
 
+def fit_grid(points: DataFrame, ks: Sequence[int] = K_RANGE, n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER, tol: float = TOL, name: str = "x") -> dict[int, Clustering]:
+    """For each ``k`` the restart with the least inertia, of equals the first.
+
+    All restarts of all ``k`` share one set of candidates and every pass.
+    """
+    with kept(points.select(name)) as points:
+        chosen, weights = candidates(points, max(ks), seed, name)
+        tries = [(k, starts(chosen, weights, k, seed + i + 1000 * k)) for k in ks for i in range(n_init)]
+        found = lloyd_many(points, [centres for _, centres in tries], max_iter, tol, name)
+    best: dict[int, Clustering] = {}
+    for (k, _), one in zip(tries, found, strict=True):
+        if k not in best or one.inertia < best[k].inertia:
+            best[k] = one
+    return best
+
+
 def fit_kmeans(points: DataFrame, k: int, n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER, tol: float = TOL, name: str = "x") -> Clustering:
     """The restart with the least inertia; of equals the first.  All restarts share their passes."""
-    with kept(points.select(name)) as points, kept(weighted(points, name)) as weights:
-        found = lloyd_many(points, starts(weights, k, [seed + i + 1000 * k for i in range(n_init)], name), max_iter, tol, name)
-    return min(found, key=lambda one: one.inertia)
+    return fit_grid(points, [k], n_init, seed, max_iter, tol, name)[k]

@@ -4,78 +4,137 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
-from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.columns import number, pearson, round_even, unpivot
 
-#: Columns whose distinct counts share one pass; each column multiplies the rows of an exact distinct count.
-DISTINCT_AT_ONCE = 4
 #: Ranks of approximate quantiles are right to one part in so many.
 RANK_ACCURACY = 10_000
+#: Bins that a stretch of values is cut into, and rows of a bin whose values are fetched.
+BINS, FETCHED = 4_096, 4_096
 
 
 def column_quality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Per column: type, nulls (NaN counts as null), share of nulls, distinct values without nulls."""
+    """Per column: type, nulls (NaN counts as null), share of nulls, distinct values without nulls.
+
+    One scan and one exchange at any number of columns: a row gives a pair of
+    column and value each, and a task sends each of its pairs once.
+    """
     names = list(columns or df.columns)
     types = dict(df.dtypes)
-    value = {c: number(c) if types[c] in ("double", "float") else F.col(f"`{c}`") for c in names}
-    parts = []
-    for at in range(0, len(names), DISTINCT_AT_ONCE):
-        some = names[at : at + DISTINCT_AT_ONCE]
-        row = df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(some) for x in (F.count(value[c]).alias(f"{i}_present"), F.countDistinct(value[c]).alias(f"{i}_unique_count"))])
-        wide = row.select("n", *[x for i, c in enumerate(some) for x in (F.lit(types[c]).alias(f"{i}_dtype"), (F.col("n") - F.col(f"{i}_present")).alias(f"{i}_null_count"), F.try_divide(F.col("n") - F.col(f"{i}_present"), F.col("n")).alias(f"{i}_null_rate"), F.col(f"{i}_unique_count"))])
-        parts.append(unpivot(wide, some, "variable", ["dtype", "null_count", "null_rate", "unique_count"]))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _as_text(c, types[c]).alias("v")) for i, c in enumerate(names)])).alias("p")
+    values = df.select(pairs).groupBy("p.i", "p.v").agg(F.count(F.lit(1)).alias("n"))
+    counted = values.groupBy("i").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"), F.count("v").alias("unique_count"))
+    frame = df.sparkSession.createDataFrame([(i, c, types[c]) for i, c in enumerate(names)], "i int, variable string, dtype string")
+    out = frame.join(F.broadcast(counted), "i", "left")  # a row for each column
+    nulls = F.coalesce("null_count", F.lit(0))
+    return out.select("variable", "dtype", nulls.alias("null_count"), F.try_divide(nulls, F.col("n")).alias("null_rate"), F.coalesce("unique_count", F.lit(0)).alias("unique_count"))
+
+
+def _as_text(column: str, kind: str) -> Column:
+    """A text that is the same for equal values only; null for nulls and NaN."""
+    x = F.col(f"`{column}`")
+    if kind == "double":
+        return (number(column) + F.lit(0.0)).cast("string")  # -0.0 is 0.0
+    if kind == "float":
+        return F.when(~F.isnan(x), x + F.lit(0.0).cast("float")).cast("string")
+    if kind == "binary":
+        return F.hex(x)
+    return F.when(x.isNotNull(), F.to_json(F.struct(x))) if kind.startswith(("array", "struct", "map")) else x.cast("string")
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float | None]]:
-    """Exact quantiles with linear interpolation, at any number of distinct values.
+    """Exact quantiles with linear interpolation, at any number of rows and distinct values.
+
+    The values of a rank are selected by ranges: a first pass gives stretches that
+    are about to hold the ranks (approximate quantiles); the next one counts the
+    rows of each of their bins and of all between, with the bin's least and
+    largest value; then only the bins that hold a rank are cut further.  Once
+    they are small their values are fetched.  A rank outside its stretch is in a
+    bin like any other.  Tasks keep counts, never values; the driver gets at most
+    ``BINS`` rows a stretch.
+    """
+    x = [number(c) for c in columns]
+    asked = sorted({min(max(q + d / RANK_ACCURACY, 0.0), 1.0) for q in shares for d in (-2, 2)})
+    first = df.agg(*[F.count(x[i]).alias(f"n{i}") for i in range(len(x))], *[F.percentile_approx(x[i], asked, RANK_ACCURACY).alias(f"q{i}") for i in range(len(x))]).first()
+    size = [first[f"n{i}"] for i in range(len(x))]
+    value: dict[tuple[int, int], float] = {}
+    wanted = {i: sorted({f(q * (n - 1)) for q in shares for f in (math.floor, math.ceil)}) for i, n in enumerate(size) if n}
+    near = {i: dict(zip(asked, first[f"q{i}"], strict=True)) for i in wanted}
+    spans = {i: _apart([(near[i][min(max(q - 2 / RANK_ACCURACY, 0.0), 1.0)], near[i][min(max(q + 2 / RANK_ACCURACY, 0.0), 1.0)]) for q in shares]) for i in wanted}
+    before: dict[tuple[int, int], int] = {}  # rows under a stretch, by column and slot; at first all rows are in slots
+    whole, fetch = True, False
+    while wanted:
+        counted = _binned(df, x, spans, whole, fetch)
+        again: dict[int, list[tuple[float, float]]] = {}
+        start: dict[tuple[int, float], int] = {}
+        most = 0
+        for i, ranks in wanted.items():
+            upto, slot, left = 0, None, []
+            rows = counted[i]
+            for at, n, low, high in rows:
+                if not whole and at != slot:
+                    upto = before[i, at]
+                slot = at
+                for rank in ranks:
+                    if upto <= rank < upto + n:
+                        if low == high:
+                            value[i, rank] = low
+                        else:
+                            again.setdefault(i, []).append((low, high))
+                            start[i, low] = upto
+                            left.append(rank)
+                            most = max(most, n)
+                upto += n
+            wanted[i] = left
+        wanted = {i: ranks for i, ranks in wanted.items() if ranks}
+        spans = {i: sorted(set(again[i])) for i in wanted}
+        before = {(i, 2 * j + 1): start[i, low] for i in spans for j, (low, _) in enumerate(spans[i])}
+        whole, fetch = False, most <= FETCHED
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(columns):
+        at = [q * (size[i] - 1) for q in shares]
+        out[c] = [value[i, math.floor(a)] + (value[i, math.ceil(a)] - value[i, math.floor(a)]) * (a - math.floor(a)) if a != math.floor(a) else value[i, int(a)] for a in at] if size[i] else [None] * len(at)
+    return out
+
+
+def _apart(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Stretches in order; those that meet are one."""
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _binned(df: DataFrame, x: Sequence[Column], spans: dict[int, list[tuple[float, float]]], whole: bool, fetch: bool) -> dict[int, list[tuple[int, int, float, float]]]:
+    """Slot, rows, least and largest value of each bin of each column, in order of values.
 
-    One pass gives each quantile's surroundings (approximate quantiles with a
-    known error of rank); a last one counts what lies below them and ranks only
-    the values inside, equal values counted once: about four parts in
-    ``RANK_ACCURACY`` of a column.
+    Stretches have odd slots; with ``whole`` what lies between is one bin each, in
+    even slots.  With ``fetch`` a bin is a value.
     """
-    ends = df.agg(*[x for i, c in enumerate(columns) for x in (F.count(number(c)).alias(f"n{i}"), F.min(number(c)).alias(f"a{i}"), F.max(number(c)).alias(f"z{i}"))]).first()
-    places: list[tuple[int, float]] = []
-    around: list[tuple[float, float]] = []
-    for i in range(len(columns)):
-        n = ends[f"n{i}"]
-        for q in shares if n else ():
-            at = q * (n - 1)
-            places.append((i, at))
-            around.append(((math.floor(at) - 1) / n - 2 / RANK_ACCURACY, (math.ceil(at) + 2) / n + 2 / RANK_ACCURACY))
-    bounds = df.agg(*[F.percentile_approx(number(columns[i]), [max(0.0, low), min(1.0, high)], RANK_ACCURACY).alias(str(j)) for j, ((i, _), (low, high)) in enumerate(zip(places, around, strict=True))]).first() if places else ()
-    below, inside = [], []
-    for j, ((i, _), (a, z)) in enumerate(zip(places, around, strict=True)):
-        # The ends of a column are its least and largest value.
-        low, high = (ends[f"a{i}"] if a <= 0 else bounds[j][0]), (ends[f"z{i}"] if z >= 1 else bounds[j][1])
-        x = number(columns[i])
-        below.append(F.count_if(x < F.lit(low)).alias(str(j)))
-        inside.append(F.when((x >= F.lit(low)) & (x <= F.lit(high)), F.struct(F.lit(j).alias("j"), x.cast("double").alias("v"))))
-    if not places:
-        return {c: [None] * len(shares) for c in columns}
-    counts = df.agg(*below).first()
-    values = df.select(F.explode(F.array(*inside)).alias("r")).filter("r IS NOT NULL").select("r.*").groupBy("j", "v").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("j").orderBy("v"))
-    ranked = values.withColumn("upto", upto)
-    wanted = [(F.col("j") == j) & (F.col("upto") > rank - counts[str(j)]) & (F.col("upto") - F.col("n") <= rank - counts[str(j)]) for j, (_, at) in enumerate(places) for rank in {math.floor(at), math.ceil(at)}]
-    found: dict[int, list[tuple[int, int, float]]] = {}
-    for r in ranked.filter(reduce(or_, wanted)).collect():  # two rows a quantile at most
-        found.setdefault(r["j"], []).append((r["upto"] - r["n"] + counts[str(r["j"])], r["upto"] + counts[str(r["j"])], r["v"]))
-    out: dict[str, list[float | None]] = {c: [] if ends[f"n{i}"] else [None] * len(shares) for i, c in enumerate(columns)}
-    for j, (i, at) in enumerate(places):
-        value = lambda rank, j=j: next(v for a, b, v in found[j] if a <= rank < b)
-        low, high = value(math.floor(at)), value(math.ceil(at))
-        out[columns[i]].append(low + (high - low) * (at - math.floor(at)))
+    cells = []
+    for i, some in spans.items():
+        slot, bin_ = F.when(F.lit(False), 0), F.lit(0.0)
+        for j, (low, high) in enumerate(some):
+            a, z = F.lit(float(low)), F.lit(float(high))
+            slot = slot.when(x[i] < a, F.lit(2 * j) if whole else None).when(x[i] <= z, 2 * j + 1)
+            inside = F.floor(F.try_divide(x[i] / 2 - a / 2, z / 2 - a / 2) * BINS).cast("double")
+            inside = F.when(x[i] == a, 0.0).when(x[i] == z, float(BINS)).otherwise(F.least(F.greatest(F.coalesce(F.when(~F.isnan(inside), inside), F.lit(0.0)), F.lit(0.0)), F.lit(BINS - 1.0)) if math.isfinite(high - low) else F.lit(1.0))
+            bin_ = F.when((x[i] >= a) & (x[i] <= z), x[i] if fetch else inside).otherwise(bin_)
+        slot = slot.otherwise(F.lit(2 * len(some)) if whole else None)
+        slot = F.when(x[i].isNotNull(), slot)
+        cells.append(F.when(slot.isNotNull(), F.struct(F.lit(i).alias("i"), slot.alias("slot"), bin_.alias("bin"), x[i].alias("v"))))
+    values = df.select(F.explode(F.array(*cells)).alias("r")).filter("r IS NOT NULL").select("r.*")
+    rows = values.groupBy("i", "slot", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    out: dict[int, list[tuple[int, int, float, float]]] = {i: [] for i in spans}
+    for r in sorted(rows, key=lambda r: (r["i"], r["low"])):
+        out[r["i"]].append((r["slot"], r["n"], r["low"], r["high"]))
     return out
 
 

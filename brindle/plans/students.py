@@ -189,24 +189,30 @@ def run_analysis(df: DataFrame, out: str) -> Analysis:
     return Analysis(scaler, components, scaled, scores)
 
 
-def evaluate_grid(points: DataFrame, representation: str, ks=kmeans.K_RANGE, n_init: int = kmeans.N_INIT) -> tuple[list[tuple], dict[int, kmeans.Clustering]]:
-    """One row of metrics per k, and the clusterings."""
-    rows, models = [], {}
-    n = points.count()
+def evaluate_grid(points: DataFrame, representation: str, ks=kmeans.K_RANGE, n_init: int = kmeans.N_INIT, exact: bool = True) -> tuple[list[tuple], dict[int, kmeans.Clustering]]:
+    """One row of metrics per k, and the clusterings.
+
+    All k share the passes of the fit and of the metrics.  The exact silhouette
+    is quadratic; without ``exact`` it is the one by distances to the means.
+    """
+    ks = list(ks)
+    models = kmeans.fit_grid(points, ks, n_init)
+    labelled = points.select("x")
     for k in ks:
-        model = kmeans.fit_kmeans(points.select("x"), k, n_init)
-        labelled = kmeans.assign(points.select("x"), model.centres).cache()
-        sizes = [s for s in model.sizes.tolist() if s]
-        rows.append((representation, k, model.inertia, metrics.silhouette(labelled), metrics.calinski_harabasz(labelled), metrics.davies_bouldin(labelled), min(sizes), max(sizes), n, model.iterations))
-        models[k] = model
-        labelled.unpersist()
+        labelled = kmeans.assign(labelled, models[k].centres).withColumnRenamed("cluster", f"k{k}").drop("distance_to_centroid", "membership_score")
+    with kmeans.kept(labelled) as labelled:
+        names = [f"k{k}" for k in ks]
+        found = metrics.summaries(labelled, names)
+        near = metrics.silhouettes(labelled, names) if exact else [metrics.centroid_silhouette(labelled, cluster=c) for c in names]
+    n = int(found[0].n.sum())
+    rows = [(representation, k, models[k].inertia, s, one.calinski_harabasz, one.davies_bouldin, int(one.n.min()), int(one.n.max()), n, models[k].iterations) for k, one, s in zip(ks, found, near, strict=True)]
     return rows, models
 
 
 METRICS_SCHEMA = "representation string, k int, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double, min_cluster_size int, max_cluster_size int, n_samples long, iterations int"
 
 
-def run_clustering(df: DataFrame, analysis: Analysis, out: str, ks=kmeans.K_RANGE, n_init: int = kmeans.N_INIT) -> tuple[DataFrame, DataFrame]:
+def run_clustering(df: DataFrame, analysis: Analysis, out: str, ks=kmeans.K_RANGE, n_init: int = kmeans.N_INIT, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """Grid over k and representation, choice, assignment, profiles; returns (assignments, summary)."""
     spark = df.sparkSession
     reps = {"scaled_features": analysis.scaled, "pca_90": analysis.scores["pca_90"]}
@@ -214,7 +220,7 @@ def run_clustering(df: DataFrame, analysis: Analysis, out: str, ks=kmeans.K_RANG
     for name, frame in reps.items():
         columns = [c for c in frame.columns if c not in METADATA]
         points[name] = kmeans.vectors(frame, columns, METADATA).cache()
-        found, models[name] = evaluate_grid(points[name], name, ks, n_init)
+        found, models[name] = evaluate_grid(points[name], name, ks, n_init, exact)
         rows += found
     table = spark.createDataFrame(rows, METRICS_SCHEMA)
     best = selection.choose_model(table).first()
