@@ -1,13 +1,16 @@
-"""Principal components of standardised columns from one covariance pass."""
+"""Principal components of standardised columns from one pass of orthogonal factors."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,18 +66,60 @@ def covariance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("variable_a"), F.lit(b).alias("variable_b"), F.col(str(i)).alias("covariance")) for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
 
 
+#: Rows factored at once, and factors that a task of each level of the tree puts together at most (a share of all tasks).
+ROWS, LEVELS = 4_096, (1_024, 32, 1)
+
+
+def _factor(r: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(np.concatenate([r, rows]), mode="r")
+
+
+def triangle(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray]:
+    """Rows, and the triangular factor of the rows with a 1 before them: a tall matrix by a tree of small factors.
+
+    Each task factors its rows piece by piece; what meets in the exchanges are
+    (p + 1) x (p + 1) triangles.  Rows with a null are left out.
+    """
+    p = len(columns) + 1
+    rows = df.select(F.array(F.lit(1.0), *[F.col(f"`{c}`").cast("double") for c in columns]).alias("x")).filter(~F.exists("x", lambda v: v.isNull()))
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, r = 0, np.zeros((0, p))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            n += len(x)
+            for start in range(0, len(x), ROWS):
+                r = _factor(r, x[start : start + ROWS])
+        yield pa.RecordBatch.from_pydict({"node": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([n], pa.int64()), "r": pa.array([r.ravel()], pa.list_(pa.float64()))})
+
+    def joined(parts: pd.DataFrame) -> pd.DataFrame:
+        r = np.zeros((0, p))
+        for part in parts.sort_values("node")["r"]:
+            r = _factor(r, np.array(part).reshape(-1, p))
+        return pd.DataFrame({"node": [parts["node"].min()], "n": [parts["n"].sum()], "r": [r.ravel().tolist()]})
+
+    schema = "node long, n long, r array<double>"
+    tree = rows.mapInArrow(leaves, schema)
+    for level in LEVELS:
+        tree = tree.groupBy(F.pmod("node", F.lit(level))).applyInPandas(joined, schema)
+    top = tree.first()
+    r = np.zeros((p, p))
+    if top is not None:
+        got = np.array(top["r"], float).reshape(-1, p)
+        r[: len(got)] = got
+    return (top["n"] if top is not None else 0), r
+
+
 def fit_pca(df: DataFrame, columns: Sequence[str]) -> Components:
-    """Eigenvectors of the covariance matrix; the driver gets p * p numbers."""
-    place = {c: i for i, c in enumerate(columns)}
-    matrix = np.zeros((len(columns), len(columns)))
-    for r in covariance(df, columns).collect():
-        a, b = place[r["variable_a"]], place[r["variable_b"]]
-        matrix[a, b] = matrix[b, a] = r["covariance"] or 0.0
-    means = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(str(i)) for i, c in enumerate(columns)]).first()
-    values, vectors = np.linalg.eigh(matrix)
-    order = np.argsort(-values, kind="stable")
-    loadings = vectors.T[order]
+    """Singular vectors of the centred rows, from their triangular factor; the driver gets p * p numbers.
+
+    Nothing is squared, so that a component as small as 1e-12 of the largest one
+    keeps its digits, which a covariance matrix has lost.
+    """
+    n, r = triangle(df, columns)
+    means = r[0, 1:] / r[0, 0] if n else np.zeros(len(columns))
+    _, sizes, loadings = np.linalg.svd(r[1:, 1:])  # below the row of ones is the factor of the centred rows
     size = np.abs(loadings)
     largest = (size >= size.max(axis=1, keepdims=True) - 1e-9).argmax(axis=1)  # the first of equals
     loadings = loadings * np.sign(loadings[np.arange(len(loadings)), largest])[:, None]
-    return Components(tuple(columns), loadings, np.maximum(values[order], 0.0), np.array([m or 0.0 for m in means]))
+    return Components(tuple(columns), loadings, sizes**2 / max(n - 1, 1), means)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions.columns import clip, period_order, round_even, uuid5
 
+#: What the names of students begin with (fixed value).
+NAME = "casei-v2-"
 PROGRAMS = (("Ingenieria en Desarrollo de Software", 0.34, 270), ("Ingenieria Biomedica", 0.26, 282), ("Ingenieria en Energia", 0.22, 264), ("Ingenieria Agroindustrial", 0.18, 276))
 PERIODS = (("2022-2", 0.08), ("2023-1", 0.15), ("2023-2", 0.18), ("2024-1", 0.22), ("2024-2", 0.20), ("2025-1", 0.17))
 COHORTS = ((2020, 0.15), (2021, 0.22), (2022, 0.25), (2023, 0.23), (2024, 0.15))
@@ -56,15 +58,19 @@ def whole(x: Column) -> Column:
 
 def students(spark: SparkSession, n: int = 1000, seed: int = 42, partitions: int | None = None) -> DataFrame:
     """``n`` rows of 38 columns; all data-quality rules hold."""
+    return students_of(spark.range(0, n, 1, partitions).select(F.col("id").alias("index")), seed)
+
+
+def students_of(df: DataFrame, seed: int = 42) -> DataFrame:
+    """A student for each row of ``index`` (different integers); drawn from it alone, on any partitioning alike."""
     d = Draws(seed, F.col("index"))
     c = F.col
-    df = spark.range(0, n, 1, partitions).select(c("id").alias("index"))
     plan = F.lit(PROGRAMS[-1][2])
     for name, _, credits in PROGRAMS[:-1]:
         plan = F.when(c("programa") == name, credits).otherwise(plan)
     event = lambda *names: c("event").isin(*names).cast("double")
     steps: list[dict[str, Column]] = [
-        {"id_estudiante": uuid5(F.concat(F.lit("casei-v2-"), c("index").cast("string"))), "programa": d.choice("program", PROGRAMS), "id_periodo": d.choice("period", PERIODS), "cohorte": d.choice("cohort", COHORTS), "event": d.choice("event", EVENTS)},
+        {"id_estudiante": uuid5(F.concat(F.lit(NAME), c("index").cast("string"))), "programa": d.choice("program", PROGRAMS), "id_periodo": d.choice("period", PERIODS), "cohorte": d.choice("cohort", COHORTS), "event": d.choice("event", EVENTS)},
         {"creditos_totales_plan": plan, "elapsed": F.greatest(F.lit(1), period_order(c("id_periodo")) - ((c("cohorte") - 1) * 2 + 1) + 1)},
         {"periodos_cursados": clip(whole(c("elapsed") + d.normal("elapsed", 0, 0.6)), 1, 12), "h": clip(d.normal("ability", 0.62, 0.18), 0.10, 0.98), "a": clip(d.normal("habit", 0.76, 0.18), 0.12, 0.99), "x": clip(d.normal("load", 0.28, 0.20), 0.0, 0.95)},
         {"s": clip(d.normal("support", 1 - c("h") + d.normal("support/in", 0, 0.10), 0.15), 0.0, 1.0)},

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from brindle.functions import columns as fn
 from brindle.operators import features, ir_eval, kmeans, metrics, pca, profile, profiles, search, search_index, selection, validate
-from brindle.operators.synth import students
+from brindle.operators.synth import NAME, students_of
+from brindle.plans.students import METRICS_SCHEMA, evaluate_grid
 from brindle.plans.students import QUERIES as STUDENT_QUERIES
 from brindle.plans.students import relevance, search_documents, validate_students
+from brindle.sources import tables
 from brindle.sources.shared import shared_folder
 
 LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -164,6 +166,28 @@ def pca_pair_needed(spark, d):
     return spark.createDataFrame([(share, fitted.needed(share)) for share in (0.5, 0.9, 0.95, 0.99, 1.5)], "share double, components int")
 
 
+def pca_collinear(spark, d):
+    """Columns that follow from each other: what holds for any components, and the variance that is left between two that are nearly equal."""
+    df = _t(spark, d, "lineitem").select("l_quantity", (F.col("l_extendedprice") / 1000).alias("price"), "l_discount", "l_tax", (F.col("l_quantity") + F.col("l_tax") * 1e-6).alias("nearly"))
+    df = df.withColumn("both", F.col("price") - F.col("l_discount"))
+    fitted = pca.fit_pca(df, df.columns)
+    scores = fitted.scores(df, keep=df.columns)
+    names = [f"PC{i + 1}" for i in range(len(df.columns))]
+    back = [F.lit(float(m)) + sum((F.col(n) * F.lit(float(w)) for n, w in zip(names, fitted.loadings[:, j], strict=True)), F.lit(0.0)) for j, m in enumerate(fitted.means)]
+    off = F.greatest(*[F.max(F.abs(F.col(c) - b)) for c, b in zip(df.columns, back, strict=True)])
+    row = scores.agg(off.alias("off"), *[F.var_samp(n).alias(n) for n in names]).first()
+    pair = pca.fit_pca(df, ("l_quantity", "nearly")).variances
+    found = {
+        "trace": float(fitted.variances.sum()),
+        "variance_of_scores": float(sum(row[n] for n in names)),
+        "orthogonality": float(np.abs(fitted.loadings @ fitted.loadings.T - np.eye(len(names))).max()),
+        "reconstruction": float(row["off"]),
+        "null_directions": float((fitted.variances < 1e-20 * fitted.variances.sum()).sum()),
+        "left_between_nearly_equal": float(pair[1] * 1e12 * 1e2),
+    }
+    return _round(spark.createDataFrame(list(found.items()), "name string, value double"), {"value": 5})
+
+
 def dataset_nulls(spark, d):
     df = _holes(_t(spark, d, "lineitem")).select("l_partkey", "l_returnflag", *LINE)
     return _round(profile.dataset_summary(df, "holes", {"flags": "l_returnflag"}, {"avg_quantity": "l_quantity"}), {"avg_quantity": 6})
@@ -323,7 +347,7 @@ def kmeans_steps(spark, d):
 
 def kmeans_restarts(spark, d):
     points = _points(spark, d).select("x")
-    model = kmeans.fit_kmeans(points, 3, n_init=2, max_iter=20)
+    model = kmeans.fit_kmeans(points, 3)
     return spark.createDataFrame([(i, int(n), model.inertia) for i, n in enumerate(model.sizes)], "cluster int, n long, inertia double")
 
 
@@ -354,40 +378,82 @@ def cluster_profile(spark, d):
     return profiles.top_differences(_t(spark, d, "lineitem").withColumn("cluster", F.col("l_returnflag")), LINE[:1] + LINE[2:], 2)
 
 
-#: A grid of models with known outcome (fixed values).
-GRID = (
-    ("scaled_features", 2, 21908.039, 0.23721, 140.851, 2.35681, 216, 784), ("scaled_features", 3, 19475.719, 0.17027, 141.399, 2.11922, 73, 666), ("scaled_features", 4, 18352.983, 0.08632, 120.243, 2.41251, 72, 396), ("scaled_features", 5, 17523.777, 0.08176, 106.125, 2.31865, 72, 296), ("scaled_features", 6, 16952.490, 0.07845, 94.372, 2.31926, 71, 285), ("scaled_features", 7, 16443.647, 0.07975, 86.117, 2.21592, 52, 274), ("scaled_features", 8, 15929.792, 0.07623, 80.690, 2.29923, 36, 252),
-    ("pca_90", 2, 19794.297, 0.24873, 155.666, 2.23747, 216, 784), ("pca_90", 3, 17365.555, 0.17536, 158.350, 2.02087, 73, 644), ("pca_90", 4, 16242.850, 0.10013, 135.698, 2.26303, 72, 394), ("pca_90", 5, 15430.449, 0.09284, 120.120, 2.17695, 72, 292), ("pca_90", 6, 14867.846, 0.08839, 107.155, 2.19995, 72, 268), ("pca_90", 7, 14387.034, 0.08961, 97.719, 2.10411, 65, 261), ("pca_90", 8, 13947.607, 0.08760, 90.775, 2.13135, 46, 227),
-)
+#: Places on a line, by representation: groups of groups, so that the best clustering of each k is clear (fixed values).
+PLACES = {"plain": (0, 1, 10, 12, 100, 104, 1000, 1008, 1100), "folded": (0, 2, 30, 31, 300, 310, 312, 2000, 2030)}
+
+
+def _grid(spark, d) -> DataFrame:
+    """The reference's grid (k of 2 to 8, 20 restarts, 300 steps) over two representations of orders."""
+    rows = []
+    for name, places in PLACES.items():
+        at = F.element_at(F.array(*[F.lit(float(v)) for v in places]), (F.col("o_orderkey") % len(places) + 1).cast("int"))
+        rows += evaluate_grid(_t(spark, d, "orders").select(F.array(at).alias("x")), name)[0]
+    return spark.createDataFrame(rows, METRICS_SCHEMA)
+
+
+GRID_DIGITS = {"inertia": 3, "silhouette": 9, "calinski_harabasz": 0, "davies_bouldin": 9}
+
+
+def kmeans_grid(spark, d):
+    return _round(_grid(spark, d).drop("iterations"), GRID_DIGITS)
 
 
-def _grid(spark) -> DataFrame:
-    return spark.createDataFrame([(*r, 1000) for r in GRID], "representation string, k int, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double, min_cluster_size int, max_cluster_size int, n_samples long")
+def embedding_grid(spark, d):
+    """The same grid over the embeddings."""
+    points = _points(spark, d).select("x")
+    return _round(spark.createDataFrame(evaluate_grid(points, "embeddings")[0], METRICS_SCHEMA).drop("iterations"), GRID_DIGITS)
 
 
 def model_ranks(spark, d):
-    ranked = selection.rank_models(_grid(spark))
+    ranked = selection.rank_models(_grid(spark, d))
     return _round(ranked.select("representation", "k", *[F.col(f"{m}_rank").cast("long").alias(f"{m}_rank") for m in selection.WEIGHTS], "combined_rank", "viable"), {"combined_rank": 6})
 
 
 def model_choice(spark, d):
-    return _round(selection.choose_model(_grid(spark)).select("representation", "k", "combined_rank"), {"combined_rank": 6})
+    return _round(selection.choose_model(_grid(spark, d)).select("representation", "k", "combined_rank"), {"combined_rank": 6})
 
 
 def uuid5_ids(spark, d):
-    return spark.range(1000).select(F.col("id").alias("i"), fn.uuid5(F.concat(F.lit("casei-v2-"), F.col("id").cast("string"))).alias("uuid"))
+    return _t(spark, d, "customer").select("c_custkey", fn.uuid5(F.concat(F.lit(NAME), F.col("c_custkey").cast("string"))).alias("uuid"))
 
 
 def half_even(spark, d):
     return _t(spark, d, "part").select("p_partkey", fn.round_even(F.col("p_retailprice") / 8, 2).alias("r"))
 
 
+def _synthetic(spark, d) -> DataFrame:
+    """A student for each customer."""
+    return students_of(_t(spark, d, "customer").select(F.col("c_custkey").alias("index")))
+
+
 def synth_students(spark, d):
-    return students(spark, 1000)
+    return _synthetic(spark, d)
 
 
 def synth_validation(spark, d):
-    return validate_students(students(spark, 1000)).select("check", "passed", "failing_rows", "severity")
+    made = _synthetic(spark, d)
+    return validate_students(made).select("check", "passed", "failing_rows", "severity").withColumn("records", F.lit(made.count()))
+
+
+# --- files -----------------------------------------------------------------
+
+CSV_SCHEMA = "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string, l_tax double"
+
+
+def csv_bad_records(spark, d):
+    """Line items as CSV in the shared folder, some lines spoilt by rule, read back: sums of what is good, and of what was set aside."""
+    n, o = F.col("l_linenumber"), F.col("l_orderkey")
+    quantity = F.when((o % 97 == 0) & (n == 1), "ten").otherwise(F.col("l_quantity").cast("string"))
+    line = F.concat_ws(",", o.cast("string"), n.cast("string"), quantity, "l_returnflag", F.col("l_tax").cast("string"))
+    line = F.when((o % 101 == 0) & (n == 2), F.concat(line, F.lit(",more"))).when((o % 103 == 0) & (n == 3), F.concat_ws(",", o.cast("string"), n.cast("string"))).otherwise(line)
+    folder = shared_folder(spark, "lines")
+    _t(spark, d, "lineitem").select(line.alias("value")).write.text(folder)
+    read = tables.read_csv_checked(spark, folder, CSV_SCHEMA, ("l_orderkey", "l_tax"), header=False)
+    good = read.good.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.sum("l_orderkey").alias("keys")).select(F.lit("good").alias("part"), "l_returnflag", "n", "quantity", "keys")
+    key = F.element_at(F.split("line", ","), 1).cast("long")
+    bad = read.bad.groupBy(F.size(F.split("line", ",")).cast("string").alias("l_returnflag")).agg(F.count(F.lit(1)).alias("n"), F.lit(0.0).alias("quantity"), F.sum(key).alias("keys")).select(F.lit("bad").alias("part"), "l_returnflag", "n", "quantity", "keys")
+    counts = read.report.agg(F.lit("report").alias("part"), F.lit("all").alias("l_returnflag"), F.sum("lines").alias("n"), F.lit(0.0).alias("quantity"), F.sum("bad").alias("keys"))
+    return good.unionByName(bad).unionByName(counts)
 
 
 # --- oracle ----------------------------------------------------------------
@@ -451,15 +517,45 @@ ab AS (SELECT i, max(CASE WHEN ci = cj THEN CASE WHEN n > 1 THEN s / (n - 1) ELS
 SELECT round(inertia, 5) AS inertia, round((SELECT avg((b - a) / greatest(a, b)) FROM ab), 8) AS silhouette, round(ch, 7) AS calinski_harabasz, round(db, 7) AS davies_bouldin FROM ch, db
 """
 
-_GRID_SQL = "(VALUES " + ", ".join(str(r) for r in GRID) + ") g(representation, k, inertia, silhouette, calinski_harabasz, davies_bouldin, min_cluster_size, max_cluster_size)"
-_RANKS_SQL = f"""SELECT representation, k, min_cluster_size / 1000 >= 0.05 AS viable, rank() OVER (ORDER BY silhouette DESC) AS silhouette_rank, rank() OVER (ORDER BY davies_bouldin) AS davies_bouldin_rank,
-rank() OVER (ORDER BY calinski_harabasz DESC) AS calinski_harabasz_rank, rank() OVER (ORDER BY max_cluster_size::DOUBLE / min_cluster_size) AS balance_rank FROM {_GRID_SQL}"""
+#: All clusterings of the places into runs of neighbours; of each k the one with the least inertia is the best there is.
+_GRID_CTE = "WITH pl AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', {i}, {float(v)}::DOUBLE)" for r, places in PLACES.items() for i, v in enumerate(places)) + """) p(representation, i, v)),
+w AS (SELECT representation, i, v, n FROM pl JOIN (SELECT o_orderkey % 9 AS i, count(*) AS n FROM orders GROUP BY 1) USING (i)),
+c AS (SELECT w.*, mask, bit_count(mask) + 1 AS k, bit_count(mask & ((1 << i) - 1)) AS c FROM w, (SELECT unnest(range(256))::INT AS mask)),
+g AS (SELECT representation, mask, k, c, sum(n) AS size, sum(n * v) / sum(n) AS m FROM c GROUP BY ALL),
+cg AS (SELECT c.*, size, m FROM c JOIN g USING (representation, mask, k, c)),
+inner_ AS (SELECT representation, mask, k, sum(n * (v - m) ** 2) AS inertia FROM cg GROUP BY ALL),
+best AS (SELECT representation, k, arg_min(mask, inertia) AS mask, min(inertia) AS inertia FROM inner_ WHERE k BETWEEN 2 AND 8 GROUP BY ALL),
+p AS (SELECT cg.* FROM cg JOIN best USING (representation, k, mask)),
+dist AS (SELECT a.representation, a.k, a.i, any_value(a.n) AS n, a.c = b.c AS same, any_value(a.size) AS own, sum(b.n * abs(a.v - b.v)) / any_value(b.size) AS mean, sum(b.n * abs(a.v - b.v)) AS total
+  FROM p a JOIN p b ON a.representation = b.representation AND a.k = b.k GROUP BY a.representation, a.k, a.i, a.c, b.c),
+ab AS (SELECT representation, k, i, any_value(n) AS n, max(CASE WHEN same THEN CASE WHEN own > 1 THEN total / (own - 1) ELSE 0 END END) AS a, min(CASE WHEN NOT same THEN mean END) AS b FROM dist GROUP BY ALL),
+sil AS (SELECT representation, k, sum(n * (b - a) / greatest(a, b)) / sum(n) AS silhouette FROM ab GROUP BY ALL),
+tot AS (SELECT representation, sum(n) AS n, sum(n * v) / sum(n) AS m FROM w GROUP BY 1),
+cl AS (SELECT representation, k, c, any_value(size) AS size, any_value(m) AS m, sum(n * abs(v - m)) / any_value(size) AS s FROM p GROUP BY ALL),
+ch AS (SELECT cl.representation, cl.k, sum(cl.size * (cl.m - tot.m) ** 2) / (cl.k - 1) AS between_, min(cl.size) AS smallest, max(cl.size) AS largest, any_value(tot.n) AS n FROM cl JOIN tot ON cl.representation = tot.representation GROUP BY cl.representation, cl.k),
+db AS (SELECT representation, k, avg(r) AS db FROM (SELECT a.representation, a.k, a.c, max((a.s + b.s) / abs(a.m - b.m)) AS r FROM cl a JOIN cl b ON a.representation = b.representation AND a.k = b.k AND a.c <> b.c GROUP BY ALL) GROUP BY ALL),
+grid AS (SELECT representation, k, inertia, silhouette, between_ / (inertia / (n - k)) AS calinski_harabasz, db AS davies_bouldin, smallest AS min_cluster_size, largest AS max_cluster_size, n AS n_samples
+  FROM best JOIN sil USING (representation, k) JOIN ch USING (representation, k) JOIN db USING (representation, k))"""
+_RANKS_SQL = """SELECT representation, k, min_cluster_size / n_samples >= 0.05 AS viable, rank() OVER (ORDER BY silhouette DESC) AS silhouette_rank, rank() OVER (ORDER BY davies_bouldin) AS davies_bouldin_rank,
+rank() OVER (ORDER BY calinski_harabasz DESC) AS calinski_harabasz_rank, rank() OVER (ORDER BY max_cluster_size::DOUBLE / min_cluster_size) AS balance_rank FROM grid"""
 _COMBINED = "round((0.5 * silhouette_rank + 0.25 * davies_bouldin_rank + 0.2 * calinski_harabasz_rank + 0.05 * balance_rank)::DOUBLE, 6)"
 
 
 def _uuid_sql() -> str:
-    h = f"sha1(unhex('{fn.DNS_NAMESPACE}') || encode('casei-v2-' || i))"
-    return f"SELECT i, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', ('0x' || substr(h, 17, 1))::INT + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT i, {h} AS h FROM range(1000) r(i))"
+    h = f"sha1(unhex('{fn.DNS_NAMESPACE}') || encode('{NAME}' || c_custkey))"
+    return f"SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', ('0x' || substr(h, 17, 1))::INT + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT c_custkey, {h} AS h FROM customer)"
+
+
+_CSV_SQL = """WITH l AS (SELECT *, CASE WHEN l_orderkey % 101 = 0 AND l_linenumber = 2 THEN '6' WHEN l_orderkey % 103 = 0 AND l_linenumber = 3 THEN '2' WHEN l_orderkey % 97 = 0 AND l_linenumber = 1 THEN '5' END AS fields FROM lineitem)
+SELECT 'good' AS part, l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity, sum(l_orderkey)::BIGINT AS keys FROM l WHERE fields IS NULL GROUP BY 2
+UNION ALL SELECT 'bad', fields, count(*), 0.0, sum(l_orderkey)::BIGINT FROM l WHERE fields IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'report', 'all', count(*), 0.0, count(fields) FROM l"""
+#: Between q and q + e t the smaller variance is the determinant over the larger one.
+_COLLINEAR_SQL = """WITH v AS (SELECT var_samp(l_quantity) AS q, var_samp(l_extendedprice / 1000) AS p, var_samp(l_discount) AS d, var_samp(l_tax) AS t, var_samp(l_extendedprice / 1000 - l_discount) AS b, covar_samp(l_quantity, l_tax) AS qt FROM lineitem),
+s AS (SELECT *, q + 2e-6 * qt + 1e-12 * t AS nearly FROM v)
+SELECT 'trace' AS name, round(q + p + d + t + nearly + b, 5) AS value FROM s UNION ALL SELECT 'variance_of_scores', round(q + p + d + t + nearly + b, 5) FROM s
+UNION ALL SELECT 'orthogonality', 0.0 FROM s UNION ALL SELECT 'reconstruction', 0.0 FROM s UNION ALL SELECT 'null_directions', 2.0 FROM s
+UNION ALL SELECT 'left_between_nearly_equal', round(1e2 * (q * t - qt * qt) / (q + nearly), 5) FROM s"""
 
 
 def _histogram_sql() -> str:
@@ -570,8 +666,11 @@ round(sum(hit / log2(rank + 1)) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11)
     "cluster_quality": _QUALITY_SQL,
     "cluster_sizes": "SELECT min(n) AS smallest, max(n) AS largest, count(*) AS clusters FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)",
     "cluster_profile": _union(["WITH g AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem), c AS (SELECT l_returnflag AS cluster, count(*) AS records, avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem GROUP BY 1), u AS (SELECT cluster, records, 'l_quantity' AS v, c.q - g.q AS x FROM c, g UNION ALL SELECT cluster, records, 'l_discount', c.d - g.d FROM c, g UNION ALL SELECT cluster, records, 'l_tax', c.t - g.t FROM c, g), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(x) DESC, v) AS rk FROM u) SELECT cluster, any_value(records) AS records, string_agg(printf('%s (%+.2f)', v, x), ', ' ORDER BY rk) AS distinctive FROM r WHERE rk <= 2 GROUP BY cluster"]),
-    "model_ranks": f"SELECT representation, k, silhouette_rank, davies_bouldin_rank, calinski_harabasz_rank, balance_rank, {_COMBINED} AS combined_rank, viable FROM ({_RANKS_SQL})",
-    "model_choice": f"SELECT representation, k, {_COMBINED} AS combined_rank FROM ({_RANKS_SQL}) WHERE viable ORDER BY combined_rank, silhouette_rank, k, representation LIMIT 1",
+    "kmeans_grid": f"{_GRID_CTE} SELECT representation, k::INT AS k, round(inertia, 3) AS inertia, round(silhouette, 9) AS silhouette, round(calinski_harabasz, 0) AS calinski_harabasz, round(davies_bouldin, 9) AS davies_bouldin, min_cluster_size::INT AS min_cluster_size, max_cluster_size::INT AS max_cluster_size, n_samples::BIGINT AS n_samples FROM grid",
+    "csv_bad_records": _CSV_SQL,
+    "pca_collinear": _COLLINEAR_SQL,
+    "model_ranks": f"{_GRID_CTE} SELECT representation, k::INT AS k, silhouette_rank, davies_bouldin_rank, calinski_harabasz_rank, balance_rank, {_COMBINED} AS combined_rank, viable FROM ({_RANKS_SQL})",
+    "model_choice": f"{_GRID_CTE} SELECT representation, k::INT AS k, {_COMBINED} AS combined_rank FROM ({_RANKS_SQL}) WHERE viable ORDER BY combined_rank, silhouette_rank, k, representation LIMIT 1",
     "uuid5_ids": _uuid_sql(),
     "half_even": "SELECT p_partkey, round_even(p_retailprice / 8 * 100, 0) / 100 AS r FROM part",
 }
@@ -583,12 +682,12 @@ _COUNTS = "materias_aprobadas materias_reprobadas materias_en_curso retardos fal
 _PERCENTS = "promedio_general promedio_periodo porcentaje_asistencia porcentaje_avance"
 _HIGH = ["unique_student_period", "required_columns", *[f"range_0_100_{c}" for c in _PERCENTS.split()], *[f"non_negative_{c}" for c in _COUNTS.split()], "period_credits_consistency", "progress_matches_credits", "baja_temporal_without_active_load", "recursamientos_not_greater_than_failed_accumulated"]
 _MEDIUM = ["lag_not_below_failed_minus_retake", "controlled_missing_values"]
-ORACLE["synth_validation"] = "SELECT unnest([" + ", ".join(f"'{n}'" for n in _HIGH) + "]) AS \"check\", true AS passed, 0::BIGINT AS failing_rows, 'alta' AS severity UNION ALL SELECT unnest([" + ", ".join(f"'{n}'" for n in _MEDIUM) + "]), true, 0, 'media'"
+ORACLE["synth_validation"] = "SELECT unnest([" + ", ".join(f"'{n}'" for n in _HIGH) + "]) AS \"check\", true AS passed, 0::BIGINT AS failing_rows, 'alta' AS severity, (SELECT count(*) FROM customer) AS records UNION ALL SELECT unnest([" + ", ".join(f"'{n}'" for n in _MEDIUM) + "]), true, 0, 'media', (SELECT count(*) FROM customer)"
 
 _ALL = (
     pca_pair_explained, pca_pair_scores, pca_pair_needed, dataset_nulls, student_rules, rules_passed, profile_labels, relevant_rows, student_documents, kmeans_groups, ir_means,
     column_quality, describe_numeric, iqr_outliers, correlation_long, strong_correlations, group_means_returnflag, group_means_event, group_means_sets, value_counts, histogram_10, duplicate_keys, dataset_comparison, feature_matrix, scaler_params, zscores, pca_covariance, pca_explained, pca_scores, validation_rules, left_join_enrich, bucketize_document,
-    term_statistics, document_lengths, bm25_topk, index_bm25, ir_metrics, kmeans_assign, kmeans_steps, kmeans_restarts, cluster_quality, cluster_sizes, cluster_profile, model_ranks, model_choice, uuid5_ids, half_even, synth_students, synth_validation,
+    term_statistics, document_lengths, bm25_topk, index_bm25, ir_metrics, kmeans_assign, kmeans_steps, kmeans_restarts, cluster_quality, cluster_sizes, cluster_profile, kmeans_grid, embedding_grid, pca_collinear, csv_bad_records, model_ranks, model_choice, uuid5_ids, half_even, synth_students, synth_validation,
 )
 
 

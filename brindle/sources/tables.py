@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, NumericType, StructType
+from pyspark.sql.types import ArrayType, MapType, NumericType, StringType, StructField, StructType
 
 from brindle.functions.columns import nan_to_null
+from brindle.sources.shared import written
+
+
+#: Columns beside those of a file: a line that could not be read, and the file's name.
+CORRUPT, FILE = "__unreadable", "__file"
 
 
 def require(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -28,6 +34,35 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return require(nan_to_null(reader.csv(path)), required)
 
 
+@dataclass(frozen=True)
+class CheckedRows:
+    """What a file held: rows of the schema, lines that are none (with their file), and the number of each by file."""
+
+    good: DataFrame
+    bad: DataFrame
+    report: DataFrame
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: StructType | str, required: Iterable[str] = (), header: bool = True) -> CheckedRows:
+    """CSV whose unreadable lines are set aside: values of another type, too many fields or too few.
+
+    Lines are parsed once, with all columns, and written to the shared folder;
+    both tables and the report read that.  ValueError if the header lacks a
+    required column.  NaN becomes NULL.
+    """
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if header:
+        require(spark.read.option("header", True).csv(path), required)
+    else:
+        require(spark.createDataFrame([], wanted), required)
+    fields = StructType([*wanted.fields, StructField(CORRUPT, StringType())])
+    rows = spark.read.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(fields).csv(path)
+    rows = written(rows.withColumn(FILE, F.col("_metadata.file_name")), "csv")
+    good, bad = rows.filter(F.col(CORRUPT).isNull()), rows.filter(F.col(CORRUPT).isNotNull())
+    report = rows.groupBy(F.col(FILE).alias("file")).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col(CORRUPT).isNull()).alias("good"), F.count(CORRUPT).alias("bad"))
+    return CheckedRows(nan_to_null(good.select(*[F.col(f"`{f.name}`") for f in wanted])), bad.select(F.col(FILE).alias("file"), F.col(CORRUPT).alias("line")), report)
+
+
 def read_table(spark: SparkSession, path: str, kind: str = "parquet", required: Iterable[str] = ()) -> DataFrame:
     """Any of Spark's file formats; NaN becomes NULL."""
     return require(nan_to_null(spark.read.format(kind).load(path)), required)
