@@ -96,8 +96,11 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) ->
         whole, fetch = False, most <= FETCHED
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(columns):
-        at = [q * (size[i] - 1) for q in shares]
-        out[c] = [value[i, math.floor(a)] + (value[i, math.ceil(a)] - value[i, math.floor(a)]) * (a - math.floor(a)) if a != math.floor(a) else value[i, int(a)] for a in at] if size[i] else [None] * len(at)
+        out[c] = [None] * len(shares)
+        for j, q in enumerate(shares if size[i] else ()):
+            at = q * (size[i] - 1)
+            low, high = value[i, math.floor(at)], value[i, math.ceil(at)]
+            out[c][j] = low if low == high else low + (high - low) * (at - math.floor(at))
     return out
 
 

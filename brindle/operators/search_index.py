@@ -125,9 +125,10 @@ class Index:
         schema = StructType.fromDDL(f"term string, strip bigint, block int, n int, peaks array<struct<tf: int, length: int>>, documents array<{ids}>, tfs array<int>, lengths array<int>")
         arrow = to_arrow_schema(schema)
         blocks = lengths.select("document_id", "terms", "length").mapInArrow(lambda it: _blocks(it, arrow, strip, block), schema)
-        order = ["bucket", "term", "strip", "block"]
+        # A bucket is dealt to several tasks, so that a term of most documents is no task's alone; a range partitioning would make the blocks twice.
+        spread = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
         blocks = blocks.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % self.buckets).cast("int"))
-        blocks = blocks.repartitionByRange(*order).sortWithinPartitions(*order)
+        blocks = blocks.repartition("bucket", F.pmod(F.xxhash64("term", "strip"), F.lit(spread))).sortWithinPartitions("bucket", "term", "strip", "block")
         blocks.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/postings/segment={segment}")
         stored = self.spark.read.parquet(f"{self.path}/documents/segment={segment}")
         stored.agg(F.lit(segment).alias("segment"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
