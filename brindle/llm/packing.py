@@ -29,9 +29,9 @@ CAPACITY = 2048
 #: Shorter pieces are one class.
 SHORTEST = 64
 #: Pieces and gaps that one task sweeps (on average).
-SWEPT = 4_096
-#: Rounds of a class repeat while one places at least this share of the pieces it had.
-REPEAT = 0.25
+SWEPT = 1 << 14
+#: Pieces for which a task opens sequences at once.
+OPENED = 1 << 16
 #: What a round says: a piece placed; a gap updated; a gap left over; a piece left over.
 PLACED, GAP, FREE, LEFT = range(4)
 
@@ -164,23 +164,34 @@ def _numbered(intervals: list[tuple[int, int, int]], schema: pa.Schema):
 
 
 def _open(batches: Iterator[pa.RecordBatch], turn: int, capacity: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Pieces that open sequences, by best fit among the sequences of this task."""
-    pieces = sorted(((size, i) for batch in batches for i, size in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)), reverse=True)
-    if not pieces:
-        return
-    base = turn << 50 | TaskContext.get().partitionId() << 30
-    gaps, out, opened = Gaps(capacity), [], 0
-    for size, i in pieces:
-        found = gaps.take(size)
-        if found is None:
-            found = capacity, (base + opened, 0)
-            opened += 1
-        room, (seq, used) = found
-        out.append((PLACED, i, size, used, seq, 0, 0))
-        if room > size:
-            gaps.add(room - size, (seq, used + size))
-    out += [(GAP, seq, room, used, 0, 0, 0) for room, (seq, used) in gaps.all()]
-    yield record(schema, list(zip(*out, strict=True)))
+    """Pieces that open sequences, by best fit among those that ``OPENED`` pieces of this task open together."""
+    base, opened = turn << 50 | TaskContext.get().partitionId() << 30, 0
+    ids, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def worked(ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        nonlocal opened
+        order = np.lexsort((-ids, -sizes))
+        gaps, out = Gaps(capacity), []
+        for size, i in zip(sizes[order].tolist(), ids[order].tolist(), strict=True):
+            found = gaps.take(size)
+            if found is None:
+                found = capacity, (base + opened, 0)
+                opened += 1
+            room, (seq, used) = found
+            out.append((PLACED, i, size, used, seq, 0, 0))
+            if room > size:
+                gaps.add(room - size, (seq, used + size))
+        out += [(GAP, seq, room, used, 0, 0, 0) for room, (seq, used) in gaps.all()]
+        return record(schema, list(zip(*out, strict=True)))
+
+    for batch in batches:
+        ids = np.concatenate([ids, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)])
+        sizes = np.concatenate([sizes, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)])
+        while len(ids) >= OPENED:
+            yield worked(ids[:OPENED], sizes[:OPENED])
+            ids, sizes = ids[OPENED:], sizes[OPENED:]
+    if len(ids):
+        yield worked(ids, sizes)
 
 
 def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -211,9 +222,9 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
                 rest = gaps.filter(F.col("size") < low)
                 gaps = rest.unionByName(swept.filter((F.col("kind") == GAP) | (F.col("kind") == FREE)).select("id", "size", "used"))
                 todo = swept.filter(F.col("kind") == LEFT).select("id", "size")
-                again, left = found >= REPEAT * left, left - found
-                if again and left:
-                    continue
+                left -= found
+                if found and left:
+                    continue  # until a round places nothing
             if left:
                 opened = cut(todo.select(F.lit(LEFT).cast("byte").alias("kind"), "id", "size").mapInArrow(lambda it, turn=turn: _open(it, turn, capacity, arrow), state), "opened")
                 placed.append(opened.filter(F.col("kind") == PLACED).select("id", "seq", "used"))

@@ -83,7 +83,19 @@ def test_packing_rounds_against_best_fit(spark, monkeypatch, swept):
                 assert used == at
                 at += n
             assert at <= 2048
-        assert len(by) <= 1.02 * best_fit_decreasing(lengths.tolist(), 2048) + len(lengths) // swept
+        assert len(by) <= 1.001 * best_fit_decreasing(lengths.tolist(), 2048) + 3
+
+
+@pytest.mark.parametrize("opened", [100, 1 << 16])
+def test_packing_is_as_tight_as_best_fit_on_three_distributions(spark, monkeypatch, opened):
+    """Within 0.1 % of best-fit decreasing, however few pieces open sequences at once."""
+    monkeypatch.setattr(packing, "OPENED", opened)
+    rng = np.random.default_rng(8)
+    mixed = np.where(rng.random(12_000) < 0.5, rng.integers(600, 1_100, 12_000), rng.integers(1, 2_049, 12_000))
+    for lengths in (rng.integers(1, 2_049, 12_000), np.clip(rng.lognormal(6, 1, 12_000), 1, 2_048).astype(int), mixed):
+        df = spark.createDataFrame(list(enumerate(lengths.tolist())), "id long, length long")
+        got = packing.best_fit(df, 2048).select("seq").distinct().count()
+        assert got <= 1.001 * best_fit_decreasing(lengths.tolist(), 2048)
 
 
 def test_ranks_match_the_nearest_gap_above():
