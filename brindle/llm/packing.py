@@ -29,7 +29,7 @@ CAPACITY = 2048
 #: Shorter pieces are one class.
 SHORTEST = 64
 #: Pieces and gaps that one task sweeps (on average).
-SWEPT = 1 << 14
+SWEPT = 1 << 16
 #: Pieces for which a task opens sequences at once.
 OPENED = 1 << 16
 #: What a round says: a piece placed; a gap updated; a gap left over; a piece left over.
@@ -210,7 +210,7 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
             if gaps is not None and n_gaps:
                 items = todo.select(F.lit(False).alias("gap"), "id", "size", F.lit(0).cast("long").alias("used")).unionByName(gaps.filter(F.col("size") >= low).select(F.lit(True).alias("gap"), "id", "size", "used"))
                 tasks = max(1, -(-(left + n_gaps) // SWEPT))
-                ranged = items.repartitionByRange(tasks, F.desc("size"), F.desc("gap"), F.xxhash64("id"))
+                ranged = items.repartitionByRange(tasks, F.desc("size"), F.desc("gap"), F.xxhash64("id")) if tasks > 1 else items.repartition(1)
                 swept = cut(ranged.mapInArrow(lambda it: _sweep(it, capacity, arrow), state), "swept")
                 counts = {(r["kind"], r["part"]): r["n"] for r in swept.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows a task
                 of = lambda kind: {p: n for (k, p), n in counts.items() if k == kind}  # noqa: B023, E731
@@ -223,8 +223,8 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
                 gaps = rest.unionByName(swept.filter((F.col("kind") == GAP) | (F.col("kind") == FREE)).select("id", "size", "used"))
                 todo = swept.filter(F.col("kind") == LEFT).select("id", "size")
                 left -= found
-                if found and left:
-                    continue  # until a round places nothing
+                if found and left and tasks > 1:
+                    continue  # until a round places nothing; one task has placed all that fits
             if left:
                 opened = cut(todo.select(F.lit(LEFT).cast("byte").alias("kind"), "id", "size").mapInArrow(lambda it, turn=turn: _open(it, turn, capacity, arrow), state), "opened")
                 placed.append(opened.filter(F.col("kind") == PLACED).select("id", "seq", "used"))
