@@ -5,10 +5,12 @@ balanced bisection of a bounded sample, so lists are of like size; a vector goes
 to its nearest list and, if it lies on a boundary, to those beyond it too.
 Centroids are searched by best-first walks over an in-memory neighbour graph; a
 query reads every list whose distance is within a ratio of the nearest one's.
-The ratio is fitted: the smallest that finds ``TARGET`` of the neighbours of
-queries drawn from the sample.  Lists that turn out large (many equal vectors)
-are split, and so are the queries of a list, so no task gets a list or a crowd
-of queries of unbounded size.
+The ratio is fitted: the smallest that finds ``TARGET`` of the true neighbours,
+among all rows, of a bounded number of queries; so it narrows as the table
+grows and neighbours come nearer.  Lists are scanned by shelves of adjacent
+ones: a query goes to a shelf once and leaves it with its best.  Shelves that
+turn out large (many equal vectors) are split, and so are the queries of a
+shelf, so no task gets a crowd of vectors or of queries of unbounded size.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ SAMPLE = 20_000
 LIST, CENTROIDS = 128, 4_096
 #: Lists for one vector at most; it lies on a boundary if a list is so little farther than the nearest.
 REPLICAS, BOUNDARY = 4, 1.002
-#: Share of the neighbours that the fitted ratio finds within the sample, and queries of the fit.
-TARGET, FITTED = 0.93, 512
-#: A part of a list, and of its queries, at most on average.
+#: Share of the true neighbours that the fitted ratio finds, and queries of the fit.
+TARGET, FITTED = 0.94, 512
+#: A part of a shelf's vectors, and of its queries, at most on average.
 PART, QUERIES_PART = 8_192, 16_384
 #: Lists that one task scans together, so that a query's best of all of them leave it once.
 SHELF = 32
@@ -134,31 +136,63 @@ def _near_lists(ids: np.ndarray, d: np.ndarray, ratio: float) -> tuple[np.ndarra
     return np.nonzero(d <= ratio * ratio * d[:, :1] + 1e-12)
 
 
-def fit_ratio(graph: Graph, sample: np.ndarray, scale: float, top: float, k: int) -> tuple[float, int]:
-    """The smallest ratio that finds ``TARGET`` of the sample's own neighbours of some of its vectors.
-
-    With it, the lists within that ratio for nine of ten of them: what a search looks for first.
+def _best(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A task's best ``k`` rows for each of a few queries, of those that reach the query's floor."""
+    found, score = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2_048):
+            part = batch.slice(at, 2_048)
+            own = part.column(0).to_numpy()
+            now = q @ _matrix(part.column(1), q.shape[1]).T
+            now[(now < floor[:, None]) | (own[None, :] == ids[:, None])] = -np.inf
+            found = np.concatenate([found, np.broadcast_to(own, now.shape)], axis=1)
+            score = np.concatenate([score, now], axis=1)
+            if score.shape[1] > k:
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                found, score = np.take_along_axis(found, top, 1), np.take_along_axis(score, top, 1)
+    rows, place = np.nonzero(np.isfinite(score))
+    yield record(schema, [pa.array(rows, pa.int32()), found[rows, place], score[rows, place]])
+
+
+def true_neighbours(base: DataFrame, drawn_ids: np.ndarray, drawn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest of all rows of ``FITTED`` queries: queries, then query and vector of each pair.
+
+    The queries are the last of the sample, which holds no other order than that
+    of hashes.  A query's k-th best within the sample is a floor of its k-th
+    best of all, so tasks send little.  At most ``FITTED * k`` pairs come back.
+    """
+    spark = base.sparkSession
+    ids, q = drawn_ids[-FITTED:], drawn[-FITTED:]
+    near = q @ drawn.T
+    near[ids[:, None] == drawn_ids[None, :]] = -np.inf
+    last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.full(len(q), -np.inf)
+    floor = last - 1e-9 * (1 + np.abs(np.where(np.isfinite(last), last, 0.0)))
+    s, a = schemas([], "q int, id long, score double")
+    best = base.select("id", "v").mapInArrow(slim(lambda it: _best(it, ids, q, floor, k, a)), s).groupBy("q", "id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    pairs = best.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "id").collect()
+    wanted = spark.createDataFrame([(x,) for x in {r["id"] for r in pairs}], "id long")
+    member = {r["id"]: r["v"] for r in base.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("v").alias("v")).collect()}
+    v = np.array([member[r["id"]] for r in pairs], float).reshape(len(pairs), q.shape[1])
+    return q, np.array([r["q"] for r in pairs], np.int64), v
+
+
+def fit_ratio(graph: Graph, q: np.ndarray, asks: np.ndarray, members: np.ndarray, scale: float, top: float) -> tuple[float, int]:
+    """The smallest ratio that finds ``TARGET`` of the pairs of a query ``q[asks[i]]`` and its neighbour ``members[i]``.
+
+    With it, the lists within that ratio for nine of ten queries: what a search looks for first.
     """
-    n, lists = len(sample), len(graph.c)
-    if n < 3 or lists < 2:
+    lists = len(graph.c)
+    if not len(asks) or lists < 2:
         return 1.0, 1
-    q = sample[: min(FITTED, n)] / scale
-    score = q @ (sample / scale).T
-    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
-    take = min(k, n - 1)
-    best = np.argpartition(-score, take - 1, axis=1)[:, :take]
     every = np.broadcast_to(np.arange(lists), (1, lists))
-    far = np.sqrt(np.concatenate([graph.distances(_ask(sample[i : i + 1], scale), every) for i in range(len(q))]))
+    far = np.sqrt(np.concatenate([graph.distances(_ask(q[i : i + 1], scale), every) for i in range(len(q))]))
     far /= np.maximum(far.min(axis=1, keepdims=True), 1e-12)
-    need = np.full(best.shape, np.inf)
-    members = np.unique(best)
-    for at in range(0, len(members), 512):
-        some = members[at : at + 512]
-        ids, d = graph.search(_lift(sample[some], scale, top), REPLICAS)
+    need = np.full(len(asks), np.inf)
+    for at in range(0, len(asks), 512):
+        ids, d = graph.search(_lift(members[at : at + 512], scale, top), REPLICAS)
         rows, place = _near_lists(ids, d, BOUNDARY)
-        own = [ids[r, place[rows == r]] for r in range(len(some))]
-        for i, j in zip(*np.nonzero(np.isin(best, some)), strict=True):
-            need[i, j] = far[i, own[np.searchsorted(some, best[i, j])]].min()
+        np.minimum.at(need, at + rows, far[asks[at + rows], ids[rows, place]])
     ratio = float(np.quantile(need, TARGET, method="higher"))
     return ratio, int(np.quantile((far <= ratio).sum(axis=1), 0.9)) + 1
 
@@ -186,31 +220,55 @@ def _probe(batches: Iterator[pa.RecordBatch], graph: Graph, dim: int, scale: flo
                 use = (d <= ratio * ratio * d[:, :1] + 1e-12) | enough
                 whole = ~use[:, -1] if width < len(sizes) else np.ones(len(left), bool)
                 rows, place = np.nonzero(use & whole[:, None])
-                take = pa.array(left[rows], pa.int32())
-                yield record(schema, [pa.array(ids[rows, place], pa.int32()), part.column(0).take(take), part.column(1).take(take)])
+                asked = ids[rows, place]
+                order = np.lexsort((asked, rows))
+                rows, asked = rows[order], asked[order]
+                shelf = asked // SHELF
+                first_of = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (shelf[1:] != shelf[:-1]))[: len(rows)])
+                take = pa.array(left[rows[first_of]], pa.int32())
+                several = pa.ListArray.from_arrays(pa.array(np.append(first_of, len(rows)), pa.int32()), pa.array(asked, pa.int32()))
+                yield record(schema, [pa.array(shelf[first_of], pa.int32()), several.cast(schema.field(1).type), part.column(0).take(take), part.column(1).take(take)])
                 left, width = left[~whole], min(2 * width, len(sizes))
 
 
-def nearest(queries: tuple[np.ndarray, np.ndarray], vectors: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` largest inner products of each query, ties to the smaller id; equal vectors score equally."""
-    qi, q = queries
-    vi, v = vectors
-    order = np.argsort(vi, kind="stable")
-    vi, v = vi[order], v[order]
+def nearest(queries: tuple[np.ndarray, np.ndarray, list[np.ndarray]], vectors: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` largest inner products of each query in the lists it asks, ties to the smaller id; equal vectors score equally.
+
+    Queries are ``(ids, vectors, lists asked)``, vectors ``(ids, vectors, list)``.
+    A vector may be in several lists and an id may be repeated: each id counts once.
+    """
+    qi, q, asked = queries
+    vi, v, vl = vectors
+    order = np.lexsort((vi, vl))
+    vi, v, vl = vi[order], v[order], vl[order]
+    lists, first = np.unique(vl, return_index=True)
+    edges = np.append(first, len(vl))
     out = []
     for at in range(0, len(q), 256):
-        rough = q[at : at + 256] @ v.T
+        some = asked[at : at + 256]
+        row = np.repeat(np.arange(len(some)), [len(x) for x in some])
+        each = np.concatenate(some)
+        rough = np.full((len(some), len(vl)), -np.inf)
+        for n, (a, b) in zip(lists, zip(edges, edges[1:], strict=False), strict=True):
+            rows = row[each == n]
+            rough[rows, a:b] = q[at + rows] @ v[a:b].T
+        rough[vi[None, :] == qi[at : at + 256, None]] = -np.inf
         for i, scores in enumerate(rough, at):
-            ok = np.flatnonzero(vi != qi[i])
-            if not len(ok):
-                continue
-            s = scores[ok]
-            if len(s) > k:
-                floor = np.partition(s, len(s) - k)[len(s) - k]
-                ok = ok[s >= floor - 1e-9 * (1 + abs(floor))]
-            exact = (v[ok] * q[i]).sum(axis=1)  # row by row, so the sum's order is the same for equal rows
-            first = np.lexsort((vi[ok], -exact))[:k]
-            out.append((np.full(len(first), qi[i]), vi[ok][first], exact[first]))
+            ok = np.flatnonzero(scores > -np.inf)
+            take = k * REPLICAS
+            while len(ok):
+                s, several = scores[ok], ok
+                if len(ok) > take:
+                    floor = np.partition(s, len(s) - take)[len(s) - take]
+                    several = ok[s >= floor - 1e-9 * (1 + abs(floor))]
+                exact = (v[several] * q[i]).sum(axis=1)  # row by row, so the sum's order is the same for equal rows
+                best = np.lexsort((vi[several], -exact))
+                _, once = np.unique(vi[several][best], return_index=True)
+                if len(once) >= k or len(several) == len(ok):
+                    best = best[np.sort(once)[:k]]
+                    out.append((np.full(len(best), qi[i]), vi[several][best], exact[best]))
+                    break
+                take *= 4
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -241,47 +299,41 @@ def ann_search(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("array_max(transform(v, x -> abs(double(x))))")).alias("scale")).first()
     n, scale = stats["n"], float(stats["scale"])
     top = float(base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x.cast("double") / scale) * (x.cast("double") / scale)))).first()[0])
-    drawn = np.array([r["v"] for r in base.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], float)
+    sampled = base.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").collect()
+    drawn_ids, drawn = np.array([r["id"] for r in sampled], np.int64), np.array([r["v"] for r in sampled], float)
     lists = int(min(max(1, -(-n // LIST)), CENTROIDS, max(1, len(drawn) // 4)))
     graph = Graph(bisect(_lift(drawn, scale, top), lists))
-    ratio, first = fit_ratio(graph, drawn, scale, top, k)
+    ratio, first = fit_ratio(graph, *true_neighbours(base, drawn_ids, drawn, k), scale, top)
     kind = base.schema["v"].dataType.simpleString()
     s1, a1 = schemas([], f"list int, id long, v {kind}")
     posted = cut(base.select("id", "v").mapInArrow(slim(lambda it: _assign(it, graph, dim, scale, top, a1)), s1), "posted")
     sizes = np.zeros(len(graph.c), np.int64)
     for r in posted.groupBy("list").count().collect():  # one row per centroid
         sizes[r["list"]] = r["count"]
-    asked = cut(base.filter(F.col("id") % every == 0).mapInArrow(slim(lambda it: _probe(it, graph, dim, scale, ratio, first, sizes, 8 * k * REPLICAS, a1)), s1), "asked")
-    crowd = np.zeros(len(graph.c), np.int64)
-    for r in asked.groupBy("list").count().collect():
-        crowd[r["list"]] = r["count"]
     shelves = -(-len(sizes) // SHELF)
-    per_shelf = lambda x: np.add.reduceat(np.append(x, np.zeros(shelves * SHELF - len(x), np.int64)), np.arange(0, shelves * SHELF, SHELF))
-    parts, crowds = -(-per_shelf(sizes) // PART), -(-per_shelf(crowd) // QUERIES_PART)
+    s4, a4 = schemas([], f"shelf int, lists array<int>, id long, v {kind}")
+    asked = cut(base.filter(F.col("id") % every == 0).mapInArrow(slim(lambda it: _probe(it, graph, dim, scale, ratio, first, sizes, 8 * k * REPLICAS, a4)), s4), "asked")
+    crowd = np.zeros(shelves, np.int64)
+    for r in asked.groupBy("shelf").count().collect():  # one row per shelf
+        crowd[r["shelf"]] = r["count"]
+    stock = np.add.reduceat(sizes, np.arange(0, len(sizes), SHELF))
+    parts, crowds = -(-stock // PART), -(-crowd // QUERIES_PART)
     shelf = F.floor(F.col("list") / SHELF).cast("int")
     of = lambda values: F.element_at(F.array(*[F.lit(int(max(1, x))) for x in values]), shelf + 1) if len(set(values.tolist()) | {1}) > 1 else F.lit(1)
     left = posted.select(shelf.alias("shelf"), "list", "id", "v", F.pmod(F.xxhash64("id"), of(parts)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), (of(crowds) - 1).cast("int"))).alias("c"))
-    right = asked.select(shelf.alias("shelf"), "list", "id", "v", F.explode(F.sequence(F.lit(0), (of(parts) - 1).cast("int"))).alias("p"), F.pmod(F.xxhash64("id"), of(crowds)).cast("int").alias("c"))
+    asks = asked.withColumn("list", F.col("shelf") * SHELF)
+    right = asks.select("shelf", "lists", "id", "v", F.explode(F.sequence(F.lit(0), (of(parts) - 1).cast("int"))).alias("p"), F.pmod(F.xxhash64("id"), of(crowds)).cast("int").alias("c"))
     s2, a2 = schemas([], "query_id long, vec_id long, score double")
 
     def scan(vectors_: pa.Table, queries: pa.Table) -> pa.Table:
         """Each query's best of the lists it asked here."""
         if not vectors_.num_rows or not queries.num_rows:
             return a2.empty_table()
-        get = lambda t: (t.column("list").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("v").combine_chunks(), dim))
-        (vl, vi, v), (ql, qi, q) = get(vectors_), get(queries)
-        several = [nearest((qi[ql == n], q[ql == n]), (vi[vl == n], v[vl == n]), k) for n in np.intersect1d(vl, ql)]
-        if not several:
-            return a2.empty_table()
-        query, vec, score = (np.concatenate(x) for x in zip(*several, strict=True))
-        order = np.lexsort((vec, -score, query))
-        query, vec, score = query[order], vec[order], score[order]
-        new = np.ones(len(query), bool)  # a vector may be in several lists
-        new[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1]) | (score[1:] != score[:-1])
-        query, vec, score = query[new], vec[new], score[new]
-        rank = np.arange(len(query)) - np.searchsorted(query, query)
-        top = rank < k
-        return pa.Table.from_arrays([pa.array(x[top]) for x in (query, vec, score)], schema=a2)
+        several = queries.column("lists").combine_chunks()
+        asked_ = np.split(several.flatten().to_numpy(), np.cumsum(several.value_lengths().to_numpy())[:-1])
+        get = lambda t: (t.column("id").to_numpy(), _matrix(t.column("v").combine_chunks(), dim))
+        best = nearest((*get(queries), asked_), (*get(vectors_), vectors_.column("list").to_numpy()), k)
+        return pa.Table.from_arrays([pa.array(x) for x in best], schema=a2)
 
     keys = ["shelf", "p", "c"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, s2)
