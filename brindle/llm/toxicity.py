@@ -31,6 +31,10 @@ CUT_AT = 0.7
 REMEMBERED = 150_000
 #: What a sign may stand for (fixed values).
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
+#: Letters of other alphabets that look like Latin ones (fixed values); read so in words that also hold Latin letters.
+ALIKE = str.maketrans({"а": "a", "в": "b", "е": "e", "и": "u", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "п": "n", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w"})
+#: Full-width forms of the printable ASCII characters, read so anywhere.
+WIDE = {0xFEE0 + c: c for c in range(33, 127)}
 #: Channel costs: reading a sign as a letter, keeping a sign as it is, dropping one, dropping a drawn-out letter.
 READ, KEEP, DROP, SHORTEN = 1.0, 2.5, 3.0, 0.3
 #: At a word's ends: dropping a mark of punctuation, a sign of a run of three or more.
@@ -59,6 +63,14 @@ def _codes() -> np.ndarray:
 _CODES = _codes()
 
 
+def latin(word: str) -> str:
+    """A lower-case word with look-alikes of other alphabets as Latin letters; words of one such alphabet stay."""
+    if word.isascii():
+        return word
+    word = word.translate(WIDE).lower()
+    return word.translate(ALIKE) if any("a" <= c <= "z" for c in word) else word
+
+
 def _code(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if ord(c) > 127 else 0
 
@@ -151,6 +163,7 @@ class Channel:
 
     def clear(self, word: str) -> str:
         """A lower-case word as it was meant, words with spaces between; a plain word comes back unchanged."""
+        word = latin(word)
         if word.isalpha() and not _DRAWN.search(word):
             return word
         core = _CORE.match(word)
@@ -161,7 +174,7 @@ class Channel:
 
     def join(self, spaced: str) -> str:
         """Single characters with white space between them, as words."""
-        return " ".join(self.decode(self.arcs(" ".join(spaced.split()), True)).split())
+        return " ".join(self.decode(self.arcs(latin(" ".join(spaced.split())), True)).split())
 
 
 def words_of(data: bytes, channel: Channel, memory: dict[bytes, str]) -> set[str]:

@@ -76,6 +76,12 @@ def test_restoring(word, want):
     assert channel().clear(word) == want
 
 
+@pytest.mark.parametrize("word,want", [("idi\u043et", "idiot"), ("\u0455tup1d", "stupid"), ("\uff49\uff44\uff49\uff4f\uff54", "idiot"), ("m\u043er\u03bfn", "moron"), ("caf\u00e9", "caf\u00e9"), ("\u0440\u043e\u0442", "\u0440\u043e\u0442")])
+def test_look_alikes_of_other_alphabets(word, want):
+    """Read as Latin letters beside Latin letters; a word of one other alphabet stays."""
+    assert channel().clear(word) == want
+
+
 def test_spaced_letters():
     assert {"idiot", "you"} <= toxicity.words_of("you i d i o t there".encode(), channel(), {})
 
