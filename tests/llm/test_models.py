@@ -84,6 +84,7 @@ def test_look_alikes_of_other_alphabets(word, want):
 
 def test_spaced_letters():
     assert {"idiot", "you"} <= toxicity.words_of("you i d i o t there".encode(), channel(), {})
+    assert "idiot" in toxicity.words_of("you i d i \u043e t there".encode(), channel(), {})
 
 
 def vectors(spark, rows):
