@@ -1,10 +1,11 @@
 """Toxicity by noisy-channel deobfuscation and a linear model over restored words.
 
-A character trigram model is counted over the whole corpus.  What may be
-disguised becomes a lattice: a look-alike sign stands for a letter, for itself
+A character model of order four, backing off to shorter ones, is counted over
+the whole corpus; digits are a symbol of it.  What may be disguised becomes a
+lattice: a look-alike sign stands for a letter, for itself
 or for nothing, a drawn-out letter is kept or dropped, and the space between
 single letters is kept or dropped, so that the decoder says where words end.
-Viterbi decoding under the trigram model restores the text; plain words have one
+Viterbi decoding under the character model restores the text; plain words have one
 path only and stay as they are.  A logistic model over restored words and word
 beginnings gives the score.
 """
@@ -12,7 +13,7 @@ beginnings gives the score.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm._shared import as_bytes, cut, forget, held_out, record, schemas, slim, table
+from brindle.llm._shared import as_bytes, chunks, cut, forget, held_out, record, schemas, slim, table
 
 #: Labelled rows of each label that the fit uses at most (those with the smallest hashes of their ids).
 SAMPLE = 4_000
@@ -35,13 +36,18 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
 ALIKE = str.maketrans({"а": "a", "в": "b", "е": "e", "и": "u", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "п": "n", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w"})
 #: Full-width forms of the printable ASCII characters, read so anywhere.
 WIDE = {0xFEE0 + c: c for c in range(33, 127)}
-#: Channel costs: reading a sign as a letter, keeping a sign as it is, dropping one, dropping a drawn-out letter.
-READ, KEEP, DROP, SHORTEN = 1.0, 2.5, 3.0, 0.3
+#: Channel costs: reading a sign as a letter, keeping a digit (one of ten that the model has as one symbol), dropping a sign, dropping a drawn-out letter.
+READ, KEEP, DROP, SHORTEN = 1.0, 2.3, 3.0, 0.3
 #: At a word's ends: dropping a mark of punctuation, a sign of a run of three or more.
 MARK, RUN = 0.2, 0.05
 #: Between single letters: dropping the space, keeping it.
-CLOSE, SPACE = 0.3, 0.0
-_N = 28
+CLOSE, SPACE = 0.0, 0.0
+#: Symbols of the character model: all else, letters, other alphabets, digits.
+_N, OTHER, DIGIT = 29, 27, 28
+#: Characters that the model looks at, the next one included.
+ORDER = 4
+#: Weight of the shorter model, in occurrences of a context.
+BACK_OFF = 5.0
 _MARKS = frozenset("!|(*+¡")
 _CHAR = rb"(?:[!-~]|[\xc2-\xf4][\x80-\xbf]+)"
 #: Single characters with white space between them, three at least.
@@ -49,6 +55,8 @@ _SPACED = re.compile(rb"(?<!\S)" + _CHAR + rb"(?:[ \t]+" + _CHAR + rb"){2,}(?!\S
 #: Single characters with one separator between them.
 _INNER = re.compile(r"^[^\W_](?:[._*-][^\W_])+[._*-][^\W_]$")
 _CORE = re.compile(r"^([^\w]*)([^\W\d_]{2,})([^\w]*)$")
+#: A number, with signs around it.
+_NUMBER = re.compile(r"^[^\w]*(\d+)[^\w]*$")
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -56,7 +64,8 @@ def _codes() -> np.ndarray:
     out = np.zeros(256, np.int32)
     for b in range(26):
         out[97 + b] = out[65 + b] = b + 1
-    out[128:] = 27
+    out[48:58] = DIGIT
+    out[128:] = OTHER
     return out
 
 
@@ -72,29 +81,42 @@ def latin(word: str) -> str:
 
 
 def _code(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27 if ord(c) > 127 else 0
+    return ord(c) - 96 if "a" <= c <= "z" else DIGIT if "0" <= c <= "9" else OTHER if ord(c) > 127 else 0
+
+
+def grams(data: bytes) -> np.ndarray:
+    """Every run of ``ORDER`` symbols of a text, as a number of base ``_N``; its borders are spaces."""
+    c = np.frombuffer(data, np.uint8)
+    c = _CODES[c[(c & 0xC0) != 0x80]]  # one symbol a character
+    c = np.concatenate([np.zeros(ORDER - 1, np.int32), c, np.zeros(1, np.int32)])
+    n = len(c) - ORDER + 1
+    runs = np.zeros(n, np.int32)
+    for i in range(ORDER):
+        runs = runs * _N + c[i : i + n]
+    return runs
 
 
 def _count(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(_N**3, np.int64)
+    total = np.zeros(_N**ORDER, np.int64)
     for batch in batches:
-        for scalar in batch.column(0):
-            c = _CODES[np.frombuffer(scalar.as_buffer(), np.uint8)]
-            c = np.concatenate([[0, 0], c, [0]])
-            total += np.bincount((c[:-2] * _N + c[1:-1]) * _N + c[2:], minlength=_N**3)
+        for first, last in chunks(batch, batch.schema.names[0]):
+            texts = batch.column(0).slice(first, last - first).to_pylist()
+            total += np.bincount(np.concatenate([grams(x) for x in texts]), minlength=len(total))
     seen = np.flatnonzero(total)
     yield record(schema, [seen, total[seen]])
 
 
 class Channel:
-    """Restores disguised words under a character trigram model."""
+    """Restores disguised words under a character model."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        grid = counts.reshape(_N, _N, _N).astype(float)
-        back = grid.sum(axis=0, keepdims=True) + 0.5
-        back = back / back.sum(axis=2, keepdims=True)
-        self.cost = (-np.log((grid + 5 * back) / (grid.sum(axis=2, keepdims=True) + 5))).tolist()
-
+        grid = counts.reshape((_N,) * ORDER).astype(float)
+        back = np.full(_N, 1 / _N)
+        for seen in range(ORDER):  # models of 0 to ORDER - 1 known characters
+            of = grid.sum(axis=tuple(range(ORDER - 1 - seen)))
+            back = (of + BACK_OFF * back) / (of.sum(axis=-1, keepdims=True) + BACK_OFF)
+        #: Cost of a symbol behind ``ORDER - 1`` others, all as digits of one number of base ``_N``.
+        self.cost = array("d", -np.log(back).ravel())
         self.parts: dict[tuple[str, str, str], str] = {}
 
     def arcs(self, text: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
@@ -123,22 +145,23 @@ class Channel:
                 out.append([("", 0.0)])
         return out
 
-    def decode(self, arcs: list[list[tuple[str, float]]], a: int = 0, b: int = 0, then: str = " ") -> str:
-        """The cheapest path between context ``a, b`` and the text ``then``: Viterbi over pairs of restored characters."""
-        best: dict[tuple[int, int], tuple[float, tuple]] = {(a, b): (0.0, ())}
+    def decode(self, arcs: list[list[tuple[str, float]]], known: str = "", then: str = " ") -> str:
+        """The cheapest path between the letters ``known`` and the text ``then``: Viterbi over the last restored characters."""
+        context, base = 0, _N ** (ORDER - 1)
+        for c in known:
+            context = (context * _N + _code(c)) % base
+        best: dict[int, tuple[float, tuple]] = {context: (0.0, ())}
         for options in [*arcs, *[[(c, 0.0)] for c in then]]:
-            new: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for (a, b), (cost, text) in best.items():
+            new: dict[int, tuple[float, tuple]] = {}
+            for context, (cost, text) in best.items():
                 for c, price in options:
-                    if c.isdigit():  # outside the model: a word before it ends
-                        state, value = (0, 0), cost + price + (self.cost[a][b][0] if b else 0.0)
-                    elif c:
-                        k = _code(c)
-                        state, value = (b, k), cost + price + self.cost[a][b][k]
+                    if c:
+                        run = context * _N + _code(c)
+                        state, value, to = run % base, cost + price + self.cost[run], (text, c)
                     else:
-                        state, value = (a, b), cost + price
+                        state, value, to = context, cost + price, text
                     if state not in new or value < new[state][0]:
-                        new[state] = (value, (text, c) if c else text)
+                        new[state] = (value, to)
             best = new
         _, _, text = min((cost, i, text) for i, (cost, text) in enumerate(best.values()))
         letters: list[str] = []
@@ -148,28 +171,30 @@ class Channel:
         return "".join(reversed(letters))[: len(letters) - len(then)]
 
     def part(self, signs: str, before: str, then: str) -> str:
-        """Signs between known letters: two letters are all that the model sees of a side."""
+        """Signs between known letters; ``ORDER - 1`` letters are all that the model sees of a side."""
         if not signs:
             return ""
         key = signs, before, then
         if key not in self.parts:
             if len(self.parts) >= REMEMBERED:
                 self.parts.clear()
-            a, b = (_code(c) for c in (before or "  "))
             whole = self.arcs(("xx" if before else "") + signs + ("xx" if then.strip() else ""))
             start = 2 if before else 0
-            self.parts[key] = self.decode(whole[start : start + len(signs)], a, b, then)
+            self.parts[key] = self.decode(whole[start : start + len(signs)], before, then)
         return self.parts[key]
 
     def clear(self, word: str) -> str:
-        """A lower-case word as it was meant, words with spaces between; a plain word comes back unchanged."""
+        """A lower-case word as it was meant, words with spaces between; a plain word comes back unchanged, a number without the signs around it."""
         word = latin(word)
         if word.isalpha() and not _DRAWN.search(word):
             return word
+        if number := _NUMBER.match(word):
+            return number[1]
         core = _CORE.match(word)
         if core and not _DRAWN.search(core[2]):
             head, letters, tail = core.groups()
-            return self.part(head, "", letters[:2]) + letters + self.part(tail, letters[-2:], " ")
+            sides = self.part(head, "", letters[: ORDER - 1]), self.part(tail, (" " + letters)[1 - ORDER :], " ")
+            return sides[0] + letters + sides[1]
         return " ".join(self.decode(self.arcs(word, bool(_INNER.match(word)))).split())
 
     def join(self, spaced: str) -> str:
@@ -273,7 +298,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     """
     text_bytes = as_bytes(f"`{text}`").alias("text")
     s1, a1 = schemas([], "gram int, n long")
-    counts = np.zeros(_N**3)
+    counts = np.zeros(_N**ORDER)
     for r in docs.select(text_bytes).mapInArrow(slim(lambda it: _count(it, a1)), s1).groupBy("gram").agg(F.sum("n").alias("n")).collect():
         counts[r["gram"]] = r["n"]
     channel = Channel(counts)

@@ -64,14 +64,11 @@ def test_toxicity_scores(spark):
 
 
 def channel():
-    counts = np.ones(28**3)
     text = b" the idiot is stupid and the moron is a loser but this is a nice day for all of us " * 50
-    c = np.concatenate([[0, 0], toxicity._CODES[np.frombuffer(text, np.uint8)]])
-    counts += np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3)
-    return toxicity.Channel(counts)
+    return toxicity.Channel(1 / 28 + np.bincount(toxicity.grams(text), minlength=toxicity._N**toxicity.ORDER))
 
 
-@pytest.mark.parametrize("word,want", [("1d10t", "idiot"), ("st*pid", "stupid"), ("m0r0n!", "moron"), ("i-d-i-o-t", "idiot"), ("looooser", "loser"), ("$tupid", "stupid"), ("plain,", "plain"), ("the$$$", "the"), ("", ""), ("###", ""), ("é", "é"), ("42", "42")])
+@pytest.mark.parametrize("word,want", [("1d10t", "idiot"), ("st*pid", "stupid"), ("m0r0n!", "moron"), ("i-d-i-o-t", "idiot"), ("looooser", "loser"), ("$tupid", "stupid"), ("plain,", "plain"), ("the$$$", "the"), ("", ""), ("###", ""), ("é", "é"), ("42", "42"), ("idi*t", "idiot"), ("1diot", "idiot"), ("(42)", "42")])
 def test_restoring(word, want):
     assert channel().clear(word) == want
 
@@ -87,6 +84,15 @@ def test_spaced_letters():
     assert "idiot" in toxicity.words_of("you i d i \u043e t there".encode(), channel(), {})
 
 
+@have
+def test_restoring_under_a_model_of_the_corpus(spark):
+    texts = [r["text"].encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    model = toxicity.Channel(sum(np.bincount(toxicity.grams(x), minlength=29**4) for x in texts))
+    want = {"1d10t": "idiot", "idi*t": "idiot", "l33t": "leet", "m0r0n": "moron", "p4th3tic": "pathetic", "lo$er": "loser", "w0rthl3ss": "worthless"}
+    assert {word: model.clear(word) for word in want} == want
+    assert model.join("y o u a r e") == "you are" and model.join("i d i o t") == "idiot"
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, list int, v string")
 
@@ -174,17 +180,13 @@ def brute_decode(model, arcs, then=" "):
     """Every path, by definition."""
     best = None
     for path in itertools.product(*arcs, *[[(c, 0.0)] for c in then]):
-        a = b = 0
-        cost, text = 0.0, ""
+        cost, text, before = 0.0, "", [0, 0, 0]
         for c, price in path:
             cost += price
-            if c.isdigit():
-                cost += model.cost[a][b][0] if b else 0.0
-                a, b, text = 0, 0, text + c
-            elif c:
-                k = toxicity._code(c)
-                cost += model.cost[a][b][k]
-                a, b, text = b, k, text + c
+            if c:
+                before.append(toxicity._code(c))
+                cost += model.cost[sum(k * 29**i for i, k in enumerate(before[: -5 : -1]))]
+                text += c
         if best is None or cost < best[0] - 1e-9:
             best = cost, {text}
         elif cost < best[0] + 1e-9:
