@@ -21,8 +21,9 @@ from brindle.llm._windows import join, word_edges, word_keys, word_parts
 
 #: Words a worker remembers; past it the memory starts anew.
 REMEMBERED = 1 << 19
-#: Plain words: Latin letters, digits and ASCII punctuation but for the apostrophe, which has a rule of its own.
-_UNITS = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Plain words: Latin letters whose lower case is one of them too (from U+0180 on some have theirs elsewhere), digits
+#: and ASCII punctuation but for the apostrophe, which has a rule of its own.
+_UNITS = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ſ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 _PLAIN = re.compile(rf"(?:{_UNITS.pattern})+")
 _NEVER = np.int64(1) << 62
 
@@ -317,7 +318,8 @@ class WordIds:
         """Words of up to some MB of text: where they begin, their ids in turn, and how many each has."""
         raw = np.frombuffer(data, np.uint8)
         starts, ends = word_edges(raw)
-        return starts, *self.words.read(self._entries(data, raw, starts, ends))
+        entries = self._entries(data, raw, starts, ends)  # may put a new memory in the old one's place
+        return starts, *self.words.read(entries)
 
     def texts(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""

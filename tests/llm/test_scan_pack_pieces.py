@@ -119,6 +119,26 @@ def test_word_ids_are_the_librarys():
     assert len(long.encode()) > 1 << 20 and model.texts([long.encode(), b"a b"])[0].tolist() == model.tokenizer.encode(long, add_special_tokens=False).ids
 
 
+def test_word_ids_of_every_latin_letter():
+    """Letters whose lower case lies elsewhere (U+0181, U+023A) are not lost."""
+    from brindle.llm.word_bpe import WordIds
+
+    model = WordIds(packing.default_vocabulary())
+    texts = [f.format(chr(c)) for c in range(0x21, 0x300) for f in ("{}", "a{}b", "over sixteen bytes{}x1", "x {} y")]
+    assert [x.tolist() for x in model.texts([t.encode() for t in texts])] == [model.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_ids_when_the_memory_starts_anew(monkeypatch):
+    """Ids come from the memory that their words are in, not from the one before it."""
+    from brindle.llm import word_bpe
+
+    monkeypatch.setattr(word_bpe, "REMEMBERED", 64)
+    model = word_bpe.WordIds(packing.default_vocabulary())
+    for n in range(6):
+        texts = [" ".join(f"w{n}x{i}y{j}" + "longer than sixteen" * (j % 5 == 0) for j in range(10)) for i in range(4)]
+        assert [x.tolist() for x in model.texts([t.encode() for t in texts])] == [model.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
