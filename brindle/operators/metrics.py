@@ -68,17 +68,17 @@ def _labels(points: DataFrame, labels: Sequence[str]) -> list[np.ndarray]:
     return [np.array(sorted(r["c"] for r in rows if r["i"] == i), np.int64) for i in range(len(labels))]
 
 
-def _cells(points: DataFrame, x: str, labels: Sequence[str], ids: Sequence[np.ndarray]) -> tuple[DataFrame, np.ndarray]:
-    """``x`` and the places of each row's clusters when all labellings' clusters stand one after the other."""
+def _cells(points: DataFrame, x: str, labels: Sequence[str], ids: Sequence[np.ndarray], weight: str | None = None) -> tuple[DataFrame, np.ndarray]:
+    """``x``, the places of each row's clusters when all labellings' clusters stand one after the other, and its weight ``n``."""
     base = np.cumsum([0, *[len(i) for i in ids]])
     place = [F.array_position(F.array(*[F.lit(int(v)) for v in own]), F.col(f"`{c}`").cast("long")) - 1 + int(base[i]) if len(own) else F.lit(None).cast("long") for i, (c, own) in enumerate(zip(labels, ids, strict=True))]
-    return points.select(F.col(f"`{x}`").alias("x"), F.array(*[p.cast("int") for p in place]).alias("c")), base
+    return points.select(F.col(f"`{x}`").alias("x"), F.array(*[p.cast("int") for p in place]).alias("c"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("n")), base
 
 
-def summaries(points: DataFrame, labels: Sequence[str], x: str = "x") -> list[Summary]:
-    """Sizes, means and spreads of the clusters of several labellings, all of them in the same passes."""
+def summaries(points: DataFrame, labels: Sequence[str], x: str = "x", weight: str | None = None) -> list[Summary]:
+    """Sizes, means and spreads of the clusters of several labellings, all of them in the same passes; ``weight``: rows of a point."""
     ids = _labels(points, labels)
-    rows, base = _cells(points, x, labels, ids)
+    rows, base = _cells(points, x, labels, ids, weight)
     k = int(base[-1])
     first = rows.select(F.size("x")).first()
     p = first[0] if first else 0
@@ -90,19 +90,19 @@ def summaries(points: DataFrame, labels: Sequence[str], x: str = "x") -> list[Su
 
     def totals(batches):
         size, total = np.zeros(k), np.zeros((k, p))
-        for v, c in _points(batches, p):
+        for v, c, w in _points(batches, p):
             for own in c.T:
-                size += np.bincount(own, minlength=k)
-                np.add.at(total, own, v)
+                size += np.bincount(own, w, minlength=k)
+                np.add.at(total, own, v * w[:, None])
         yield pa.RecordBatch.from_pydict({"c": np.arange(k, dtype=np.int32), "n": size, "v": list(total)})
 
     def spreads(batches):
         out = np.zeros((k, 2))
-        for v, c in _points(batches, p):
+        for v, c, w in _points(batches, p):
             for own in c.T:
                 far = ((v - means[own]) ** 2).sum(axis=1)
-                out[:, 0] += np.bincount(own, far, minlength=k)
-                out[:, 1] += np.bincount(own, np.sqrt(far), minlength=k)
+                out[:, 0] += np.bincount(own, far * w, minlength=k)
+                out[:, 1] += np.bincount(own, np.sqrt(far) * w, minlength=k)
         yield pa.RecordBatch.from_pydict({"c": np.arange(k, dtype=np.int32), "n": np.zeros(k), "v": list(out)})
 
     if k:
@@ -113,10 +113,10 @@ def summaries(points: DataFrame, labels: Sequence[str], x: str = "x") -> list[Su
     return [Summary(own, n[a:z], means[a:z], square[a:z], distance[a:z]) for own, a, z in zip(ids, base, base[1:], strict=False)]
 
 
-def _points(batches: Iterator[pa.RecordBatch], p: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _points(batches: Iterator[pa.RecordBatch], p: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         if batch.num_rows:
-            yield _matrix(batch.column(0), p), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, -1)
+            yield _matrix(batch.column(0), p), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, -1), batch.column(2).to_numpy(zero_copy_only=False).astype(float)
 
 
 def inertia(points: DataFrame, x: str = "x", cluster: str = "cluster") -> float:
@@ -143,7 +143,7 @@ def distances(a: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def _silhouettes(points: DataFrame, labels: Sequence[str], x: str, ids: Sequence[np.ndarray]) -> DataFrame:
+def _silhouettes(points: DataFrame, labels: Sequence[str], x: str, ids: Sequence[np.ndarray], weight: str | None = None) -> DataFrame:
     """``n, c, v``: different points with their number of rows, places of their clusters and silhouettes, by labelling.
 
     Points are dealt to groups, and each pair of groups is a cell with one matrix
@@ -151,10 +151,10 @@ def _silhouettes(points: DataFrame, labels: Sequence[str], x: str, ids: Sequence
     its row and column: with G groups there are G (G + 1) / 2 cells and a point
     travels to G of them.  Only sums of distances by cluster leave a cell.
     """
-    rows, base = _cells(points, x, labels, ids)
+    rows, base = _cells(points, x, labels, ids, weight)
     k = int(base[-1])
     # Equal points of equal clusters are one point with a weight, so a crowd of them is one row.
-    made = written(rows.groupBy("x", "c").agg(F.count(F.lit(1)).alias("n")), "points")
+    made = written(rows.groupBy("x", "c").agg(F.sum("n").alias("n")), "points")
     groups = max(1, -(-made.count() // GROUP))
     packed = made.withColumn("g", F.pmod(F.xxhash64("x", "c"), F.lit(groups)).cast("int")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("x", "c", "n"))).alias("v"))
     cells = packed.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "v")
@@ -204,17 +204,17 @@ def _silhouettes(points: DataFrame, labels: Sequence[str], x: str, ids: Sequence
     return sums.select("n", "c", "s").mapInArrow(values, "n long, c array<int>, v array<double>")
 
 
-def silhouettes(points: DataFrame, labels: Sequence[str], x: str = "x") -> list[float]:
+def silhouettes(points: DataFrame, labels: Sequence[str], x: str = "x", weight: str | None = None) -> list[float]:
     """Exact mean silhouette of each of several labellings of the same points, from the same distances.
 
     NaN for under two clusters or as many clusters as points.
     """
     ids = _labels(points, labels)
-    total = points.count()
+    total = points.count() if weight is None else points.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     some = [i for i, own in enumerate(ids) if 2 <= len(own) < total]
     out = [math.nan] * len(labels)
     if some:
-        found = _silhouettes(points, [labels[i] for i in some], x, [ids[i] for i in some])
+        found = _silhouettes(points, [labels[i] for i in some], x, [ids[i] for i in some], weight)
         row = found.agg(*[(F.sum(F.col("n") * F.col("v")[j]) / F.sum("n")).alias(str(j)) for j in range(len(some))]).first()
         for j, i in enumerate(some):
             out[i] = float(row[j])
@@ -240,9 +240,9 @@ def silhouette(points: DataFrame, x: str = "x", cluster: str = "cluster") -> flo
     return silhouettes(points, [cluster], x)[0]
 
 
-def centroid_silhouette(points: DataFrame, x: str = "x", cluster: str = "cluster") -> float:
+def centroid_silhouette(points: DataFrame, x: str = "x", cluster: str = "cluster", weight: str | None = None) -> float:
     """An approximation in one pass, for large tables: distances to cluster means instead of to points."""
-    found = summaries(points, [cluster], x)[0]
+    found = summaries(points, [cluster], x, weight)[0]
     ids, centres = found.ids, found.means
     if len(ids) < 2:
         return math.nan
@@ -258,6 +258,7 @@ def centroid_silhouette(points: DataFrame, x: str = "x", cluster: str = "cluster
             d[np.arange(len(d)), own] = np.inf
             b = d.min(axis=1)
             top = np.maximum(a, b)
-            yield pa.RecordBatch.from_pydict({"s": np.divide(b - a, top, out=np.zeros(len(a)), where=top > 0)})
+            yield pa.RecordBatch.from_pydict({"s": np.divide(b - a, top, out=np.zeros(len(a)), where=top > 0), "n": batch.column(2)})
 
-    return float(points.select(x, cluster).mapInArrow(run, "s double").agg(F.avg("s")).first()[0])
+    n = (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("n")
+    return float(points.select(x, cluster, n).mapInArrow(run, "s double, n long").agg(F.sum(F.col("s") * F.col("n")) / F.sum("n")).first()[0])

@@ -192,18 +192,20 @@ def run_analysis(df: DataFrame, out: str) -> Analysis:
 def evaluate_grid(points: DataFrame, representation: str, ks=kmeans.K_RANGE, n_init: int = kmeans.N_INIT, exact: bool = True) -> tuple[list[tuple], dict[int, kmeans.Clustering]]:
     """One row of metrics per k, and the clusterings.
 
-    All k share the passes of the fit and of the metrics.  The exact silhouette
+    All k share the passes of the fit and of the metrics, over different points with
+    their numbers of rows.  The exact silhouette
     is quadratic; without ``exact`` it is the one by distances to the means.
     """
     ks = list(ks)
-    models = kmeans.fit_grid(points, ks, n_init)
-    labelled = points.select("x")
-    for k in ks:
-        labelled = kmeans.assign(labelled, models[k].centres).withColumnRenamed("cluster", f"k{k}").drop("distance_to_centroid", "membership_score")
-    with kmeans.kept(labelled) as labelled:
-        names = [f"k{k}" for k in ks]
-        found = metrics.summaries(labelled, names)
-        near = metrics.silhouettes(labelled, names) if exact else [metrics.centroid_silhouette(labelled, cluster=c) for c in names]
+    with kmeans.kept(kmeans.weighted(points)) as crowds:
+        models = kmeans.fit_grid(crowds, ks, n_init, weight="n")
+        labelled = crowds
+        for k in ks:
+            labelled = kmeans.assign(labelled, models[k].centres).withColumnRenamed("cluster", f"k{k}").drop("distance_to_centroid", "membership_score")
+        with kmeans.kept(labelled) as labelled:
+            names = [f"k{k}" for k in ks]
+            found = metrics.summaries(labelled, names, weight="n")
+            near = metrics.silhouettes(labelled, names, weight="n") if exact else [metrics.centroid_silhouette(labelled, cluster=c, weight="n") for c in names]
     n = int(found[0].n.sum())
     rows = [(representation, k, models[k].inertia, s, one.calinski_harabasz, one.davies_bouldin, int(one.n.min()), int(one.n.max()), n, models[k].iterations) for k, one, s in zip(ks, found, near, strict=True)]
     return rows, models

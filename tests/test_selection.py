@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.operators import kmeans, metrics, pca, profile
 from brindle.plans.students import evaluate_grid
@@ -145,3 +146,20 @@ def test_checked_csv(spark, tmp_path):
     assert [tuple(r) for r in read.report.collect()] == [("f.csv", 6, 3, 3)]
     with pytest.raises(ValueError, match="missing columns"):
         tables.read_csv_checked(spark, str(tmp_path), "i int, x double, s string", ("i", "zz"))
+
+
+def test_of_equal_clusterings_the_first_by_its_centres(spark):
+    """With seven clusters 0 and 2 or 310 and 312 go together, at the same inertia."""
+    places = spark.createDataFrame([([float(v)],) for v in (0, 2, 30, 31, 300, 310, 312, 2000, 2030) * 4], "x array<double>")
+    for seed in (42, 1, 2, 3):
+        model = kmeans.fit_grid(places, [7], seed=seed)[7]
+        assert sorted(model.centres[:, 0].tolist()) == [0, 2, 30.5, 300, 311, 2000, 2030] and model.inertia == 10
+
+
+def test_crowds_of_equal_points_add_no_rounding(spark):
+    """Half a million rows at three places are as exact as three weights."""
+    places = np.array([0.1, 0.3, 7.7])
+    df = spark.range(500_001).select(F.array(F.element_at(F.array(*[F.lit(float(v)) for v in places]), (F.col("id") % 3 + 1).cast("int"))).alias("x"))
+    want = 166_667 * ((places[:2] - places[:2].mean()) ** 2).sum()
+    rows, _ = evaluate_grid(df, "r", [2], 2)
+    assert abs(rows[0][2] / want - 1) < 2e-15 and rows[0][6:9] == (166_667, 333_334, 500_001)
