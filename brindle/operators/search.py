@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -36,6 +36,15 @@ def query_terms(queries: DataFrame, stopwords: Iterable[str] = STOPWORDS) -> Dat
     return queries.select("query_id", F.explode(tokens(F.col("query"), stopwords)).alias("term"))
 
 
+def total(part: Column) -> Column:
+    """Sum of the parts of a score, the same in any order of its rows.
+
+    Sums of doubles differ in the last digit by the order in which a shuffle brings
+    three parts or more; documents of equal parts would then not tie.
+    """
+    return F.sum(part.cast("decimal(38, 28)")).cast("double")
+
+
 def bm25_search(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = TOP_K, k1: float = K1, b: float = B, stopwords: Iterable[str] = STOPWORDS) -> DataFrame:
     """The ``k`` best documents of each query: ``query_id``, ``rank``, ``document_id``, ``score``.
 
@@ -53,7 +62,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int
     idf = inverse_frequencies(postings, stats["n"])
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.lit(max(stats["avg"], 1.0)))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scored = postings.join(idf, "term").join(asked, "term").groupBy("query_id", "document_id").agg(F.sum(part).alias("score"))
+    scored = postings.join(idf, "term").join(asked, "term").groupBy("query_id", "document_id").agg(total(part).alias("score"))
     # Documents without a hit can only fill a query's list: its first k by id are enough.
     fill = lengths.select("document_id").orderBy("document_id").limit(2 * k + 1)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id"))

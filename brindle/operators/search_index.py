@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from brindle.operators.search import B, K1, STOPWORDS, TOP_K, documents_lengths, query_terms
+from brindle.operators.search import B, K1, STOPWORDS, TOP_K, documents_lengths, query_terms, total
 from brindle.sources.shared import written
 
 #: Documents of a strip, postings of a block, folders that terms are dealt to.
 STRIP, BLOCK, BUCKETS = 1_024, 128, 64
 #: Strips a query scores first for each result it wants.
 FIRST_STRIPS = 1.0
-#: Scores that differ by less are equal: sums depend on the order of terms.
+#: Bounds that differ by less are equal: their sums depend on the order of terms.
 SLACK = 1e-9
 
 
@@ -182,7 +182,7 @@ class Index:
             """Scores from some blocks: of each document over all its blocks among them."""
             hits = rows.join(chosen, ["term", *at, "block"]).select("query_id", "weight", F.explode(F.arrays_zip("documents", "tfs", "lengths")).alias("p"))
             part = F.col("weight") * gain(F.col("p.tfs"), F.col("p.lengths"))
-            return hits.groupBy("query_id", F.col("p.documents").alias("document_id")).agg(F.sum(part).alias("score"))
+            return hits.groupBy("query_id", F.col("p.documents").alias("document_id")).agg(total(part).alias("score"))
 
         order = Window.partitionBy("query_id").orderBy(F.desc("most"), *at)
         first = strips.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, int(FIRST_STRIPS * k))).select("query_id", *at)

@@ -75,3 +75,21 @@ def test_an_index_is_not_built_over_another(spark, tmp_path):
         search_index.build_index(docs, "doc_id", "text", str(tmp_path / "i"), buckets=2)
     again = search_index.build_index(docs.filter("doc_id > 0"), "doc_id", "text", str(tmp_path / "i"), buckets=2, overwrite=True)
     assert rows_of(again.search(queries)) == rows_of(search.bm25_search(docs.filter("doc_id > 0"), queries, "doc_id", "text"))
+
+
+def test_copies_tie_whatever_order_their_terms_come_in(spark, tmp_path):
+    """Terms lie in files of the reverse order of sizes in the second segment; copies in both have one score, so the first ids win."""
+    words = [f"w{i}" for i in range(6)]
+    copied = " ".join(words) + " w1 w3 w3"
+    copies = [(i, copied) for i in range(40)]
+    # Documents of one word, of each word as often in one segment as its mirror in the other.
+    others = [(100 + 2 * (4_000 * w + i) + side, words[w] + " and" * (i % 7)) for side in (0, 1) for w in range(6) for i in range(600 * (w if side else 5 - w))]
+    docs = spark.createDataFrame(copies + others, "doc_id long, text string").repartition(2, "doc_id")
+    asked = [copied, "w0 w1 w2 w3 w4 w5", "w0 w2 w5", "w1 w3 w4 w4 w5", "w0 w3 w4 w5 w5"]
+    queries = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(asked)], "query_id string, query string")
+    index = search_index.build_index(docs.filter("doc_id % 2 = 0"), "doc_id", "text", str(tmp_path / "i"))
+    index.append(docs.filter("doc_id % 2 <> 0"), "doc_id", "text")
+    found = index.search(queries, 30).collect()
+    for q in range(len(asked)):
+        mine = sorted((r["rank"], r["document_id"], r["score"]) for r in found if r["query_id"] == f"q{q}")
+        assert [i for _, i, _ in mine] == list(range(30)) and len({score for _, _, score in mine}) == 1
