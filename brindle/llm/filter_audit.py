@@ -2,7 +2,7 @@
 
 Four filters look at one text (A few words, B few distinct words, C capitals,
 D symbols); E fails a text that is identical to one of a smaller id.  Identical
-texts are found by partition refinement: classes are split by code-point length,
+texts are found by partition refinement: classes are split by length in bytes,
 then by the hash of one block of the text after another (blocks grow, so the
 passes are the logarithm of the longest text), and rows alone in their class are
 dropped; full texts of what is left are compared, and every id but the smallest
@@ -25,8 +25,8 @@ from brindle.llm._shared import cut, forget, table
 
 FILTERS = "ABCDE"
 SPACES = r"[\x20\x09-\x0D]+"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Code points of a text's first block; each further one is GROWTH times as long.
+CAPITALS = "[A-Z]+"
+#: Bytes of a text's first block; each further one is GROWTH times as long.
 BLOCK, GROWTH = 256, 4
 ORDERS = list(permutations(FILTERS))
 
@@ -41,25 +41,29 @@ def masks(text: Column, words: Column) -> Column:
     failing = (
         n < 100,
         100 * F.size(F.array_distinct(words)) < 80 * n,
-        100 * (F.length(text) - F.length(F.translate(text, CAPITALS, ""))) > 10 * F.length(text),
+        100 * (F.length(text) - F.length(F.regexp_replace(text, CAPITALS, ""))) > 10 * F.length(text),
         text.rlike(r"[#$%&*|]"),
     )
     return reduce(lambda a, b: a + b, [F.when(x, 1 << i).otherwise(0) for i, x in enumerate(failing)])
 
 
 def block_hashes(text: Column, block: int = BLOCK) -> Column:
-    """Hashes of the consecutive blocks of a text: ``block`` code points, then GROWTH times as many, and so on."""
-    ends = []  # a Java string has under 2^31 code points
+    """Hashes of the consecutive blocks of a text: ``block`` bytes, then GROWTH times as many, and so on.
+
+    A block of bytes is a copy of its own place; one of code points would count
+    through the whole text for its length and up to its start, once a block.
+    """
+    ends = []  # a text has under 2^31 bytes
     start, size = 0, block
     while start < 1 << 31:
         ends.append((start, min(size, (1 << 31) - 1)))
         start, size = start + size, size * GROWTH
     spans = F.array(*[F.struct(F.lit(a).cast("long").alias("at"), F.lit(n).cast("int").alias("n")) for a, n in ends])
-    return F.transform(F.filter(spans, lambda s: s["at"] < F.length(text)), lambda s: F.xxhash64(F.substring(text, (s["at"] + 1).cast("int"), s["n"])))
+    return F.transform(F.filter(spans, lambda s: s["at"] < F.octet_length(text)), lambda s: F.xxhash64(F.substring(text.cast("binary"), (s["at"] + 1).cast("int"), s["n"])))
 
 
 def refined(slim: DataFrame) -> DataFrame:
-    """Class (``cls``) of each row of ``id, chars, blocks`` that is together with another to the last block.
+    """Class (``cls``) of each row of ``id, bytes, blocks`` that is together with another to the last block.
 
     One pass a block: a class is split by the block's hash and rows alone in
     theirs are dropped; a row without further blocks is done.  Classes are 64-bit
@@ -70,7 +74,7 @@ def refined(slim: DataFrame) -> DataFrame:
         many = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cls")
         return cut(rows.join(many, "cls", "left_semi"), step)
 
-    left = shared(slim.select("id", "blocks", F.xxhash64("chars").alias("cls")), "lengths")
+    left = shared(slim.select("id", "blocks", F.xxhash64("bytes").alias("cls")), "lengths")
     done, k, used = [], 0, [left]
     while True:
         done.append(left.filter(F.size("blocks") <= k).select("id", "cls"))
@@ -87,7 +91,7 @@ def refined(slim: DataFrame) -> DataFrame:
 
 def class_of(text: Column, block: int = BLOCK) -> Column:
     """The class that a text has after its last pass."""
-    return F.aggregate(block_hashes(text, block), F.xxhash64(F.length(text)), lambda cls, h: F.xxhash64(cls, h))
+    return F.aggregate(block_hashes(text, block), F.xxhash64(F.octet_length(text)), lambda cls, h: F.xxhash64(cls, h))
 
 
 def measured(docs: DataFrame, key: str, text: str, part: str) -> DataFrame:
@@ -123,8 +127,8 @@ def row_masks(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     texts = measured(docs, key, text, part)
     own = masks(F.col("text"), F.col("words")).alias("own")
     worded = texts.withColumn("words", words_of(F.col("text")))  # a column of its own, as it is used several times
-    slim = worded.select("id", "part", own, F.length("text").alias("chars"), block_hashes(F.col("text"), block).alias("blocks"))
-    slim = cut(slim.withColumn("cls", F.aggregate("blocks", F.xxhash64("chars"), lambda cls, h: F.xxhash64(cls, h))), "audit")
+    slim = worded.select("id", "part", own, F.octet_length("text").alias("bytes"), block_hashes(F.col("text"), block).alias("blocks"))
+    slim = cut(slim.withColumn("cls", F.aggregate("blocks", F.xxhash64("bytes"), lambda cls, h: F.xxhash64(cls, h))), "audit")
     leads, mixed = smallest_ids(texts, slim, block)
     rows = slim.select("id", "part", "own", "cls")
     if mixed.isEmpty():

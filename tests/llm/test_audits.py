@@ -272,6 +272,16 @@ def test_blocks_of_a_text(spark):
     assert row[0].h == row[0].w and row[0].h == row[2].h
 
 
+def test_blocks_are_cut_at_bytes(spark):
+    row = spark.createDataFrame([("é" * 60,)], "t string").select(fa.block_hashes(F.col("t"), 3).alias("h"), F.xxhash64(F.substring(F.col("t").cast("binary"), 1, 3)).alias("w")).first()
+    assert len(row.h) == 4 and row.h[0] == row.w  # 120 bytes: 3 (half a letter at the end), 12, 48, the rest
+
+
+def test_audit_of_texts_that_differ_inside_a_letter(spark):
+    texts = ["é" * 60, "é" * 59 + "è", "è" + "é" * 59, "漢" * 40, "漢" * 39 + "漣", "É" * 60, "A" * 120, "A" * 11 + "É" * 99, "A" * 12 + "É" * 88]
+    check_audit(spark, [(10 * n + i, t, "en") for n in range(2) for i, t in enumerate(texts)], [(11, 1, 1)], block=3)
+
+
 # --- licences -----------------------------------------------------------------
 
 SCANNED = "doc_id long, text string, key int, word int, at int, n_words int, places string"
