@@ -37,11 +37,11 @@ def words_of(text: Column) -> Column:
 
 def masks(text: Column, words: Column) -> Column:
     """Bits 0 to 3: whether a text (not null) of these words fails A, B, C, D."""
-    n = F.size(words)
+    n, chars = F.size(words).cast("long"), F.length(text).cast("long")  # a hundred times a long text is more than an int
     failing = (
         n < 100,
-        100 * F.size(F.array_distinct(words)) < 80 * n,
-        100 * (F.length(text) - F.length(F.regexp_replace(text, CAPITALS, ""))) > 10 * F.length(text),
+        100 * F.size(F.array_distinct(words)).cast("long") < 80 * n,
+        100 * (chars - F.length(F.regexp_replace(text, CAPITALS, ""))) > 10 * chars,
         text.rlike(r"[#$%&*|]"),
     )
     return reduce(lambda a, b: a + b, [F.when(x, 1 << i).otherwise(0) for i, x in enumerate(failing)])

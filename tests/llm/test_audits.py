@@ -265,6 +265,11 @@ def test_audit_of_no_rows(spark):
     assert fa.filter_audit(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
 
 
+def test_masks_of_a_text_of_over_21_million_letters(spark):
+    texts = spark.range(2).select(F.expr("repeat(if(id = 0, 'A', 'a'), 22000000)").alias("text")).withColumn("words", fa.words_of(F.col("text")))
+    assert sorted(r.own for r in texts.select(fa.masks(F.col("text"), F.col("words")).alias("own")).collect()) == [1, 5]  # few words; capitals too
+
+
 def test_blocks_of_a_text(spark):
     text = "".join(chr(97 + i % 26) for i in range(100)) + "é"
     row = spark.createDataFrame([(text,), ("",), ("abcd",)], "t string").select(F.size(fa.block_hashes(F.col("t"), 4)).alias("n"), F.get(fa.block_hashes(F.col("t"), 4), F.lit(0)).alias("h"), F.xxhash64(F.substring("t", 1, 4)).alias("w")).collect()
