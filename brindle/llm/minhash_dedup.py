@@ -9,7 +9,8 @@ shingles.  Components are grouped in bands; texts that share a band are
 candidates, and candidates are verified on all their shingles: first with one
 text of each bucket, in a few rounds, so that whole groups of copies become one
 class at a cost in proportion to the texts; then, in buckets that still hold
-several classes, all texts of different classes with each other.
+several classes, all texts of different classes with each other.  Links inside
+a class that other links make already are not made.
 """
 
 from __future__ import annotations
@@ -145,15 +146,17 @@ def _follow(batches: Iterator[pa.RecordBatch], size: int, threshold: float, sche
             yield record(schema, list(zip(*tested, strict=True)) if tested else [[], [], []])
 
 
-def block_links(asking: list[tuple], asked: list[tuple], big: int, bucket: int, threshold: float) -> list[tuple[int, int]]:
+def block_links(asking: list[tuple], asked: list[tuple], big: int, bucket: int, threshold: float, late: list[bool] | None = None, forest: bool = False) -> list[tuple[int, int]]:
     """Links between the classes of two lists of a bucket's texts: ``(tid, root, buckets, (elements, counts))``.
 
     A similarity of ``threshold`` needs as much common mass of the normalised
     weights.  So with elements in one order, rarest first, the first common one
     is where both texts still have that mass ahead; only texts that meet at
     such an element are compared.  A pair is left to the smallest bucket it
-    shares; of texts outside the class ``big`` the smaller one asks.  Once a
-    text is linked to a class, that class's other texts are passed over.
+    shares; of texts outside the class ``big`` the smaller one asks (one that is
+    ``late`` asks all).  Once a text is linked to a class, that class's other
+    texts are passed over.  With ``forest``, linked classes are one class for all
+    texts that ask later: the links are fewer than the classes, and join the same.
     """
     every = [*asking, *asked]
     size = np.array([len(x[3][0]) for x in every])
@@ -172,6 +175,9 @@ def block_links(asking: list[tuple], asked: list[tuple], big: int, bucket: int,
     post = post[np.argsort(ids[post], kind="stable")]
     post_ids, post_owner = ids[post], owner[post]
     tid, root = (np.array([x[i] for x in every], np.int64) for i in (0, 1))
+    late = np.zeros(n, bool) if late is None else np.array(late, bool)
+    names, of = np.unique(root, return_inverse=True)
+    joined = np.arange(len(names))
     plain = np.array([bool((x[3][1] == 1).all()) for x in every])
     shared = np.full((len(every), max(len(x[2]) for x in every)), bucket, np.int64)
     for i, x in enumerate(every):
@@ -187,21 +193,26 @@ def block_links(asking: list[tuple], asked: list[tuple], big: int, bucket: int,
         early = own[ahead[edges[a] : edges[a + 1]]]
         low = np.searchsorted(post_ids, early)
         hit = np.unique(post_owner[ranges(low, np.searchsorted(post_ids, early, "right") - low)])
-        hit = hit[(root[hit] != root[a]) & ((root[hit] == big) | (tid[hit] > tid[a]))]
+        hit = hit[(joined[of[hit]] != joined[of[a]]) & ((root[hit] == big) | late[a] | (tid[hit] > tid[a]))]
         less = shared[a][shared[a] < bucket]
         hit = hit[~np.isin(shared[hit], less).any(axis=1)]
         if plain[a]:
             hit = hit[~plain[hit] | (np.minimum(size[hit], size[a]) >= (threshold - 1e-6) * np.maximum(size[hit], size[a]))]
         mark[own] = True
+        most = 64
         while len(hit):
-            now, hit = hit[:512], hit[512:]
+            now, hit = hit[:most], hit[most:]
+            most = 512
             common = np.add.reduceat(mark[ids[ranges(edges[now], size[now])]].astype(np.int64), np.cumsum(size[now]) - size[now])
             like = common / (size[a] + size[now] - common) >= threshold
             for i in np.flatnonzero(~(plain[now] & plain[a])).tolist():
                 like[i] = probability_jaccard(every[a][3], every[now[i]][3]) >= threshold
-            found, first = np.unique(root[now[like]], return_index=True)
+            found, first = np.unique(joined[of[now[like]]], return_index=True)
             links += [(int(tid[a]), int(tid[b])) for b in now[like][first]]
-            hit = hit[~np.isin(root[hit], found)]
+            if forest:
+                joined[np.isin(joined, found)] = joined[of[a]]
+                found = joined[of[a]]
+            hit = hit[~np.isin(joined[of[hit]], found)]
         mark[own] = False
     return links
 
@@ -220,7 +231,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     compared with one leader of a bucket in which it meets another class; then,
     in each bucket that still holds several classes, every pair of texts of
     different classes is decided (see :func:`block_links`), so no pair that
-    shares a bucket is passed over unless it is of one class already.
+    shares a bucket is passed over unless it is of one class already.  Large
+    buckets are decided in steps, with classes joined between them: first all
+    texts with one part of the bucket, then the rest with parts twice as many.
 
     Null, empty and wordless texts are like no other text: each row is a class
     of its own.  Rows with a null key may belong to any class; repeated rows
@@ -265,35 +278,47 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         forget(asks)
         return out
 
-    def apart(now: DataFrame) -> DataFrame:
-        """Links between different classes of one bucket, with every pair of such texts decided.
+    def dealt(now: DataFrame) -> DataFrame:
+        """Each bucket's largest class and numbers of parts, and each text's part among the asking and the asked."""
+        counted = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m"))
+        parts = counted.select("h", F.col("top.root").alias("big"), F.ceil((F.col("m") - F.col("top.c")) / ASKING).cast("int").alias("pa"), F.ceil(F.col("m") / ASKED).cast("int").alias("pb"))
+        own_a, own_b = (F.pmod(F.xxhash64(F.lit(x), "tid"), F.col(x)).cast("int") for x in ("pa", "pb"))
+        return cut(now.join(parts, "h").select("h", "tid", "root", "big", "pa", "pb", own_a.alias("ia"), own_b.alias("ib")), "apart")
+
+    def apart(mixed: DataFrame, low: int, high: int) -> DataFrame:
+        """Links between different classes of one bucket, with every pair of such texts decided whose first part is ``low`` to ``high``.
 
         Texts outside a bucket's largest class ask all its texts.  Parts of the
         asking meet parts of the asked, so no task gets a bucket of any size;
         with few texts asking, each text is sent about once for a bucket.
+        A bucket's members, and so its parts of the asked, stay the same in all
+        steps.  Texts of later parts ask those of this step; these ask the
+        largest class's texts of later parts themselves, as nobody there asks.
         """
-        counted = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m"))
-        parts = counted.select("h", F.col("top.root").alias("big"), F.ceil((F.col("m") - F.col("top.c")) / ASKING).cast("int").alias("pa"), F.ceil(F.col("m") / ASKED).cast("int").alias("pb"))
-        mixed = cut(now.join(parts, "h").select("h", "tid", "root", "big", "pa", "pb"), "apart")
-        of = mixed.groupBy("tid").agg(F.collect_list(F.struct("h", "root", "big", "pa", "pb")).alias("l"))
-        sent = cand.join(of.hint("merge"), "tid").select("tid", "text", F.col("l.h").alias("hs"), F.explode("l").alias("l"))
-        own_a, own_b = (F.pmod(F.xxhash64(F.lit(x), "tid"), F.col(f"l.{x}")).cast("int") for x in ("pa", "pb"))
-        sent = sent.withColumn("ia", own_a).withColumn("ib", own_b)
-        place = F.expr("concat(transform(sequence(0, l.pa - 1), i -> struct(false AS asks, i AS i, ib AS j)), if(l.root <> l.big, transform(sequence(0, l.pb - 1), j -> struct(true AS asks, ia AS i, j AS j)), array()))")
-        sent = sent.select("tid", "text", "hs", F.col("l.h").alias("h"), F.col("l.root").alias("root"), F.col("l.big").alias("big"), F.explode(place).alias("p")).select("h", "p.i", "p.j", "p.asks", "tid", "root", "big", "hs", "text")
+        of = mixed.groupBy("tid").agg(F.collect_list(F.struct("h", "root", "big", "pa", "pb", "ia", "ib")).alias("l"), F.max("pb").alias("most")).filter(F.col("most") > low).drop("most")
+        sent = cand.join(of.hint("merge"), "tid").select("tid", "text", F.col("l.h").alias("hs"), F.explode(F.filter("l", lambda x: (x["pb"] > low) & (x["ib"] >= low))).alias("l"))
+        sent = sent.withColumn("end", F.least(F.lit(high), "l.pb")).withColumn("late", F.col("l.ib") >= high)
+        # Parts of this step's asking alone: a share of all the asking.
+        sent = sent.withColumn("few", F.expr("cast(ceil(l.pa * (end - {0}) / (l.pb - {0})) as int)".format(low)))
+        place = F.expr(f"""concat(
+            if(not late or l.root = l.big, transform(sequence(0, if(late, few, l.pa) - 1), i -> struct(false AS asks, i AS i, l.ib AS j)), array()),
+            if(l.root <> l.big, transform(sequence({low}, end - 1), j -> struct(true AS asks, l.ia AS i, j AS j)), array()),
+            if(l.root <> l.big and not late and end < l.pb, transform(sequence(end, l.pb - 1), j -> struct(true AS asks, l.ia % few AS i, j AS j)), array()))""")
+        sent = sent.select("tid", "text", "hs", "late", F.col("l.h").alias("h"), F.col("l.root").alias("root"), F.col("l.big").alias("big"), F.explode(place).alias("p")).select("h", "p.i", "p.j", "p.asks", "late", "tid", "root", "big", "hs", "text")
 
         def decide(rows: pa.Table) -> pa.Table:
             sets = weighted_sets(rows["text"].to_pylist(), size)
             sides: tuple[list, list] = [], []
-            for asks, tid, root, hs, own in zip(*(rows[c].to_pylist() for c in ("asks", "tid", "root", "hs")), sets, strict=True):
+            late = []
+            for asks, after, tid, root, hs, own in zip(*(rows[c].to_pylist() for c in ("asks", "late", "tid", "root", "hs")), sets, strict=True):
                 sides[asks].append((tid, root, hs, own))
-            found = block_links(sides[1], sides[0], rows["big"][0].as_py(), rows["h"][0].as_py(), threshold) if all(sides) else []
+                if asks:
+                    late.append(after)
+            found = block_links(sides[1], sides[0], rows["big"][0].as_py(), rows["h"][0].as_py(), threshold, late, forest=True) if all(sides) else []
             release()
             return pa.Table.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=a3)
 
-        out = cut(sent.groupBy("h", "i", "j").applyInArrow(decide, s3), "verified")
-        forget(mixed)
-        return out
+        return cut(sent.groupBy("h", "i", "j").applyInArrow(decide, s3), "verified")
 
     roots, links, tested = None, empty, []
     for turn in range(rounds):
@@ -316,9 +341,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             known = known.union(one.select(F.least("a", "b"), F.greatest("a", "b")))
         known = pairs.join(known, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")), "left_semi").select("h")
         now = cut(now.join(known, "h", "left_anti"), "mixed")
-        if now.limit(1).count():
-            links = links.union(apart(now))
-        forget(now, roots)
+        low, high = 0, 1
+        while True:
+            mixed = dealt(now)
+            forget(now, roots)
+            parts = mixed.agg(F.max("pb")).first()[0] or 0
+            if parts > low:
+                links = links.union(apart(mixed, low, high))
+            forget(mixed)
+            low, high = high, 2 * high
+            if parts <= low:
+                break
+            roots = components(links)
+            now = cut(rooted(shared, roots), "mixed")
     forget(cand, shared)
     roots = components(links)
     named = texts.join(roots, texts["tid"] == roots["node"], "left").select("d1", "d2", "tid", "first", F.coalesce("root", "tid").alias("root"))

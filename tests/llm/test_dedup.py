@@ -335,3 +335,66 @@ def test_large_counts_are_whole(spark):
     texts = [(1, "x " * 280_000 + "y " * 70_000), (2, "x " * 70_000 + "y " * 70_000)]
     got = minhash_dedup.near_duplicates(table(spark, texts), size=1).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == {1: 1, 2: 2}
+
+
+def near_group(n):
+    """Copies of one text with 1 to 8 of 150 words changed: of 400, a twentieth of the pairs are linked, and a third of the copies are one class."""
+    rnd = random.Random(n)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(n):
+        w = list(base)
+        for j in range(rnd.randint(1, 8)):
+            w[rnd.randrange(150)] = f"e{i}-{j}"
+        texts.append((i, " ".join(w)))
+    return texts
+
+
+def links_made(monkeypatch):
+    """The numbers of links of the exact pass, a number for each step."""
+    made, cut = [], minhash_dedup.cut
+
+    def counted(df, label):
+        out = cut(df, label)
+        if label == "verified":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "cut", counted)
+    return made
+
+
+def test_links_grow_with_the_texts_of_a_group(spark, monkeypatch):
+    """A text is linked to a class once, not to each text of it."""
+    made = links_made(monkeypatch)
+    texts = near_group(400)
+    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(table(spark, texts), rounds=1).collect()}
+    assert got == brute_classes(texts, 5) and 1 < len(set(got.values())) < 300
+    assert 0 < sum(made) <= 4 * len(texts)
+
+
+def test_large_buckets_are_decided_in_steps(spark, monkeypatch):
+    """Buckets of many parts: a family below the threshold with pairs above it, and a group of near copies."""
+    made = links_made(monkeypatch)
+    monkeypatch.setattr(minhash_dedup, "ASKING", 8)
+    monkeypatch.setattr(minhash_dedup, "ASKED", 16)
+    texts = [(i, "z " * 1000 + " ".join(f"p{i}-{j}" for j in range(130))) for i in range(80)]
+    for g in range(12):
+        texts += [(len(texts) + k, "z " * 1000 + " ".join([*(f"q{g}-{j}" for j in range(28)), *(f"r{g}-{k}-{j}" for j in range(102))])) for k in (0, 1)]
+    want = brute_classes(texts, 1)
+    assert {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(table(spark, texts), size=1).collect()} == want
+    assert len(set(want.values())) == 92 and len(made) > 2
+    texts = near_group(200)
+    assert {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(table(spark, texts), rounds=1).collect()} == brute_classes(texts, 5)
+
+
+def test_forest_links_join_what_all_links_join():
+    rng = np.random.default_rng(9)
+    every = []
+    for i in range(150):
+        g = np.unique(np.concatenate([rng.choice(np.arange(60) + 1000 * (i % 3), rng.integers(46, 61), replace=False), rng.integers(10**6, 10**9, rng.integers(0, 4))]))
+        every.append((i, i - i % 2, [7], (g.astype(np.uint64), rng.integers(1, 3, len(g)).astype(float) if i % 5 == 0 else np.ones(len(g)))))
+    own = [(i, x[1]) for i, x in enumerate(every) if i != x[1]]
+    whole, forest = (minhash_dedup.block_links(every, every, -1, 7, 0.8, forest=f) for f in (False, True))
+    nodes = [tuple(x.tolist() for x in contract(*np.array([*links, *own]).T)) for links in (whole, forest)]
+    assert nodes[0] == nodes[1] and len(forest) < 75 < len(whole)
